@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, simhash, url_filter
+from tallyforge.llm import bpe, langid, media, mixing, simhash, spotsigs, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,26 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe)}
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.features(media.store(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    coded = F.concat_ws(" ", F.size("times").cast("string"), F.sha2(F.concat_ws(";", F.concat_ws(",", F.col("times").cast("array<string>")), F.concat_ws(",", F.col("codes").cast("array<string>"))), 256))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", coded.alias("feature"))
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edits(_table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe, op7_media, op8_spotsigs, op9_mixing, op10_langid)}
 
 ORACLES: dict[str, str] = {}
