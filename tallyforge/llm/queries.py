@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, langid, media, mixing, simhash, spotsigs, url_filter
+from tallyforge.llm import bpe, chat, langid, licenses, media, mixing, simhash, spotsigs, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,19 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.features(media.store(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     coded = F.concat_ws(" ", F.size("times").cast("string"), F.sha2(F.concat_ws(";", F.concat_ws(",", F.col("times").cast("array<string>")), F.concat_ws(",", F.col("codes").cast("array<string>"))), 256))
@@ -46,6 +59,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe, op7_media, op8_spotsigs, op9_mixing, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe, op4_warc, op5_licenses, op6_chat, op7_media, op8_spotsigs, op9_mixing, op10_langid)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_chat": chat.ORACLE}
