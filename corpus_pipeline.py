@@ -1,5 +1,55 @@
-"""The corpus pipeline; its stages follow."""
-STAGES = []
+"""The corpus pipeline: language ID, SimHash near-dedup, mixing sources to target weights, byte-level BPE.
+
+Each stage takes all that the one before kept, written as Parquet and read again. The last returns tokens, the others the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import bpe, langid, mixing, simhash
+from tallyforge.llm.shared import stored
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Documents whose language is less sure than this are rejected.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without text, without letters or without a language that is likelier than all others together."""
+    judged = langid.identify(docs, public_tokenizers.path(RANKS))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group; one of them if several rows have it. A group without any
+    doc_id keeps one row of each text."""
+    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    rest = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return rest.dropDuplicates(["doc_id"]) if "text" not in docs.columns else rest.withColumn("_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and leaves out documents so that the sources' words come near their targets."""
+    return mixing.mixed(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each text's tokens, and digest of what they decode to."""
+    return bpe.digests(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("language id", identify_language), ("near-dedup", drop_near_duplicates), ("mixing", mix_sources), ("tokens", encode_tokens)]
+
+#: SQL has neither the hash of the fingerprints nor the tokenizer's pattern; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
