@@ -85,7 +85,7 @@ def anchored_limit(orders: DataFrame, limit: int = RATE_LIMIT, seconds: int = 60
 
     A window's start depends on the one before, so each user's orders are read in sequence; users are independent.
     """
-    schema = orders.schema.add("window_start", "timestamp").add("n_in_window", "long").add("over", "boolean")
+    schema = _with(orders, "window_start timestamp, n_in_window long, over boolean")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable")
@@ -102,6 +102,10 @@ def anchored_limit(orders: DataFrame, limit: int = RATE_LIMIT, seconds: int = 60
     return orders.groupBy(user).applyInPandas(run, schema)
 
 
+def _with(df: DataFrame, added: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added])
+
+
 def tumbling_limit(orders: DataFrame, limit: int = RATE_LIMIT, length: str = "1 minute", user: str = "account_id") -> DataFrame:
     """(user, start, n): the built-in variant with windows fixed on the clock."""
     return orders.groupBy(user, F.window("ts", length).alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(user, F.col("w.start").alias("start"), "n")
@@ -116,7 +120,7 @@ def volume_sessions(orders: DataFrame, limit: int = VOLUME_LIMIT, gap: str = "24
 def volume_limit(orders: DataFrame, limit: int = VOLUME_LIMIT, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """orders with accepted: the exact rule. Accepted notional adds up, and lasts for 24 hours from the last accepted order; an order
     that would exceed the limit is refused, is not added, and blocks the user for 24 hours, in which all orders are refused."""
-    schema = orders.schema.add("accepted", "boolean")
+    schema = _with(orders, "accepted boolean")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable")

@@ -23,9 +23,10 @@ FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
 #: A total order of executions: rows that are equal in it are equal in all that is posted.
 EXECUTION_ORDER = ("executed_at", "k1", "k2", "quantity", "price", "k3", "k4", "k5")
 
+#: Sides alternate within a symbol, so that orders meet.
 ORDER_COMMANDS = f"""
 SELECT 'NEW' AS command_type, o_custkey AS user_id, 'c-' || CAST(o_orderkey AS STRING) AS client_order_id, {SYMBOL.format("o_orderkey")} AS symbol,
-       CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 'LIMIT' AS order_type,
+       CASE WHEN CAST(floor(o_orderkey / 6) AS BIGINT) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 'LIMIT' AS order_type,
        CASE WHEN substr(o_orderpriority, 1, 1) = '5' THEN 'IOC' ELSE 'GTC' END AS time_in_force, CAST(100 + o_custkey % 20 AS DECIMAL(20, 8)) AS price,
        CAST(1 + o_orderkey % 9 AS DECIMAL(20, 8)) AS quantity, CAST(NULL AS STRING) AS cancel_by, CAST(NULL AS STRING) AS cancel_value, o_orderdate AS received_at,
        o_orderkey AS seq
