@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import WORD_GAP, ascii_lower, stored
+from tallyforge.llm.shared import stored
 
 #: Common words of English, French, German and Spanish. Fixed values.
 ANCHORS = (
@@ -26,26 +26,37 @@ CHAIN, SPOT = 2, 8
 RUN = 2000
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of the words, by their common beginnings, so that few alternatives are tried at a place."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [h + (_any_of(tails) if tails != [""] else "") for h, tails in heads.items() if h]
+    return "(?:" + "|".join(parts) + (")?+" if "" in heads else ")")
+
+
 def normal(text: Column) -> Column:
-    """The text's words, A-Z lower-cased and without marks at their ends, one space after each and a space before all."""
-    bare = F.regexp_replace(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP, " "), r"(?<![^ ])[\p{P}\p{S}]++|[\p{P}\p{S}]++(?= |$)", "")
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, " ++", " ")), F.lit(" "))
+    """The text's words in lower case and without marks at their ends, one space after each and a space before all."""
+    spaced = F.regexp_replace(F.lower(text), r"[\x01\x09-\x0D ]{2,}+|[\x01\x09-\x0D]", " ")
+    bare = F.regexp_replace(spaced, r"(?<![^ ])[\p{P}\p{S}]++|[\p{P}\p{S}]++(?![^ ])", "")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, " {2,}+", " ")), F.lit(" "))
 
 
-def signatures(text: Column) -> Column:
-    """The text's signatures as a sorted set of 8 hex digits each (the start of an md5).
+def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the text's signatures as a sorted set of 8 hex digits each (the start of an md5).
 
     Each occurrence of an anchor that is followed by CHAIN content words, each with at most SPOT anchors before it, gives one.
     A text without any has one signature of its own, made of all of its words; so equal texts have equal sets, and two texts
-    without anchors are alike only if their words are.
+    without anchors are alike only if their words are. Columns are added one by one, so that none is computed twice.
     """
-    common = "(?:" + "|".join(ANCHORS) + ") "
-    chain = f"(?:{common}){{0,{SPOT}}}+[^ ]++ " * CHAIN
-    words = normal(text)
-    found = F.regexp_extract_all(words, F.lit(f"(?<= )(?=({common}{chain}))"), F.lit(1))
+    chain = f"(?:\\x01[^ ]++ ){{0,{SPOT}}}+[^ ]++ " * CHAIN
+    df = df.withColumn("_words", normal(F.coalesce(F.col(text), F.lit(""))))
+    marked = F.regexp_replace("_words", f"(?<= )({_any_of(ANCHORS)})(?= )", "\x01$1")
+    df = df.withColumn("_spots", F.regexp_extract_all(marked, F.lit(f"(?=(\\x01[^ ]++ {chain}))"), F.lit(1)))
     # the anchors inside the chain are left out: they are not what tells texts apart
-    found = F.transform(found, lambda x: F.substring(F.md5(F.regexp_replace(x, rf"(?<= )(?:{common})++", "")), 1, 8))
-    return F.array_sort(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(F.array(F.substring(F.md5(F.concat(F.lit("="), words)), 1, 8)))))
+    found = F.transform("_spots", lambda x: F.substring(F.md5(F.regexp_replace(x, r"(?<= )\x01[^ ]++ ", "")), 1, 8))
+    own = F.array(F.substring(F.md5(F.concat(F.lit("="), "_words")), 1, 8))
+    return df.withColumn(name, F.array_sort(F.array_distinct(F.when(F.size("_spots") > 0, found).otherwise(own)))).drop("_words", "_spots")
 
 
 def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -56,7 +67,8 @@ def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, next_text): the text of the next document by ascending doc_id, after the last the first's.
+    """(doc_id, text, own, next_text, of_next): each text and the next document's by ascending doc_id, after the last the first's, with
+    their signatures.
 
     Null ids come first; equal ids are ordered by text. Ids are cut into runs of about RUN documents at quantiles; the document that
     starts a run is also sent to the run before, so that each run finds its neighbours by itself and texts move once.
@@ -78,9 +90,10 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     starts = F.when(F.col("run") > 0, F.element_at(bounds, F.greatest(F.col("run"), F.lit(1))) == F.col("doc_id")).otherwise(F.col("doc_id").eqNullSafe(F.lit(None if seen["nulls"] else seen["least"]).cast("long")))
     before = F.when(F.col("run") > 0, F.col("run") - 1).otherwise(len(cuts))
     copies = F.array_compact(F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead")), F.when(starts, F.struct(before.alias("run"), F.lit(True).alias("ahead")))))
-    sent = rows.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.run", "to.ahead")
+    sent = with_signatures(rows, "text", "own").select("doc_id", "text", "own", F.explode(copies).alias("to")).select("doc_id", "text", "own", "to.run", "to.ahead")
     order = Window.partitionBy("run").orderBy("ahead", F.col("doc_id").asc_nulls_first(), "text")
-    return sent.withColumn("next_text", F.lead("text").over(order)).where("not ahead").select("doc_id", "text", "next_text")
+    ahead = sent.withColumns({"next_text": F.lead("text").over(order), "of_next": F.lead("own").over(order)})
+    return ahead.where("not ahead").select("doc_id", "text", "own", "next_text", "of_next")
 
 
 def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,8 +106,9 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = with_next(docs, doc_id, text)
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    rows = rows.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)).alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("of_edited"), signatures(F.col("next_text")).alias("of_next"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
+    rows = with_signatures(rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "of_next"), "edited", "of_edited")
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", F.array_join("own", " ").alias("fingerprint"), F.array_join("of_edited", " ").alias("edited_fingerprint"),
         jaccard(F.col("own"), F.col("of_edited")).alias("near_edited"), jaccard(F.col("own"), F.col("of_next")).alias("near_next"),
@@ -111,7 +125,7 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", t
     """
     from math import log
 
-    sets = docs.select(F.col(doc_id).alias("doc_id"), signatures(F.col(text)).alias("s")).groupBy("s").agg(F.min("doc_id").alias("id")).where("id is not null")
+    sets = with_signatures(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "s").groupBy("s").agg(F.min("doc_id").alias("id")).where("id is not null")
     sets = stored(sets.withColumn("n", F.size("s")).withColumn("part", F.floor(F.log("n") / F.lit(-log(least)) + 1e-9)), "spotsigs")
     spots = sets.select("id", "n", "part", F.explode("s").alias("x"))
     rank = Window.partitionBy("id").orderBy("freq", "x")
