@@ -20,6 +20,8 @@ ANCHORS = (
     "als auf aus bei das dem den der die ein eine er es für ist mit nicht sie sich und von werden wie zu "
     "como con del el los las más no para pero por se su una y"
 ).split()
+#: Marks that are no part of a word at its ends, as the inside of a character class: ASCII, Latin-1 and general punctuation.
+MARKS = r"!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u205e"
 #: Content words in a chain, and common words that may stand before each of them.
 CHAIN, SPOT = 2, 8
 #: Documents in a run of neighbours.
@@ -38,12 +40,12 @@ def _any_of(words: list[str]) -> str:
 def normal(text: Column) -> Column:
     """The text's words in lower case and without marks at their ends, one space after each and a space before all."""
     spaced = F.regexp_replace(F.lower(text), r"[\x01\x09-\x0D ]{2,}+|[\x01\x09-\x0D]", " ")
-    bare = F.regexp_replace(spaced, r"(?<![^ ])[\p{P}\p{S}]++|[\p{P}\p{S}]++(?![^ ])", "")
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, " {2,}+", " ")), F.lit(" "))
+    bare = F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), f"(?<= )[{MARKS}]++|[{MARKS}]++(?= )", "")
+    return F.regexp_replace(bare, " {2,}+", " ")
 
 
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the text's signatures as a sorted set of 8 hex digits each (the start of an md5).
+    """df with the text's signatures as a sorted set of 64-bit hashes.
 
     Each occurrence of an anchor that is followed by CHAIN content words, each with at most SPOT anchors before it, gives one.
     A text without any has one signature of its own, made of all of its words; so equal texts have equal sets, and two texts
@@ -51,12 +53,12 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """
     chain = f"(?:\\x01[^ ]++ ){{0,{SPOT}}}+[^ ]++ " * CHAIN
     df = df.withColumn("_words", normal(F.coalesce(F.col(text), F.lit(""))))
-    marked = F.regexp_replace("_words", f"(?<= )({_any_of(ANCHORS)})(?= )", "\x01$1")
+    marked = F.regexp_replace("_words", f" ({_any_of(ANCHORS)})(?= )", " \x01$1")
     df = df.withColumn("_spots", F.regexp_extract_all(marked, F.lit(f"(?=(\\x01[^ ]++ {chain}))"), F.lit(1)))
     # the anchors inside the chain are left out: they are not what tells texts apart
-    found = F.transform("_spots", lambda x: F.substring(F.md5(F.regexp_replace(x, r"(?<= )\x01[^ ]++ ", "")), 1, 8))
-    own = F.array(F.substring(F.md5(F.concat(F.lit("="), "_words")), 1, 8))
-    return df.withColumn(name, F.array_sort(F.array_distinct(F.when(F.size("_spots") > 0, found).otherwise(own)))).drop("_words", "_spots")
+    found = F.transform("_spots", lambda x: F.xxhash64(F.when(F.locate("\x01", x, 2) > 0, F.regexp_replace(x, r"(?<= )\x01[^ ]++ ", "")).otherwise(x)))
+    own = F.array(F.xxhash64(F.concat(F.lit("="), "_words")))
+    return df.withColumn(name, F.sort_array(F.array_distinct(F.when(F.size("_spots") > 0, found).otherwise(own)))).drop("_words", "_spots")
 
 
 def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -110,7 +112,7 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = with_signatures(rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "of_next"), "edited", "of_edited")
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", F.array_join("own", " ").alias("fingerprint"), F.array_join("of_edited", " ").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.array_join(F.col("own").cast("array<string>"), " ").alias("fingerprint"), F.array_join(F.col("of_edited").cast("array<string>"), " ").alias("edited_fingerprint"),
         jaccard(F.col("own"), F.col("of_edited")).alias("near_edited"), jaccard(F.col("own"), F.col("of_next")).alias("near_next"),
     )
 
