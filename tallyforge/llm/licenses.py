@@ -54,7 +54,7 @@ class Index:
         self.starts = {g[0] for g in self.at}
 
     def candidates(self, words: list[str]) -> Iterator[tuple[str, int]]:
-        """(template, diagonal): where a template may lie in the words; hits within BAND of each other are one."""
+        """(template, diagonal): where a template may lie in the words; hits within its band of each other are one."""
         hits: dict[str, list[int]] = {}
         starts, at = self.starts, self.at
         for i, word in enumerate(words):
@@ -62,13 +62,18 @@ class Index:
                 for name, j in at.get(tuple(words[i : i + GRAM]), ()):
                     hits.setdefault(name, []).append(i - j)
         for name, diagonals in hits.items():
-            last = None
+            last, band = None, band_of(self.templates[name])
             for d in sorted(diagonals):
-                if last is None or d - last > BAND:
+                if last is None or d - last > band:
                     yield name, d
                     last = d
 
 
+def band_of(template: list[str]) -> int:
+    """Words that an alignment may drift: fewer for a short template, so that two copies in a row are two matches."""
+    return min(BAND, max(1, len(template) // 5))
+
+
 def align(template: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """(matched, first, last): the most template words that can be matched in order within the band around the diagonal, and
     the places of the first and the last of them; of equal alignments the one that ends first and starts last."""
@@ -94,7 +99,7 @@ def matches(text: str | None, index: Index, least: float = LEAST) -> list[tuple[
     words = WORDS.findall((text or "").lower())
     found: dict[tuple[str, int, int], int] = {}
     for name, diagonal in index.candidates(words):
-        n, first, last = align(index.templates[name], words, diagonal)
+        n, first, last = align(index.templates[name], words, diagonal, band_of(index.templates[name]))
         if n >= least * len(index.templates[name]):
             found[name, first, last] = n
     if not found:
