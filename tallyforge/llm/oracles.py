@@ -58,4 +58,13 @@ placed AS (SELECT doc_id, size, source_size, target, round(target)::BIGINT AS qu
 SELECT doc_id, size, source_size, target, (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + source_size + size, quota) - start - source_size) + greatest(0, least(start + 2 * source_size + size, quota) - start - 2 * source_size))::BIGINT AS taken FROM placed
 """
 
-ORACLES = {"op1_url_filter": URLS, "op6_chat": CHAT, "op9_mixing": MIX}
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, i * 5 + j + 1, 1) AS INT) * (1 << (4 - j))))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to, CAST(NULL AS STRING) AS problem
+FROM d
+"""
+
+ORACLES = {"op1_url_filter": URLS, "op4_warc": WARC, "op6_chat": CHAT, "op9_mixing": MIX}
