@@ -1,6 +1,6 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Each language has a probability for every piece of a fixed public vocabulary of byte strings. A word's likelihood is the sum,
+A text's words are its runs of letters in lower case. Each language has a probability for every piece of a fixed public vocabulary of byte strings. A word's likelihood is the sum,
 by a forward algorithm, over all its segmentations into pieces, so no segmentation has to be chosen; pieces do not cross
 words, and a text's log-likelihood is the sum of its words'. The probabilities are expected piece counts: a forward-backward
 pass weighs all segmentations of every training word by START, one round of expectation maximisation from a
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Runs of letters (and numbers that are no digits, such as Roman ones).
+LETTERS = re.compile(r"[^\W\d_]+").findall
 #: log of what a piece costs before training.
 START = -10.0
 #: Weight of all languages' piece distribution in one language's, in pieces, and what every piece has at least, in parts of one.
 SMOOTH, FLOOR = 200.0, 0.02
 #: Words that a worker keeps with their likelihoods or counts, characters taken at once.
-KEPT, CHARS = 400_000, 4_000_000
+KEPT, CHARS = 400_000, 2_000_000
 #: A likelihood ratio over the text counts as if of so many words at most, so that scores stay away from 0 and 1.
 WORDS = 20
 
@@ -59,13 +62,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def lattice(words: list[bytes], known):
+def words_of(text: str) -> list[str]:
+    return LETTERS(text.lower())
+
+
+def lattice(words: list[str], known):
     """All pieces in the words, as arrays (word, start, end, piece) in order of end; a space stands before each word."""
     import numpy as np
 
-    found = chain.from_iterable(known.iter("\u0100".join([" " + x.decode("latin-1") for x in words])))
+    found = chain.from_iterable(known.iter("\u0100".join([" " + x.encode().decode("latin-1") for x in words])))
     hits = np.fromiter(found, dtype=np.int64).reshape(-1, 2)
-    starts = np.cumsum([0, *[len(x) + 2 for x in words[:-1]]])
+    starts = np.cumsum([0, *[len(x.encode()) + 2 for x in words[:-1]]])
     w = np.searchsorted(starts, hits[:, 0], side="right") - 1
     end = hits[:, 0] + 1 - starts[w]
     return by_end(w, end - (hits[:, 1] >> 32), end, hits[:, 1] & 0xFFFFFFFF)
@@ -101,9 +108,9 @@ def sums(n_words: int, spans, weights):
     return value, scale
 
 
-def batches_of(words: list[bytes]) -> Iterator[list[bytes]]:
+def batches_of(words: list[str]) -> Iterator[list[str]]:
     """The words in order of length, in groups that need little memory."""
-    group: list[bytes] = []
+    group: list[str] = []
     for x in sorted(words, key=len):
         if group and (len(group) + 1) * (len(x) + 2) > 30_000:
             yield group
@@ -113,12 +120,12 @@ def batches_of(words: list[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
-def expected(words: list[bytes], times: list[int], known) -> tuple:
+def expected(words: list[str], times: list[int], known) -> tuple:
     """(pieces, counts): expected piece counts over all segmentations of the words, each piece weighing exp(START)."""
     import numpy as np
 
     w, i, j, k = spans = lattice(words, known)
-    lengths = np.array([len(x) + 1 for x in words])
+    lengths = np.array([len(x.encode()) + 1 for x in words])
     each = np.full((int(k.max(initial=0)) + 1, 1), math.exp(START))
     value, scale = sums(len(words), spans, each)
     order = np.argsort(w, kind="stable")
@@ -131,12 +138,12 @@ def expected(words: list[bytes], times: list[int], known) -> tuple:
     return found, n[found]
 
 
-def likelihoods(words: list[bytes], known, probabilities):
+def likelihoods(words: list[str], known, probabilities):
     """[word, language]: log-likelihood of each word, over all segmentations."""
     import numpy as np
 
     value, scale = sums(len(words), lattice(words, known), probabilities)
-    ends = np.array([len(x) + 1 for x in words])
+    ends = np.array([len(x.encode()) + 1 for x in words])
     rows = np.arange(len(words))
     with np.errstate(divide="ignore"):
         return np.maximum(np.log(value[ends, rows]), -700.0) + scale[ends, rows][:, None]
@@ -150,12 +157,12 @@ def counts(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: str =
 
         def settled() -> Iterator[pa.RecordBatch]:
             for name, n in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
             found.clear()
 
         for b in batches:
             for x, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found.setdefault(name, Counter()).update(x.encode().split())
+                found.setdefault(name, Counter()).update(words_of(x))
                 if sum(map(len, found.values())) > KEPT:
                     yield from settled()
         yield from settled()
@@ -164,7 +171,7 @@ def counts(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: str =
         known = finder(vocab_path)
         gathered: dict[str, dict[int, float]] = {}
         for b in batches:
-            by_lang: dict[str, dict[bytes, int]] = {}
+            by_lang: dict[str, dict[str, int]] = {}
             for name, word, n in zip(*[c.to_pylist() for c in b.columns]):
                 by_lang.setdefault(name, {})[word] = n
             for name, n in by_lang.items():
@@ -176,7 +183,7 @@ def counts(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(to), pa.string()), pa.array(list(to), pa.int32()), pa.array(list(to.values()), pa.float64())], ["lang", "piece", "n"])
 
     train = docs.where(F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)) & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    met = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    met = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return met.mapInArrow(pieces, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
@@ -208,19 +215,16 @@ def predict(docs: DataFrame, langs: list[str], probabilities, vocab_path: str, t
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         import numpy as np
 
         known = finder(vocab_path)
         langs, probabilities = model.value
-        letter = re.compile(r"[^\W\d_]").search
         if model_id not in _words:
             _words.clear()
             _words[model_id] = {}, np.zeros((KEPT, len(langs)))
         rows, table = _words[model_id]
 
-        def learn(words: set[bytes]) -> None:
+        def learn(words: set[str]) -> None:
             nonlocal table
             new = list(words - rows.keys())
             if len(rows) + len(new) > KEPT:
@@ -234,8 +238,8 @@ def predict(docs: DataFrame, langs: list[str], probabilities, vocab_path: str, t
             _words[model_id] = rows, table
 
         def judged(texts: list[str | None]) -> list[tuple[str, float]]:
-            cut = [x.encode().split() if langs and x and letter(x) and any(map(str.isalpha, x)) else None for x in texts]
-            learn({w for words in cut if words for w in words})
+            cut = [words_of(x) if langs and x and any(map(str.isalpha, x)) else None for x in texts]
+            learn(set().union(*filter(None, cut)))
             out = []
             for words in cut:
                 if words is None:
