@@ -2,12 +2,13 @@
 
 For every participant the dialogue is rendered with that speaker as the assistant and the others as named users, and a
 mask says which characters are the assistant's words. A dialogue is rendered in windows of WINDOW consecutive turn
-numbers, so that no row, however long the conversation, holds all of it; the windows of a perspective follow each other.
+numbers, and a window in which turns repeat numbers in splits of WINDOW turns; so no row, however long the conversation,
+holds all of it. The windows and splits of a perspective follow each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Turn numbers in a window.
@@ -22,7 +23,7 @@ def _header(role: Column, perspective: Column) -> Column:
 
 
 def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(conv_id, perspective, part, n_turns, n_own, rendered, n_chars, mask): every part of every conversation as each of its
+    """(conv_id, perspective, part, split, n_turns, n_own, rendered, n_chars, mask): every split of every part of every conversation as each of its
     participants sees it.
 
     mask lists the assistant's character ranges, start-end with the end excluded, its end mark included, joined by ";"; empty where the
@@ -33,13 +34,15 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     said = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit(NOBODY)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     said = said.withColumn("part", F.coalesce(F.floor(F.col("turn") / window), F.lit(-1)))
     people = said.select(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).distinct()
-    parts = said.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text"))
+    said = said.withColumn("split", F.floor((place - 1) / window))
+    parts = said.groupBy("conv_id", "part", "split").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     seen = parts.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     me = F.col("perspective")
     pieces = F.transform("turns", lambda m: F.concat(_header(m["role"], me), m["text"], F.lit(END)))
     own = F.transform("turns", lambda m: m["role"] == me)
     first = F.transform("turns", lambda m: F.char_length(_header(m["role"], me)))
-    seen = seen.select("conv_id", "perspective", "part", F.size("turns").alias("n_turns"), pieces.alias("pieces"), own.alias("own"), first.alias("first"))
+    seen = seen.select("conv_id", "perspective", "part", "split", F.size("turns").alias("n_turns"), pieces.alias("pieces"), own.alias("own"), first.alias("first"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -49,21 +52,22 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
 
     made = F.aggregate(F.arrays_zip("pieces", "own", "first"), start, step)
     seen = seen.withColumn("made", made)
-    return seen.select("conv_id", "perspective", F.col("part").cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), F.size("made.spans").cast("long").alias("n_own"), F.array_join("pieces", "").alias("rendered"), F.col("made.at").cast("long").alias("n_chars"), F.array_join("made.spans", ";").alias("mask"))
+    return seen.select("conv_id", "perspective", F.col("part").cast("long").alias("part"), F.col("split").cast("long").alias("split"), F.col("n_turns").cast("long").alias("n_turns"), F.size("made.spans").cast("long").alias("n_own"), F.array_join("pieces", "").alias("rendered"), F.col("made.at").cast("long").alias("n_chars"), F.array_join("made.spans", ";").alias("mask"))
 
 
 ORACLE = f"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '{NOBODY}') AS role, coalesce(text, '') AS text, coalesce(floor(turn / {WINDOW})::BIGINT, -1) AS part FROM conversations
-), people AS (SELECT DISTINCT conv_id, role AS perspective FROM said),
+), cut AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, text) - 1) // {WINDOW} AS split FROM said),
+people AS (SELECT DISTINCT conv_id, role AS perspective FROM said),
 lines AS (
-  SELECT s.conv_id, perspective, part, turn, role, text, role = perspective AS own,
+  SELECT s.conv_id, perspective, part, split, turn, role, text, role = perspective AS own,
          CASE WHEN role = perspective THEN '{OPEN}assistant' ELSE '{OPEN}user name=' || role END || '{CLOSE.strip()}' || chr(10) AS header,
-         row_number() OVER (PARTITION BY s.conv_id, perspective, part ORDER BY turn, role, text) AS place
-  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+         row_number() OVER (PARTITION BY s.conv_id, perspective, part, split ORDER BY turn, role, text) AS place
+  FROM cut s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), whole AS (SELECT *, header || text || '{END.strip()}' || chr(10) AS piece FROM lines),
-placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective, part ORDER BY place) AS upto FROM whole)
-SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(piece, '' ORDER BY place) AS rendered, sum(length(piece))::BIGINT AS n_chars,
+placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective, part, split ORDER BY place) AS upto FROM whole)
+SELECT conv_id, perspective, part, split, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(piece, '' ORDER BY place) AS rendered, sum(length(piece))::BIGINT AS n_chars,
        coalesce(string_agg((upto - length(piece) + length(header))::BIGINT || '-' || upto::BIGINT, ';' ORDER BY place) FILTER (own), '') AS mask
-FROM placed GROUP BY conv_id, perspective, part
+FROM placed GROUP BY conv_id, perspective, part, split
 """

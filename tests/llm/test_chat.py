@@ -13,7 +13,7 @@ def slow(rows, window):
         for t in sorted(turns, key=lambda t: (t[0] is not None, t)):
             parts[-1 if t[0] is None else t[0] // window].append(t)
         for me in {t[1] for t in turns}:
-            for part, said in parts.items():
+            for (part, split), said in {(p, i // window): ts[i : i + window] for p, ts in parts.items() for i in range(0, len(ts), window)}.items():
                 text, mask = "", []
                 for _, r, x in said:
                     text += "<|assistant|>\n" if r == me else f"<|user name={r}|>\n"
@@ -21,15 +21,15 @@ def slow(rows, window):
                     text += x + "<|end|>\n"
                     if r == me:
                         mask.append(f"{start}-{len(text)}")
-                out[c, me, part] = (len(said), len(mask), text, len(text), ";".join(mask))
+                out[c, me, part, split] = (len(said), len(mask), text, len(text), ";".join(mask))
     return out
 
 
 def test_rotation_equals_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    rows += [(-1, t, f"p{t % 5}", f"é{t}" * (t % 3)) for t in range(150)] + [(-1, 3, "p3", "tie"), (-1, 3, "p3", "tie"), (None, 0, None, None), (None, 1, "a", "x"), (-2, None, "a", "later"), (-2, 0, "b", "first"), (-3, 0, "a", "z" * 100_000)]
+    rows += [(-1, t, f"p{t % 5}", f"é{t}" * (t % 3)) for t in range(150)] + [(-1, 3, "p3", "tie"), (-1, 3, "p3", "tie"), (None, 0, None, None), (None, 1, "a", "x"), (-2, None, "a", "later"), (-2, 0, "b", "first"), (-3, 0, "a", "z" * 100_000)] + [(-4, 5, "ab"[i % 2], f"{i:04}") for i in range(200)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "'x' AS perspective")
     for window in (64, 10):
-        got = {(r.conv_id, r.perspective, r.part): (r.n_turns, r.n_own, r.rendered, r.n_chars, r.mask) for r in chat.rotate(df, window=window).collect()}
+        got = {(r.conv_id, r.perspective, r.part, r.split): (r.n_turns, r.n_own, r.rendered, r.n_chars, r.mask) for r in chat.rotate(df, window=window).collect()}
         assert got == slow(rows, window)
     assert chat.rotate(df.limit(0)).count() == 0
