@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import assets
+from tallyforge.operators.storage import stored
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -62,11 +63,8 @@ def with_ids(df: DataFrame, order: list[Column], start: int = 0, name: str = "id
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = df.columns
-    # the ranges are cut once and stored as bounds of the data by checkpoint: a second, differently sampled cut would move rows
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    from tallyforge.operators.storage import checkpointed
-
-    ranged = checkpointed(ranged)
+    # the cut is stored with the rows: cut again, from another sample, it could move rows
+    ranged = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
     offsets, at = {}, start
     for part in sorted(counts):
