@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, SimHash near-dedup, mixing sources to target weights, byte-level BPE.
+"""The corpus pipeline: language ID, near-dedup, mixing sources to target weights, byte-level BPE.
 
 Each stage takes all that the one before kept, written as Parquet and read again. The last returns tokens, the others the
 columns of documents.
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, langid, mixing, simhash
+from tallyforge.llm import bpe, langid, mixing, near_copies, simhash
 from tallyforge.llm.shared import stored
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,10 +24,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near copies (5-word Jaccard of 0.8 or more); one of them if
+    several rows have it. A group without any doc_id keeps one row of each text."""
+    return _smallest(docs, near_copies.near_copies(docs))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; one of them if several rows have it. A group without any
-    doc_id keeps one row of each text."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    """The same by the contract of op2 (3 words, 3 bits), which misses most near copies; not a stage."""
+    return _smallest(docs, simhash.near_duplicates(docs))
+
+
+def _smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     rest = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return rest.dropDuplicates(["doc_id"]) if "text" not in docs.columns else rest.withColumn("_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).dropDuplicates(["doc_id", "_text"]).drop("_text")
 
@@ -42,9 +51,9 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return bpe.digests(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("language id", identify_language), ("near-dedup", drop_near_duplicates), ("mixing", mix_sources), ("tokens", encode_tokens)]
+STAGES = [("language id", identify_language), ("near-dedup", drop_near_copies), ("mixing", mix_sources), ("tokens", encode_tokens)]
 
-#: SQL has neither the hash of the fingerprints nor the tokenizer's pattern; tests/llm holds each stage against brute force.
+#: SQL has neither the hash of the bands nor the tokenizer's pattern; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
