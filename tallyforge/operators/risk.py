@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,26 +82,49 @@ def block_precheck(commands: DataFrame, blocked: DataFrame, halted: DataFrame |
     return rows.withColumn("reject", F.when(F.col("_blocked"), "ACCOUNT_BLOCKED").when(F.col("_halted"), "SYMBOL_HALTED")).select(*commands.columns, "reject")
 
 
+def _in_turn(orders: DataFrame, user: str, order: tuple[str, ...], added: str, decide: Callable, *inputs: str) -> DataFrame:
+    """orders with the columns added, which decide(state, micros, *inputs) -> (state, values) gives for each user's orders in turn.
+
+    Rows are sorted by user and order and read in batches; a task has one batch and one user's state, not a user's history.
+    The state before a user's first order is None.
+    """
+    names, n = orders.columns, len(orders.columns)
+    given = [n, *[names.index(c) for c in (user, *inputs)]]
+    types = [{"long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in added.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
+        for batch in batches:
+            out = []
+            for at, who, *xs in zip(*[batch.column(i).to_pylist() for i in given]):
+                if who != last:
+                    last, state = who, None
+                state, values = decide(state, at, *xs)
+                out.append(values)
+            columns = [pa.array([v[i] for v in out], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], [*names, *[x.split()[0] for x in added.split(", ")]])
+
+    timed = orders.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return timed.repartition(user).sortWithinPartitions(user, *[F.col(c).asc_nulls_last() for c in order]).mapInArrow(run, _with(orders, added))
+
+
+def _started(df: DataFrame, kept: list[str], *added: str) -> DataFrame:
+    return df.select(*kept, F.timestamp_micros("_start").alias("window_start"), *added)
+
+
 def anchored_limit(orders: DataFrame, limit: int = RATE_LIMIT, seconds: int = 60, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """orders with window_start, n_in_window and over: a counter opens at a user's first order after the last window's end.
 
     A window's start depends on the one before, so each user's orders are read in sequence; users are independent.
     """
-    schema = _with(orders, "window_start timestamp, n_in_window long, over boolean")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        starts, counts, start, n = [], [], None, 0
-        length = pd.Timedelta(seconds=seconds)
-        for t in pdf["ts"]:
-            if start is None or t >= start + length:
-                start, n = t, 0
-            n += 1
-            starts.append(start)
-            counts.append(n)
-        return pdf.assign(window_start=starts, n_in_window=counts, over=[c > limit for c in counts])
+    def decide(state, at):
+        start, n = state or (at, 0)
+        if at is not None and start is not None and at >= start + seconds * 1_000_000:
+            start, n = at, 0
+        return (start, n + 1), (start, n + 1, n + 1 > limit)
 
-    return orders.groupBy(user).applyInPandas(run, schema)
+    return _started(_in_turn(orders, user, order, "_start long, n_in_window long, over boolean", decide), orders.columns, "n_in_window", "over")
 
 
 def _with(df: DataFrame, added: str) -> str:
@@ -120,23 +145,17 @@ def volume_sessions(orders: DataFrame, limit: int = VOLUME_LIMIT, gap: str = "24
 def volume_limit(orders: DataFrame, limit: int = VOLUME_LIMIT, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """orders with accepted: the exact rule. Accepted notional adds up, and lasts for 24 hours from the last accepted order; an order
     that would exceed the limit is refused, is not added, and blocks the user for 24 hours, in which all orders are refused."""
-    schema = _with(orders, "accepted boolean")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        day, total, until, blocked, out = pd.Timedelta(days=1), 0, None, None, []
-        for t, x in zip(pdf["ts"], pdf["notional"]):
-            if blocked is not None and t < blocked:
-                out.append(False)
-                continue
-            if until is None or t >= until:
-                total = 0
-            if total + x > limit:
-                blocked = t + day
-                out.append(False)
-            else:
-                total, until = total + x, t + day
-                out.append(True)
-        return pdf.assign(accepted=out)
-
-    return orders.groupBy(user).applyInPandas(run, schema)
+    day = 86400 * 1_000_000
+
+    def decide(state, at, x):
+        total, until, blocked = state or (0, None, None)
+        if blocked is not None and at is not None and at < blocked:
+            return state, (False,)
+        if until is None or at is not None and at >= until:
+            total = 0
+        then = None if at is None else at + day
+        if total + x > limit:
+            return (total, until, then), (False,)
+        return (total + x, then, blocked), (True,)
+
+    return _in_turn(orders, user, order, "accepted boolean", decide, "notional")
