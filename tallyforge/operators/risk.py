@@ -127,6 +127,24 @@ def anchored_limit(orders: DataFrame, limit: int = RATE_LIMIT, seconds: int = 60
     return _started(_in_turn(orders, user, order, "_start long, n_in_window long, over boolean", decide), orders.columns, "n_in_window", "over")
 
 
+def daily_order_limit(orders: DataFrame, limit: int = DAILY_LIMIT, seconds: int = 86400, block_seconds: int = 86400, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """orders with window_start, n_in_window and accepted: the anchored counter, with an order above the limit refused and the user
+    blocked for block_seconds from it. Orders in a block are refused and do not count; they show the counter as it stands."""
+
+    def decide(state, at):
+        start, n, until = state or (at, 0, None)
+        if until is not None and at is not None and at < until:
+            return (start, n, until), (start, n, False)
+        if at is not None and start is not None and at >= start + seconds * 1_000_000:
+            start, n = at, 0
+        n += 1
+        if n > limit and at is not None:
+            until = at + block_seconds * 1_000_000
+        return (start, n, until), (start, n, n <= limit)
+
+    return _started(_in_turn(orders, user, order, "_start long, n_in_window long, accepted boolean", decide), orders.columns, "n_in_window", "accepted")
+
+
 def _with(df: DataFrame, added: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added])
 

@@ -322,3 +322,22 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts over 5 orders in a clock window that covers the whole history."""
     return risk.tumbling_limit(view(spark, sf_dir, ACTIVITY).where(F.col("command_type") == "NEW"), 5, "36500 days").select("account_id", F.col("n").alias("n_orders"))
+
+
+DAILY = f"""
+WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY ts, event_id) AS k FROM {A} WHERE command_type = 'NEW'),
+w AS (
+  SELECT account_id, event_id, k, ts AS start, 1 AS n, CAST(NULL AS TIMESTAMP) AS blocked, true AS accepted FROM a WHERE k = 1
+  UNION ALL
+  SELECT account_id, event_id, k, CASE WHEN NOT held AND opens THEN ts ELSE start END, CASE WHEN held THEN n WHEN opens THEN 1 ELSE n + 1 END,
+         CASE WHEN NOT held AND NOT opens AND n + 1 > 1 THEN CAST(ts + INTERVAL 24 HOUR AS TIMESTAMP) ELSE blocked END, NOT held AND (opens OR n + 1 <= 1)
+  FROM (SELECT a.account_id, a.event_id, a.k, a.ts, w.start, w.n, w.blocked, coalesce(a.ts < w.blocked, false) AS held, a.ts >= w.start + INTERVAL 24 HOUR AS opens
+    FROM w JOIN a ON a.account_id = w.account_id AND a.k = w.k + 1)
+) SELECT event_id, account_id, CAST(start AS STRING) AS window_start, CAST(n AS BIGINT) AS n_in_window, accepted FROM w"""
+
+
+@query(DAILY)
+def daily_order_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily rule: windows of a day from the first order, refusals that block for 24 hours. The test events are sparse: above 1."""
+    new = view(spark, sf_dir, ACTIVITY).where(F.col("command_type") == "NEW")
+    return risk.daily_order_limit(new, 1).select("event_id", "account_id", text("window_start").alias("window_start"), "n_in_window", "accepted")

@@ -45,3 +45,13 @@ def test_no_account_is_one_group(spark):
         assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
     assert anchored.columns == [*o.columns, "window_start", "n_in_window", "over"] and volume.columns == [*o.columns, "accepted"]
     assert risk.anchored_limit(o.where(F.lit(False))).count() == 0
+
+
+def test_daily_limit_blocks_for_a_day(spark):
+    hours = [0, 1, 2, 3, 25, 27, 30, 60, 61, 62, 83, 85, 86, 200]
+    rows = [(i, 1, T0 + timedelta(hours=h)) for i, h in enumerate(hours)] + [(100 + i, 2, T0 + timedelta(days=9 * i)) for i in range(6)]
+    got = {r.event_id: (r.accepted, r.n_in_window) for r in risk.daily_order_limit(spark.createDataFrame(rows, "event_id long, account_id long, ts timestamp"), 2).collect()}
+    # the third order is refused at hour 2, so orders to hour 26 are; a window opens at 27, and again at 60
+    want = [(True, 1), (True, 2), (False, 3), (False, 3), (False, 3), (True, 1), (True, 2), (True, 1), (True, 2), (False, 3), (False, 3), (False, 3), (True, 1), (True, 1)]
+    assert got == dict(enumerate(want)) | {100 + i: (True, 1) for i in range(6)}  # six orders over weeks are no excess
+    assert risk.DAILY_LIMIT in risk.daily_order_limit.__defaults__
