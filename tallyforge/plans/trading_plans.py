@@ -84,6 +84,12 @@ def pending_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.pending_orders(view(spark, sf_dir, TRADING_ORDERS).where(F.col("user_id").between(30, 60))).select("order_id", "symbol", "status")
 
 
+@query(f"SELECT order_id, user_id, symbol, status FROM {T} WHERE status = 'NEW'")
+def pending_orders_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all users; pending_orders has users 30 to 60, as its SQL."""
+    return orders.pending_orders(view(spark, sf_dir, TRADING_ORDERS)).select("order_id", "user_id", "symbol", "status")
+
+
 @query(f"WITH {TRADES} SELECT trade_id, user_id, symbol, liquidity AS liquidity_flag, CAST(exec_time AS STRING) AS exec_time FROM trades WHERE symbol = 'ETHUSDT' AND liquidity = 'MAKER' AND exec_time >= TIMESTAMP '1997-01-01' AND exec_time <= TIMESTAMP '1998-12-31' ORDER BY exec_time DESC, trade_id DESC LIMIT 20")
 def trades_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = orders.trades_by(the_trades(spark, sf_dir), symbol="ETHUSDT", start="1997-01-01", end="1998-12-31", liquidity="MAKER")
