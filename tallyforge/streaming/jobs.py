@@ -112,8 +112,9 @@ def escalations(counts: DataFrame, threshold: int, floods_to_block: int = 3, tra
 
 
 def match_orders(commands: DataFrame, keep_done: int = 10_000) -> DataFrame:
-    """Order updates and fills per symbol, with the book as keyed state. Of a symbol's terminal orders the newest keep_done stay, to
-    recognise repeated commands; the rest of the state is the resting orders."""
+    """Order updates and fills per symbol, with the book as keyed state. Of a symbol's terminal orders the newest keep_done stay; of
+    the others only account and client id, so that a repeated command is ignored however late. The rest of the state is the
+    resting orders."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         book = Book(state.get[0] if state.exists else None)
