@@ -7,19 +7,53 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has named, until forget() removes them.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir; a folder of our own only where it is unset and driver and executors are one machine's.
+
+    On any other master an unset folder is an error: executors would write to their own disks, and rows would be missing.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession, what: str = "table") -> str:
+    """A new name in the shared folder."""
+    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def stored(df: DataFrame, what: str = "table") -> DataFrame:
     """df written as a table in the shared folder and read again: what follows neither computes it anew nor depends on one executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), for the rounds of an iteration."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def forget() -> int:
+    """Removes the intermediate tables and archives made so far; returns how many. For a job that has written its result: frames
+    that were returned before read from these tables."""
+    from pyarrow import fs
+
+    n = len(_made)
+    while _made:
+        path = _made.pop()
+        at, base = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        if at.get_file_info(base).type != fs.FileType.NotFound:
+            at.delete_dir(base)
+    return n
