@@ -1,28 +1,38 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries, one database per Python worker.
 
-A text is cut at white space into chunks, and those that a worker has not met yet by the pattern into pieces. New pieces become token-position rows, each with its
-own and the next token; a recursive query joins them to the merge table and contracts each piece's leftmost pair of
-least rank until no piece has a pair left, and ordered aggregations give its ids and, from the vocabulary, its decoded
-bytes. A piece's ids do not depend on its neighbours, so a worker keeps those of the chunks and pieces met last, up to a number that
-bounds its memory and changes no result.
+A text is cut by the pattern into pieces (for the public pattern by way of chunks, cut at white space, that a worker may have met).
+New pieces become token-position rows, each with its own and the next token; a recursive query joins them to the merge table
+and contracts each piece's leftmost pair of least rank until no piece has a pair left, and ordered aggregations give its ids
+and, from the vocabulary, its decoded bytes. A piece's ids do not depend on its neighbours, so a worker keeps those of the
+chunks and pieces met last, up to a size that bounds its memory and changes no result.
+
+A query takes as many rounds as its longest piece has merges, so a long piece is contracted in windows that overlap by half.
+Two windows are joined at a token that both have at the same place. That is exact: a sequence of tokens is the encoding of its
+bytes if and only if each two neighbours are the encoding of theirs (until some merge first crosses a border, both sides
+evolve as if they were alone, so it would cross it in the two tokens' own encoding too), and neighbours in the joined sequence are
+neighbours in a window. Where two windows share no token, the piece is contracted in wider ones, in the end as a whole.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
+
+from tallyforge.llm.shared import held, with_python
 
 #: Code points with the property White_Space, as the inside of a character class. Fixed values.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Texts are cut here first, at places that no piece crosses: Latin letters up to white space or an ASCII mark, white space
-#: without its last mark, all else up to white space with a space before, single white space.
+#: Texts are cut here first, at places that no piece of public_tokenizers.PATTERN crosses: Latin letters up to white space or an
+#: ASCII mark, white space without its last mark, all else up to white space with a space before, single white space.
 CHUNK = rf" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?![^{SPACE}!-/:-@\[-`{{-~])|[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]"
-#: Chunks and pieces that a worker keeps at most, pieces in one recursive query, characters cut into pieces at once.
-KEPT, AT_ONCE, CHARS = 700_000, 20_000, 3_000_000
+#: Bytes that the chunks and pieces which a worker keeps may take, about; bytes of pieces in one recursive query; characters cut
+#: into pieces at once; bytes between the starts of a long piece's windows, which are twice as long.
+KEPT, AT_ONCE, CHARS, STEP = 120_000_000, 160_000, 2_000_000, 128
 
 CONTRACT = """
 WITH RECURSIVE s(moves, w, p, t, u) AS (
@@ -56,6 +66,30 @@ def _class(kind: str) -> str:
     return "".join(found)
 
 
+def joined(parts: list[tuple[list[str], list[str]]], step: int) -> tuple[list[str], list[str]] | None:
+    """(ids, hexadecimal bytes) of windows that start step bytes apart as those of the whole; None if two share no token."""
+    ids, hexes, ends = [], [], []
+    for k, (new_ids, new_hexes) in enumerate(parts):
+        at, spans = k * step, []
+        for x in new_hexes:
+            at += len(x) // 2
+            spans.append(at)
+        first = 0
+        if k:
+            low = bisect_right(ends, k * step)
+            had = {(end - len(h) // 2, end): low + i for i, (end, h) in enumerate(zip(ends[low:], hexes[low:]))}
+            both = next((i for i, (end, h) in enumerate(zip(spans, new_hexes)) if (end - len(h) // 2, end) in had), None)
+            if both is None:
+                return None
+            cut = had[spans[both] - len(new_hexes[both]) // 2, spans[both]] + 1
+            del ids[cut:], hexes[cut:], ends[cut:]
+            first = both + 1
+        ids += new_ids[first:]
+        hexes += new_hexes[first:]
+        ends += spans[first:]
+    return ids, hexes
+
+
 class Codec:
     """Encoder and decoder of one rank file; pattern cuts a text into pieces."""
 
@@ -63,41 +97,78 @@ class Codec:
         import re
 
         import duckdb
+        import numpy as np
+        import public_tokenizers
 
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = pattern == public_tokenizers.PATTERN
         letters, numbers = _class("L"), _class("N")
         for mark, inside in ((r"[^\s\p{L}\p{N}]", f"[^{SPACE}{letters}{numbers}]"), (r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\S", f"[^{SPACE}]"), (r"\s", f"[{SPACE}]")):
             pattern = pattern.replace(mark, inside)
-        self.pieces, self.chunks = re.compile(pattern).findall, re.compile(CHUNK).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        found = re.compile(pattern)
+        self.pieces = found.findall if not found.groups else lambda x: [m[0] for m in found.finditer(x)]
+        self.chunks = re.compile(CHUNK).findall if own else self.pieces  # another pattern's pieces may cross the chunks
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
         merges = [((self.ranks[t[:i]] << 32) + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self._table("merges", pair=pa.array([x for x, _ in merges], pa.int64()), m=pa.array([x for _, x in merges], pa.int64()))
         self._table("vocab", id=pa.array(self.ranks.values(), pa.int32()), h=pa.array([t.hex() for t in self.ranks]), id_hex=pa.array([f"{i} {t.hex()}" for t, i in self.ranks.items()]))
+        self.one = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.known: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
+        self.size = 0
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Of each piece its ids (decimal, comma after comma) and their decoded bytes. A piece that is a token stays whole."""
+    def _contracted(self, words: list[bytes]) -> list[str]:
+        """Of each word its tokens in order: id, space and bytes in hexadecimal, comma after comma."""
         import numpy as np
 
-        one = [self.ranks[bytes([i])] for i in range(256)]
-        tokens = [[self.ranks[b]] if b in self.ranks else [one[x] for x in b] for b in map(str.encode, pieces)]
-        lengths = np.array([len(x) for x in tokens])
+        lengths = np.array([len(x) for x in words])
         ends = np.cumsum(lengths)
-        t = np.array([i for x in tokens for i in x], dtype=np.int32)
+        t = self.one[np.frombuffer(b"".join(words), dtype=np.uint8)]
         u = np.append(t[1:], -1).astype(np.int32)
         u[ends - 1] = -1
-        w, p = np.repeat(np.arange(len(tokens), dtype=np.int32), lengths), np.arange(len(t)) - np.repeat(ends - lengths, lengths)
+        w, p = np.repeat(np.arange(len(words), dtype=np.int32), lengths), np.arange(len(t)) - np.repeat(ends - lengths, lengths)
         self.db.register("given_pieces", pa.table({"w": w, "p": p.astype(np.int32), "t": t, "u": u}))
-        for both in self.db.sql(CONTRACT).to_arrow_table().column(0).to_pylist():
-            ids, hexed = zip(*[x.split(" ") for x in both.split(",")])
-            yield ",".join(ids), bytes.fromhex("".join(hexed))
+        return self.db.sql(CONTRACT).to_arrow_table().column(0).to_pylist()
+
+    def _in_turns(self, words: list[bytes]) -> list[str]:
+        """_contracted() by queries of AT_ONCE bytes, words of like lengths together so that their rounds end together."""
+        order = sorted(range(len(words)), key=list(map(len, words)).__getitem__)
+        found: list = [None] * len(words)
+        at = 0
+        while at < len(order):
+            first, size = at, 0
+            while at < len(order) and (size == 0 or size + len(words[order[at]]) <= AT_ONCE):
+                size += len(words[order[at]])
+                at += 1
+            for i, x in zip(order[first:at], self._contracted([words[i] for i in order[first:at]])):
+                found[i] = x
+        return found
+
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Of each piece its ids (decimal, comma after comma) and their decoded bytes. A piece that is a token stays whole."""
+        words = [x.encode() for x in pieces]
+        long = {i for i, b in enumerate(words) if len(b) > 2 * STEP and b not in self.ranks}
+        found, step, left = {}, STEP, sorted(long)
+        while left:
+            windows = [(i, words[i][a : a + 2 * step]) for i in left for a in range(0, max(1, len(words[i]) - step), step)]
+            parts: dict[int, list] = {}
+            for (i, _), x in zip(windows, self._in_turns([b for _, b in windows])):
+                parts.setdefault(i, []).append(tuple(zip(*[y.split(" ") for y in x.split(",")])))
+            found.update((i, both) for i in left if (both := joined(parts[i], step)))
+            step, left = 2 * step, [i for i in left if i not in found]
+        short = iter(self._in_turns([b for i, b in enumerate(words) if i not in long and b not in self.ranks]))
+        for i, b in enumerate(words):
+            if b in self.ranks:
+                yield str(self.ranks[b]), b
+                continue
+            ids, hexes = found.pop(i) if i in long else zip(*[x.split(" ") for x in next(short).split(",")])
+            yield ",".join(ids), bytes.fromhex("".join(hexes))
 
     def decoded(self, sequences: list[list[int]]) -> list[bytes]:
         """The bytes of each sequence of ids."""
@@ -125,69 +196,58 @@ class Codec:
 
     def learn(self, chunks: set[str]) -> None:
         """Sees to it that all these chunks are known."""
-        if len(self.known) + len(chunks) > KEPT // 2:
-            self.known, self.older = {}, self.known
-        chunks = chunks - self.known.keys()
-        self.known.update((x, self.older[x]) for x in chunks & self.older.keys())
-        cut = [(x, self.pieces(x)) for x in chunks - self.older.keys()]
-        pieces = {x for _, parts in cut for x in parts} - self.known.keys()
-        self.known.update((x, self.older[x]) for x in pieces & self.older.keys())
-        new = list(pieces - self.older.keys())
-        for i in range(0, len(new), AT_ONCE):
-            self.known.update(zip(new[i : i + AT_ONCE], self._encoded(new[i : i + AT_ONCE])))
+        if self.size > KEPT // 2:
+            self.known, self.older, self.size = {}, self.known, 0
+        known, older = self.known, self.older
+        for x in [x for x in chunks if x not in known and x in older]:
+            self._keep(x, *older[x])
+        cut = [(x, self.pieces(x)) for x in chunks if x not in known]
+        pieces = {y for _, parts in cut for y in parts if y not in known}
+        for x in [x for x in pieces if x in older]:
+            self._keep(x, *older[x])
+        new = [x for x in pieces if x not in older]
+        for x, (ids, decoded) in zip(new, self._encoded(new)):
+            self._keep(x, ids, decoded)
         for x, parts in cut:
             if len(parts) > 1:
                 ids, decoded = zip(*[self.known[y] for y in parts])
-                self.known[x] = ",".join(ids), b"".join(decoded)
+                self._keep(x, ",".join(ids), b"".join(decoded))
 
-
-_codecs: dict[tuple[str, str], Codec] = {}
+    def _keep(self, x: str, ids: str, decoded: bytes) -> None:
+        self.known[x] = ids, decoded
+        self.size += 200 + len(x) + len(ids) + len(decoded)
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:
     """This worker's codec; it stays for the next tasks."""
-    if (ranks_path, pattern) not in _codecs:
-        _codecs[ranks_path, pattern] = Codec(ranks_path, pattern)
-    return _codecs[ranks_path, pattern]
-
-
-def _over(df: DataFrame, column: str, added: str, make: Callable[[list], list[pa.Array]]) -> DataFrame:
-    """df with the columns that make(values of column) gives for each batch; columns of the same names are replaced."""
-    names = [x.split()[0] for x in added.split(", ")]
-    kept = [c for c in df.columns if c not in names]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), added])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *make(b.column(len(kept)).to_pylist())], [*kept, *names])
-
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("_in")).mapInArrow(run, schema)
+    return held(("bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """df with ids array<int>: the whole text's tokens, without special tokens. Null and empty texts: no ids."""
+    """df with ids array<int>: the whole text's tokens, without special tokens. Null and empty texts: no ids. Texts, repeated or
+    very long, are each encoded whole; columns of df named like the new one, in any case, are replaced."""
 
     def make(texts: list) -> list[pa.Array]:
         c = codec(ranks_path, pattern)
         return [pa.array([[int(i) for x, _ in pieces for i in x.split(",")] for pieces in c.texts(texts)], pa.list_(pa.int32()))]
 
-    return _over(df, text, "ids array<int>", make)
+    return with_python(df, text, StructType().add("ids", ArrayType(IntegerType())), make)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """df with decoded binary: the bytes of the ids, by an ordered aggregation. Null and empty: no bytes; unknown ids give none."""
 
     def make(sequences: list) -> list[pa.Array]:
-        c = codec(ranks_path, pattern)
-        return [pa.array([x for i in range(0, len(sequences), 500) for x in c.decoded([s or [] for s in sequences[i : i + 500]])], pa.binary())]
+        return [pa.array(codec(ranks_path, pattern).decoded([s or [] for s in sequences]), pa.binary())]
 
-    return _over(df, ids, "decoded binary", make)
+    return with_python(df, ids, StructType().add("decoded", BinaryType()), make)
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """df with n_tokens, ids_sha256 and decoded_sha256 of encoding each whole text and decoding the ids again.
 
-    Null and empty texts: 0 tokens and the digests of nothing. Repeated rows are kept; columns of df named like a new one are replaced.
+    Null and empty texts: 0 tokens and the digests of nothing. Very long texts are encoded whole, a piece without any gap too, in
+    time that grows with its length. Repeated rows are kept; columns of df named like a new one, in any case, are replaced.
     """
     from hashlib import sha256
 
@@ -198,4 +258,4 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
             found.append((ids.count(",") + 1 if ids else 0, sha256(ids.encode()).hexdigest(), sha256(b"".join([b for _, b in pieces])).hexdigest()))
         return [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
 
-    return _over(df, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+    return with_python(df, text, StructType().add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType()), make)

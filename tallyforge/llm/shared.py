@@ -1,12 +1,15 @@
-"""Places and small steps that several operators use."""
+"""Names, columns and small steps that several operators use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from tallyforge.operators.storage import checkpointed, new_folder, stored  # noqa: F401
 
 #: White space that separates words, fixed by the contracts of the operators.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -14,38 +17,99 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+def n_words(text: Column) -> Column:
+    """Number of words in the text; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: later steps neither recompute it nor depend on one executor."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+# --- columns by place, so that no name of the caller's meets one of ours -------------------------------------------
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), for the rounds of an iteration."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def place(df: DataFrame, name: str) -> int:
+    """Where df has the column: the one of exactly that name, else the only one that differs from it in case alone."""
+    for alike in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        found = [i for i, c in enumerate(df.columns) if alike(c)]
+        if len(found) == 1:
+            return found[0]
+        if found:
+            raise ValueError(f"several columns are named like {name}")
+    raise ValueError(f"no column is named {name}")
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... by place."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def n_words(text: Column) -> Column:
-    """Number of words in the text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+def picked(df: DataFrame, **names: str) -> DataFrame:
+    """The columns of df that names give, under its keys."""
+    flat = numbered(df)
+    return flat.select(*[F.col(f"c{place(df, name)}").alias(new) for new, name in names.items()])
+
+
+def kept(df: DataFrame, made: list[str]) -> list[int]:
+    """Places of df's columns that are not named, in any case, like one of made."""
+    new = {m.lower() for m in made}
+    return [i for i, c in enumerate(df.columns) if c.lower() not in new]
+
+
+def named_back(out: DataFrame, df: DataFrame, made: list[str]) -> DataFrame:
+    """out, which has numbered columns of df and those made, as df's columns of old and the new ones behind them."""
+    places = kept(df, made)
+    return out.select(*[f"c{i}" for i in places], *made).toDF(*[df.columns[i] for i in places], *made)
+
+
+def with_python(df: DataFrame, column: str, made: StructType, make: Callable[[list], list[pa.Array]], rows: int = 500) -> DataFrame:
+    """df with the columns that make(values of the column) gives, at most so many rows at once. Columns of df that are named like a
+    new one, in any case, are replaced; all others stay, whatever their names."""
+    names = made.fieldNames()
+    places = kept(df, names)
+    given = numbered(df).select(*[f"c{i}" for i in places], F.col(f"c{place(df, column)}").alias("given"))
+    schema = StructType([StructField(f"c{i}", df.schema.fields[i].dataType) for i in places] + made.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.column(len(places)).to_pylist())], [*b.schema.names[:-1], *names])
+
+    return given.mapInArrow(run, schema).toDF(*[df.columns[i] for i in places], *names)
+
+
+# --- what Python workers keep --------------------------------------------------------------------------------------
+
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object] = lambda: None) -> object:
+    """What make() gives, kept by this Python worker for its next tasks. A worker holds one thing at a time: asking for another
+    key drops it, so the stages of a job that share workers do not add up in memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+# --- sums ----------------------------------------------------------------------------------------------------------
+
+
+def running(df: DataFrame, group: list[str], bucket: str, order: list, value: Column, name: str) -> DataFrame:
+    """df with the sum of value over the rows of its group before it, by bucket and then by order within the bucket.
+
+    Prefix sums of two levels: a task sees one bucket of a group, or one row for each bucket. Null groups match each other.
+    """
+    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, bucket]
+    offsets = sums.select(*[F.col(k).alias(f"_{k}_") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = None
+    for k in keys:
+        equal = F.col(k).eqNullSafe(F.col(f"_{k}_"))
+        same = equal if same is None else same & equal
+    placed = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, same)
+    return placed.withColumn(name, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside", *[f"_{k}_" for k in keys])

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import public_tokenizers as P
 import pytest
@@ -9,13 +11,23 @@ from tallyforge.llm import bpe
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 ODD = [
     None, "", " ", "  ", "a  b", "\n\n x\r\n\ty ", "it's we'll 'S x's  's don't", "a\x1cb \x1c c\x85d　　e", "x" * 700, " " * 900 + "y", "日本語 テキスト 123 ４５６ ½ Ⅷ",
-    "é" * 50, "́á é", "12345 67.89,  \n", "🙂🙂 a🙂b", "\x00\x01", "word,€ x€, <b>q</b>", "<|endoftext|>", "ÀÖ×ß÷ǅɏɐ   x",
+    "é" * 50, "́á é", "12345 67.89,  \n", "🙂🙂 a🙂b", "\x00\x01", "word,€ x€, <b>q</b>", "<|endoftext|>", "ÀÖ×ß÷ǅɏɐ   x",
 ]
+#: Numbers in threes, so that pieces cross the places where the public pattern's chunks are cut.
+OTHER = r" ?\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+\s*|\s+"
+
+
+def tiktoken_of(codec, pattern):
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
 
 
 @pytest.fixture(scope="module")
 def library():
-    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.codec(RANKS, P.PATTERN).ranks, special_tokens={})
+    return tiktoken_of(bpe.codec(RANKS, P.PATTERN), P.PATTERN)
+
+
+def ids_of(codec, text):
+    return ",".join(x for x, _ in next(codec.texts([text])))
 
 
 def test_ids_equal_the_library_and_decode_to_the_text(spark, sf, library):
@@ -31,13 +43,40 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark, sf, library):
 
 
 def test_a_small_memory_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT", 8)
+    monkeypatch.setattr(bpe, "KEPT", 800)
     monkeypatch.setattr(bpe, "CHARS", 10)
+    monkeypatch.setattr(bpe, "AT_ONCE", 50)
     c = bpe.Codec(RANKS, P.PATTERN)
     for text, got in zip(ODD * 2, c.texts(ODD * 2)):
         assert ",".join(x for x, _ in got) == ",".join(map(str, library.encode_ordinary(text or "")))
 
 
+def test_another_pattern(library):
+    c = bpe.Codec(RANKS, OTHER)
+    other = tiktoken_of(c, OTHER)
+    for text in [*ODD, "12345678 a1234, \n\n b", "x123456789y !?  z"]:
+        assert ids_of(c, text) == ",".join(map(str, other.encode_ordinary(text or "")))
+
+
+@pytest.mark.parametrize("step", [2, 5, 128])
+def test_windows_of_long_pieces_equal_the_library(library, monkeypatch, step):
+    """Short steps often share no token at first, so that windows widen."""
+    monkeypatch.setattr(bpe, "STEP", step)
+    c, rnd = bpe.Codec(RANKS, P.PATTERN), random.Random(step)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "x", "日本語éa", "etaoin", "thein"):
+        for n in (1, 7, 60, 300, 3000):
+            text = "".join(rnd.choice(letters) for _ in range(n))
+            assert ids_of(c, text) == ",".join(map(str, library.encode_ordinary(text)))
+    for mark in ("=", "-=", " ", "\n"):
+        assert ids_of(c, mark * 1500) == ",".join(map(str, library.encode_ordinary(mark * 1500)))
+
+
+def test_a_million_letters_without_a_gap(library):
+    text, began = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), time.monotonic()
+    assert ids_of(bpe.codec(RANKS, P.PATTERN), text) == ",".join(map(str, library.encode_ordinary(text)))
+    assert time.monotonic() - began < 240
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(docs, RANKS, P.PATTERN).count() == bpe.encode(docs, RANKS, P.PATTERN).count() == 0
