@@ -1,7 +1,7 @@
 """Language identification by segmentation-marginalised unigrams.
 
-A text's words are its runs of letters in lower case. Each language has a probability for every piece of a fixed public vocabulary of byte strings. A word's likelihood is the sum,
-by a forward algorithm, over all its segmentations into pieces, so no segmentation has to be chosen; pieces do not cross
+A text's words are its runs of letters in lower case. Each language has a probability for every piece of a fixed public
+vocabulary of byte strings. A word's likelihood is the sum, by a forward algorithm, over all its segmentations into pieces, so no segmentation has to be chosen; pieces do not cross
 words, and a text's log-likelihood is the sum of its words'. The probabilities are expected piece counts: a forward-backward
 pass weighs all segmentations of every training word by START, one round of expectation maximisation from a
 distribution that pays the same for every piece. Counts cover all training texts; they are smoothed by those of all languages.
@@ -22,6 +22,9 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
+
+from tallyforge.llm.shared import held, named_back, numbered, picked, place, with_python
 
 #: Runs of letters (and numbers that are no digits, such as Roman ones).
 LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -30,7 +33,7 @@ START = -10.0
 #: Weight of all languages' piece distribution in one language's, in pieces, and what every piece has at least, in parts of one.
 SMOOTH, FLOOR = 200.0, 0.02
 #: Words that a worker keeps with their likelihoods or counts, characters taken at once.
-KEPT, CHARS = 400_000, 2_000_000
+KEPT, CHARS = 300_000, 2_000_000
 #: A likelihood ratio over the text counts as if of so many words at most, so that scores stay away from 0 and 1.
 WORDS = 20
 
@@ -41,20 +44,22 @@ def vocabulary(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_finders: dict[str, object] = {}
-
+class Worker:
+    """What a Python worker keeps between tasks: the automaton that finds all pieces of the vocabulary, each with length * 2^32 +
+    number, and the words that it has met with their likelihoods by one model: {word: row}, array [row, language]."""
 
-def finder(path: str):
-    """Automaton that finds all pieces of the vocabulary, each with length * 2^32 + number. Kept by the worker."""
-    import ahocorasick
+    def __init__(self, path: str):
+        import ahocorasick
 
-    if path not in _finders:
-        found = ahocorasick.Automaton()
+        self.known = ahocorasick.Automaton()
         for t, k in vocabulary(path).items():
-            found.add_word(t.decode("latin-1"), len(t) << 32 | k)
-        found.make_automaton()
-        _finders[path] = found
-    return _finders[path]
+            self.known.add_word(t.decode("latin-1"), len(t) << 32 | k)
+        self.known.make_automaton()
+        self.model, self.rows, self.table = None, {}, None
+
+
+def worker(path: str) -> Worker:
+    return held(("langid", path), lambda: Worker(path))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -161,14 +166,14 @@ def counts(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: str =
             found.clear()
 
         for b in batches:
-            for x, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for x, name in zip((v.as_py() for v in b.column(0)), b.column(1).to_pylist()):
                 found.setdefault(name, Counter()).update(words_of(x))
                 if sum(map(len, found.values())) > KEPT:
                     yield from settled()
         yield from settled()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = finder(vocab_path)
+        known = worker(vocab_path).known
         gathered: dict[str, dict[int, float]] = {}
         for b in batches:
             by_lang: dict[str, dict[str, int]] = {}
@@ -182,8 +187,9 @@ def counts(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: str =
         for name, to in gathered.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(to), pa.string()), pa.array(list(to), pa.int32()), pa.array(list(to.values()), pa.float64())], ["lang", "piece", "n"])
 
-    train = docs.where(F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)) & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    met = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = picked(docs, doc_id=doc_id, text=text, lang=lang)
+    train = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    met = train.select("text", F.col("lang").cast("string")).mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return met.mapInArrow(pieces, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
@@ -200,42 +206,33 @@ def fit(found: list, n_pieces: int):
     return langs, (table + SMOOTH * every[:, None]) / (table.sum(axis=0) + SMOOTH)
 
 
-#: The words that this worker has met, with their likelihoods, by model: {word: row}, array [row, language].
-_words: dict[str, tuple] = {}
-
-
 def predict(docs: DataFrame, langs: list[str], probabilities, vocab_path: str, text: str = "text") -> DataFrame:
     """docs with lang_pred and score. und and 0 for a text that is null or has no letter, or if no language was learnt.
 
     score is the best language's share of the likelihoods, each to the power min(1, WORDS / words of the text). Ties fall to
-    the language first in code-point order.
+    the language first in code-point order. Very long texts are judged whole. Repeated rows are judged alike and kept; columns of
+    docs named like a new one, in any case, are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     model, model_id = docs.sparkSession.sparkContext.broadcast((langs, probabilities)), uuid.uuid4().hex
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string", "score double"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(texts: list) -> list[pa.Array]:
         import numpy as np
 
-        known = finder(vocab_path)
         langs, probabilities = model.value
-        if model_id not in _words:
-            _words.clear()
-            _words[model_id] = {}, np.zeros((KEPT, len(langs)))
-        rows, table = _words[model_id]
+        w = worker(vocab_path)
+        if w.model != model_id:
+            w.model, w.rows, w.table = model_id, {}, np.zeros((KEPT, len(langs)))
 
         def learn(words: set[str]) -> None:
-            nonlocal table
-            new = list(words - rows.keys())
-            if len(rows) + len(new) > KEPT:
-                rows.clear()
+            new = [x for x in words if x not in w.rows]
+            if len(w.rows) + len(new) > KEPT:
+                w.rows.clear()
                 new = list(words)
-            if len(new) > len(table):
-                table = np.zeros((len(new), len(langs)))
+            if len(new) > len(w.table):
+                w.table = np.zeros((len(new), len(langs)))
             for group in batches_of(new):
-                table[len(rows) : len(rows) + len(group)] = likelihoods(group, known, probabilities)
-                rows.update(zip(group, range(len(rows), len(rows) + len(group))))
-            _words[model_id] = rows, table
+                w.table[len(w.rows) : len(w.rows) + len(group)] = likelihoods(group, w.known, probabilities)
+                w.rows.update(zip(group, range(len(w.rows), len(w.rows) + len(group))))
 
         def judged(texts: list[str | None]) -> list[tuple[str, float]]:
             cut = [words_of(x) if langs and x and any(map(str.isalpha, x)) else None for x in texts]
@@ -245,32 +242,33 @@ def predict(docs: DataFrame, langs: list[str], probabilities, vocab_path: str, t
                 if words is None:
                     out.append(("und", 0.0))
                     continue
-                total = table[[rows[w] for w in words]].sum(axis=0)
+                total = w.table[[w.rows[x] for x in words]].sum(axis=0)
                 best = int(total.argmax())
                 share = np.exp((total - total[best]) * min(1.0, WORDS / len(words)))
                 out.append((langs[best], float(1 / share.sum())))
             return out
 
-        for b in batches:
-            texts, out, at = b.column(len(kept)).to_pylist(), [], 0
-            while at < len(texts):  # texts of about CHARS at once
-                start, size = at, 0
-                while at < len(texts) and size < CHARS:
-                    size += len(texts[at] or "")
-                    at += 1
-                out += judged(texts[start:at])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*kept, "lang_pred", "score"])
+        out, at = [], 0
+        while at < len(texts):  # texts of about CHARS at once
+            start, size = at, 0
+            while at < len(texts) and size < CHARS:
+                size += len(texts[at] or "")
+                at += 1
+            out += judged(texts[start:at])
+        return [pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())]
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_in")).mapInArrow(run, schema)
+    return with_python(docs, text, StructType().add("lang_pred", StringType()).add("score", DoubleType()), judge, 2000)
 
 
 def identify(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with held_out, lang_pred and score; learnt from text and lang of the documents that are not held out.
 
     Every row is kept, repeated ones too, and judged by its text alone. Null languages teach nothing. Columns of docs named
-    like a new one are replaced.
+    like a new one, in any case, are replaced. The model, at most one number for each piece of the vocabulary and language,
+    goes through the driver, so languages have to be a bounded set, as codes are.
     """
     found = counts(docs, vocab_path, doc_id, text, lang).collect()  # at most pieces times languages
     langs, probabilities = fit(found, 1 + max(vocabulary(vocab_path).values()))
-    rows = docs.withColumn("held_out", held_out(F.col(doc_id)))
-    return predict(rows, langs, probabilities, vocab_path, text)
+    flat = numbered(docs).withColumn("held_out", held_out(F.col(f"c{place(docs, doc_id)}")))
+    judged = predict(flat, langs, probabilities, vocab_path, f"c{place(docs, text)}")
+    return named_back(judged, docs, ["held_out", "lang_pred", "score"])

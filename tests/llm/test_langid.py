@@ -20,7 +20,7 @@ def segmentations(word, voc):
 
 
 def test_forward_and_expected_counts_sum_all_segmentations():
-    voc, known = langid.vocabulary(VOCAB), langid.finder(VOCAB)
+    voc, known = langid.vocabulary(VOCAB), langid.worker(VOCAB).known
     words, times = ["the", "étions", "a", "x日", "nation"], [1, 2, 3, 1, 1]
     p = np.random.default_rng(1).random((1 + max(voc.values()), 3)) * 1e-3
     for word, got in zip(words, langid.likelihoods(words, known, p)):
