@@ -13,8 +13,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
+
+from tallyforge.llm.shared import numbered, place, with_python
 
 #: Payloads are padded with PAD to a positive multiple of UNIT. Fixed by the contract.
 UNIT, PAD, TAIL = 192, b" ", 16
@@ -51,7 +54,8 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peak_pairs(samples: bytes):
-    """Time-coded arrays (time, code): for each pair of peaks the frame of the first, and first and second frequency and the frames between as one number."""
+    """Time-coded arrays (time, code): for each pair of peaks the frame of the first, and first and second frequency and the frames
+    between as one number."""
     import numpy as np
 
     x = np.frombuffer(samples, dtype=np.uint8)
@@ -80,39 +84,49 @@ def peak_pairs(samples: bytes):
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_bytes (UTF-8 length, unpadded) and media (the padded text as WAV). Null texts are empty."""
-    kept = [c for c in docs.columns if c not in ("n_bytes", "media")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_bytes long, media binary"])
+    """docs with n_bytes (UTF-8 length, unpadded) and media (the padded text as WAV). Null texts are empty, very long ones are stored
+    whole; repeated rows are kept. Columns of docs named like a new one, in any case, are replaced."""
+
+    def make(texts: list) -> list[pa.Array]:
+        data = [(x or "").encode() for x in texts]
+        return [pa.array(map(len, data), pa.int64()), pa.array([to_wav(padded(x)) for x in data], pa.binary())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                data = [(x or "").encode() for x in part.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(len, data), pa.int64()), pa.array([to_wav(padded(x)) for x in data], pa.binary())], [*kept, "n_bytes", "media"])
+    return with_python(docs, text, StructType().add("n_bytes", LongType()).add("media", BinaryType()), make)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_in")).mapInArrow(run, schema)
+
+FEATURES = StructType().add("payload_bytes", LongType()).add("payload_sha256", StringType()).add("tail_crc32", LongType()).add("media_bytes", LongType()).add("media_sha256", StringType()).add("times", ArrayType(IntegerType())).add("codes", ArrayType(IntegerType()))
 
 
 def features(stored: DataFrame, media: str = "media") -> DataFrame:
     """Each row without its media column but with what reading it gives: payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256 and the time-coded arrays times and codes. A null media gives nulls."""
-    made = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "times", "codes"]
+    media_bytes, media_sha256 and the time-coded arrays times and codes. A null media gives nulls; a very long sound is transformed in
+    blocks of FRAMES. Repeated rows are kept; columns named like a new one, in any case, are replaced."""
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    kept = [c for c in stored.columns if c not in (*made, media)]
-    schema = ", ".join([*(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in kept), "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, times array<int>, codes array<int>"])
 
     def of(x: bytes | None) -> tuple:
         if x is None:
-            return (None,) * len(made)
+            return (None,) * len(kinds)
         payload = from_wav(x)
         return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(x), hashlib.sha256(x).hexdigest(), *peak_pairs(payload))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                found = [of(x) for x in part.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]], [*kept, *made])
-
-    return stored.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{media}`").alias("_in")).mapInArrow(run, schema)
+    def make(sounds: list) -> list[pa.Array]:
+        found = [of(x) for x in sounds]
+        return [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
+
+    at = place(stored, media)
+    rest = numbered(stored).withColumn("sound", F.col(f"c{at}")).select(*[f"c{i}" for i in range(len(stored.columns)) if i != at], "sound")
+    named = rest.toDF(*[c for i, c in enumerate(stored.columns) if i != at], "sound of the row")
+    read = with_python(named, "sound of the row", FEATURES, make)
+    places = [i for i, c in enumerate(read.columns) if c != "sound of the row"]
+    return numbered(read).select(*[f"c{i}" for i in places]).toDF(*[read.columns[i] for i in places])
+
+
+def likeness(times: Column, codes: Column, other_times: Column, other_codes: Column) -> Column:
+    """Of two fingerprints, the share of the smaller one's pairs that the other has with one and the same shift in time: 0 to 1, and
+    1 for two without any pair. All by built-in functions."""
+    mine = F.arrays_zip(times.alias("t"), codes.alias("c"))
+    theirs = F.arrays_zip(other_times.alias("t"), other_codes.alias("c"))
+    shifts = F.flatten(F.transform(mine, lambda a: F.transform(F.filter(theirs, lambda b: b["c"] == a["c"]), lambda b: b["t"] - a["t"])))
+    most = F.array_max(F.transform(F.array_distinct(shifts), lambda d: F.size(F.filter(shifts, lambda x: x == d))))
+    least = F.least(F.size(codes), F.size(other_codes))
+    return F.when(least == 0, (F.size(codes) == F.size(other_codes)).cast("double")).otherwise(F.least(F.lit(1.0), F.coalesce(most, F.lit(0)) / least))

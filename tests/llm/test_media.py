@@ -48,11 +48,30 @@ def test_peak_pairs_equal_a_slow_transform(monkeypatch):
             assert list(zip(*map(list, media.peak_pairs(data)))) == want
 
 
+def bursts(n, seed):
+    """Tones of changing frequency, a frame of one and then one of silence."""
+    rnd, out = np.random.default_rng(seed), []
+    for f in rnd.integers(4, 124, n):
+        out += [(128 + 100 * np.sin(2 * np.pi * f * np.arange(media.FRAME) / media.FRAME)).astype(np.uint8).tobytes(), bytes([128]) * media.FRAME]
+    return b"".join(out)
+
+
 def test_a_tone_has_its_frequency():
-    t = np.arange(8192)
-    tone = (128 + 100 * np.sin(2 * np.pi * 20 * t / media.FRAME)).astype(np.uint8).tobytes()
-    spectrum = np.abs(np.fft.rfft(np.frombuffer(tone, dtype=np.uint8)[: media.FRAME] - 128.0))
-    assert spectrum.argmax() == 20
+    tone = bursts(1, 1)
+    f = int(np.random.default_rng(1).integers(4, 124, 1)[0])
+    times, codes = media.peak_pairs(b"".join([tone] * 8))
+    width = media.FRAME // 2 // media.BANDS
+    band = (f - 1) // width  # bins count from frequency 1
+    assert (f - 1) in {int(c) >> 13 for c in codes} and all((int(c) >> 13) // width < media.BANDS for c in codes) and band < media.BANDS
+
+
+def test_likeness_finds_shifted_sounds(spark):
+    sound, other = bursts(20, 5), bursts(20, 6)
+    shifted = bytes([128]) * (media.HOP * 7) + sound
+    rows = [(n, *[list(map(int, x)) for y in (media.peak_pairs(a), media.peak_pairs(b)) for x in y]) for n, a, b in (("same", sound, sound), ("shifted", sound, shifted), ("other", sound, other), ("none", bytes([128]) * 600, bytes([128]) * 600))]
+    df = spark.createDataFrame(rows, "n string, t array<int>, c array<int>, ot array<int>, oc array<int>")
+    got = {r.n: r.x for r in df.select("n", media.likeness(*[df[c] for c in ("t", "c", "ot", "oc")]).alias("x")).collect()}
+    assert got["same"] == 1 and got["shifted"] > 0.8 and got["other"] < 0.2 and got["none"] == 1
 
 
 def test_empty_table(spark):
