@@ -1,9 +1,11 @@
-"""Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8, and what they link to.
-
-SimHash bits spread too far at that similarity (4 to 11 of 64), so candidates come from MinHash bands and each is then checked
-exactly. Texts with the same set are one node. A band's texts are first compared with the smallest node of the band, so that a
-large family costs one comparison a member; what is then still apart within a band is compared in full. So every candidate pair
-is either checked or already in one group.
+"""The near-dedup stage's form of the SimHash operator: texts whose sets of 5-word shingles have a Jaccard similarity of at least
+0.8, and what they link to.
+
+Candidates come first from SimHash: fingerprints of the sets within a few bits, by the BK-trees of simhash.links(). At a similarity
+of 0.8 two fingerprints differ in about 10 of 64 bits, which no tree can search through, so the pairs that SimHash leaves apart
+come from MinHash bands. Every candidate is checked exactly, on the sets of shingle hashes. Texts with the same set are one node. A
+band's nodes are first compared with the smallest of the band, so that a large family costs one comparison a member; what is then
+still apart within a band is compared in full. So every candidate pair is either checked or already in one group.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm import simhash
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import stored
+from tallyforge.llm.shared import held, lookup, picked, stored
 
 #: Shingle words and least similarity, as (numerator, denominator).
 SHINGLE, LEAST = 5, (4, 5)
@@ -23,90 +26,100 @@ SHINGLE, LEAST = 5, (4, 5)
 ROWS, BANDS = 6, 32
 SEED = 42
 #: Shingles whose minima are taken at once, so that a long text needs no more memory.
-BLOCK = 1 << 14
-#: Pairs of texts that a task has as Python strings.
-AT_ONCE = 64
+BLOCK = 1 << 13
+
 
+def hashes(text: str | None, n: int = SHINGLE):
+    """The set's members as sorted 64-bit hashes; a shorter text is one shingle, a text without words none."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
 
-def shingles(text: str | None, n: int = SHINGLE) -> set[bytes]:
-    """The sets' members; a shorter text is one shingle, a text without words none."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space alone
-    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+    found = {xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(max(1, len(words) - n + 1))} if words else ()
+    return np.sort(np.fromiter(found, dtype="<u8", count=len(found)))
 
 
-def sketch(text: str | None) -> tuple[int, list[int]]:
-    """(hash of the set, keys of the bands) as signed longs; (0, []) without words."""
+def sketch(text: str | None) -> tuple[int, int, list[int]]:
+    """(hash of the set, SimHash fingerprint, keys of the bands) as signed longs; (0, 0, []) without words."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    found = shingles(text)
-    if not found:
-        return 0, []
-    h = np.array(sorted(xxh64_intdigest(s, SEED) for s in found), dtype="<u8")
+    h = hashes(text)
+    if not len(h):
+        return 0, 0, []
     factors = np.random.RandomState(SEED).randint(0, 1 << 62, ROWS * BANDS, dtype=np.int64).astype("<u8") * np.uint64(2) + np.uint64(1)
     least = np.min([(h[i : i + BLOCK, None] * factors).min(axis=0) for i in range(0, len(h), BLOCK)], axis=0)
-    keys = [xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
-    signed = [x - (x >> 63 << 64) for x in (xxh64_intdigest(h.tobytes(), SEED), *keys)]
-    return signed[0], signed[1:]
-
-
-def alike(a: set[bytes], b: set[bytes]) -> bool:
-    both = len(a & b)
-    return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
-
+    keys = [simhash.signed(xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    fp = simhash.majority((h[i : i + BLOCK] for i in range(0, len(h), BLOCK)), len(h))
+    return simhash.signed(xxh64_intdigest(h.tobytes(), SEED)), simhash.signed(fp), keys
 
-def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) are alike."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
-        for batch in batches:
-            out = []
-            for i in range(0, batch.num_rows, AT_ONCE):
-                for a, b, x, y in zip(*[c.to_pylist() for c in batch.slice(i, AT_ONCE).columns]):
-                    if b != last:
-                        last, held = b, shingles(y)
-                    if alike(shingles(x), held):
-                        out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, h) are alike. Many pairs may have the same b."""
+    x = sets.select(F.col("node").alias("a"), F.col("h").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
+    pairs = stored(pairs.distinct(), "near-copy-pairs")
+    both = lookup(pairs.join(x, "a"), y, pairs.groupBy("b").agg(F.count("*").alias("n")), "b", "a")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("met"), (F.size("x") + F.size("y")).alias("all"))
+    return stored(both.where(F.col("met") * LEAST[1] >= (F.col("all") - F.col("met")) * LEAST[0]).select("a", "b"), "near-copy-links")
 
-    x, y = (texts.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-copy-links")
 
-
-def rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
+def rooted(nodes: DataFrame, found: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
     """nodes with the root that links lead to."""
-    return nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.join(found.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row of docs; component_id is the smallest doc_id that links lead to.
+    """(doc_id, copy, root, component_id) for every row of docs: copy is a hash of the text, null for null, root a number of the
+    row's group, and component_id the smallest doc_id that links lead to.
 
-    Texts without words are one group. Rows without a doc_id get the id of their group, null if none in it has one.
+    Texts without words are one group. Rows without a doc_id get the id of their group, null if none in it has one. Very long texts are
+    taken whole. Repeated rows are kept; other columns are not returned.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near-copies")  # drops what other stages have left
         for b in batches:
             found = [sketch(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))], ["doc_id", "copy", "node", "bands"])
+            made = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "copy", "node", "fp", "bands"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near-copies")
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes(t.as_py()).view("<i8") for t in b.column(1)], pa.list_(pa.int64()))], ["node", "h"])
+
+    given = picked(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("copy"), "text")
+    rows = stored(given.mapInArrow(sketches, "doc_id long, copy long, node long, fp long, bands array<long>"), "near-copy-sketches")
+    per_node = stored(rows.groupBy("node").agg(F.min("copy").alias("copy"), F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.count("*").alias("n")), "near-copy-nodes")
+
+    fps = stored(per_node.groupBy("fp").agg(F.min("node").alias("of")), "near-copy-fingerprints")
+    ends = [fps.select(F.col("fp").alias(c), F.col("of").alias(f"of_{c}")) for c in "ab"]
+    close = simhash.links(fps.select("fp"), fps.count()).join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    same = per_node.join(fps, "fp").where("node <> of").select(F.col("node").alias("a"), F.col("of").alias("b"))
+    by_simhash = stored(close.union(same), "near-copy-simhash")
 
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    rows = stored(given.mapInArrow(run, "doc_id long, copy long, node long, bands array<long>"), "near-copy-sketches")
     bands = rows.select("node", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
     members = stored(bands.join(shared, "key").distinct(), "near-copy-bands")
-    wanted = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("copy").alias("copy"))
-    texts = stored(given.select("copy", "text").join(wanted, "copy").groupBy("node").agg(F.first("text").alias("text")), "near-copy-texts")
 
-    first = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    links = checked(first, texts)
+    wanted = members.select("node").union(by_simhash.select("a")).union(by_simhash.select("b")).distinct()
+    wanted = per_node.select("node", "copy").where("copy IS NOT NULL").join(wanted, "node", "left_semi")
+    texts = given.select("copy", "text").join(wanted, "copy").groupBy("node").agg(F.first("text").alias("text"))
+    sets = stored(texts.mapInArrow(hashed, "node long, h array<long>"), "near-copy-sets")
+
+    links = checked(by_simhash, sets)
+    found = components(links)
+    first = rooted(rooted(members, found), found, "least", "other").where("root <> other").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    links = links.union(checked(first, sets))
     apart = stored(rooted(members, components(links)), "near-copy-roots")
     open_ = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = apart.join(open_, "key").select("key", "node", "root", "least").where("node <> least")  # the least has been compared
     right = left.select("key", F.col("node").alias("b"), F.col("root").alias("_root"))
-    second = left.select("key", F.col("node").alias("a"), "root").join(right, "key").where("a > b AND root <> _root").select("a", "b").distinct()
-    groups = components(links.union(checked(second, texts)))
+    second = left.select("key", F.col("node").alias("a"), "root").join(right, "key").where("a > b AND root <> _root").select("a", "b")
+    groups = components(links.union(checked(second, sets)))
 
-    nodes = rooted(rows.groupBy("node").agg(F.min("doc_id").alias("first")), groups)
+    nodes = rooted(per_node.select("node", "first"), groups)
     smallest = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "node").join(nodes.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    classes = nodes.join(smallest, "root").select("node", "root", "component_id")
+    return lookup(rows.select("doc_id", "copy", "node"), classes, per_node.select("node", "n"), "node", "doc_id").select("doc_id", "copy", "root", "component_id")

@@ -113,3 +113,25 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list, value: Co
         same = equal if same is None else same & equal
     placed = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, same)
     return placed.withColumn(name, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside", *[f"_{k}_" for k in keys])
+
+
+# --- joins on keys of which some are hot ---------------------------------------------------------------------------
+
+#: Rows of a key that one task takes in any case; keys above that and above a thousandth of all rows are hot, so there are never
+#: more than a thousand of them.
+HOT_ROWS, HOT_SHARE = 20_000, 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, counts: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with table, which has each of their keys once; counts (key, n) are the keys' rows, of which nulls are none.
+
+    The rows of a hot key are dealt by a hash of the column `by` to several tasks, each with a copy of the table's row. Only the hot
+    keys, at most HOT_SHARE, are broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("n") > most).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_hot", "_parts")
+    copies = table.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")

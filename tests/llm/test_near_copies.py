@@ -19,8 +19,14 @@ def planted():
     return rows
 
 
+def shingles(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").split(" ") if " " in (text or "").strip() else [(text or "").strip().lower()]
+    words = [w for x in words for w in x.replace("\t", " ").replace("\n", " ").split(" ") if w]
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def slow_groups(rows):
-    sets = {d: near_copies.shingles(t) for d, t in rows}
+    sets = {d: shingles(t) for d, t in rows}
     root = {d: d for d in sets}
     changed = True
     while changed:
@@ -59,6 +65,37 @@ def test_stage_against_brute_force(spark, sf):
     assert kept == sorted(set(slow_groups([(r.doc_id, r.text) for r in docs.collect()]).values()))
 
 
+def test_rows_of_one_id_with_unrelated_texts_all_stay(spark, sf):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    stage = dict(corpus_pipeline.STAGES)["near-dedup"]
+    for rows, want in (
+        ([(5, a), (5, b)], [(5, a), (5, b)]),
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
+        ([(5, b), (5, a), (3, a), (3, a)], [(3, a), (5, b)]),
+        ([(None, a), (None, b), (None, a)], [(None, a), (None, b)]),
+        ([(None, a), (9, a), (4, None), (2, ""), (None, None)], [(2, ""), (9, a)]),
+    ):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x' AS copy", "map('k', 1) AS root")
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns
+        assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, want))
+
+
+def test_same_id_and_text_keep_the_same_row_each_time(spark, sf):
+    rows = [(1, "a b c d e", f"s{i}") for i in range(20)]
+    stage = dict(corpus_pipeline.STAGES)["near-dedup"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {stage(spark, docs.repartition(n), sf).collect()[0].source for n in (1, 5)} == {stage(spark, docs, sf).collect()[0].source}
+
+
+def test_simhash_links_what_is_close_enough(spark):
+    """The first half of the stage by itself: pairs of sets whose fingerprints are within three bits."""
+    rows = planted()
+    fp = {d: near_copies.sketch(t)[1] & (1 << 64) - 1 for d, t in rows}
+    assert any((fp[a] ^ fp[a + 1]).bit_count() <= 3 for a in range(0, 200, 10))
+    assert all((fp[a] ^ fp[b]).bit_count() > 3 for a in range(0, 200, 10) for b in range(a + 10, 200, 10))
+
+
 def test_odd_rows(spark, sf):
     rows = [(None, "a b c d"), (None, "a b c d"), (4, "e f g h"), (4, "e f g h"), (5, "e f g h"), (6, None), (7, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

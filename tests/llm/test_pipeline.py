@@ -2,8 +2,8 @@ import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
-from tallyforge.llm import bpe, mixing, simhash
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tallyforge.llm import bpe, mixing
+from tests.llm.test_near_copies import slow_groups
 
 
 def test_stages_in_order_each_against_brute_force(spark, sf):
@@ -16,8 +16,8 @@ def test_stages_in_order_each_against_brute_force(spark, sf):
     assert one.columns == docs.columns
     dropped = {r.doc_id for r in given.collect()} - {r.doc_id for r in one.collect()}
     assert {9001, 9002} <= dropped and len(dropped) < 10
-    two = corpus_pipeline.drop_near_duplicates(spark, one, sf).cache()
-    root = slow_components({r.doc_id: slow_fingerprint(r.text) for r in one.collect()})
+    two = corpus_pipeline.drop_near_copies(spark, one, sf).cache()
+    root = slow_groups([(r.doc_id, r.text) for r in one.collect()])
     assert two.columns == docs.columns and sorted(r.doc_id for r in two.collect()) == sorted(set(root.values()))
     three = corpus_pipeline.mix_sources(spark, two, sf).cache()
     assert three.columns == docs.columns
@@ -32,14 +32,6 @@ def test_stages_in_order_each_against_brute_force(spark, sf):
     assert len(last) == three.count() and all(r.n_tokens == n[r.doc_id] for r in last)
 
 
-def test_one_row_of_a_group_stays(spark, sf):
-    rows = [(None, "a b c d"), (None, "a b c d"), (4, "e f g h"), (4, "e f g h"), (5, "e f g h"), (6, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
-    assert sorted(map(str, kept)) == sorted(map(str, [r for r in docs.where("doc_id IS NULL").limit(1).collect() + docs.where("doc_id = 4").limit(1).collect() + docs.where("doc_id = 6").collect()]))
-    assert simhash.near_duplicates(docs).count() == 6
-
-
 def test_empty_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import xxhash
@@ -39,6 +40,21 @@ def test_near_duplicates_match_brute_force(spark, sf, monkeypatch):
     assert {d: c for d, (_, c) in got.items()} == slow_components(fps)
 
 
+def test_a_tree_finds_all_within_the_radius_and_survives_packing():
+    rnd = random.Random(1)
+    base = [rnd.getrandbits(64) for _ in range(20)]
+    values = sorted({x ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(6))) & (1 << 64) - 1 for x in base for _ in range(20)})
+    tree = simhash.Tree()
+    for x in values + values[:5]:
+        tree.add(x)
+    packed = simhash.Tree.unpack(tree.pack())
+    assert sorted(packed.values) == values and len(tree.pack()) == 13 * len(values)
+    for x in values:
+        want = {y for y in values if (x ^ y).bit_count() <= 3}
+        assert set(tree.near(x, 3)) == set(packed.near(x, 3)) == want
+    assert list(simhash.Tree().near(5, 3)) == []
+
+
 def test_chain_of_close_fingerprints_is_one_group(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 4)
     fps, x = [], 0
