@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, langid, mixing, near_copies, simhash
-from tallyforge.llm.shared import stored
+from tallyforge.llm import bpe, langid, mixing, near_copies
+from tallyforge.llm.shared import numbered, picked, place, stored
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Documents whose language is less sure than this are rejected.
@@ -20,25 +20,27 @@ LEAST_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without text, without letters or without a language that is likelier than all others together."""
-    judged = langid.identify(docs, public_tokenizers.path(RANKS))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    flat = numbered(docs)
+    judged = langid.identify(flat, public_tokenizers.path(RANKS), *[f"c{place(docs, c)}" for c in ("doc_id", "text", "lang")])
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*flat.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies (5-word Jaccard of 0.8 or more); one of them if
-    several rows have it. A group without any doc_id keeps one row of each text."""
-    return _smallest(docs, near_copies.near_copies(docs))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same by the contract of op2 (3 words, 3 bits), which misses most near copies; not a stage."""
-    return _smallest(docs, simhash.near_duplicates(docs))
-
-
-def _smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rest = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rest.dropDuplicates(["doc_id"]) if "text" not in docs.columns else rest.withColumn("_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    """Keeps one document of each group of near copies (5-word Jaccard of 0.8 or more): the one with the smallest doc_id, null last, and
+    of rows with equal doc_id in a group the one whose text, then whose other columns have the smallest hash.
+
+    A row is chosen, not an id: rows of one doc_id with unrelated texts each stay in their own group.
+    """
+    flat = numbered(docs)
+    row_id, text = F.col(f"c{place(docs, 'doc_id')}").cast("long"), F.col(f"c{place(docs, 'text')}")
+    groups = near_copies.near_copies(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("copy").isNull().alias("empty"), F.coalesce("copy", F.lit(0)).alias("copy")))
+    kept = groups.groupBy("root").agg(first.alias("first")).select("root", "first.*")
+    keyed = flat.select("*", row_id.isNull().alias("none"), F.coalesce(row_id, F.lit(0)).alias("doc_id"), text.isNull().alias("empty"), F.when(text.isNull(), 0).otherwise(F.xxhash64(text)).alias("copy"))
+    rest = keyed.join(kept, ["none", "doc_id", "empty", "copy"])
+    whole = F.struct(*flat.columns)
+    one = rest.groupBy("root").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return one.select("row.*").toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of each text's tokens, and digest of what they decode to."""
-    return bpe.digests(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.digests(picked(docs, doc_id="doc_id", text="text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("language id", identify_language), ("near-dedup", drop_near_copies), ("mixing", mix_sources), ("tokens", encode_tokens)]
