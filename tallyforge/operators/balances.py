@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.sums import running
+
 BALANCE = "decimal(20,8)"
+#: Ledger ids in a run, of which a task sees an account's rows at once.
+RUN = 1 << 18
 
 
 def project_balances(entries: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -25,9 +29,11 @@ def balances_view(balances: DataFrame) -> DataFrame:
 
 
 def running_balance(ledger: DataFrame) -> DataFrame:
-    """Each ledger row with its account's balance in the asset after it."""
-    upto = Window.partitionBy("account_id", F.upper("asset")).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return ledger.withColumn("balance", F.sum("amount").over(upto).cast("decimal(38,8)"))
+    """Each ledger row with its account's balance in the asset after it. Sums have two levels, runs of ids and ids within a run, so that the
+    history of a hot account is not one task."""
+    rows = ledger.withColumns({"_asset": F.upper("asset"), "_run": F.floor(F.col("id") / RUN)})
+    placed = running(rows, ["account_id", "_asset"], "_run", ["id"], F.col("amount"), "_before")
+    return placed.select(*ledger.columns, (F.col("_before") + F.coalesce("amount", F.lit(0))).cast("decimal(38,8)").alias("balance"))
 
 
 def first_breach(ledger: DataFrame) -> DataFrame:
@@ -38,12 +44,22 @@ def first_breach(ledger: DataFrame) -> DataFrame:
     return below.groupBy("account_id", F.upper("asset").alias("asset")).agg(F.min("id").alias("id"), F.min_by("balance", "id").alias("balance"))
 
 
-def risk_state(balances: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+def accounts_by_status(states: DataFrame, status: str = "BLOCKED") -> DataFrame:
+    """The states of blocked, or of normal, accounts."""
+    return states.where(F.col("status") == status)
+
+
+def risk_state(balances: DataFrame, previous: DataFrame | None = None, escalations: DataFrame | None = None) -> DataFrame:
     """(account_id, status, block_reason): BLOCKED if any available balance is negative, with the first such asset by name as the
-    reason; an account that was blocked before keeps its reason."""
+    reason, or if order floods (rows of risk.flood_escalation() with an action) blocked the account, with the first of them as the reason;
+    a negative balance stands before floods, and an account that was blocked before keeps its reason."""
     bad = F.col("available") < 0
     reason = F.concat(F.lit("Negative balance: "), F.upper("asset"), F.lit(" = "), F.col("available").cast("string"))
     now = balances.groupBy("account_id").agg(F.min_by(F.when(bad, reason), F.when(bad, F.upper("asset"))).alias("reason"))
+    if escalations is not None:
+        flood = F.concat(F.lit("Order flood: "), F.col("n_recent").cast("string"), F.lit(" times"))
+        floods = escalations.where(F.col("action").isNotNull()).groupBy("account_id").agg(F.min_by(flood, F.struct("detected_at", "n_recent")).alias("flood"))
+        now = now.join(floods, "account_id", "full_outer").select("account_id", F.coalesce("reason", "flood").alias("reason"))
     if previous is not None:
         old = previous.select("account_id", F.when(F.col("status") == "BLOCKED", F.coalesce("block_reason", F.lit(""))).alias("kept"))
         now = now.join(old, "account_id", "full_outer").select("account_id", F.coalesce("kept", "reason").alias("reason"))

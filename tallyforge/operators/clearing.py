@@ -31,6 +31,11 @@ def previous_closings(results: DataFrame, batches: DataFrame, before: str) -> Da
     return eod_results(results, batches, before).withColumn("place", F.row_number().over(order))
 
 
+def clear_from(ledger: DataFrame, results: DataFrame, batches: DataFrame, date: str, max_id: int, scope: str = "") -> DataFrame:
+    """clear() with the openings as of the date from stored results: the closing of the latest earlier end-of-day batch, where there is one."""
+    return clear(ledger, date, max_id, scope, opening_asof(results, batches, date))
+
+
 def clear(ledger: DataFrame, date: str, max_id: int, scope: str = "", openings: DataFrame | None = None) -> DataFrame:
     """(account_id, asset, opening_balance, closing_balance, net_change, fee_total, trade_count, trade_value) of a business date.
 
@@ -44,8 +49,7 @@ def clear(ledger: DataFrame, date: str, max_id: int, scope: str = "", openings:
     # only the day's rows are kept apart by trade; the rest of the history is one row
     trade = F.when(today, F.col("trade_id"))
     by_trade = rows.groupBy("account_id", F.upper("asset").alias("asset"), trade.alias("trade")).agg(F.sum("amount").alias("all"), *_day_measures(today))
-    sums = by_trade.groupBy("account_id", "asset").agg(F.coalesce(F.sum("all"), F.lit(0)).cast(WIDE).alias("closing_balance"))
-    return _derived(sums.join(_daily_sums(by_trade), ["account_id", "asset"]), openings)
+    return _derived(_daily_sums(by_trade, F.coalesce(F.sum("all"), F.lit(0)).cast(WIDE).alias("closing_balance")), openings)
 
 
 def clear_incremental(ledger: DataFrame, date: str, max_id: int, previous_max_id: int, previous: DataFrame, scope: str = "", openings: DataFrame | None = None) -> DataFrame:
@@ -56,10 +60,11 @@ def clear_incremental(ledger: DataFrame, date: str, max_id: int, previous_max_id
     new = F.col("id") > previous_max_id
     rows = ledger.where((F.col("id") <= max_id) & (new | today) & scope_filter(scope))
     by_trade = rows.groupBy("account_id", F.upper("asset").alias("asset"), F.when(today, F.col("trade_id")).alias("trade")).agg(F.sum(F.when(new, F.col("amount"))).alias("all"), *_day_measures(today))
-    moved = by_trade.groupBy("account_id", "asset").agg(F.sum("all").alias("moved"))
-    both = _daily_sums(by_trade).join(moved, ["account_id", "asset"]).join(previous.select("account_id", F.upper("asset").alias("asset"), F.col("closing_balance").alias("before")).where(scope_filter(scope)), ["account_id", "asset"], "full_outer")
+    moved = _daily_sums(by_trade, F.sum("all").alias("moved"))
+    before = previous.where(scope_filter(scope)).select(F.col("account_id").alias("_account"), F.upper("asset").alias("_asset"), F.col("closing_balance").alias("before"))
+    both = moved.join(before, F.col("account_id").eqNullSafe(F.col("_account")) & F.col("asset").eqNullSafe(F.col("_asset")), "full_outer")
     zero = F.lit(0)
-    filled = both.select("account_id", "asset", (F.coalesce("before", zero) + F.coalesce("moved", zero)).cast(WIDE).alias("closing_balance"), *[F.coalesce(c, zero).alias(c) for c in ("net_change", "fee_total", "trade_value", "trade_count")])
+    filled = both.select(F.coalesce("account_id", "_account").alias("account_id"), F.coalesce("asset", "_asset").alias("asset"), (F.coalesce("before", zero) + F.coalesce("moved", zero)).cast(WIDE).alias("closing_balance"), *[F.coalesce(c, zero).alias(c) for c in ("net_change", "fee_total", "trade_value", "trade_count")])
     return _derived(filled, openings)
 
 

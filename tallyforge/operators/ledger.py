@@ -10,10 +10,13 @@ from tallyforge.operators.storage import stored
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the order, which has to be total up to equal rows. Partial aggregation, no sort."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    found = df.groupBy(*keys).agg(F.min_by(whole, F.struct(*[F.col(c) for c in order])).alias("_first"))
-    return found.select("_first.*")
+    """The first row of each key in the order, which has to be total up to equal rows.
+
+    A row number of 1: Spark keeps the first row of each key in every task before it shuffles, so repeats of a hot key stay where they
+    are, and rows are sorted but not packed and unpacked.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place_of_key", place).where("_place_of_key = 1").drop("_place_of_key")
 
 
 def postings(executions: DataFrame, order: list[str]) -> DataFrame:
@@ -39,12 +42,11 @@ def post_ledger(executions: DataFrame, order: list[str], existing: DataFrame | N
     """New ledger rows without ids: the first row of each idempotency key. An execution whose base row is a duplicate is skipped
     whole. Keys in existing are left out, and with them the executions whose base row they are."""
     keys = F.struct("trade_id", "account_id", F.upper(assets.base_asset(F.col("symbol"))).alias("b"))
-    events = executions.withColumns({"_trade": F.col("trade_id"), "_account": F.col("account_id"), "_base": keys["b"]})
-    events = first_by(events, ["_trade", "_account", "_base"], order).drop("_trade", "_account", "_base")
+    events = first_by(executions.withColumn("_base", keys["b"]), ["trade_id", "account_id", "_base"], order).drop("_base")
     if existing is not None:
         base_key = assets.idempotency_key(F.col("trade_id"), F.col("account_id"), F.upper(assets.base_asset(F.col("symbol"))), F.lit("TRADE"))
         events = new_entries(events.withColumn("idempotency_key", base_key), existing).drop("idempotency_key")
-    rows = first_by(postings(events, order).withColumn("_key", F.col("idempotency_key")), ["_key"], ["posted", "leg"]).drop("_key")
+    rows = first_by(postings(events, order), ["idempotency_key"], ["posted", "leg"])
     if existing is not None:
         rows = new_entries(rows, existing)
     return rows
@@ -58,23 +60,22 @@ def new_entries(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 def with_ids(df: DataFrame, order: list[Column], start: int = 0, name: str = "id") -> DataFrame:
     """df with ids start + 1, start + 2, ... in the order, which has to be total up to equal rows.
 
-    Rows are dealt to ranges of the order; the counts of the ranges, one row for each partition, are summed on the driver and
-    added to the rows' places within their range. No task sees all rows.
+    Rows are dealt to ranges of the order, sorted and stored with their partition and their place in it; the counts of the ranges, one row
+    for each partition, are summed on the driver and added to the places. No task sees all rows, and each is sorted once.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = df.columns
+    spark, kept = df.sparkSession, df.columns
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the cut is stored with the rows: cut again, from another sample, it could move rows
-    ranged = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
-    offsets, at = {}, start
-    for part in sorted(counts):
-        offsets[part] = at
-        at += counts[part]
-    offset = F.lit(start)
-    if offsets:
-        offset = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("_part"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn(name, (offset + place).cast("long")).select(name, *kept)
+    ranged = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    counts = {r["part"]: r["count"] for r in ranged.groupBy(part.alias("part")).count().collect()}
+    offsets, at = [], start
+    for k in sorted(counts):
+        offsets.append((k, at))
+        at += counts[k]
+    offset = F.broadcast(spark.createDataFrame(offsets, "_part int, _offset long"))  # a row for each partition
+    placed = ranged.withColumn("_part", part).join(offset, "_part")
+    return placed.withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).select(name, *kept)
 
 
 def ledger_of(executions: DataFrame, order: list[str]) -> DataFrame:
@@ -127,9 +128,10 @@ def _day_measures(today: Column) -> list[Column]:
     ]
 
 
-def _daily_sums(by_trade: DataFrame) -> DataFrame:
+def _daily_sums(by_trade: DataFrame, *more: Column) -> DataFrame:
     zero = F.lit(0)
     return by_trade.groupBy("account_id", "asset").agg(
+        *more,
         F.coalesce(F.sum("net"), zero).cast("decimal(38,8)").alias("net_change"), F.coalesce(F.sum("fee"), zero).cast("decimal(38,8)").alias("fee_total"),
         F.coalesce(F.sum("value"), zero).cast("decimal(38,8)").alias("trade_value"), F.sum("traded").cast("long").alias("trade_count"),
     )

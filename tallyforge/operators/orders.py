@@ -17,8 +17,8 @@ def project_orders(updates: DataFrame, tie: list[str], stored: DataFrame | None
         known = stored.select("order_id", "last_event_seq")
         rows = updates.join(known, "order_id", "left").where(F.col("event_seq").isNull() | F.col("last_event_seq").isNull() | (F.col("event_seq") > F.col("last_event_seq"))).select(*updates.columns)
     late = F.col("event_seq").isNull().cast("int")
-    best = rows.withColumn("_order", F.col("order_id")).withColumn("_rank", -late).withColumn("_seq", -F.coalesce("event_seq", F.lit(0)))
-    return first_by(best, ["_order"], ["_rank", "_seq", *tie]).drop("_order", "_rank", "_seq")
+    best = rows.withColumn("_rank", -late).withColumn("_seq", -F.coalesce("event_seq", F.lit(0)))
+    return first_by(best, ["order_id"], ["_rank", "_seq", *tie]).drop("_rank", "_seq")
 
 
 def attach_order(updates: DataFrame, orders: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def project_trades(executions: DataFrame, order: list[str], stored: DataFrame |
     if stored is not None:
         rows = rows.join(stored.select("event_id"), "event_id", "left_anti").join(stored.select("trade_id", "account_id"), ["trade_id", "account_id"], "left_anti").select(*executions.columns)
     rows = first_by(rows.withColumn("_event", F.coalesce("event_id", F.concat_ws(":", "trade_id", F.col("account_id").cast("string")))), ["_event"], order).drop("_event")
-    rows = first_by(rows.withColumns({"_trade": F.col("trade_id"), "_account": F.col("account_id")}), ["_trade", "_account"], order).drop("_trade", "_account")
+    rows = first_by(rows, ["trade_id", "account_id"], order)
     return rows.select(
         "event_id", "trade_id", "order_id", F.col("account_id").alias("user_id"), "symbol", "side", F.col("quantity").alias("exec_quantity"), F.col("price").alias("exec_price"),
         assets.value_of(F.col("quantity"), F.col("price")).alias("exec_value"), F.lit(0).cast(assets.MONEY).alias("fee_amount"), assets.fee_currency(F.col("symbol")).alias("fee_currency"),
@@ -80,6 +80,12 @@ def page(df: DataFrame, sort: list[Column], size: int = 20, number: int = 0) ->
     return df.orderBy(*sort).offset(size * number).limit(size)
 
 
+def page_with_total(df: DataFrame, sort: list[Column], size: int = 20, number: int = 0) -> DataFrame:
+    """The page with total_count and total_pages of all rows, each in every row; the count is one aggregate, not a window."""
+    total = df.agg(F.count("*").alias("total_count")).withColumn("total_pages", F.ceil(F.col("total_count") / size))
+    return page(df, sort, size, number).crossJoin(F.broadcast(total))  # one row
+
+
 def page_after(df: DataFrame, time: str, key: str, last: tuple, size: int = 20) -> DataFrame:
     """The newest-first page that follows the row (time, key): no offset to skip over, however deep."""
     t, k = F.lit(last[0]).cast("timestamp"), F.lit(last[1])

@@ -90,7 +90,7 @@ def _in_turn(orders: DataFrame, user: str, order: tuple[str, ...], added: str, d
     """
     names, n = orders.columns, len(orders.columns)
     given = [n, *[names.index(c) for c in (user, *inputs)]]
-    types = [{"long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in added.split(", ")]
+    types = [{"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[x.split()[1]] for x in added.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), None
@@ -177,3 +177,38 @@ def volume_limit(orders: DataFrame, limit: int = VOLUME_LIMIT, user: str = "acco
         return (total + x, then, blocked), (True,)
 
     return _in_turn(orders, user, order, "accepted boolean", decide, "notional")
+
+
+def validate_risk(orders: DataFrame, volume: int = VOLUME_LIMIT, daily: int = DAILY_LIMIT, rate: int = RATE_LIMIT, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """orders with refused: the chain of all checks for each user's orders in turn, null for an accepted order.
+
+    BLOCKED while the user is blocked; then VOLUME, as in volume_limit; then DAILY, the count of a day from its first order; then RATE, the
+    count of a minute from its first. A refused volume is not added and is not counted as an order; what a check has added stays added
+    when a later one refuses. VOLUME and DAILY block the user for 24 hours, RATE does not. Orders without a time start no window.
+    """
+    second = 1_000_000
+    day = 86400 * second
+
+    def counted(window, at, length):
+        start, n = window
+        if start is None or at is not None and at >= start + length:
+            start, n = at, 0
+        return start, n + 1
+
+    def decide(state, at, x):
+        total, until, blocked, by_day, by_minute = state or (0, None, None, (None, 0), (None, 0))
+        if blocked is not None and at is not None and at < blocked:
+            return state, ("BLOCKED",)
+        then = None if at is None else at + day
+        if until is None or at is not None and at >= until:
+            total = 0
+        if total + (x or 0) > volume:
+            return (total, until, then, by_day, by_minute), ("VOLUME",)
+        total, until = total + (x or 0), then
+        by_day = counted(by_day, at, day)
+        if by_day[1] > daily:
+            return (total, until, then, by_day, by_minute), ("DAILY",)
+        by_minute = counted(by_minute, at, 60 * second)
+        return (total, until, blocked, by_day, by_minute), ("RATE" if by_minute[1] > rate else None,)
+
+    return _in_turn(orders, user, order, "refused string", decide, "notional")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ledger import first_by
+
 TOPIC, PRODUCER, EVENT, VERSION = "clearing.settlement", "clearing", "SETTLEMENT", 1
 
 
@@ -30,7 +32,7 @@ def build_events(results: DataFrame, batches: DataFrame) -> DataFrame:
 
 def append_outbox(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Events to add: the first of each idempotency key, by payload, whose key is not stored yet."""
-    first = events.groupBy("idempotency_key").agg(F.min_by(F.struct(*events.columns), "payload").alias("e")).select("e.*")
+    first = first_by(events, ["idempotency_key"], ["payload"])
     return first if existing is None else first.join(existing.select("idempotency_key"), "idempotency_key", "left_anti").select(*events.columns)
 
 

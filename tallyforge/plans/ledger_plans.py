@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import assets, rules
 from tallyforge.operators import balances as bal
-from tallyforge.operators import clearing, ledger, recon, settlement
+from tallyforge.operators import clearing, ledger, recon, risk, settlement
+from tallyforge.operators.storage import new_folder
 from tallyforge.plans.sql import BASE, BATCHES, LEDGER, OUTBOX, QUOTE, RESULTS, VALUE, out
-from tallyforge.sources.views import EXECUTION_ORDER, EXECUTIONS, oracle, view
+from tallyforge.sources.views import ACTIVITY, EXECUTION_ORDER, EXECUTIONS, oracle, view
 
 DATE, NEXT, BEFORE = "1998-06-30", "1998-07-01", "1998-06-29"
 ORDER = list(EXECUTION_ORDER)
@@ -35,10 +36,28 @@ def text(c: str) -> Column:
     return F.col(c).cast("timestamp").cast("string")
 
 
-def the_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+_ledgers: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, what: str, make) -> DataFrame:
+    """What make() gives, stored in the shared folder at its first use and read by later queries of the application: a ledger is
+    posted once and queried often. Tables of a folder are taken not to change while an application runs."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _ledgers:
+        path = new_folder(spark, what)
+        make().write.parquet(path)
+        _ledgers[key] = path
+    return spark.read.parquet(_ledgers[key])
+
+
+def posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.ledger_of(view(spark, sf_dir, EXECUTIONS), ORDER)
 
 
+def the_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "ledger", lambda: posted(spark, sf_dir))
+
+
 def the_balances(led: DataFrame) -> DataFrame:
     """Balances of a ledger with planted faults: off by 5, missing, and lower-case assets."""
     a = F.col("account_id")
@@ -60,7 +79,8 @@ CLEARED = f"""{MARK}, sums AS (
 
 @query(f"{WITH} SELECT id, account_id, asset, {out('amount')} AS amount, entry_type, trade_id, idempotency_key, CAST(created_at AS STRING) AS created_at FROM ledger")
 def post_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return the_ledger(spark, sf_dir).withColumns({"amount": money("amount"), "created_at": text("created_at")})
+    """Posts anew; the other queries read a ledger that was posted once."""
+    return posted(spark, sf_dir).withColumns({"amount": money("amount"), "created_at": text("created_at")})
 
 
 @query(f"SELECT symbol, upper({BASE}) AS base, upper({QUOTE}) AS quote, CASE WHEN symbol LIKE '%USDT' THEN 'USDT' WHEN symbol LIKE '%KRW' THEN 'KRW' WHEN symbol LIKE '%BTC' THEN 'BTC' WHEN symbol LIKE '%ETH' THEN 'ETH' ELSE symbol END AS fee_currency, {out('sum(CASE WHEN side = $$BUY$$ THEN quantity ELSE -quantity END)')} AS base_change, {out(f'sum(CASE WHEN side = $$BUY$$ THEN -{VALUE} ELSE {VALUE} END)')} AS quote_change, count(*) AS n FROM ({oracle(EXECUTIONS)}) GROUP BY symbol".replace("$$", "'"))
@@ -130,9 +150,10 @@ def clear_chunk_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH}{CLEARED} {CLEARED_OUT}")
 def clear_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the stored closings of an earlier date."""
     led = the_ledger(spark, sf_dir)
     before, now = ledger.watermark(led, BEFORE).first()[0], ledger.watermark(led, DATE).first()[0]
-    previous = clearing.clear(led, BEFORE, before)
+    previous = kept(spark, sf_dir, "closings", lambda: clearing.clear(led, BEFORE, before))
     return clearing.clear_incremental(led, DATE, now, before, previous).withColumns({c: money(c) for c in AMOUNTS})
 
 
@@ -159,6 +180,31 @@ def opening_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clearing.opening_asof(view(spark, sf_dir, RESULTS), view(spark, sf_dir, BATCHES), DATE).withColumn("opening", money("opening"))
 
 
+@query(f"""{WITH}{CLEARED}, r AS {R}, b AS {B}, eod AS (SELECT r.* FROM r WHERE status = 'FINAL' AND business_date < DATE '{DATE}' AND batch_id IN (SELECT id FROM b WHERE batch_type = 'EOD')),
+opened AS (SELECT account_id, upper(asset) AS asset, closing_balance FROM eod QUALIFY row_number() OVER (PARTITION BY account_id, upper(asset) ORDER BY business_date DESC, id DESC) = 1)
+SELECT s.account_id, s.asset, {out('coalesce(closing_balance, closing - net)')} AS opening_balance, {out('closing')} AS closing_balance, {out('net')} AS net_change, {out('fee')} AS fee_total, trades AS trade_count, {out('val')} AS trade_value
+FROM sums s LEFT JOIN opened a ON a.account_id = s.account_id AND a.asset = s.asset WHERE coalesce(closing_balance, closing - net) <> 0 OR closing <> 0 OR net <> 0 OR fee <> 0 OR trades <> 0 OR val <> 0""")
+def clear_with_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings as of the date from stored results; keys without any derive theirs."""
+    led = the_ledger(spark, sf_dir)
+    found = clearing.clear_from(led, view(spark, sf_dir, RESULTS), view(spark, sf_dir, BATCHES), DATE, ledger.watermark(led, DATE).first()[0])
+    return found.withColumns({c: money(c) for c in AMOUNTS})
+
+
+@query(f"""{WITH}{CLEARED} SELECT 7 AS batch_id, '{DATE}' AS business_date, account_id, asset, {out('opening')} AS opening_balance, {out('closing')} AS closing_balance, {out('net')} AS net_change, {out('fee')} AS fee_total, trades AS trade_count, {out('val')} AS trade_value, 'PRELIMINARY' AS status,
+'INTRADAY-' || CAST(CAST(floor(epoch(TIMESTAMP '{DATE} 14:07:30') / 600) * 600 AS BIGINT) AS STRING) AS run_key FROM cleared""")
+def clear_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of an intraday batch, with the run key of its ten minutes."""
+    rows = clearing.stamped(clearing_of(spark, sf_dir), 7, DATE, "INTRADAY")
+    return rows.withColumns({c: money(c) for c in AMOUNTS}).withColumns({"business_date": F.col("business_date").cast("string"), "run_key": assets.run_key(F.lit("INTRADAY"), F.lit(f"{DATE} 14:07:30"))})
+
+
+@query(f"SELECT id, upper(asset) AS asset, CASE WHEN upper(asset) = 'KRW' THEN CAST(round(closing_balance, 0) AS DOUBLE) ELSE {out('closing_balance')} END AS amount FROM {R}")
+def normalize_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Won have no decimals."""
+    return view(spark, sf_dir, RESULTS).select("id", F.upper("asset").alias("asset"), money(assets.normalize_precision(F.col("closing_balance"), F.col("asset"))).alias("amount"))
+
+
 @query(f"{EOD_SQL} SELECT id, account_id, upper(asset) AS asset, {out('closing_balance')} AS closing_balance, CAST(row_number() OVER (PARTITION BY account_id, upper(asset) ORDER BY business_date DESC, id DESC) AS INT) AS place FROM eod")
 def previous_closings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clearing.previous_closings(view(spark, sf_dir, RESULTS), view(spark, sf_dir, BATCHES), DATE)
@@ -240,18 +286,62 @@ def risk_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir)))
 
 
-@query(f"{RISK} SELECT account_id, 'BLOCK_ACCOUNT' AS command_type FROM risk WHERE status = 'BLOCKED' AND account_id % 3 <> 0 UNION ALL SELECT account_id, 'UNBLOCK_ACCOUNT' FROM risk WHERE status = 'NORMAL' AND account_id % 3 = 0")
+BLOCKS = f"{RISK}, states AS (SELECT r.account_id, status, CASE WHEN bad IS NOT NULL THEN 'Negative balance: ' || bad || ' = ' || CAST(CAST(amount AS DECIMAL(20, 8)) AS STRING) END AS block_reason FROM risk r LEFT JOIN held h ON h.account_id = r.account_id AND h.asset = bad)"
+
+
+@query(f"{BLOCKS} SELECT account_id, 'BLOCK_ACCOUNT' AS command_type, block_reason AS reason FROM states WHERE status = 'BLOCKED' AND account_id % 3 <> 0 UNION ALL SELECT account_id, 'UNBLOCK_ACCOUNT', NULL FROM states WHERE status = 'NORMAL' AND account_id % 3 = 0")
 def risk_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a state in which every third account was blocked."""
     now = bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir)))
     old = now.select("account_id", F.when(F.col("account_id") % 3 == 0, "BLOCKED").otherwise("NORMAL").alias("status"))
-    return bal.risk_commands(old, now).select("account_id", "command_type")
+    return bal.risk_commands(old, now)
+
 
+@query(f"{BLOCKS} SELECT account_id, status, block_reason FROM states WHERE status = 'BLOCKED'")
+def blocked_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bal.accounts_by_status(bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir))))
 
-@query(f"{WITH} SELECT account_id, count(*) AS n_new FROM ledger WHERE id % 3 <> 0 GROUP BY 1")
+
+@query(f"{BLOCKS} SELECT account_id, status, block_reason FROM states WHERE status = 'NORMAL'")
+def normal_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bal.accounts_by_status(bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir))), "NORMAL")
+
+
+A = f"({oracle(ACTIVITY)})"
+DAY = "CAST(date_trunc('day', ts) AS TIMESTAMP)"
+
+
+@query(f"""{BLOCKS}, log AS (SELECT account_id, NULL AS symbol, {DAY} + INTERVAL 1 DAY AS seen_at FROM {A} WHERE command_type = 'NEW' GROUP BY account_id, {DAY} HAVING count(*) > 1 UNION ALL SELECT account_id, symbol, {DAY} + INTERVAL 1 DAY FROM {A} WHERE command_type = 'NEW' GROUP BY account_id, symbol, {DAY} HAVING count(*) > 1),
+recent AS (SELECT *, count(*) OVER (PARTITION BY account_id ORDER BY seen_at RANGE BETWEEN INTERVAL 5 DAY PRECEDING AND CURRENT ROW) AS n FROM log),
+floods AS (SELECT account_id, arg_min(n, (seen_at, n)) AS n FROM recent WHERE symbol IS NULL AND n >= 3 GROUP BY 1),
+old AS (SELECT account_id FROM states WHERE account_id % 10 = 0)
+SELECT account_id, CASE WHEN was OR block_reason IS NOT NULL OR n IS NOT NULL THEN 'BLOCKED' ELSE 'NORMAL' END AS status, CASE WHEN was THEN 'by hand' ELSE coalesce(block_reason, 'Order flood: ' || CAST(n AS STRING) || ' times') END AS block_reason
+FROM (SELECT coalesce(s.account_id, f.account_id) AS account_id, block_reason, n, coalesce(s.account_id, f.account_id) IN (SELECT account_id FROM old) AS was FROM states s FULL JOIN floods f ON f.account_id = s.account_id)""")
+def risk_state_with_floods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances, floods (the test events are sparse: three days above 1 order within five) and accounts that were blocked before."""
+    a = view(spark, sf_dir, ACTIVITY)
+    log = risk.order_flood(a, 1, length="1 day").unionByName(risk.order_flood(a, 1, True, "1 day"))
+    held = bal.project_balances(the_ledger(spark, sf_dir))
+    old = held.where("account_id % 10 = 0").select("account_id", F.lit("BLOCKED").alias("status"), F.lit("by hand").alias("block_reason")).distinct()
+    return bal.risk_state(held, old, risk.flood_escalation(log, 3, 5 * 86400))
+
+
+@query(f"{WITH} SELECT id, account_id, asset, {out('amount')} AS amount, entry_type, trade_id, idempotency_key FROM ledger WHERE id % 3 <> 0")
 def new_ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = the_ledger(spark, sf_dir)
-    return ledger.new_entries(led, led.where(F.col("id") % 3 == 0)).groupBy("account_id").agg(F.count("*").alias("n_new"))
+    return ledger.new_entries(led, led.where(F.col("id") % 3 == 0)).select("id", "account_id", "asset", money("amount").alias("amount"), "entry_type", "trade_id", "idempotency_key")
+
+
+@query(f"{WITH} SELECT id, trade_id, account_id, asset, {out('amount')} AS amount FROM ledger WHERE trade_id = (SELECT max(trade_id) FROM ledger WHERE id <= 30)")
+def ledger_of_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = the_ledger(spark, sf_dir)
+    trade = led.where("id <= 30").agg(F.max("trade_id")).first()[0]
+    return ledger.ledger_by(led, trade_id=trade).select("id", "trade_id", "account_id", "asset", money("amount").alias("amount"))
+
+
+@query(f"{WITH} SELECT id, account_id, asset, {out('amount')} AS amount FROM ledger WHERE account_id = 37 ORDER BY created_at, id LIMIT 20")
+def ledger_oldest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.ledger_by(the_ledger(spark, sf_dir), account_id=37).limit(20).select("id", "account_id", "asset", money("amount").alias("amount"))
 
 
 @query(f"{WITH} SELECT id, account_id, asset, {out('amount')} AS amount FROM ledger WHERE account_id = 37 AND asset = 'USDT' ORDER BY created_at DESC, id DESC LIMIT 20")
@@ -262,18 +352,25 @@ def ledger_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEY = "'clearing:settlement:' || CAST(batch_id AS STRING) || ':' || CAST(account_id AS STRING) || ':' || upper(asset)"
 
 
-@query(f"WITH r AS {R}, b AS (SELECT DISTINCT id, batch_type, snapshot_key FROM {B}), e AS (SELECT r.*, batch_type, snapshot_key, {KEY} AS idempotency_key FROM r JOIN b ON b.id = batch_id) SELECT idempotency_key, count(*) AS n, min(batch_type) AS batch_type, min(snapshot_key) AS snapshot_key, {out('max(closing_balance)')} AS closing FROM e GROUP BY 1")
+EVENT_PARTS = {"eventType": "'SETTLEMENT'", "businessDate": "CAST(business_date AS STRING)", "batchId": "batch_id", "batchType": "batch_type", "accountId": "account_id", "asset": "asset", "status": "status"} | {k: f"CAST({c} AS STRING)" for k, c in {"openingBalance": "opening_balance", "closingBalance": "closing_balance", "netChange": "net_change", "feeTotal": "fee_total", "tradeValue": "trade_value"}.items()} | {"tradeCount": "trade_count", "snapshotKey": "snapshot_key"}
+BODY = " || ',' || ".join(f"""'"{k}":' || {x}""" if k in ("batchId", "accountId", "tradeCount") else f"""'"{k}":"' || {x} || '"'""" for k, x in EVENT_PARTS.items())
+PAYLOAD = f"""'{{"schemaVersion":1,"topic":"clearing.settlement","key":"' || CAST(account_id AS STRING) || '","producer":"clearing","eventType":"SETTLEMENT","body":{{' || {BODY} || '}}}}'"""
+EVENTS_SQL = f"WITH r AS {R}, b AS (SELECT DISTINCT id AS b_id, batch_type, snapshot_key FROM {B}), e AS (SELECT {KEY} AS idempotency_key, {PAYLOAD} AS payload, batch_id AS aggregate_id FROM r JOIN b ON b_id = batch_id)"
+FIXED = "'CLEARING' AS producer_type, 'SETTLEMENT' AS event_type, 'CLEARING_RESULT' AS aggregate_type, 'PENDING' AS status, CAST(0 AS INT) AS retry_count"
+
+
+def settlement_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, BATCHES).select("id", "batch_type", "snapshot_key").distinct()
+
+
+@query(f"{EVENTS_SQL} SELECT *, {FIXED} FROM e")
 def build_settlement_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = view(spark, sf_dir, BATCHES).select("id", "batch_type", "snapshot_key").distinct()
-    events = settlement.build_events(view(spark, sf_dir, RESULTS), batches)
-    body = lambda k: F.get_json_object("payload", f"$.body.{k}")
-    return events.groupBy("idempotency_key").agg(F.count("*").alias("n"), F.min(body("batchType")).alias("batch_type"), F.min(body("snapshotKey")).alias("snapshot_key"), money(F.max(body("closingBalance").cast("decimal(38,8)"))).alias("closing"))
+    return settlement.build_events(view(spark, sf_dir, RESULTS), settlement_batches(spark, sf_dir))
 
 
-@query(f"WITH r AS {R}, o AS {O} SELECT DISTINCT {KEY} AS idempotency_key FROM r WHERE {KEY} NOT IN (SELECT idempotency_key FROM o)")
+@query(f"{EVENTS_SQL}, o AS {O} SELECT *, {FIXED} FROM e WHERE idempotency_key NOT IN (SELECT idempotency_key FROM o) QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY payload) = 1")
 def append_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = view(spark, sf_dir, BATCHES).select("id", "batch_type", "snapshot_key").distinct()
-    return settlement.append_outbox(settlement.build_events(view(spark, sf_dir, RESULTS), batches), view(spark, sf_dir, OUTBOX)).select("idempotency_key")
+    return settlement.append_outbox(settlement.build_events(view(spark, sf_dir, RESULTS), settlement_batches(spark, sf_dir)), view(spark, sf_dir, OUTBOX))
 
 
 @query(f"WITH r AS {R}, o AS {O} SELECT id, {KEY} AS idempotency_key FROM r WHERE {KEY} NOT IN (SELECT idempotency_key FROM o)")

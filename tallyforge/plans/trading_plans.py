@@ -9,6 +9,7 @@ from tallyforge.functions import rules
 from tallyforge.operators import balances as bal
 from tallyforge.operators import matching, metrics, orders, risk
 from tallyforge.plans.ledger_plans import HELD, WITH, money, text, the_ledger
+from tallyforge.plans import matching_sql
 from tallyforge.plans.sql import VALUE, out
 from tallyforge.sources import events
 from tallyforge.sources.views import ACTIVITY, EXECUTIONS, ORDER_COMMANDS, ORDER_UPDATES, TRADING_ORDERS, oracle, table, view
@@ -59,13 +60,14 @@ def project_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return the_trades(spark, sf_dir).withColumns({c: money(c) for c in ("exec_quantity", "exec_price", "exec_value", "fee_amount")}).withColumn("exec_time", text("exec_time"))
 
 
-@query(f"WITH u AS (SELECT *, CASE WHEN event_seq % 2 = 0 THEN client_order_id ELSE 'other' END AS cid FROM {U}) SELECT u.order_id, u.event_seq, count(*) AS n, count(coalesce(a.order_id, b.order_id)) AS matched FROM u LEFT JOIN {T} a ON a.user_id = u.account_id AND a.client_order_id = u.cid LEFT JOIN {T} b ON b.user_id = u.account_id AND b.order_id = u.order_id AND u.order_id % 3 = 0 GROUP BY 1, 2")
+@query(f"WITH u AS (SELECT *, CASE WHEN event_seq % 2 = 0 THEN client_order_id ELSE 'other' END AS cid FROM {U}) SELECT u.order_id, u.event_seq, u.account_id, u.cid AS client_order_id, u.new_status, coalesce(a.order_id, b.order_id) AS matched_order_id FROM u LEFT JOIN {T} a ON a.user_id = u.account_id AND a.client_order_id = u.cid LEFT JOIN {T} b ON b.user_id = u.account_id AND b.order_id = u.order_id AND u.order_id % 3 = 0")
 def attach_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Updates of which every other has lost its client id; two thirds of the order ids are of other users."""
+    """Updates of which every other has lost its client id; two thirds of the order ids are of other users. A match by client id shows
+    the hidden, negative id as it is stored."""
     u = view(spark, sf_dir, ORDER_UPDATES).withColumn("client_order_id", F.when(F.col("event_seq") % 2 == 0, F.col("client_order_id")).otherwise("other"))
     stored = view(spark, sf_dir, TRADING_ORDERS)
     hidden = stored.withColumn("order_id", F.when(F.col("order_id") % 3 == 0, F.col("order_id")).otherwise(-F.col("order_id")))
-    return orders.attach_order(u, hidden).groupBy("order_id", "event_seq").agg(F.count("*").alias("n"), F.count("matched_order_id").alias("matched"))
+    return orders.attach_order(u, hidden).select("order_id", "event_seq", "account_id", "client_order_id", "new_status", F.abs("matched_order_id").alias("matched_order_id"))
 
 
 @query(f"SELECT order_id, user_id, symbol, status, CAST(created_at AS STRING) AS created_at FROM {T} WHERE symbol = 'BTCUSDT' AND status = 'NEW' AND created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1999-12-31' ORDER BY created_at DESC, order_id DESC LIMIT 20 OFFSET 20")
@@ -79,15 +81,30 @@ def orders_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.page_after(view(spark, sf_dir, TRADING_ORDERS), "created_at", "order_id", ("1998-01-01", 5000), 30).select("order_id", "user_id", text("created_at").alias("created_at"))
 
 
-@query(f"SELECT order_id, symbol, status FROM {T} WHERE user_id BETWEEN 30 AND 60 AND status = 'NEW'")
+@query(f"SELECT order_id, user_id, symbol, status FROM {T} WHERE status = 'NEW'")
 def pending_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders.pending_orders(view(spark, sf_dir, TRADING_ORDERS).where(F.col("user_id").between(30, 60))).select("order_id", "symbol", "status")
+    """Of all users."""
+    return orders.pending_orders(view(spark, sf_dir, TRADING_ORDERS)).select("order_id", "user_id", "symbol", "status")
 
 
-@query(f"SELECT order_id, user_id, symbol, status FROM {T} WHERE status = 'NEW'")
-def pending_orders_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all users; pending_orders has users 30 to 60, as its SQL."""
-    return orders.pending_orders(view(spark, sf_dir, TRADING_ORDERS)).select("order_id", "user_id", "symbol", "status")
+QUERIES["pending_orders_all"], ORACLES["pending_orders_all"] = pending_orders, ORACLES["pending_orders"]  # its name of old
+
+
+@query(f"SELECT order_id, symbol, CAST(created_at AS STRING) AS created_at, (SELECT count(*) FROM {T} WHERE symbol = 'ETHUSDT') AS total_count, (SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) FROM {T} WHERE symbol = 'ETHUSDT') AS total_pages FROM {T} WHERE symbol = 'ETHUSDT' ORDER BY created_at DESC, order_id DESC LIMIT 20 OFFSET 40")
+def orders_page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = orders.search_orders(view(spark, sf_dir, TRADING_ORDERS), symbol="ETHUSDT")
+    return orders.page_with_total(found, [F.desc("created_at"), F.desc("order_id")], 20, 2).select("order_id", "symbol", text("created_at").alias("created_at"), "total_count", "total_pages")
+
+
+@query(f"WITH {TRADES} SELECT event_id, trade_id, order_id, user_id FROM trades WHERE user_id = 37")
+def trades_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders.trades_by(the_trades(spark, sf_dir), user_id=37).select("event_id", "trade_id", "order_id", "user_id")
+
+
+@query(f"WITH {TRADES} SELECT event_id, trade_id, order_id, user_id FROM trades WHERE order_id = (SELECT max(order_id) FROM trades)")
+def trades_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trades = the_trades(spark, sf_dir)
+    return orders.trades_by(trades, order_id=trades.agg(F.max("order_id")).first()[0]).select("event_id", "trade_id", "order_id", "user_id")
 
 
 @query(f"WITH {TRADES} SELECT trade_id, user_id, symbol, liquidity AS liquidity_flag, CAST(exec_time AS STRING) AS exec_time FROM trades WHERE symbol = 'ETHUSDT' AND liquidity = 'MAKER' AND exec_time >= TIMESTAMP '1997-01-01' AND exec_time <= TIMESTAMP '1998-12-31' ORDER BY exec_time DESC, trade_id DESC LIMIT 20")
@@ -106,22 +123,24 @@ def exec_qty_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.exec_qty_by_order(the_trades(spark, sf_dir)).withColumn("exec_quantity", money("exec_quantity"))
 
 
-@query(f"WITH {TRADES}, s AS (SELECT order_id, sum(quantity) AS filled FROM trades GROUP BY 1) SELECT t.order_id, {out('coalesce(filled, 0)')} AS filled, {out('greatest(t.quantity - coalesce(filled, 0), 0)')} AS remaining, CASE WHEN coalesce(filled, 0) = 0 THEN 'NEW' WHEN filled < t.quantity THEN 'PARTIALLY_FILLED' ELSE 'FILLED' END AS status FROM {T} t LEFT JOIN s ON s.order_id = t.order_id")
+@query(f"WITH {TRADES}, s AS (SELECT order_id, sum(quantity) AS filled, sum(quantity * price) AS val FROM trades GROUP BY 1) SELECT t.order_id, round(CAST(val AS DOUBLE) / CAST(filled AS DOUBLE), 6) AS avg_price, {out('coalesce(filled, 0)')} AS filled, {out('greatest(t.quantity - coalesce(filled, 0), 0)')} AS remaining, CASE WHEN coalesce(filled, 0) = 0 THEN 'NEW' WHEN filled < t.quantity THEN 'PARTIALLY_FILLED' ELSE 'FILLED' END AS status FROM {T} t LEFT JOIN s ON s.order_id = t.order_id")
 def order_state_from_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     fills = the_trades(spark, sf_dir).select("order_id", F.col("exec_quantity").alias("quantity"), F.col("exec_price").alias("price"))
     found = orders.order_state_from_fills(fills, view(spark, sf_dir, TRADING_ORDERS))
-    return found.select("order_id", money("filled").alias("filled"), money("remaining").alias("remaining"), "status")
+    return found.select("order_id", money("filled").alias("filled"), money("remaining").alias("remaining"), "status", F.round("avg_price", 6).alias("avg_price"))
 
 
 LIMITS = "(VALUES ('BTCUSDT', 0.01, 0.00001, 0.001, 1000, 10), ('ETHUSDT', 0.01, 0.0001, 0.01, 10000, 10)) AS l(symbol, tick, step, low, high, notional)"
 
 
-@query(f"""SELECT reject, count(*) AS n FROM (SELECT CASE WHEN p <= 0 THEN 'INVALID_PRICE' WHEN q <= 0 THEN 'INVALID_QUANTITY' WHEN l.symbol IS NULL THEN 'UNKNOWN_SYMBOL' WHEN q < low OR q > high THEN 'QUANTITY_OUT_OF_RANGE' WHEN p * q < notional THEN 'NOTIONAL_TOO_SMALL' END AS reject
-FROM (SELECT symbol, CAST(price AS DECIMAL(18, 4)) - 110 AS p, CAST(quantity AS DECIMAL(18, 4)) - 2 AS q FROM {C} WHERE command_type = 'NEW') c LEFT JOIN {LIMITS} ON l.symbol = c.symbol) GROUP BY 1""")
+@query(f"""SELECT seq, c.symbol, {out("p")} AS price, {out("q")} AS quantity, CASE WHEN p <= 0 THEN 'INVALID_PRICE' WHEN q <= 0 THEN 'INVALID_QUANTITY' WHEN l.symbol IS NULL THEN 'UNKNOWN_SYMBOL' WHEN p % tick <> 0 THEN 'INVALID_TICK' WHEN q % step <> 0 THEN 'INVALID_STEP' WHEN q < low OR q > high THEN 'QUANTITY_OUT_OF_RANGE' WHEN p * q < notional THEN 'NOTIONAL_TOO_SMALL' END AS reject
+FROM (SELECT seq, symbol, CAST(CAST(price AS DECIMAL(18, 4)) - 110 + CASE WHEN seq % 11 = 0 THEN 0.001 ELSE 0 END AS DECIMAL(18, 4)) AS p, CAST(CAST(quantity AS DECIMAL(18, 6)) - 2 + CASE WHEN seq % 13 = 0 THEN 0.000001 ELSE 0 END AS DECIMAL(18, 6)) AS q FROM {C} WHERE command_type = 'NEW') c LEFT JOIN {LIMITS} ON l.symbol = c.symbol""")
 def validate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices and quantities are lowered, so that each rule meets orders."""
-    new = view(spark, sf_dir, ORDER_COMMANDS).where(F.col("command_type") == "NEW").withColumns({"price": (F.col("price") - 110).cast("decimal(20,8)"), "quantity": (F.col("quantity") - 2).cast("decimal(20,8)")})
-    return rules.validate_orders(new).groupBy("reject").agg(F.count("*").alias("n"))
+    """Prices and quantities are lowered, and some are off the tick or the step, so that each rule meets orders."""
+    price = F.col("price") - 110 + F.when(F.col("seq") % 11 == 0, F.lit("0.001").cast("decimal(4,3)")).otherwise(0)
+    quantity = F.col("quantity") - 2 + F.when(F.col("seq") % 13 == 0, F.lit("0.000001").cast("decimal(7,6)")).otherwise(0)
+    new = view(spark, sf_dir, ORDER_COMMANDS).where(F.col("command_type") == "NEW").withColumns({"price": price.cast("decimal(20,8)"), "quantity": quantity.cast("decimal(20,8)")})
+    return rules.validate_orders(new).select("seq", "symbol", money("price").alias("price"), money("quantity").alias("quantity"), "reject")
 
 
 @query(f"SELECT client_order_id, regexp_full_match(client_order_id, '[A-Za-z0-9_-]{{5,64}}') AS valid FROM {T}")
@@ -164,6 +183,15 @@ def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.pattern_counts(risk.order_flood(a, 1, length="1 day").unionByName(risk.order_flood(a, 1, True, "1 day")))
 
 
+@query(f"WITH {FLOODS} SELECT account_id, symbol, 'ORDER_FLOOD' AS pattern_type, count(*) AS n FROM log WHERE seen_at >= (SELECT max(seen_at) FROM log) - INTERVAL 10 DAY GROUP BY 1, 2")
+def pattern_counts_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the ten days before the last flood."""
+    a = view(spark, sf_dir, ACTIVITY)
+    log = risk.order_flood(a, 1, length="1 day").unionByName(risk.order_flood(a, 1, True, "1 day"))
+    since = log.agg((F.max(F.col("detected_at").cast("timestamp")) - F.expr("INTERVAL 10 DAY")).cast("string")).first()[0]
+    return risk.pattern_counts(log, since or "1970-01-01", True)
+
+
 @query(f"WITH {FLOODS} SELECT account_id, symbol, CAST(seen_at AS STRING) AS detected_at FROM log WHERE symbol IS NOT NULL AND account_id % 2 = 0")
 def anomaly_log_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = view(spark, sf_dir, ACTIVITY)
@@ -235,12 +263,20 @@ def volume_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.volume_limit(a, 500).select("event_id", "account_id", "accepted")
 
 
-@query()
-def match_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential per symbol; tests hold it against a loop and its invariants."""
+def the_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_orders(view(spark, sf_dir, ORDER_COMMANDS))
 
 
+@query(matching_sql.MATCH)
+def match_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return the_replay(spark, sf_dir).withColumn("at", text("at"))
+
+
+@query(matching_sql.STATES)
+def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.order_state(the_replay(spark, sf_dir))
+
+
 @query(f"SELECT count(DISTINCT symbol || client_order_id) AS n_orders, count(DISTINCT symbol) AS n_symbols, CAST(0 AS BIGINT) AS crossed, CAST(0 AS BIGINT) AS unbalanced FROM {C} WHERE command_type = 'NEW'")
 def match_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is met once, no book is crossed after the replay, and orders' filled quantities are twice the fills' in each symbol."""
@@ -252,25 +288,35 @@ def match_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumn("one", F.lit(1)).join(best.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-@query()
+@query(matching_sql.DEPTH)
 def book_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.book_depth(matching.order_state(matching.match_orders(view(spark, sf_dir, ORDER_COMMANDS))))
+    return matching.book_depth(matching.order_state(the_replay(spark, sf_dir)))
 
 
-@query()
+@query(matching_sql.NESTED)
 def nested_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    depth = matching.book_depth(matching.order_state(matching.match_orders(view(spark, sf_dir, ORDER_COMMANDS))))
+    depth = matching.book_depth(matching.order_state(the_replay(spark, sf_dir)))
     return matching.nested_book(depth).select("symbol", F.to_json("bids").alias("bids"), F.to_json("asks").alias("asks"))
 
 
-@query()
+@query(matching_sql.EXECUTION_MESSAGES)
 def emit_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.execution_messages(matching.emit_executions(matching.match_orders(view(spark, sf_dir, ORDER_COMMANDS))))
+    return matching.execution_messages(matching.emit_executions(the_replay(spark, sf_dir)))
 
 
-@query()
+@query(matching_sql.UPDATE_MESSAGES)
 def emit_order_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.update_messages(matching.match_orders(view(spark, sf_dir, ORDER_COMMANDS)))
+    return matching.update_messages(the_replay(spark, sf_dir))
+
+
+@query(f"SELECT symbol, user_id AS account_id, client_order_id, 'REJECTED' AS status, 0 AS remaining, CASE WHEN user_id % 10 = 0 THEN 'ACCOUNT_BLOCKED' ELSE 'SYMBOL_HALTED' END AS reason FROM {C} WHERE command_type = 'NEW' AND (user_id % 10 = 0 OR symbol = 'BTCKRW')")
+def match_with_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The updates of refused orders: every tenth account is blocked and one symbol halted."""
+    c = view(spark, sf_dir, ORDER_COMMANDS)
+    blocked = c.where("user_id % 10 = 0").select(F.col("user_id").alias("account_id"), F.lit("BLOCKED").alias("status")).distinct()
+    checked = risk.block_precheck(c, blocked, spark.createDataFrame([("BTCKRW",)], "symbol string"))
+    found = matching.match_orders(checked.unionByName(c.where("command_type <> 'NEW'").withColumn("reject", F.lit(None).cast("string"))))
+    return found.where("event_type = 'REJECTED'").select("symbol", "account_id", "client_order_id", "status", "remaining", "reason")
 
 
 @query(f"SELECT user_id, client_order_id, symbol, side, time_in_force, {out('price')} AS price, {out('quantity')} AS quantity, 'TEST' AS source, CAST(received_at AS STRING) AS received_at, CASE WHEN seq % 10 = 0 THEN 'quantity' END AS reject FROM (SELECT * REPLACE (CASE WHEN seq % 10 = 0 THEN NULL ELSE quantity END AS quantity) FROM {C} WHERE command_type = 'NEW')")
@@ -324,12 +370,6 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latency_percentiles(e, "event_type", "x")
 
 
-@query(f"SELECT account_id, count(*) AS n_orders FROM {A} WHERE command_type = 'NEW' GROUP BY 1 HAVING count(*) > 5")
-def daily_order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts over 5 orders in a clock window that covers the whole history."""
-    return risk.tumbling_limit(view(spark, sf_dir, ACTIVITY).where(F.col("command_type") == "NEW"), 5, "36500 days").select("account_id", F.col("n").alias("n_orders"))
-
-
 DAILY = f"""
 WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY ts, event_id) AS k FROM {A} WHERE command_type = 'NEW'),
 w AS (
@@ -343,7 +383,31 @@ w AS (
 
 
 @query(DAILY)
-def daily_order_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily rule: windows of a day from the first order, refusals that block for 24 hours. The test events are sparse: above 1."""
     new = view(spark, sf_dir, ACTIVITY).where(F.col("command_type") == "NEW")
     return risk.daily_order_limit(new, 1).select("event_id", "account_id", text("window_start").alias("window_start"), "n_in_window", "accepted")
+
+
+QUERIES["daily_order_block"], ORACLES["daily_order_block"] = daily_order_limit, ORACLES["daily_order_limit"]  # its name of old
+
+CHAIN = f"""
+WITH RECURSIVE a AS (SELECT *, {N} AS x, row_number() OVER (PARTITION BY account_id ORDER BY ts, event_id) AS k FROM {A} WHERE command_type = 'NEW'),
+w AS (
+  SELECT account_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, CAST(0 AS DECIMAL(38, 2)) AS total, CAST(NULL AS TIMESTAMP) AS upto, CAST(NULL AS TIMESTAMP) AS blocked, CAST(NULL AS TIMESTAMP) AS day_start, 0 AS n_day, CAST(NULL AS TIMESTAMP) AS minute_start, 0 AS n_minute, CAST(NULL AS VARCHAR) AS refused FROM a WHERE k = 1
+  UNION ALL
+  SELECT account_id, event_id, k, CASE WHEN why IN ('BLOCKED', 'VOLUME') THEN total ELSE base + x END, CASE WHEN why IN ('BLOCKED', 'VOLUME') THEN upto ELSE CAST(ts + INTERVAL 1 DAY AS TIMESTAMP) END, CASE WHEN why IN ('VOLUME', 'DAILY') THEN CAST(ts + INTERVAL 1 DAY AS TIMESTAMP) ELSE blocked END,
+         CASE WHEN why IN ('BLOCKED', 'VOLUME') THEN day_start ELSE new_day END, CASE WHEN why IN ('BLOCKED', 'VOLUME') THEN n_day ELSE day_n END, CASE WHEN why IN ('BLOCKED', 'VOLUME', 'DAILY') THEN minute_start ELSE new_minute END, CASE WHEN why IN ('BLOCKED', 'VOLUME', 'DAILY') THEN n_minute ELSE minute_n END, why
+  FROM (SELECT *, CASE WHEN coalesce(ts < blocked, false) THEN 'BLOCKED' WHEN base + x > 150 THEN 'VOLUME' WHEN day_n > 2 THEN 'DAILY' WHEN minute_n > 1 THEN 'RATE' END AS why FROM (
+    SELECT a.account_id, a.event_id, a.k, a.ts, a.x, w.total, w.upto, w.blocked, w.day_start, w.n_day, w.minute_start, w.n_minute, CASE WHEN w.upto IS NULL OR a.ts >= w.upto THEN 0 ELSE w.total END AS base,
+           CASE WHEN w.day_start IS NULL OR a.ts >= w.day_start + INTERVAL 1 DAY THEN a.ts ELSE w.day_start END AS new_day, CASE WHEN w.day_start IS NULL OR a.ts >= w.day_start + INTERVAL 1 DAY THEN 1 ELSE w.n_day + 1 END AS day_n,
+           CASE WHEN w.minute_start IS NULL OR a.ts >= w.minute_start + INTERVAL 1 MINUTE THEN a.ts ELSE w.minute_start END AS new_minute, CASE WHEN w.minute_start IS NULL OR a.ts >= w.minute_start + INTERVAL 1 MINUTE THEN 1 ELSE w.n_minute + 1 END AS minute_n
+    FROM w JOIN a ON a.account_id = w.account_id AND a.k = w.k + 1))
+) SELECT event_id, account_id, refused FROM w WHERE k > 0"""
+
+
+@query(CHAIN)
+def validate_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of all order checks. The test events are sparse: above a volume of 150, 2 orders in a day, 1 in a minute."""
+    a = view(spark, sf_dir, ACTIVITY).where("command_type = 'NEW'").withColumn("notional", (F.col("quantity").cast("decimal(18,2)") * 7).cast("decimal(20,8)"))
+    return risk.validate_risk(a, 150, 2, 1).select("event_id", "account_id", "refused")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.storage import stored
+
 
 def load_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -22,9 +25,33 @@ def overwrite_partitions(df: DataFrame, path: str, key: str) -> None:
 
 
 def write_clearing_results(results: DataFrame, path: str) -> None:
-    """Results by batch: a batch written again replaces its rows."""
-    one = results.groupBy("batch_id", "account_id", F.upper("asset").alias("_asset")).agg(F.min_by(F.struct(*results.columns), "closing_balance").alias("r")).select("r.*")
-    overwrite_partitions(one, path, "batch_id")
+    """Upserts results by (batch_id, account_id, asset in any case): a row with a stored row's key replaces it, all other rows of the batch
+    stay. Of several new rows with one key the last by updated_at, or by all columns where there is none, stands.
+
+    Only the batches that results has are read and written; they are written beside the old rows first and then moved in, so a
+    run that fails leaves the table as it was.
+    """
+    spark = results.sparkSession
+    given = stored(results.withColumn("_new", F.lit(True)))
+    ids = [r[0] for r in given.select("batch_id").distinct().collect()]  # few: a batch is a run of the clearing job
+    both = given
+    if ids and _there(spark, path):
+        both = given.unionByName(spark.read.parquet(path).where(F.col("batch_id").isin(ids)).withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    order = F.xxhash64(F.to_json(F.struct(*results.columns)))
+    newest = [F.col("_new").desc(), *([F.col("updated_at").desc_nulls_last()] if "updated_at" in results.columns else []), order.desc()]
+    place = F.row_number().over(Window.partitionBy("batch_id", "account_id", F.upper("asset")).orderBy(*newest))
+    kept = stored(both.withColumn("_place", place).where("_place = 1").drop("_place", "_new"))
+    overwrite_partitions(kept, path, "batch_id")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return False
+        raise
+    return True
 
 
 def write_recon_diffs(diffs: DataFrame, path: str, batch_id: int) -> None:

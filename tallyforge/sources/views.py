@@ -29,11 +29,11 @@ SELECT 'NEW' AS command_type, o_custkey AS user_id, 'c-' || CAST(o_orderkey AS S
        CASE WHEN CAST(floor(o_orderkey / 6) AS BIGINT) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 'LIMIT' AS order_type,
        CASE WHEN substr(o_orderpriority, 1, 1) = '5' THEN 'IOC' ELSE 'GTC' END AS time_in_force, CAST(100 + o_custkey % 20 AS DECIMAL(20, 8)) AS price,
        CAST(1 + o_orderkey % 9 AS DECIMAL(20, 8)) AS quantity, CAST(NULL AS STRING) AS cancel_by, CAST(NULL AS STRING) AS cancel_value, o_orderdate AS received_at,
-       o_orderkey AS seq
+       o_orderkey AS seq, CAST(o_orderkey % 6 AS INT) AS source_partition, 2 * o_orderkey AS source_offset
 FROM {{orders}}
 UNION ALL
 SELECT 'CANCEL', o_custkey, 'c-' || CAST(o_orderkey AS STRING), {SYMBOL.format("o_orderkey")}, NULL, NULL, NULL, NULL, NULL, 'CLIENT_ORDER_ID',
-       'c-' || CAST(o_orderkey AS STRING), o_orderdate + INTERVAL 1 DAY, o_orderkey
+       'c-' || CAST(o_orderkey AS STRING), o_orderdate + INTERVAL 1 DAY, o_orderkey, CAST(o_orderkey % 6 AS INT), 2 * o_orderkey + 1
 FROM {{orders}} WHERE o_orderstatus = 'P'
 """
 

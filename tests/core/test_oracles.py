@@ -1,10 +1,10 @@
 import pytest
 
-from tallyforge.plans import ledger_plans, trading_plans
+from tallyforge.plans import ledger_plans, stream_plans, trading_plans
 from tests.oracle import canonical, connect
 
-QUERIES = ledger_plans.QUERIES | trading_plans.QUERIES
-ORACLES = ledger_plans.ORACLES | trading_plans.ORACLES
+QUERIES = ledger_plans.QUERIES | trading_plans.QUERIES | stream_plans.QUERIES
+ORACLES = ledger_plans.ORACLES | trading_plans.ORACLES | stream_plans.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -12,6 +12,10 @@ def con(sf):
     return connect(sf)
 
 
+def test_every_query_has_an_oracle():
+    assert QUERIES.keys() == ORACLES.keys()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_oracle(spark, sf, con, name):
     got, want = QUERIES[name](spark, sf).toPandas(), con.sql(ORACLES[name]).df()

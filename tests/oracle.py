@@ -15,4 +15,6 @@ def connect(sf: str):
 def canonical(df) -> list[tuple]:
     """Rows as texts, columns by name, in an order that does not matter."""
     df = df[sorted(df.columns)].astype(object).where(df.notna(), None)
-    return sorted(tuple("" if v is None else repr(float(v)) if isinstance(v, float) else str(v) for v in row) for row in df.itertuples(index=False))
+    # pandas turns whole numbers beside nulls into floats, on one side or on both
+    shown = lambda v: "" if v is None else str(int(v)) if isinstance(v, float) and v.is_integer() else repr(float(v)) if isinstance(v, float) else str(v)
+    return sorted(tuple(map(shown, row)) for row in df.itertuples(index=False))
