@@ -4,8 +4,9 @@
 Candidates come first from SimHash: fingerprints of the sets within a few bits, by the BK-trees of simhash.links(). At a similarity
 of 0.8 two fingerprints differ in about 10 of 64 bits, which no tree can search through, so the pairs that SimHash leaves apart
 come from MinHash bands. Every candidate is checked exactly, on the sets of shingle hashes. Texts with the same set are one node. A
-band's nodes are first compared with the smallest of the band, so that a large family costs one comparison a member; what is then
-still apart within a band is compared in full. So every candidate pair is either checked or already in one group.
+band's nodes are first compared with the smallest of the band, so that a large family costs one comparison a member. Bands in which
+some are then still apart are compared in full, in parts of bounded size: a task intersects two parts of a band and returns
+which groups they link, never the pairs. So every candidate pair is either checked or already in one group.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ ROWS, BANDS = 6, 32
 SEED = 42
 #: Shingles whose minima are taken at once, so that a long text needs no more memory.
 BLOCK = 1 << 13
+#: Nodes and shingles in a part of a band at most, about; shingles that are counted at once.
+PART_NODES, PART_SHINGLES, COLUMNS = 1024, 2_000_000, 4096
 
 
 def hashes(text: str | None, n: int = SHINGLE):
@@ -59,11 +62,80 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = sets.select(F.col("node").alias("a"), F.col("h").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
     pairs = stored(pairs.distinct(), "near-copy-pairs")
-    both = lookup(pairs.join(x, "a"), y, pairs.groupBy("b").agg(F.count("*").alias("n")), "b", "a")
+    both = lookup(pairs.join(x, "a"), y, pairs.groupBy("b").agg(F.count("*").alias("n")), "b", F.col("a"))
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("met"), (F.size("x") + F.size("y")).alias("all"))
     return stored(both.where(F.col("met") * LEAST[1] >= (F.col("all") - F.col("met")) * LEAST[0]).select("a", "b"), "near-copy-links")
 
 
+def links_between(low: list, high: list) -> list[tuple[int, int]]:
+    """Stars of the roots that alike sets link: low and high are parts (root, hashes) of a band; high is empty where a part meets itself."""
+    import numpy as np
+
+    both = low + high
+    sizes = np.array([len(h) for _, h in both])
+    _, column, times = np.unique(np.concatenate([h for _, h in both]), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)  # only these can be in an intersection
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    column, owner = place[column], np.repeat(np.arange(len(both)), sizes)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    left = slice(0, len(low))
+    right = slice(len(low), None) if high else left
+    met = np.zeros((len(low), len(high) or len(low)), dtype=np.float32)
+    for start in range(0, len(shared), COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        has = np.zeros((len(both), min(COLUMNS, len(shared) - start)), dtype=np.float32)
+        has[owner[a:b], column[a:b] - start] = 1
+        met += has[left] @ has[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - met
+    groups = simhash.Groups()
+    for i, j in zip(*np.nonzero(met * LEAST[1] >= union * LEAST[0])):
+        x, y = both[i][0], both[j + (len(low) if high else 0)][0]
+        if x != y:
+            groups.link(x, y)
+    return groups.stars()
+
+
+def compared(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """apart (key, node, root): the nodes of bands -> (a, b): links between the roots of nodes that are alike and share a band.
+
+    A large band is cut into parts by hash, and each two parts are a task; so the work, though not what is returned, grows with the
+    square of a band of unlike texts.
+    """
+    weights = sets.select("node", F.size("h").alias("size"))
+    parts = apart.join(weights, "node").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / PART_NODES), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
+    rows = apart.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["key", "low", "high"]
+    tasks = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "root", "node").join(sets, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near-copies")
+        key, sides, found = None, {}, []
+
+        def ended() -> list[tuple[int, int]]:
+            low, high = (sides.get(key[1], []), sides.get(key[2], []) if key[1] < key[2] else []) if key else ([], [])
+            return links_between(low, high) if low and (high or key[1] == key[2]) else []
+
+        def made(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            *heads, lists = batch.columns
+            values, ends = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().cumsum()
+            for i, (*k, part, root) in enumerate(zip(*[c.to_pylist() for c in heads])):
+                if k != key:
+                    found += ended()
+                    key, sides = k, {}
+                sides.setdefault(part, []).append((root, values[ends[i - 1] if i else 0 : ends[i]].copy()))
+            yield made(found)
+            found = []
+        yield made(ended())
+
+    dealt = tasks.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "part", "root", "h")
+    return stored(dealt.mapInArrow(run, "a long, b long"), "near-copy-links")
+
+
 def rooted(nodes: DataFrame, found: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
     """nodes with the root that links lead to."""
     return nodes.join(found.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
@@ -114,12 +186,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     links = links.union(checked(first, sets))
     apart = stored(rooted(members, components(links)), "near-copy-roots")
     open_ = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = apart.join(open_, "key").select("key", "node", "root", "least").where("node <> least")  # the least has been compared
-    right = left.select("key", F.col("node").alias("b"), F.col("root").alias("_root"))
-    second = left.select("key", F.col("node").alias("a"), "root").join(right, "key").where("a > b AND root <> _root").select("a", "b")
-    groups = components(links.union(checked(second, sets)))
+    groups = components(links.union(compared(apart.join(open_, "key").select("key", "node", "root"), sets)))
 
     nodes = rooted(per_node.select("node", "first"), groups)
     smallest = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = nodes.join(smallest, "root").select("node", "root", "component_id")
-    return lookup(rows.select("doc_id", "copy", "node"), classes, per_node.select("node", "n"), "node", "doc_id").select("doc_id", "copy", "root", "component_id")
+    return lookup(rows.select("doc_id", "copy", "node"), classes, per_node.select("node", "n"), "node", F.col("doc_id")).select("doc_id", "copy", "root", "component_id")

@@ -59,6 +59,32 @@ def test_chains_within_a_band(spark):
     assert got == slow_groups(rows) == {i: 0 for i in range(30)}
 
 
+def test_a_family_just_under_the_similarity(spark, monkeypatch):
+    """Copies that share bands with all others, of which few are alike: bands are compared in parts, and no pairs are returned."""
+    monkeypatch.setattr(near_copies, "PART_NODES", 7)
+    monkeypatch.setattr(near_copies, "COLUMNS", 50)
+    r = random.Random(3)
+    base, rows = [f"w{r.randrange(10**6)}" for _ in range(150)], []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.choice((2, 3, 5))):
+            words[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = slow_groups(rows)
+    assert got == want and 1 < len(set(want.values())) < 60
+
+
+def test_links_between_parts():
+    import numpy as np
+
+    sets = [np.array(x) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [9, 8], [1, 2, 3, 4], [9, 8, 7])]
+    low = list(enumerate(sets))
+    assert sorted(near_copies.links_between(low, [])) == [(1, 0), (3, 0)]
+    assert near_copies.links_between(low[:1], low[1:]) == [(1, 0), (3, 0)]
+    assert near_copies.links_between(low[2:3], low[4:]) == []
+
+
 def test_stage_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs, sf).collect())
