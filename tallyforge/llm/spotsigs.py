@@ -1,7 +1,8 @@
 """SpotSigs document fingerprints.
 
 A signature is a common word (an anchor) with the content words that follow it; the signatures of a text are a set
-that survives edits elsewhere in the text. Two sets are compared by Jaccard similarity, which cannot exceed the ratio of
+that survives edits elsewhere in the text. The anchors are those of four languages written in Latin letters; a text in which they
+are rare, being in another language or no prose, takes every word as an anchor. Two sets are compared by Jaccard similarity, which cannot exceed the ratio of
 their sizes: sets are partitioned by size so that only neighbouring partitions meet, and a pair whose sizes are too
 far apart is not intersected. All by built-in functions.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import stored
+from tallyforge.llm.shared import picked, stored
 
 #: Common words of English, French, German and Spanish. Fixed values.
 ANCHORS = (
@@ -24,6 +25,10 @@ ANCHORS = (
 MARKS = r"!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u205e"
 #: Content words in a chain, and common words that may stand before each of them.
 CHAIN, SPOT = 2, 8
+#: A text with fewer signatures than one for so many words takes every word as an anchor.
+RARE = 8
+#: Scripts written without spaces, of which each character is a word.
+SCRIPTS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}]"
 #: Documents in a run of neighbours.
 RUN = 2000
 
@@ -38,8 +43,10 @@ def _any_of(words: list[str]) -> str:
 
 
 def normal(text: Column) -> Column:
-    """The text's words in lower case and without marks at their ends, one space after each and a space before all."""
-    spaced = F.regexp_replace(F.lower(text), r"[\x01\x09-\x0D ]{2,}+|[\x01\x09-\x0D]", " ")
+    """The text's words in lower case and without marks at their ends, one space after each and a space before all. Characters of SCRIPTS
+    are words of their own."""
+    apart = F.when(text.rlike(SCRIPTS), F.regexp_replace(text, f"({SCRIPTS})", " $1 ")).otherwise(text)
+    spaced = F.regexp_replace(F.lower(apart), r"[\x01\x09-\x0D ]{2,}+|[\x01\x09-\x0D]", " ")
     bare = F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), f"(?<= )[{MARKS}]++|[{MARKS}]++(?= )", "")
     return F.regexp_replace(bare, " {2,}+", " ")
 
@@ -47,14 +54,18 @@ def normal(text: Column) -> Column:
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with the text's signatures as a sorted set of 64-bit hashes.
 
-    Each occurrence of an anchor that is followed by CHAIN content words, each with at most SPOT anchors before it, gives one.
-    A text without any has one signature of its own, made of all of its words; so equal texts have equal sets, and two texts
-    without anchors are alike only if their words are. Columns are added one by one, so that none is computed twice.
+    Each occurrence of an anchor that is followed by CHAIN content words, each with at most SPOT anchors before it, gives one. Where
+    that is less than one for RARE words, each word with the CHAIN words after it gives one instead; so an edit changes few of the signatures
+    in any language. A text of CHAIN words or fewer has one signature, made of all of its words. Columns are added one by one, so that none is
+    computed twice.
     """
     chain = f"(?:\\x01[^ ]++ ){{0,{SPOT}}}+[^ ]++ " * CHAIN
     df = df.withColumn("_words", normal(F.coalesce(F.col(text), F.lit(""))))
     marked = F.regexp_replace("_words", f" ({_any_of(ANCHORS)})(?= )", " \x01$1")
     df = df.withColumn("_spots", F.regexp_extract_all(marked, F.lit(f"(?=(\\x01[^ ]++ {chain}))"), F.lit(1)))
+    n = F.char_length("_words") - F.char_length(F.replace(F.col("_words"), F.lit(" "))) - 1
+    every = F.regexp_extract_all("_words", F.lit(f"(?=( [^ ]++ {'[^ ]++ ' * CHAIN}))"), F.lit(1))
+    df = df.withColumn("_spots", F.when(F.size("_spots") * RARE < n, every).otherwise(F.col("_spots")))
     # the anchors inside the chain are left out: they are not what tells texts apart
     found = F.transform("_spots", lambda x: F.xxhash64(F.when(F.locate("\x01", x, 2) > 0, F.regexp_replace(x, r"(?<= )\x01[^ ]++ ", "")).otherwise(x)))
     own = F.array(F.xxhash64(F.concat(F.lit("="), "_words")))
@@ -75,7 +86,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     Null ids come first; equal ids are ordered by text. Ids are cut into runs of about RUN documents at quantiles; the document that
     starts a run is also sent to the run before, so that each run finds its neighbours by itself and texts move once.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = picked(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     seen = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
     runs = min(1 << 14, max(1, seen["n"] // RUN))
     cuts = []
@@ -103,7 +114,8 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     its last quarter replaced by the start of the next document, and against the next document.
 
     A fingerprint is its signatures joined by spaces. Null and empty texts have 0 characters and the signature of no words. A
-    single document is its own next. Repeated rows are kept; other columns are not returned.
+    single document is its own next. Very long texts are taken whole. Repeated rows are kept; other columns are not returned. The pairs
+    compared are given, so nothing is left to prune: near_edited and near_next are the exact similarities.
     """
     rows = with_next(docs, doc_id, text)
     n = F.char_length("text")
@@ -118,22 +130,25 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def similar_pairs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, similarity): all pairs of different signature sets whose Jaccard similarity is at least `least`, by the smallest
-    doc_id of each set.
+    """(a, b, similarity): all pairs of different signature sets whose Jaccard similarity is at least `least`, each set by the smallest
+    doc_id of its documents, which is null where all are.
 
     Sets are partitioned by size: partition k holds sizes from least^-k on, so a set meets only its own partition and the next.
     Within those, sets meet that share one of their rarest signatures: of a set with n, any set that is similar enough holds
-    one of the n - ceil(least * n) + 1 rarest. Documents with equal sets are one set; null ids are left to the others of theirs.
+    one of the n - ceil(least * n) + 1 rarest. Documents with equal sets are one set, so copies are not expanded into pairs; the
+    pairs of a family of n different sets that are all alike are n * (n - 1) / 2, being what is asked for.
     """
     from math import log
 
-    sets = with_signatures(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "s").groupBy("s").agg(F.min("doc_id").alias("id")).where("id is not null")
+    given = picked(docs, doc_id=doc_id, text=text)
+    sets = with_signatures(given, "text", "s").withColumn("set", F.xxhash64("s")).groupBy("set", "s").agg(F.min("doc_id").alias("id"))
     sets = stored(sets.withColumn("n", F.size("s")).withColumn("part", F.floor(F.log("n") / F.lit(-log(least)) + 1e-9)), "spotsigs")
-    spots = sets.select("id", "n", "part", F.explode("s").alias("x"))
-    rank = Window.partitionBy("id").orderBy("freq", "x")
+    spots = sets.select("set", "n", "part", F.explode("s").alias("x"))
+    rank = Window.partitionBy("set").orderBy("freq", "x")
     rare = spots.join(spots.groupBy("x").agg(F.count("*").alias("freq")), "x").withColumn("place", F.row_number().over(rank))
-    rare = rare.where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("id", "n", "part", "x")
-    met = rare.select(F.col("id").alias("a"), F.col("n").alias("na"), "x", F.explode(F.array("part", F.col("part") + 1)).alias("part")).join(rare.select(F.col("id").alias("b"), F.col("n").alias("nb"), "x", "part"), ["x", "part"])
+    rare = rare.where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("set", "n", "part", "x")
+    met = rare.select(F.col("set").alias("a"), F.col("n").alias("na"), "x", F.explode(F.array("part", F.col("part") + 1)).alias("part")).join(rare.select(F.col("set").alias("b"), F.col("n").alias("nb"), "x", "part"), ["x", "part"])
     met = met.where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).where(F.col("na") >= F.col("nb") * least - 1e-9).select("a", "b").distinct()
-    both = met.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", jaccard(F.col("sa"), F.col("sb"), least).alias("similarity")).where(F.col("similarity") >= least)
+    both = met.join(sets.select(F.col("set").alias("a"), F.col("s").alias("sa"), F.col("id").alias("ida")), "a").join(sets.select(F.col("set").alias("b"), F.col("s").alias("sb"), F.col("id").alias("idb")), "b")
+    found = both.select("ida", "idb", jaccard(F.col("sa"), F.col("sb"), least).alias("similarity")).where(F.col("similarity") >= least)
+    return found.select(F.least("ida", "idb").alias("a"), F.when(F.col("ida").isNotNull() & F.col("idb").isNotNull(), F.greatest("ida", "idb")).alias("b"), "similarity")

@@ -5,19 +5,24 @@ import pytest
 import xxhash
 
 from tallyforge.llm import spotsigs
-from tallyforge.llm.spotsigs import ANCHORS, CHAIN, MARKS, SPOT
+from tallyforge.llm.spotsigs import ANCHORS, CHAIN, MARKS, RARE, SPOT
 
 MARK = re.compile(f"^[{MARKS}]+|[{MARKS}]+$")
 
 
+#: Han, kana and Thai.
+APART = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\u3041-\u3096\u30a1-\u30fa\u0e01-\u0e3a]").match
+
+
 def signed(text):
     h = xxhash.xxh64_intdigest(text.encode(), 42)
     return h - (h >> 63 << 64)
 
 
 def slow_signatures(text):
-    words = [w for w in (MARK.sub("", w) for w in re.split(r"[\x01\x09-\x0D ]+", (text or "").lower())) if w]
-    common, found = set(ANCHORS), set()
+    apart = "".join(f" {c} " if APART(c) else c for c in text or "")
+    words = [w for w in (MARK.sub("", w) for w in re.split(r"[\x01\x09-\x0D ]+", apart.lower())) if w]
+    common, found, n = set(ANCHORS), set(), 0
     for i, w in enumerate(words):
         if w not in common:
             continue
@@ -30,7 +35,10 @@ def slow_signatures(text):
                 chain.append(words[at])
                 at += 1
         if len(chain) == CHAIN:
+            n += 1
             found.add(signed("\x01" + " ".join([w, *[c for c in chain if c not in common]]) + " "))
+    if n * RARE < len(words):
+        found = {signed(" " + "".join(w + " " for w in words[i : i + CHAIN + 1])) for i in range(len(words) - CHAIN)}
     return found or {signed("= " + "".join(w + " " for w in words))}
 
 
@@ -58,7 +66,7 @@ def test_edits_equal_brute_force(spark, sf, monkeypatch, run):
 
 def test_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(spotsigs, "RUN", 2)
-    texts = {None: "the first of all", -5: None, 0: "", 3: "the " * 40 + "cat sat", 4: "🙂é the \x01 dog's bone, (the) end!", 9: "no anchors here?", 10: "of the", 11: "the big dog " * 3000}
+    texts = {None: "the first of all", -5: None, 0: "", 3: "the " * 40 + "cat sat", 4: "🙂é the \x01 dog's bone, (the) end!", 9: "no anchors here?", 10: "of the", 11: "the big dog " * 3000, 12: "кошка и собака спят на старом диване у окна весь день", 13: "我喜欢在图书馆读书。他不喜欢 ねこ แมว", 14: "a | b | c | d", 15: "x"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 AS own", "2 AS run")
     check({r.doc_id: r for r in spotsigs.edits(docs).collect()}, texts)
     one = spotsigs.edits(docs.where("doc_id = 4")).first()
@@ -68,14 +76,29 @@ def test_odd_texts(spark, monkeypatch):
     assert [r.near_next for r in spotsigs.edits(twice).collect()] == [1.0, 1.0]
 
 
+def test_texts_of_any_script_lose_little_by_an_edit(spark):
+    import random
+
+    rnd = random.Random(1)
+    letters = {"ru": "абвгдежзик", "zh": "的一是在不了有和人这中大为上个国我以要他时来用们", "el": "αβγδεζηθικ", "list": "0123456789"}
+    texts = {}
+    for k, a in enumerate(letters.values()):
+        for i in range(3):
+            texts[10 * k + i] = "".join(rnd.choice(a) for _ in range(900)) if a[0] == "的" else " ".join("".join(rnd.choices(a, k=5)) for _ in range(300))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = spotsigs.edits(docs).collect()
+    assert all(0.4 < r.near_edited < 0.9 and r.near_next < 0.2 for r in rows if r.doc_id % 10 < 2)  # the next is of the same script
+
+
 def test_similar_pairs_equal_brute_force(spark, sf):
     base = "the red fox saw the old dog and the young cat under a tall tree by the cold river "
-    rows = [(i, base * 2 + " ".join(f"the w{i}{j} x{j}" for j in range(i % 4))) for i in range(12)] + [(100, None), (101, ""), (102, base)]
+    rows = [(i, base * 2 + " ".join(f"the w{i}{j} x{j}" for j in range(i % 4))) for i in range(12)] + [(100, None), (101, ""), (102, base), (None, base + "the end of it all")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").selectExpr("doc_id + 1000", "text"))
     got = {(r.a, r.b): r.similarity for r in spotsigs.similar_pairs(docs, 0.6).collect()}
     sets = {}
-    for d, t in sorted((r.doc_id, r.text) for r in docs.collect()):
+    for d, t in sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (x[0] is None, x)):
         sets.setdefault(frozenset(slow_signatures(t)), d)
-    items = sorted(((d, s) for s, d in sets.items()), key=lambda x: (len(x[1]), x[0]))
-    want = {(a, b): len(x & y) / len(x | y) for i, (a, x) in enumerate(items) for b, y in items[i + 1 :] if len(x & y) >= 0.6 * len(x | y)}
+    items = [(d, s) for s, d in sets.items()]
+    named = lambda a, b: (min(x for x in (a, b) if x is not None), None if None in (a, b) else max(a, b))
+    want = {named(a, b): len(x & y) / len(x | y) for i, (a, x) in enumerate(items) for b, y in items[i + 1 :] if len(x & y) >= 0.6 * len(x | y)}
     assert got == pytest.approx(want) and want
