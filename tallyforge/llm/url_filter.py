@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyforge.llm.shared import ascii_lower, stored
+from tallyforge.llm.shared import ascii_lower, kept, lookup, named_back, numbered, place, stored
 
 #: (verdict, rule); a rule is a host and the start of a path. Fixed by the contract.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -22,6 +22,8 @@ SYMBOLS = 40
 ORDER = 3
 #: Thresholds are tried at multiples of 1/32 from -8 to 8.
 STEPS, REACH = 32, 8
+#: The model goes to every task up to so many grams (of about 30 bytes); a larger one is joined by a shuffle.
+BROADCAST_GRAMS = 300_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -75,10 +77,10 @@ def model(counts: DataFrame) -> DataFrame:
 
 
 def best_threshold(scored: DataFrame) -> float:
-    """Of the multiples of 1/STEPS, the one at which score >= threshold separates held-out ruled urls best; ties: the
-    smallest in size, then the lower. 0 unless both verdicts occur among them."""
+    """scored (score, held_good, held_bad) -> of the multiples of 1/STEPS, the one at which score >= threshold separates held-out
+    ruled urls best; ties: the smallest in size, then the lower. 0 unless both verdicts occur among them."""
     step = F.least(F.greatest(F.floor(F.col("score") * STEPS), F.lit(-REACH * STEPS)), F.lit(REACH * STEPS)).cast("int")
-    bins = scored.where("_held").groupBy(step.alias("step")).agg(F.sum((F.col("verdict") == "allow").cast("long")).alias("good"), F.sum((F.col("verdict") == "block").cast("long")).alias("bad"))
+    bins = scored.where("held_good + held_bad > 0").groupBy(step.alias("step")).agg(F.sum("held_good").alias("good"), F.sum("held_bad").alias("bad"))
     every = scored.sparkSession.range(-REACH * STEPS, REACH * STEPS + 1).select(F.col("id").cast("int").alias("step"))
     upto, all_ = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     tried = (  # at most 2 * REACH * STEPS + 1 rows
@@ -90,27 +92,40 @@ def best_threshold(scored: DataFrame) -> float:
     return best["step"] / STEPS if best else 0.0
 
 
+def scores(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (key: folded url, rule, verdict, held) -> (scored, counts): scored (key, held_good, held_bad, score) with the score of each
+    different folded url, rounded to 9 places, and counts (key, n)."""
+    says = {v: (F.col("verdict") == v) for v in ("allow", "block")}
+    ruled, held = F.col("rule").isNotNull(), F.col("held")
+    tally = {f"{part}_{name}": F.count_if(ruled & says[v] & (held if part == "held" else ~held)) for part in ("train", "held") for v, name in (("allow", "good"), ("block", "bad"))}
+    keys = stored(rows.groupBy("key").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in tally.items()]), "url-keys")
+    every = keys.select("key", "train_good", "train_bad", "held_good", "held_bad", F.explode(grams(F.col("key"))).alias("gram"))
+    counts = every.groupBy("gram").agg(F.sum("train_good").alias("accepted"), F.sum("train_bad").alias("rejected"))
+    gains = stored(model(stored(counts, "url-counts")), "url-model")
+    sent = F.broadcast(gains) if gains.count() <= BROADCAST_GRAMS else gains  # at most SYMBOLS ** (ORDER + 1)
+    scored = every.join(sent, "gram").groupBy("key", "held_good", "held_bad").agg(F.round(F.avg("gain"), 9).alias("score"))
+    return stored(scored, "url-scores"), keys.select("key", "n")
+
+
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule, score and verdict (allow or block) for every row.
 
     The rule's verdict stands where a rule fits; else the url is allowed if its score reaches the calibrated threshold.
     Ruled urls whose md5 starts with 0, 1 or 2 calibrate and do not train. Null and empty urls: empty host and path, judged
-    by the end mark alone. Repeated rows are judged alike and all kept. No ruled url of one side: that side is uniform and
-    the threshold is 0. Columns of pages named like a new one are replaced.
+    by the end mark alone. Very long urls are judged whole. Repeated rows are judged alike and all kept. No ruled url of one side: that
+    side is uniform and the threshold is 0. Columns of pages named like a new one, in any case, are replaced; all others stay.
     """
     made = ["host", "path", "rule", "verdict", "score"]
-    kept = [c for c in pages.columns if c not in made]
-    host, path = host_and_path(F.col(url))
-    rows = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"), F.col(url).alias("_url"))
+    given, of = numbered(pages), F.col(f"c{place(pages, url)}")
+    host, path = host_and_path(of)
+    rows = given.select("*", host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
-    rows = rows.withColumns({"_held": F.col("rule").isNotNull() & F.substring(F.md5(F.coalesce("_url", F.lit(""))), 1, 1).isin("0", "1", "2"), "_row": F.monotonically_increasing_id(), "_grams": grams(folded(F.col("_url")))}).drop("_url")
-    trains = F.col("rule").isNotNull() & ~F.col("_held")
-    counts = rows.select(F.explode("_grams").alias("gram"), (trains & (F.col("verdict") == "allow")).cast("long").alias("_a"), (trains & (F.col("verdict") == "block")).cast("long").alias("_r")).groupBy("gram").agg(F.sum("_a").alias("accepted"), F.sum("_r").alias("rejected"))
-    gains = stored(model(stored(counts, "url-counts")), "url-model")
-    marks = [*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", "verdict", "_held", "_row"]
-    gains = gains.select(F.col("gram").alias("_gram"), F.col("gain").alias("_gain"))
-    scored = rows.select(*marks, F.explode("_grams").alias("_gram")).join(F.broadcast(gains), "_gram").groupBy(*marks).agg(F.round(F.avg("_gain"), 9).alias("score"))  # at most SYMBOLS ** (ORDER + 1) gains
-    scored = stored(scored.drop("_row"), "url-scores")
+    held = F.col("rule").isNotNull() & F.substring(F.md5(F.coalesce(of, F.lit(""))), 1, 1).isin("0", "1", "2")
+    rows = rows.withColumns({"held": held, "key": folded(of)})
+    scored, counts = scores(rows.select("key", "rule", "verdict", "held"))
     at = best_threshold(scored)
-    return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= at, "allow").otherwise("block"))).select(*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", "verdict", "score")
+    places = [f"c{i}" for i in kept(pages, made)]
+    judged = lookup(rows.select(*places, "host", "path", "rule", "verdict", "key"), scored.select("key", "score"), counts, "key", F.to_json(F.struct(*places, "host")))
+    judged = judged.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= at, "allow").otherwise("block")))
+    return named_back(judged, pages, made)
