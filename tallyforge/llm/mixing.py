@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import n_words, stored
+from tallyforge.llm.shared import n_words, numbered, picked, place, running, stored
 
 #: Words in a block; slots that are ranked together; buckets of a source's shuffled order.
 BLOCK, RUN, BUCKETS = 256, 4096, 4096
@@ -44,15 +44,6 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return level.select("source", "source_size", "ix", "weight", target.alias("target"))
 
 
-def _running(df: DataFrame, group: list[str], bucket: str, order: list, value: Column, name: str) -> DataFrame:
-    """df with the sum of value over the rows of its group before it, by bucket and then by order within the bucket."""
-    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*group, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, [*group, bucket]).withColumn(name, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside")
-
-
 def schedule(sources: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     """sources (ix, target) -> (slot, ix, rank): which source's block each slot takes, as many as the targets need.
 
@@ -69,11 +60,12 @@ def schedule(sources: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     point = (F.col("id") % UNIT * GOLDEN) % UNIT
     slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("point"), F.floor(point / (UNIT // cells)).alias("cell"))
     slots = slots.join(held, "cell").where("point >= from and point < to").select("slot", "ix", "needed", F.floor(F.col("slot") / RUN).alias("run"))
-    ranked = _running(slots, ["ix"], "run", ["slot"], F.lit(1), "rank").where("rank < needed").select("slot", "ix", "rank")
+    ranked = running(slots, ["ix"], "run", ["slot"], F.lit(1), "rank").where("rank < needed").select("slot", "ix", "rank")
     met = slots.groupBy("ix").agg(F.count("*").alias("met"))
     missing = shares.join(met, "ix", "left").select("ix", "needed", F.coalesce("met", F.lit(0)).alias("met")).where("met < needed")
-    missing = missing.select("ix", F.explode(F.sequence(F.col("met"), F.col("needed") - 1)).alias("rank"))
-    return ranked.unionByName(missing.select((F.lit(n) + F.col("rank") * 0).alias("slot"), "ix", "rank"))
+    missing = missing.select("ix", "met", F.explode(F.sequence(F.col("met"), F.col("needed") - 1)).alias("rank"))
+    turn = (F.col("rank") - F.col("met")) * F.lit(sources.count()) + F.col("ix")  # the sources take turns
+    return ranked.unionByName(missing.select((F.lit(n) + turn).alias("slot"), "ix", "rank"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -83,13 +75,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     Null texts have size 0; null sources are one source, last in order; null doc_ids are mixed like others. Repeated rows are
     rows of their own; ties in the shuffled order fall to doc_id and size. No row: both empty. Other columns are not returned.
     """
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    sized = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row")), "sizes")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    given = picked(docs, doc_id=doc_id, text=text, source=source)
+    sized = stored(given.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row")), "sizes")
     sources = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     rows = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * BUCKETS / (1 << 24)))
-    rows = stored(_running(rows, ["ix"], "bucket", ["key", "doc_id", "size", "row"], F.col("size"), "start").drop("bucket", "key"), "mix-rows")
+    rows = stored(running(rows, ["ix"], "bucket", ["key", "doc_id", "size", "row"], F.col("size"), "start").drop("bucket", "key"), "mix-rows")
     quota = F.round("target").cast("long")
     at = F.col("start") + F.col("epoch") * F.col("source_size")
     pieces = rows.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select("ix", "doc_id", "row", at.alias("at"), F.least(at + F.col("size"), quota).alias("end")).where("at < end")
@@ -100,20 +93,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, row): the words that the mix takes of each document, repeats counted."""
+    """(doc_id, source, size, source_size, target, taken, row): the words that the mix takes of each document, repeats counted. A row for
+    every row of docs, whatever it holds; options and odd rows as in mix()."""
     rows, takes = mix(docs, **options)
     sums = takes.groupBy("row").agg(F.sum("words").alias("taken"))
     return rows.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs as the mix has them: a document once for each whole time that the mix takes it, and once more for half or more
-    of its words; not at all where it takes less. Documents without words are kept once. All columns of docs and no others."""
-    names, key = docs.columns, F.xxhash64("doc_id", "source", "text")
-    plan = taken(docs.select("doc_id", "source", "text")).groupBy("doc_id", "source", "size").agg(F.min("taken").alias("low"), F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    plan = plan.select("doc_id", "source", "size", F.when(F.col("size") == 0, 1.0).otherwise(F.col("taken") / F.col("rows") / F.col("size")).alias("_times"))
-    given = docs.select("*", n_words(F.col("text")).alias("_size"))
-    plan = plan.toDF("_doc", "_src", "_n", "_times")
-    kept = given.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_n")))
-    copies = F.floor(F.col("_times") + 0.5).cast("int")
-    return kept.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{n}`") for n in names])
+    of its words; not at all where it takes less. Null and empty texts and others without words are kept once. Rows of one doc_id, source
+    and size share what is taken of them evenly. All columns of docs and no others, whatever their names; an empty table stays empty."""
+    plan = taken(docs, doc_id=doc_id, text=text, source=source).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    times = F.when(F.col("size") == 0, 1.0).otherwise(F.col("taken") / F.col("rows") / F.col("size"))
+    plan = plan.select("doc_id", "source", "size", F.floor(times + 0.5).cast("int").alias("copies")).where("copies > 0")
+    flat = numbered(docs)
+    of_id, of_text, of_source = (F.col(f"c{place(docs, c)}") for c in (doc_id, text, source))
+    sized = flat.select("*", n_words(of_text).alias("words"))
+    kept = sized.join(plan, of_id.eqNullSafe(F.col("doc_id")) & of_source.eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*flat.columns).toDF(*docs.columns)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tallyforge.operators.storage import checkpointed, new_folder, stored  # noqa: F401
+from tallyforge.operators.sums import running  # noqa: F401
 
 #: White space that separates words, fixed by the contracts of the operators.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -94,27 +95,6 @@ def held(key: object, make: Callable[[], object] = lambda: None) -> object:
     return _held[key]
 
 
-# --- sums ----------------------------------------------------------------------------------------------------------
-
-
-def running(df: DataFrame, group: list[str], bucket: str, order: list, value: Column, name: str) -> DataFrame:
-    """df with the sum of value over the rows of its group before it, by bucket and then by order within the bucket.
-
-    Prefix sums of two levels: a task sees one bucket of a group, or one row for each bucket. Null groups match each other.
-    """
-    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    keys = [*group, bucket]
-    offsets = sums.select(*[F.col(k).alias(f"_{k}_") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    same = None
-    for k in keys:
-        equal = F.col(k).eqNullSafe(F.col(f"_{k}_"))
-        same = equal if same is None else same & equal
-    placed = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, same)
-    return placed.withColumn(name, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside", *[f"_{k}_" for k in keys])
-
-
 # --- joins on keys of which some are hot ---------------------------------------------------------------------------
 
 #: Rows of a key that one task takes in any case; keys above that and above a thousandth of all rows are hot, so there are never
@@ -122,16 +102,16 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list, value: Co
 HOT_ROWS, HOT_SHARE = 20_000, 1000
 
 
-def lookup(rows: DataFrame, table: DataFrame, counts: DataFrame, key: str, by: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, counts: DataFrame, key: str, by: Column) -> DataFrame:
     """rows joined with table, which has each of their keys once; counts (key, n) are the keys' rows, of which nulls are none.
 
-    The rows of a hot key are dealt by a hash of the column `by` to several tasks, each with a copy of the table's row. Only the hot
-    keys, at most HOT_SHARE, are broadcast.
+    The rows of a hot key are dealt by a hash of `by` to several tasks, each with a copy of the table's row. Only the hot keys, at
+    most HOT_SHARE, are broadcast.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
     most = max(HOT_ROWS, total // HOT_SHARE)
     hot = F.broadcast(counts.where(F.col("n") > most).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / most).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_hot", "_parts")
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.when(parts > 1, F.pmod(F.xxhash64(by), parts).cast("int")).otherwise(0)).drop("_hot", "_parts")
     copies = table.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
     return dealt.join(copies, [key, "_part"]).drop("_part")

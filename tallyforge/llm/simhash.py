@@ -238,4 +238,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return lookup(rows, classes, nodes.select("fp", "n"), "fp", "doc_id").select("doc_id", "fp", "component_id")
+    return lookup(rows, classes, nodes.select("fp", "n"), "fp", F.col("doc_id")).select("doc_id", "fp", "component_id")

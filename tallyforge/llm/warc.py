@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import new_folder, stored
+from tallyforge.llm.shared import new_folder, picked, stored
 
 #: Bytes of a block in one record, of an HTTP chunk, of an archive before a new one begins, and of what is read at once.
 SEGMENT, CHUNK, ARCHIVE, AT_ONCE = 16_384, 4096, 64 << 20, 4 << 20
@@ -82,8 +82,10 @@ def records(record_id: str, uri: str | None, payload: bytes, refers_to: str | No
 def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """(record_id, uri, payload, refers_to): refers_to is null for a response. Of records with equal payloads of at least
     least_bytes, the one with the largest page_id is the response; rows without a page_id revisit it, or are all responses if
-    none has one. Repeated rows of the largest page_id are all responses. Null payloads are empty."""
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("uri"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
+    none has one. Repeated rows of the largest page_id are all responses. Null payloads are empty, very long ones are written whole, in
+    segments. Other columns of pages, whatever their names, are not used."""
+    given = picked(pages, page_id=page_id, uri=url, html=html)
+    rows = given.select(F.col("page_id").cast("long"), "uri", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("sha"))
     groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "sha"), F.lit(SALTS)).cast("int")).join(groups, ["sha", "salt"], "left")
@@ -213,8 +215,9 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for x in b.to_pylist():
+            found, held = [], 0
+            for i in range(b.num_rows):
+                (x,) = b.slice(i, 1).to_pylist()
                 segments, total, said = sorted(x.pop("segments"), key=lambda s: s["segment"]), x.pop("total"), x["payload_digest"]
                 block = b"".join([s["block"] for s in segments])
                 if [s["segment"] for s in segments] != list(range(1, len(segments) + 1)) or len(block) != total or x["record_id"] is None:
@@ -222,6 +225,10 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
                 else:
                     size, said, data, problem = content(block, said)
                 found.append({**x, "payload_bytes": size, "payload_digest": said, "problem": problem, **({"payload": data} if payload else {})})
+                held += len(block) if payload else 0
+                if held > AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(found, schema=schema)
+                    found, held = [], 0
             yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     files = archives.select("path").repartition(max(1, min(archives.count(), 4 * archives.sparkSession.sparkContext.defaultParallelism)))
@@ -232,6 +239,12 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
     return met.where("segment is null").select(*names).unionByName(cut.mapInArrow(join, f"{FIELDS}{extra}"))
 
 
+def unresolved(found: DataFrame) -> DataFrame:
+    """Of records read (columns FIELDS), the revisits whose response is not there or has another digest."""
+    responses = found.where("record_type = 'response' AND problem IS NULL").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return found.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest"], "left_anti").select(*found.columns)
+
+
 def round_trip(pages: DataFrame, payload: bool = False, **columns) -> DataFrame:
     """Writes a record for every page into new archives in the shared folder and reads them back."""
     spark: SparkSession = pages.sparkSession

@@ -78,3 +78,8 @@ def test_segments_in_any_order_and_faults(spark, tmp_path):
     assert len(list(warc.parse(io.BytesIO(b"".join(parts))))) == len(parts)
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(whole[0][:-8])))
+
+
+def test_revisits_are_checked_against_their_response(spark, tmp_path):
+    made = [next(warc.records("<urn:page:1:x>", "u", b"abc", None))[1], next(warc.records("<urn:page:2:x>", "u", b"abc", "<urn:page:1:x>"))[1], next(warc.records("<urn:page:3:x>", "u", b"abc", "<urn:page:9:x>"))[1], next(warc.records("<urn:page:4:x>", "u", b"abd", "<urn:page:1:x>"))[1]]
+    assert sorted(r.page_id for r in warc.unresolved(warc.read(lay(spark, tmp_path, made))).collect()) == [3, 4]
