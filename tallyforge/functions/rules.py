@@ -39,11 +39,11 @@ def first_failure(rules: list[tuple[Column, str]]) -> Column:
 def validate_orders(orders: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """orders with reject: the first rule that a NEW order breaks, null if it is accepted.
 
-    The limits, a row for each symbol, are few: a symbol list of an exchange.
+    Our own limits, a row for each of a few symbols, are broadcast; a table that is given is left to Spark, which knows its size.
     """
-    limits = constraints(orders) if limits is None else limits
+    limits = F.broadcast(constraints(orders)) if limits is None else limits
     made = [c for c in limits.columns if c != "symbol"]
-    rows = orders.join(F.broadcast(limits), "symbol", "left")
+    rows = orders.join(limits, "symbol", "left")
     q, p, limit = F.col("quantity"), F.col("price"), F.col("order_type") == "LIMIT"
     missing = F.col("client_order_id").isNull() | F.col("symbol").isNull() | F.col("side").isNull() | F.col("order_type").isNull() | q.isNull()
     rules = [

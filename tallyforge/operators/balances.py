@@ -70,4 +70,5 @@ def risk_commands(old: DataFrame, new: DataFrame) -> DataFrame:
     """(account_id, command_type, reason): one command for each account whose status changed."""
     before = old.select("account_id", F.col("status").alias("was"))
     both = new.join(before, "account_id", "left").where(F.coalesce("was", F.lit("NORMAL")) != F.col("status"))
-    return both.select("account_id", F.when(F.col("status") == "BLOCKED", "BLOCK_ACCOUNT").otherwise("UNBLOCK_ACCOUNT").alias("command_type"), F.when(F.col("status") == "BLOCKED", F.col("block_reason")).alias("reason"))
+    return both.select("account_id", F.when(F.col("status") == "BLOCKED", "BLOCK_ACCOUNT").otherwise("UNBLOCK_ACCOUNT").alias("command_type"),
+        F.when(F.col("status") == "BLOCKED", F.col("block_reason")).alias("reason"))

@@ -64,7 +64,9 @@ def clear_incremental(ledger: DataFrame, date: str, max_id: int, previous_max_id
     before = previous.where(scope_filter(scope)).select(F.col("account_id").alias("_account"), F.upper("asset").alias("_asset"), F.col("closing_balance").alias("before"))
     both = moved.join(before, F.col("account_id").eqNullSafe(F.col("_account")) & F.col("asset").eqNullSafe(F.col("_asset")), "full_outer")
     zero = F.lit(0)
-    filled = both.select(F.coalesce("account_id", "_account").alias("account_id"), F.coalesce("asset", "_asset").alias("asset"), (F.coalesce("before", zero) + F.coalesce("moved", zero)).cast(WIDE).alias("closing_balance"), *[F.coalesce(c, zero).alias(c) for c in ("net_change", "fee_total", "trade_value", "trade_count")])
+    filled = both.select(F.coalesce("account_id", "_account").alias("account_id"), F.coalesce("asset", "_asset").alias("asset"), (F.coalesce("before",
+        zero) + F.coalesce("moved", zero)).cast(WIDE).alias("closing_balance"), *[F.coalesce(c, zero).alias(c) for c in ("net_change", "fee_total",
+        "trade_value", "trade_count")])
     return _derived(filled, openings)
 
 
@@ -73,7 +75,8 @@ def _derived(sums: DataFrame, openings: DataFrame | None) -> DataFrame:
     if openings is not None:
         sums = sums.join(openings, ["account_id", "asset"], "left")
         opening = F.coalesce(F.col("opening"), opening).cast(WIDE)
-    found = sums.select("account_id", "asset", opening.alias("opening_balance"), "closing_balance", F.col("net_change").cast(WIDE), F.col("fee_total").cast(WIDE), F.col("trade_count").cast("long"), F.col("trade_value").cast(WIDE))
+    found = sums.select("account_id", "asset", opening.alias("opening_balance"), "closing_balance", F.col("net_change").cast(WIDE),
+        F.col("fee_total").cast(WIDE), F.col("trade_count").cast("long"), F.col("trade_value").cast(WIDE))
     some = F.lit(False)
     for c in RESULT:
         some = some | (F.col(c) != 0)
@@ -82,7 +85,8 @@ def _derived(sums: DataFrame, openings: DataFrame | None) -> DataFrame:
 
 def violations(results: DataFrame) -> DataFrame:
     """results with violation, for those that break a rule: the first that does."""
-    rules = F.when(F.col("opening_balance") + F.col("net_change") != F.col("closing_balance"), "OPENING_PLUS_NET").when(F.col("trade_count") < 0, "NEGATIVE_COUNT").when(F.col("trade_value") < 0, "NEGATIVE_VALUE")
+    rules = F.when(F.col("opening_balance") + F.col("net_change") != F.col("closing_balance"), "OPENING_PLUS_NET").when(F.col("trade_count") < 0,
+        "NEGATIVE_COUNT").when(F.col("trade_value") < 0, "NEGATIVE_VALUE")
     rules = rules.when(F.col("fee_total") < 0, "NEGATIVE_FEE").when((F.col("trade_count") == 0) & (F.col("trade_value") != 0), "VALUE_WITHOUT_TRADES")
     return results.withColumn("violation", rules).where("violation is not null")
 
@@ -101,7 +105,9 @@ def universe(ledger: DataFrame, max_id: int, scope: str = "") -> DataFrame:
 
 def stamped(results: DataFrame, batch_id: int, date: str, batch_type: str) -> DataFrame:
     """Rows of the result table: FINAL for EOD, else PRELIMINARY."""
-    return results.select(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(date).cast("date").alias("business_date"), "account_id", "asset", *[F.col(c).cast(assets.SETTLED if c != "trade_count" else "long") for c in RESULT], F.lit("FINAL" if batch_type == "EOD" else "PRELIMINARY").alias("status"))
+    return results.select(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(date).cast("date").alias("business_date"), "account_id", "asset",
+        *[F.col(c).cast(assets.SETTLED if c != "trade_count" else "long") for c in RESULT],
+        F.lit("FINAL" if batch_type == "EOD" else "PRELIMINARY").alias("status"))
 
 
 def results_with_batch(results: DataFrame, batches: DataFrame, batch_type: str | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def pipeline_latency(records: DataFrame) -> DataFrame:
     """records (received, consumed, matched, published: milliseconds) -> queue, engine, publish, total and end-to-end milliseconds."""
     queue = F.greatest(F.lit(0), F.col("consumed") - F.col("received"))
-    parts = {"queue_ms": queue, "engine_ms": F.col("matched") - F.col("consumed"), "publish_ms": F.col("published") - F.col("matched"), "total_ms": F.col("published") - F.col("consumed"), "end_to_end_ms": queue + F.col("published") - F.col("consumed")}
+    parts = {"queue_ms": queue, "engine_ms": F.col("matched") - F.col("consumed"), "publish_ms": F.col("published") - F.col("matched"),
+        "total_ms": F.col("published") - F.col("consumed"), "end_to_end_ms": queue + F.col("published") - F.col("consumed")}
     return records.select("*", *[v.cast("long").alias(k) for k, v in parts.items()])
 
 

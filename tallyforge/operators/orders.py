@@ -46,7 +46,8 @@ def project_trades(executions: DataFrame, order: list[str], stored: DataFrame |
     )
 
 
-def search_orders(orders: DataFrame, user_id: int | None = None, symbol: str | None = None, status: str | None = None, start: str | None = None, end: str | None = None, client_order_id: str | None = None) -> DataFrame:
+def search_orders(orders: DataFrame, user_id: int | None = None, symbol: str | None = None, status: str | None = None, start: str | None = None,
+    end: str | None = None, client_order_id: str | None = None) -> DataFrame:
     """Orders that meet all given conditions; bounds of created_at are inclusive."""
     rows = orders
     for column, value in (("user_id", user_id), ("symbol", symbol), ("status", status), ("client_order_id", client_order_id)):
@@ -63,7 +64,8 @@ def pending_orders(orders: DataFrame, user_id: int | None = None, symbol: str |
     return search_orders(orders, user_id, symbol, "NEW")
 
 
-def trades_by(trades: DataFrame, user_id: int | None = None, order_id: int | None = None, symbol: str | None = None, start: str | None = None, end: str | None = None, liquidity: str | None = None) -> DataFrame:
+def trades_by(trades: DataFrame, user_id: int | None = None, order_id: int | None = None, symbol: str | None = None, start: str | None = None,
+    end: str | None = None, liquidity: str | None = None) -> DataFrame:
     rows = trades
     for column, value in (("user_id", user_id), ("order_id", order_id), ("symbol", symbol), ("liquidity_flag", liquidity)):
         if value is not None:
@@ -105,7 +107,8 @@ def order_state_from_fills(fills: DataFrame, orders: DataFrame) -> DataFrame:
     sums = fills.groupBy("order_id").agg(F.sum("quantity").alias("filled"), F.sum(F.col("quantity") * F.col("price")).alias("value"))
     both = orders.select("order_id", "quantity").join(sums, "order_id", "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
     status = F.when(F.col("filled") == 0, "NEW").when(F.col("filled") < F.col("quantity"), "PARTIALLY_FILLED").otherwise("FILLED")
-    return both.select("order_id", "filled", F.greatest(F.col("quantity") - F.col("filled"), F.lit(0)).alias("remaining"), status.alias("status"), (F.col("value").cast("double") / F.col("filled").cast("double")).alias("avg_price"))
+    return both.select("order_id", "filled", F.greatest(F.col("quantity") - F.col("filled"), F.lit(0)).alias("remaining"), status.alias("status"),
+        (F.col("value").cast("double") / F.col("filled").cast("double")).alias("avg_price"))
 
 
 def ranked_newest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:

@@ -26,11 +26,14 @@ def compare(ledger: DataFrame, balances: DataFrame, max_id: int | None = None) -
     e, a = normalize_precision(F.col("expected"), asset), normalize_precision(F.col("actual"), asset)
     both = both.select("account_id", "asset", e.alias("expected_value"), a.alias("actual_value"), (F.col("in_truth").isNull() | F.col("in_snapshot").isNull()).alias("alone"))
     differ = both.where(F.col("alone") | ~F.col("expected_value").eqNullSafe(F.col("actual_value")))
-    return differ.select("account_id", "asset", F.lit("CLOSING_BALANCE").alias("item_type"), "expected_value", "actual_value", (F.col("actual_value") - F.col("expected_value")).cast("decimal(38,8)").alias("diff_value"), F.lit("HIGH").alias("severity"), F.lit("OPEN").alias("status"))
+    return differ.select("account_id", "asset", F.lit("CLOSING_BALANCE").alias("item_type"), "expected_value", "actual_value",
+        (F.col("actual_value") - F.col("expected_value")).cast("decimal(38,8)").alias("diff_value"), F.lit("HIGH").alias("severity"),
+        F.lit("OPEN").alias("status"))
 
 
 def summary(diffs: DataFrame) -> DataFrame:
-    return diffs.agg(F.count("*").alias("diff_count"), F.count_if(F.col("severity").isin("HIGH", "CRITICAL")).alias("high_severity_count"), F.coalesce(F.sum(F.abs("diff_value")), F.lit(0)).cast("decimal(38,8)").alias("total_abs_diff"))
+    return diffs.agg(F.count("*").alias("diff_count"), F.count_if(F.col("severity").isin("HIGH", "CRITICAL")).alias("high_severity_count"),
+        F.coalesce(F.sum(F.abs("diff_value")), F.lit(0)).cast("decimal(38,8)").alias("total_abs_diff"))
 
 
 def level(severity: Column) -> Column:

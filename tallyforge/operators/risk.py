@@ -15,7 +15,8 @@ RATE_LIMIT, DAILY_LIMIT, VOLUME_LIMIT = 10, 1000, 100_000_000
 
 def counts_in_windows(commands: DataFrame, command: str, keys: list[str], length: str = "1 minute") -> DataFrame:
     """(keys, start, n): commands of a kind in tumbling windows."""
-    return commands.where(F.col("command_type") == command).groupBy(*keys, F.window("ts", length).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return commands.where(F.col("command_type") == command).groupBy(*keys, F.window("ts",
+        length).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def order_flood(commands: DataFrame, threshold: int = FLOOD, by_symbol: bool = False, length: str = "1 minute") -> DataFrame:
@@ -127,7 +128,8 @@ def anchored_limit(orders: DataFrame, limit: int = RATE_LIMIT, seconds: int = 60
     return _started(_in_turn(orders, user, order, "_start long, n_in_window long, over boolean", decide), orders.columns, "n_in_window", "over")
 
 
-def daily_order_limit(orders: DataFrame, limit: int = DAILY_LIMIT, seconds: int = 86400, block_seconds: int = 86400, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+def daily_order_limit(orders: DataFrame, limit: int = DAILY_LIMIT, seconds: int = 86400, block_seconds: int = 86400, user: str = "account_id",
+    order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """orders with window_start, n_in_window and accepted: the anchored counter, with an order above the limit refused and the user
     blocked for block_seconds from it. Orders in a block are refused and do not count; they show the counter as it stands."""
 

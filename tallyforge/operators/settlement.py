@@ -21,9 +21,11 @@ def build_events(results: DataFrame, batches: DataFrame) -> DataFrame:
     money = {"openingBalance": "opening_balance", "closingBalance": "closing_balance", "netChange": "net_change", "feeTotal": "fee_total", "tradeValue": "trade_value"}
     body = F.struct(
         F.lit(EVENT).alias("eventType"), F.col("business_date").cast("string").alias("businessDate"), F.col("batch_id").alias("batchId"), F.col("batch_type").alias("batchType"),
-        F.col("account_id").alias("accountId"), "asset", "status", *[F.col(c).cast("string").alias(k) for k, c in money.items()], F.col("trade_count").alias("tradeCount"), F.col("snapshot_key").alias("snapshotKey"),
+        F.col("account_id").alias("accountId"), "asset", "status", *[F.col(c).cast("string").alias(k) for k, c in money.items()],
+            F.col("trade_count").alias("tradeCount"), F.col("snapshot_key").alias("snapshotKey"),
     )
-    payload = F.to_json(F.struct(F.lit(VERSION).alias("schemaVersion"), F.lit(TOPIC).alias("topic"), F.col("account_id").cast("string").alias("key"), F.lit(PRODUCER).alias("producer"), F.lit(EVENT).alias("eventType"), body.alias("body")))
+    payload = F.to_json(F.struct(F.lit(VERSION).alias("schemaVersion"), F.lit(TOPIC).alias("topic"), F.col("account_id").cast("string").alias("key"),
+        F.lit(PRODUCER).alias("producer"), F.lit(EVENT).alias("eventType"), body.alias("body")))
     return rows.select(
         F.lit("CLEARING").alias("producer_type"), F.lit(EVENT).alias("event_type"), F.lit("CLEARING_RESULT").alias("aggregate_type"), F.col("batch_id").alias("aggregate_id"),
         settlement_key(F.col("batch_id"), F.col("account_id"), F.upper("asset")).alias("idempotency_key"), payload.alias("payload"), F.lit("PENDING").alias("status"), F.lit(0).alias("retry_count"),
@@ -44,7 +46,8 @@ def missing_events(results: DataFrame, outbox: DataFrame) -> DataFrame:
 
 def incomplete_batches(results: DataFrame, outbox: DataFrame, batches: DataFrame, now: str, minutes: int = 180) -> DataFrame:
     """(batch_id, n_results, n_events): batches that ended SUCCESS or FAILED in the last minutes and have results, but not one event each."""
-    done = batches.where(F.col("status").isin("SUCCESS", "FAILED") & (F.col("finished_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes))) & (F.col("finished_at") <= F.lit(now).cast("timestamp")))
+    done = batches.where(F.col("status").isin("SUCCESS",
+        "FAILED") & (F.col("finished_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes))) & (F.col("finished_at") <= F.lit(now).cast("timestamp")))
     n_results = results.groupBy("batch_id").agg(F.count("*").alias("n_results"))
     n_events = outbox.where(F.col("event_type") == EVENT).groupBy(F.col("aggregate_id").alias("batch_id")).agg(F.countDistinct("idempotency_key").alias("n_events"))
     both = done.select(F.col("id").alias("batch_id")).join(n_results, "batch_id").join(n_events, "batch_id", "left")

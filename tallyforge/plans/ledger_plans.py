@@ -62,7 +62,8 @@ def the_balances(led: DataFrame) -> DataFrame:
     """Balances of a ledger with planted faults: off by 5, missing, and lower-case assets."""
     a = F.col("account_id")
     held = bal.project_balances(led).where(a % 89 != 0)
-    return held.select("account_id", F.when(a % 2 == 1, F.lower("asset")).otherwise(F.col("asset")).alias("asset"), F.when(a % 97 == 0, F.col("available") + 5).otherwise(F.col("available")).cast("decimal(20,8)").alias("available"), "locked")
+    return held.select("account_id", F.when(a % 2 == 1, F.lower("asset")).otherwise(F.col("asset")).alias("asset"), F.when(a % 97 == 0,
+        F.col("available") + 5).otherwise(F.col("available")).cast("decimal(20,8)").alias("available"), "locked")
 
 
 WITH = f"WITH {LEDGER}"
@@ -86,7 +87,8 @@ def post_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT symbol, upper({BASE}) AS base, upper({QUOTE}) AS quote, CASE WHEN symbol LIKE '%USDT' THEN 'USDT' WHEN symbol LIKE '%KRW' THEN 'KRW' WHEN symbol LIKE '%BTC' THEN 'BTC' WHEN symbol LIKE '%ETH' THEN 'ETH' ELSE symbol END AS fee_currency, {out('sum(CASE WHEN side = $$BUY$$ THEN quantity ELSE -quantity END)')} AS base_change, {out(f'sum(CASE WHEN side = $$BUY$$ THEN -{VALUE} ELSE {VALUE} END)')} AS quote_change, count(*) AS n FROM ({oracle(EXECUTIONS)}) GROUP BY symbol".replace("$$", "'"))
 def signed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, side, q, p = F.col("symbol"), F.col("side"), F.col("quantity"), F.col("price")
-    e = view(spark, sf_dir, EXECUTIONS).select("symbol", F.upper(assets.base_asset(s)).alias("base"), F.upper(assets.quote_asset(s)).alias("quote"), assets.fee_currency(s).alias("fee_currency"), assets.base_change(side, q).alias("b"), assets.quote_change(side, q, p).alias("v"))
+    e = view(spark, sf_dir, EXECUTIONS).select("symbol", F.upper(assets.base_asset(s)).alias("base"), F.upper(assets.quote_asset(s)).alias("quote"),
+        assets.fee_currency(s).alias("fee_currency"), assets.base_change(side, q).alias("b"), assets.quote_change(side, q, p).alias("v"))
     return e.groupBy("symbol", "base", "quote", "fee_currency").agg(money(F.sum("b")).alias("base_change"), money(F.sum("v")).alias("quote_change"), F.count("*").alias("n"))
 
 
@@ -118,14 +120,21 @@ def daily_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: money(c) for c in ("net_change", "fee_total", "trade_value")})
 
 
-@query(f"{WITH}{MARK} SELECT wm AS max_ledger_id, 'WM-' || substr(md5('max_ledger_id=' || CAST(wm AS STRING)), 1, 12) AS snapshot_key, 'EOD' AS run_key, 'LIVE-{DATE}' AS live_key FROM mark")
+@query(
+    f"{WITH}{MARK} SELECT wm AS max_ledger_id, 'WM-' || substr(md5('max_ledger_id=' || CAST(wm AS STRING)), 1, 12) AS snapshot_key, 'EOD' AS run_key, "
+    f"'LIVE-{DATE}' AS live_key FROM mark"
+)
 def ledger_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = ledger.watermark(the_ledger(spark, sf_dir), DATE)
-    return mark.select("max_ledger_id", assets.snapshot_key(F.col("max_ledger_id")).alias("snapshot_key"), assets.run_key(F.lit("EOD"), F.lit(DATE)).alias("run_key"), assets.live_key(F.lit(DATE)).alias("live_key"))
+    return mark.select("max_ledger_id", assets.snapshot_key(F.col("max_ledger_id")).alias("snapshot_key"), assets.run_key(F.lit("EOD"),
+        F.lit(DATE)).alias("run_key"), assets.live_key(F.lit(DATE)).alias("live_key"))
 
 
 AMOUNTS = ("opening_balance", "closing_balance", "net_change", "fee_total", "trade_value")
-CLEARED_OUT = f"SELECT account_id, asset, {out('opening')} AS opening_balance, {out('closing')} AS closing_balance, {out('net')} AS net_change, {out('fee')} AS fee_total, trades AS trade_count, {out('val')} AS trade_value FROM cleared"
+CLEARED_OUT = (
+    f"SELECT account_id, asset, {out('opening')} AS opening_balance, {out('closing')} AS closing_balance, {out('net')} AS net_change, {out('fee')} AS fee_total, "
+    f"trades AS trade_count, {out('val')} AS trade_value FROM cleared"
+)
 
 
 def clearing_of(spark: SparkSession, sf_dir: str, scope: str = "") -> DataFrame:
@@ -157,7 +166,10 @@ def clear_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clearing.clear_incremental(led, DATE, now, before, previous).withColumns({c: money(c) for c in AMOUNTS})
 
 
-@query(f"{WITH}{CLEARED}, withopen AS (SELECT c.*, CASE WHEN account_id % 5 = 0 THEN opening + 1 ELSE opening END AS opened FROM cleared c) SELECT account_id, asset, 'OPENING_PLUS_NET' AS violation FROM withopen WHERE opened + net <> closing")
+@query(
+    f"{WITH}{CLEARED}, withopen AS (SELECT c.*, CASE WHEN account_id % 5 = 0 THEN opening + 1 ELSE opening END AS opened FROM cleared c) SELECT account_id, "
+    f"asset, 'OPENING_PLUS_NET' AS violation FROM withopen WHERE opened + net <> closing"
+)
 def clearing_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against openings that were stored wrongly for every fifth account."""
     results = clearing_of(spark, sf_dir)
@@ -172,10 +184,16 @@ def clearing_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R, B, O = (f"({oracle(x)})" for x in (RESULTS, BATCHES, OUTBOX))
-EOD_SQL = f"WITH r AS {R}, b AS {B}, eod AS (SELECT r.* FROM r WHERE status = 'FINAL' AND business_date < DATE '{DATE}' AND batch_id IN (SELECT id FROM b WHERE batch_type = 'EOD'))"
+EOD_SQL = (
+    f"WITH r AS {R}, b AS {B}, eod AS (SELECT r.* FROM r WHERE status = 'FINAL' AND business_date < DATE '{DATE}' AND batch_id IN (SELECT id FROM b "
+    f"WHERE batch_type = 'EOD'))"
+)
 
 
-@query(f"{EOD_SQL} SELECT account_id, upper(asset) AS asset, {out('closing_balance')} AS opening FROM eod QUALIFY row_number() OVER (PARTITION BY account_id, upper(asset) ORDER BY business_date DESC, id DESC) = 1")
+@query(
+    f"{EOD_SQL} SELECT account_id, upper(asset) AS asset, {out('closing_balance')} AS opening FROM eod QUALIFY row_number() OVER (PARTITION BY account_id, "
+    f"upper(asset) ORDER BY business_date DESC, id DESC) = 1"
+)
 def opening_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clearing.opening_asof(view(spark, sf_dir, RESULTS), view(spark, sf_dir, BATCHES), DATE).withColumn("opening", money("opening"))
 
@@ -196,28 +214,42 @@ def clear_with_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clear_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of an intraday batch, with the run key of its ten minutes."""
     rows = clearing.stamped(clearing_of(spark, sf_dir), 7, DATE, "INTRADAY")
-    return rows.withColumns({c: money(c) for c in AMOUNTS}).withColumns({"business_date": F.col("business_date").cast("string"), "run_key": assets.run_key(F.lit("INTRADAY"), F.lit(f"{DATE} 14:07:30"))})
+    return rows.withColumns({c: money(c) for c in AMOUNTS}).withColumns({"business_date": F.col("business_date").cast("string"),
+        "run_key": assets.run_key(F.lit("INTRADAY"), F.lit(f"{DATE} 14:07:30"))})
 
 
-@query(f"SELECT id, upper(asset) AS asset, CASE WHEN upper(asset) = 'KRW' THEN CAST(round(closing_balance, 0) AS DOUBLE) ELSE {out('closing_balance')} END AS amount FROM {R}")
+@query(
+    f"SELECT id, upper(asset) AS asset, CASE WHEN upper(asset) = 'KRW' THEN CAST(round(closing_balance, "
+    f"0) AS DOUBLE) ELSE {out('closing_balance')} END AS amount FROM {R}"
+)
 def normalize_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Won have no decimals."""
     return view(spark, sf_dir, RESULTS).select("id", F.upper("asset").alias("asset"), money(assets.normalize_precision(F.col("closing_balance"), F.col("asset"))).alias("amount"))
 
 
-@query(f"{EOD_SQL} SELECT id, account_id, upper(asset) AS asset, {out('closing_balance')} AS closing_balance, CAST(row_number() OVER (PARTITION BY account_id, upper(asset) ORDER BY business_date DESC, id DESC) AS INT) AS place FROM eod")
+@query(
+    f"{EOD_SQL} SELECT id, account_id, upper(asset) AS asset, {out('closing_balance')} AS closing_balance, CAST(row_number() OVER (PARTITION BY account_id, "
+    f"upper(asset) ORDER BY business_date DESC, id DESC) AS INT) AS place FROM eod"
+)
 def previous_closings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clearing.previous_closings(view(spark, sf_dir, RESULTS), view(spark, sf_dir, BATCHES), DATE)
     return found.select("id", "account_id", F.upper("asset").alias("asset"), money("closing_balance").alias("closing_balance"), "place")
 
 
-@query(f"WITH r AS {R}, b AS (SELECT DISTINCT id, batch_type, snapshot_key FROM {B}) SELECT b.batch_type, b.snapshot_key, count(*) AS n, {out('sum(closing_balance)')} AS closing FROM r JOIN b ON b.id = r.batch_id WHERE b.batch_type = 'EOD' GROUP BY 1, 2")
+@query(
+    f"WITH r AS {R}, b AS (SELECT DISTINCT id, batch_type, snapshot_key FROM {B}) SELECT b.batch_type, b.snapshot_key, "
+    f"count(*) AS n, {out('sum(closing_balance)')} AS closing FROM r JOIN b ON b.id = r.batch_id WHERE b.batch_type = 'EOD' GROUP BY 1, 2"
+)
 def results_with_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = view(spark, sf_dir, BATCHES).select("id", "batch_type", "snapshot_key").distinct()
-    return clearing.results_with_batch(view(spark, sf_dir, RESULTS), batches, "EOD").groupBy("batch_type", "snapshot_key").agg(F.count("*").alias("n"), money(F.sum("closing_balance")).alias("closing"))
+    return clearing.results_with_batch(view(spark, sf_dir, RESULTS), batches, "EOD").groupBy("batch_type",
+        "snapshot_key").agg(F.count("*").alias("n"), money(F.sum("closing_balance")).alias("closing"))
 
 
-@query(f"SELECT CAST(business_date AS STRING) AS business_date, batch_type, scope, max(id) AS id, arg_max(status, id) AS status, arg_max(snapshot_key, id) AS snapshot_key FROM {B} GROUP BY business_date, batch_type, scope")
+@query(
+    f"SELECT CAST(business_date AS STRING) AS business_date, batch_type, scope, max(id) AS id, arg_max(status, id) AS status, arg_max(snapshot_key, "
+    f"id) AS snapshot_key FROM {B} GROUP BY business_date, batch_type, scope"
+)
 def latest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clearing.latest_batches(view(spark, sf_dir, BATCHES)).withColumn("business_date", F.col("business_date").cast("string"))
 
@@ -244,7 +276,10 @@ def the_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recon.compare(led, the_balances(led))
 
 
-@query(f"{WITH}{BALANCES}{DIFFS} SELECT account_id, asset, 'CLOSING_BALANCE' AS item_type, {out('e')} AS expected_value, {out('a')} AS actual_value, {out('a - e')} AS diff_value, 'HIGH' AS severity FROM norm")
+@query(
+    f"{WITH}{BALANCES}{DIFFS} SELECT account_id, asset, 'CLOSING_BALANCE' AS item_type, {out('e')} AS expected_value, {out('a')} AS actual_value, {out('a - e')} AS diff_value, "
+    f"'HIGH' AS severity FROM norm"
+)
 def recon_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return the_diffs(spark, sf_dir).select("account_id", "asset", "item_type", *[money(c).alias(c) for c in ("expected_value", "actual_value", "diff_value")], "severity")
 
@@ -254,17 +289,25 @@ def recon_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recon.summary(the_diffs(spark, sf_dir)).withColumn("total_abs_diff", money("total_abs_diff"))
 
 
-@query(f"{WITH}{BALANCES}{DIFFS} SELECT account_id, asset, CASE account_id % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM norm ORDER BY CASE account_id % 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END DESC, account_id, asset LIMIT 25")
+@query(
+    f"{WITH}{BALANCES}{DIFFS} SELECT account_id, asset, CASE account_id % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM norm "
+    f"ORDER BY CASE account_id % 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END DESC, account_id, asset LIMIT 25"
+)
 def open_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("account_id") % 3
     graded = the_diffs(spark, sf_dir).withColumn("severity", F.when(k == 0, "LOW").when(k == 1, "CRITICAL").otherwise("HIGH"))
     return recon.open_diffs(graded, 25, order=("account_id", "asset")).select("account_id", "asset", "severity")
 
 
-@query(f"{WITH}{HELD}, old AS (SELECT account_id, asset, 10 AS available, 3 AS locked FROM held WHERE account_id % 2 = 0) SELECT coalesce(h.account_id, o.account_id) AS account_id, coalesce(h.asset, o.asset) AS asset, {out('coalesce(available, 0) + coalesce(amount, 0)')} AS available, {out('coalesce(locked, 0)')} AS locked, {out('coalesce(available, 0) + coalesce(amount, 0) + coalesce(locked, 0)')} AS total, coalesce(available, 0) + coalesce(amount, 0) < 0 AS negative FROM held h FULL JOIN old o ON h.account_id = o.account_id AND h.asset = o.asset")
+@query(
+    f"{WITH}{HELD}, old AS (SELECT account_id, asset, 10 AS available, 3 AS locked FROM held WHERE account_id % 2 = 0) SELECT coalesce(h.account_id, "
+    f"o.account_id) AS account_id, coalesce(h.asset, o.asset) AS asset, {out('coalesce(available, 0) + coalesce(amount, 0)')} AS available, {out('coalesce(locked, 0)')} AS locked, {out('coalesce(available, 0) + coalesce(amount, 0) + coalesce(locked, 0)')} AS total, "
+    f"coalesce(available, 0) + coalesce(amount, 0) < 0 AS negative FROM held h FULL JOIN old o ON h.account_id = o.account_id AND h.asset = o.asset"
+)
 def project_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = the_ledger(spark, sf_dir)
-    old = ledger.holdings(led).where(F.col("account_id") % 2 == 0).select("account_id", F.lower("asset").alias("asset"), F.lit(10).cast("decimal(20,8)").alias("available"), F.lit(3).cast("decimal(20,8)").alias("locked"))
+    old = ledger.holdings(led).where(F.col("account_id") % 2 == 0).select("account_id", F.lower("asset").alias("asset"),
+        F.lit(10).cast("decimal(20,8)").alias("available"), F.lit(3).cast("decimal(20,8)").alias("locked"))
     return bal.balances_view(bal.project_balances(led, old)).withColumns({c: money(c) for c in ("available", "locked", "total")})
 
 
@@ -273,23 +316,38 @@ def running_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bal.running_balance(the_ledger(spark, sf_dir)).select("id", "account_id", "asset", money("balance").alias("balance"))
 
 
-@query(f"{WITH}, run AS (SELECT id, account_id, asset, sum(amount) OVER (PARTITION BY account_id, asset ORDER BY id ROWS UNBOUNDED PRECEDING) AS b FROM ledger) SELECT account_id, asset, min(id) AS id, {out('arg_min(b, id)')} AS balance FROM run WHERE b < 0 GROUP BY 1, 2")
+@query(
+    f"{WITH}, run AS (SELECT id, account_id, asset, sum(amount) OVER (PARTITION BY account_id, asset ORDER BY id ROWS UNBOUNDED PRECEDING) AS b "
+    f"FROM ledger) SELECT account_id, asset, min(id) AS id, {out('arg_min(b, id)')} AS balance FROM run WHERE b < 0 GROUP BY 1, 2"
+)
 def first_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bal.first_breach(the_ledger(spark, sf_dir)).withColumn("balance", money("balance"))
 
 
-RISK = f"{WITH}{HELD}, risk AS (SELECT account_id, CASE WHEN min(amount) < 0 THEN 'BLOCKED' ELSE 'NORMAL' END AS status, min(asset) FILTER (amount < 0) AS bad FROM held GROUP BY 1)"
+RISK = (
+    f"{WITH}{HELD}, risk AS (SELECT account_id, CASE WHEN min(amount) < 0 THEN 'BLOCKED' ELSE 'NORMAL' END AS status, min(asset) FILTER (amount < 0) AS bad "
+    f"FROM held GROUP BY 1)"
+)
 
 
-@query(f"{RISK} SELECT r.account_id, status, CASE WHEN bad IS NOT NULL THEN 'Negative balance: ' || bad || ' = ' || CAST(CAST(amount AS DECIMAL(20, 8)) AS STRING) END AS block_reason FROM risk r LEFT JOIN held h ON h.account_id = r.account_id AND h.asset = bad")
+@query(
+    f"{RISK} SELECT r.account_id, status, CASE WHEN bad IS NOT NULL THEN 'Negative balance: ' || bad || ' = ' || CAST(CAST(amount AS DECIMAL(20, "
+    f"8)) AS STRING) END AS block_reason FROM risk r LEFT JOIN held h ON h.account_id = r.account_id AND h.asset = bad"
+)
 def risk_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir)))
 
 
-BLOCKS = f"{RISK}, states AS (SELECT r.account_id, status, CASE WHEN bad IS NOT NULL THEN 'Negative balance: ' || bad || ' = ' || CAST(CAST(amount AS DECIMAL(20, 8)) AS STRING) END AS block_reason FROM risk r LEFT JOIN held h ON h.account_id = r.account_id AND h.asset = bad)"
+BLOCKS = (
+    f"{RISK}, states AS (SELECT r.account_id, status, CASE WHEN bad IS NOT NULL THEN 'Negative balance: ' || bad || ' = ' || CAST(CAST(amount AS DECIMAL(20, "
+    f"8)) AS STRING) END AS block_reason FROM risk r LEFT JOIN held h ON h.account_id = r.account_id AND h.asset = bad)"
+)
 
 
-@query(f"{BLOCKS} SELECT account_id, 'BLOCK_ACCOUNT' AS command_type, block_reason AS reason FROM states WHERE status = 'BLOCKED' AND account_id % 3 <> 0 UNION ALL SELECT account_id, 'UNBLOCK_ACCOUNT', NULL FROM states WHERE status = 'NORMAL' AND account_id % 3 = 0")
+@query(
+    f"{BLOCKS} SELECT account_id, 'BLOCK_ACCOUNT' AS command_type, block_reason AS reason FROM states WHERE status = 'BLOCKED' AND account_id % 3 <> 0 "
+    f"UNION ALL SELECT account_id, 'UNBLOCK_ACCOUNT', NULL FROM states WHERE status = 'NORMAL' AND account_id % 3 = 0"
+)
 def risk_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a state in which every third account was blocked."""
     now = bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir)))
@@ -352,10 +410,16 @@ def ledger_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEY = "'clearing:settlement:' || CAST(batch_id AS STRING) || ':' || CAST(account_id AS STRING) || ':' || upper(asset)"
 
 
-EVENT_PARTS = {"eventType": "'SETTLEMENT'", "businessDate": "CAST(business_date AS STRING)", "batchId": "batch_id", "batchType": "batch_type", "accountId": "account_id", "asset": "asset", "status": "status"} | {k: f"CAST({c} AS STRING)" for k, c in {"openingBalance": "opening_balance", "closingBalance": "closing_balance", "netChange": "net_change", "feeTotal": "fee_total", "tradeValue": "trade_value"}.items()} | {"tradeCount": "trade_count", "snapshotKey": "snapshot_key"}
+EVENT_PARTS = {"eventType": "'SETTLEMENT'", "businessDate": "CAST(business_date AS STRING)", "batchId": "batch_id", "batchType": "batch_type",
+    "accountId": "account_id", "asset": "asset", "status": "status"} | {k: f"CAST({c} AS STRING)" for k, c in {"openingBalance": "opening_balance",
+    "closingBalance": "closing_balance", "netChange": "net_change", "feeTotal": "fee_total",
+    "tradeValue": "trade_value"}.items()} | {"tradeCount": "trade_count", "snapshotKey": "snapshot_key"}
 BODY = " || ',' || ".join(f"""'"{k}":' || {x}""" if k in ("batchId", "accountId", "tradeCount") else f"""'"{k}":"' || {x} || '"'""" for k, x in EVENT_PARTS.items())
 PAYLOAD = f"""'{{"schemaVersion":1,"topic":"clearing.settlement","key":"' || CAST(account_id AS STRING) || '","producer":"clearing","eventType":"SETTLEMENT","body":{{' || {BODY} || '}}}}'"""
-EVENTS_SQL = f"WITH r AS {R}, b AS (SELECT DISTINCT id AS b_id, batch_type, snapshot_key FROM {B}), e AS (SELECT {KEY} AS idempotency_key, {PAYLOAD} AS payload, batch_id AS aggregate_id FROM r JOIN b ON b_id = batch_id)"
+EVENTS_SQL = (
+    f"WITH r AS {R}, b AS (SELECT DISTINCT id AS b_id, batch_type, snapshot_key FROM {B}), e AS (SELECT {KEY} AS idempotency_key, {PAYLOAD} AS payload, "
+    f"batch_id AS aggregate_id FROM r JOIN b ON b_id = batch_id)"
+)
 FIXED = "'CLEARING' AS producer_type, 'SETTLEMENT' AS event_type, 'CLEARING_RESULT' AS aggregate_type, 'PENDING' AS status, CAST(0 AS INT) AS retry_count"
 
 
@@ -368,7 +432,10 @@ def build_settlement_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settlement.build_events(view(spark, sf_dir, RESULTS), settlement_batches(spark, sf_dir))
 
 
-@query(f"{EVENTS_SQL}, o AS {O} SELECT *, {FIXED} FROM e WHERE idempotency_key NOT IN (SELECT idempotency_key FROM o) QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY payload) = 1")
+@query(
+    f"{EVENTS_SQL}, o AS {O} SELECT *, {FIXED} FROM e WHERE idempotency_key NOT IN (SELECT idempotency_key FROM o) "
+    f"QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY payload) = 1"
+)
 def append_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settlement.append_outbox(settlement.build_events(view(spark, sf_dir, RESULTS), settlement_batches(spark, sf_dir)), view(spark, sf_dir, OUTBOX))
 
@@ -378,13 +445,21 @@ def missing_settlement_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settlement.missing_events(view(spark, sf_dir, RESULTS), view(spark, sf_dir, OUTBOX)).select("id", "idempotency_key")
 
 
-@query(f"WITH r AS (SELECT batch_id, count(*) AS n_results FROM {R} GROUP BY 1), e AS (SELECT aggregate_id, count(DISTINCT idempotency_key) AS n_events FROM {O} WHERE event_type = 'SETTLEMENT' GROUP BY 1) SELECT DISTINCT batch_id, n_results, coalesce(n_events, 0) AS n_events FROM {B} b JOIN r ON r.batch_id = b.id LEFT JOIN e ON aggregate_id = b.id WHERE b.status IN ('SUCCESS', 'FAILED') AND n_results <> coalesce(n_events, 0)")
+@query(
+    f"WITH r AS (SELECT batch_id, count(*) AS n_results FROM {R} GROUP BY 1), e AS (SELECT aggregate_id, count(DISTINCT idempotency_key) AS n_events "
+    f"FROM {O} WHERE event_type = 'SETTLEMENT' GROUP BY 1) SELECT DISTINCT batch_id, n_results, coalesce(n_events, 0) AS n_events FROM {B} b "
+    f"JOIN r ON r.batch_id = b.id LEFT JOIN e ON aggregate_id = b.id WHERE b.status IN ('SUCCESS', 'FAILED') AND n_results <> coalesce(n_events, 0)"
+)
 def incomplete_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = view(spark, sf_dir, BATCHES).select("id", "status", "finished_at").distinct()
     return settlement.incomplete_batches(view(spark, sf_dir, RESULTS), view(spark, sf_dir, OUTBOX), batches, "1998-01-01 13:00:00")
 
 
-@query(f"SELECT *, pending >= 10000 OR failed >= 100 OR stuck > 0 AS alarm FROM (SELECT count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'SENT') AS sent, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'PENDING' AND created_at < TIMESTAMP '1998-01-01 00:00:00' - INTERVAL 60 SECOND) AS stuck FROM {O})")
+@query(
+    f"SELECT *, pending >= 10000 OR failed >= 100 OR stuck > 0 AS alarm FROM (SELECT count(*) FILTER (status = 'PENDING') AS pending, "
+    f"count(*) FILTER (status = 'SENT') AS sent, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'PENDING' "
+    f"AND created_at < TIMESTAMP '1998-01-01 00:00:00' - INTERVAL 60 SECOND) AS stuck FROM {O})"
+)
 def outbox_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settlement.outbox_snapshot(view(spark, sf_dir, OUTBOX), "1998-01-01 00:00:00")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from tallyforge.sources.views import EXECUTION_ORDER, EXECUTIONS, oracle
 
 ORDER = ", ".join(EXECUTION_ORDER)
-BASE = "CASE WHEN symbol LIKE '%USDT' THEN replace(symbol, 'USDT', '') WHEN symbol LIKE '%USDC' THEN replace(symbol, 'USDC', '') WHEN symbol LIKE '%USD' THEN replace(symbol, 'USD', '') ELSE substr(symbol, 1, 3) END"
+BASE = (
+    "CASE WHEN symbol LIKE '%USDT' THEN replace(symbol, 'USDT', '') WHEN symbol LIKE '%USDC' THEN replace(symbol, 'USDC', '') "
+    "WHEN symbol LIKE '%USD' THEN replace(symbol, 'USD', '') ELSE substr(symbol, 1, 3) END"
+)
 QUOTE = "CASE WHEN symbol LIKE '%USDT' THEN 'USDT' WHEN symbol LIKE '%USDC' THEN 'USDC' WHEN symbol LIKE '%USD' THEN 'USD' ELSE right(symbol, 4) END"
 VALUE = "CAST(CAST(quantity AS DECIMAL(18, 4)) * CAST(price AS DECIMAL(18, 4)) AS DECIMAL(20, 8))"
 

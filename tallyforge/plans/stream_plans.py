@@ -62,7 +62,8 @@ def appended(df: DataFrame, time: str, cuts: tuple[str, ...], job: Callable[[Dat
     """The table that a stream in append mode writes."""
 
     def run(stream: DataFrame, folder: str) -> None:
-        job(stream).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        job(stream).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation",
+            f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
     return df.sparkSession.read.parquet(f"{in_steps(df, time, cuts, run)}/out")
 
@@ -76,7 +77,8 @@ def stream_post_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(tp.ORACLES["project_orders"])
 def stream_project_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jobs.latest_orders(by_batches(view(spark, sf_dir, ORDER_UPDATES), "event_time", lambda path: jobs.project_orders(path, tp.TIE)))
-    return found.select("order_id", "account_id", "client_order_id", "symbol", F.col("new_status").alias("status"), "event_seq", money("filled_quantity").alias("filled_quantity"), text("event_time").alias("event_time"))
+    return found.select("order_id", "account_id", "client_order_id", "symbol", F.col("new_status").alias("status"), "event_seq",
+        money("filled_quantity").alias("filled_quantity"), text("event_time").alias("event_time"))
 
 
 @query(tp.ORACLES["project_trades"])
@@ -114,7 +116,10 @@ def activity_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[str,
     return a, tuple(str(least + (most - least) * k / 3) for k in (1, 2))
 
 
-@query(f"WITH new AS (SELECT * FROM {A} WHERE command_type = 'NEW') SELECT account_id, CAST({tp.DAY} + INTERVAL 1 DAY AS STRING) AS detected_at, count(*) AS n FROM new GROUP BY account_id, {tp.DAY} HAVING count(*) > 1 AND {tp.DAY} + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM new)")
+@query(
+    f"WITH new AS (SELECT * FROM {A} WHERE command_type = 'NEW') SELECT account_id, CAST({tp.DAY} + INTERVAL 1 DAY AS STRING) AS detected_at, count(*) AS n "
+    f"FROM new GROUP BY account_id, {tp.DAY} HAVING count(*) > 1 AND {tp.DAY} + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM new)"
+)
 def stream_floods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has closed."""
     a, cuts = activity_of(spark, sf_dir)
@@ -138,7 +143,10 @@ def stream_match_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appended(view(spark, sf_dir, ORDER_COMMANDS), "received_at", CUTS, jobs.match_orders).withColumn("at", text("at"))
 
 
-@query(f"{lp.EVENTS_SQL.replace('batch_id AS aggregate_id FROM r', 'batch_id AS aggregate_id, ' + STEP.format('business_date') + ' AS step FROM r')} SELECT * EXCLUDE (step), {lp.FIXED} FROM e QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY step, payload) = 1")
+@query(
+    f"{lp.EVENTS_SQL.replace('batch_id AS aggregate_id FROM r', 'batch_id AS aggregate_id, ' + STEP.format('business_date') + ' AS step FROM r')} "
+    f"SELECT * EXCLUDE (step), {lp.FIXED} FROM e QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY step, payload) = 1"
+)
 def stream_settlement_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = lp.settlement_batches(spark, sf_dir)
     return by_batches(view(spark, sf_dir, RESULTS), "business_date", lambda path: jobs.settlement_events(path, batches)).drop("batch")
@@ -159,7 +167,9 @@ X = f"({oracle(EXECUTIONS)})"
 def split_valid_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executions with faults of each kind: the valid ones, without a reason, and the quarantined ones with it."""
     k = F.col("k1")
-    x = view(spark, sf_dir, EXECUTIONS).withColumns({"trade_id": F.when(k % 7 == 0, " ").otherwise(F.col("trade_id")), "symbol": F.when(k % 11 == 0, "").otherwise(F.col("symbol")), "side": F.when(k % 13 == 0, "HOLD").otherwise(F.col("side")), "quantity": F.when(k % 17 == 0, 0).otherwise(F.col("quantity")), "price": F.when(k % 19 == 0, -1).otherwise(F.col("price"))})
+    x = view(spark, sf_dir, EXECUTIONS).withColumns({"trade_id": F.when(k % 7 == 0, " ").otherwise(F.col("trade_id")), "symbol": F.when(k % 11 == 0,
+        "").otherwise(F.col("symbol")), "side": F.when(k % 13 == 0, "HOLD").otherwise(F.col("side")), "quantity": F.when(k % 17 == 0,
+        0).otherwise(F.col("quantity")), "price": F.when(k % 19 == 0, -1).otherwise(F.col("price"))})
     value = F.to_json(F.struct("trade_id", "account_id", "symbol", "side", "quantity", "price", F.date_format("executed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("executed_at"), "k1", "k2"))
     valid, bad = events.split(events.parse_executions(x.select(value.alias("value"))).withColumn("kept", F.from_json("raw", "k1 long, k2 long")))
     parts = [df.select("kept.k1", "kept.k2", "account_id", reason.alias("reject")) for df, reason in ((valid, F.lit(None).cast("string")), (bad, F.col("reject")))]
@@ -173,12 +183,16 @@ def write_clearing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{new_folder(spark, 'results')}/table"
     r = led.first_by(view(spark, sf_dir, RESULTS).withColumn("_asset", F.upper("asset")), ["batch_id", "account_id", "_asset"], ["id"]).drop("_asset")
     tables.write_clearing_results(r, path)
-    again = r.where("batch_id % 2 = 0 AND account_id % 3 = 0").withColumns({"asset": F.lower("asset"), "closing_balance": (F.col("closing_balance") + 1).cast("decimal(20,8)"), "status": F.lit("CORRECTED")})
+    again = r.where("batch_id % 2 = 0 AND account_id % 3 = 0").withColumns({"asset": F.lower("asset"),
+        "closing_balance": (F.col("closing_balance") + 1).cast("decimal(20,8)"), "status": F.lit("CORRECTED")})
     tables.write_clearing_results(again, path)
     return spark.read.parquet(path).select(F.col("batch_id").cast("long"), "account_id", F.upper("asset").alias("asset"), money("closing_balance").alias("closing_balance"), "status")
 
 
-@query(f"{lp.WITH}{lp.BALANCES}{lp.DIFFS} SELECT CAST(b AS BIGINT) AS recon_batch_id, account_id, asset, {out('e')} AS expected_value, {out('a')} AS actual_value FROM norm, (VALUES (1), (2)) AS t(b) WHERE b = 1 OR account_id % 2 = 0")
+@query(
+    f"{lp.WITH}{lp.BALANCES}{lp.DIFFS} SELECT CAST(b AS BIGINT) AS recon_batch_id, account_id, "
+    f"asset, {out('e')} AS expected_value, {out('a')} AS actual_value FROM norm, (VALUES (1), (2)) AS t(b) WHERE b = 1 OR account_id % 2 = 0"
+)
 def write_recon_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of two batches, the second of which is run again and then has even accounts alone."""
     path = f"{new_folder(spark, 'diffs')}/table"

@@ -42,25 +42,41 @@ def the_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.project_trades(x, TRADE_ORDER)
 
 
-@query(f"SELECT order_id, account_id, client_order_id, symbol, new_status AS status, event_seq, {out('filled_quantity')} AS filled_quantity, CAST(event_time AS STRING) AS event_time FROM {U} QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY event_seq DESC, {', '.join(TIE)}) = 1")
+@query(
+    f"SELECT order_id, account_id, client_order_id, symbol, new_status AS status, event_seq, {out('filled_quantity')} AS filled_quantity, "
+    f"CAST(event_time AS STRING) AS event_time FROM {U} QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY event_seq DESC, {', '.join(TIE)}) = 1"
+)
 def project_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = orders.project_orders(view(spark, sf_dir, ORDER_UPDATES), TIE)
-    return last.select("order_id", "account_id", "client_order_id", "symbol", F.col("new_status").alias("status"), "event_seq", money("filled_quantity").alias("filled_quantity"), text("event_time").alias("event_time"))
+    return last.select("order_id", "account_id", "client_order_id", "symbol", F.col("new_status").alias("status"), "event_seq",
+        money("filled_quantity").alias("filled_quantity"), text("event_time").alias("event_time"))
 
 
-@query(f"SELECT order_id, new_status AS status, event_seq FROM {U} WHERE event_seq > order_id % 4 QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY event_seq DESC, {', '.join(TIE)}) = 1")
+@query(
+    f"SELECT order_id, new_status AS status, event_seq FROM {U} WHERE event_seq > order_id % 4 QUALIFY row_number() OVER (PARTITION BY order_id "
+    f"ORDER BY event_seq DESC, {', '.join(TIE)}) = 1"
+)
 def project_orders_onto_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = view(spark, sf_dir, ORDER_UPDATES)
     stored = updates.select("order_id", (F.col("order_id") % 4).alias("last_event_seq")).distinct()
     return orders.project_orders(updates, TIE, stored).select("order_id", F.col("new_status").alias("status"), "event_seq")
 
 
-@query(f"WITH {TRADES} SELECT event_id, trade_id, order_id, user_id, symbol, side, {out('quantity')} AS exec_quantity, {out('price')} AS exec_price, {out('exec_value')} AS exec_value, 0.0::DOUBLE AS fee_amount, CASE WHEN symbol LIKE '%USDT' THEN 'USDT' WHEN symbol LIKE '%KRW' THEN 'KRW' WHEN symbol LIKE '%BTC' THEN 'BTC' WHEN symbol LIKE '%ETH' THEN 'ETH' ELSE symbol END AS fee_currency, liquidity AS liquidity_flag, CAST(exec_time AS STRING) AS exec_time FROM trades")
+@query(
+    f"WITH {TRADES} SELECT event_id, trade_id, order_id, user_id, symbol, "
+    f"side, {out('quantity')} AS exec_quantity, {out('price')} AS exec_price, {out('exec_value')} AS exec_value, 0.0::DOUBLE AS fee_amount, CASE "
+    f"WHEN symbol LIKE '%USDT' THEN 'USDT' WHEN symbol LIKE '%KRW' THEN 'KRW' WHEN symbol LIKE '%BTC' THEN 'BTC' "
+    f"WHEN symbol LIKE '%ETH' THEN 'ETH' ELSE symbol END AS fee_currency, liquidity AS liquidity_flag, CAST(exec_time AS STRING) AS exec_time FROM trades"
+)
 def project_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return the_trades(spark, sf_dir).withColumns({c: money(c) for c in ("exec_quantity", "exec_price", "exec_value", "fee_amount")}).withColumn("exec_time", text("exec_time"))
 
 
-@query(f"WITH u AS (SELECT *, CASE WHEN event_seq % 2 = 0 THEN client_order_id ELSE 'other' END AS cid FROM {U}) SELECT u.order_id, u.event_seq, u.account_id, u.cid AS client_order_id, u.new_status, coalesce(a.order_id, b.order_id) AS matched_order_id FROM u LEFT JOIN {T} a ON a.user_id = u.account_id AND a.client_order_id = u.cid LEFT JOIN {T} b ON b.user_id = u.account_id AND b.order_id = u.order_id AND u.order_id % 3 = 0")
+@query(
+    f"WITH u AS (SELECT *, CASE WHEN event_seq % 2 = 0 THEN client_order_id ELSE 'other' END AS cid FROM {U}) SELECT u.order_id, u.event_seq, u.account_id, "
+    f"u.cid AS client_order_id, u.new_status, coalesce(a.order_id, b.order_id) AS matched_order_id FROM u LEFT JOIN {T} a ON a.user_id = u.account_id "
+    f"AND a.client_order_id = u.cid LEFT JOIN {T} b ON b.user_id = u.account_id AND b.order_id = u.order_id AND u.order_id % 3 = 0"
+)
 def attach_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates of which every other has lost its client id; two thirds of the order ids are of other users. A match by client id shows
     the hidden, negative id as it is stored."""
@@ -70,13 +86,19 @@ def attach_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.attach_order(u, hidden).select("order_id", "event_seq", "account_id", "client_order_id", "new_status", F.abs("matched_order_id").alias("matched_order_id"))
 
 
-@query(f"SELECT order_id, user_id, symbol, status, CAST(created_at AS STRING) AS created_at FROM {T} WHERE symbol = 'BTCUSDT' AND status = 'NEW' AND created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1999-12-31' ORDER BY created_at DESC, order_id DESC LIMIT 20 OFFSET 20")
+@query(
+    f"SELECT order_id, user_id, symbol, status, CAST(created_at AS STRING) AS created_at FROM {T} WHERE symbol = 'BTCUSDT' AND status = 'NEW' "
+    f"AND created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1999-12-31' ORDER BY created_at DESC, order_id DESC LIMIT 20 OFFSET 20"
+)
 def search_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = orders.search_orders(view(spark, sf_dir, TRADING_ORDERS), symbol="BTCUSDT", status="NEW", start="1996-01-01", end="1999-12-31")
     return orders.page(found, [F.desc("created_at"), F.desc("order_id")], 20, 1).select("order_id", "user_id", "symbol", "status", text("created_at").alias("created_at"))
 
 
-@query(f"SELECT order_id, user_id, CAST(created_at AS STRING) AS created_at FROM {T} WHERE created_at < TIMESTAMP '1998-01-01' OR (created_at = TIMESTAMP '1998-01-01' AND order_id < 5000) ORDER BY {T[:0]}created_at DESC, order_id DESC LIMIT 30")
+@query(
+    f"SELECT order_id, user_id, CAST(created_at AS STRING) AS created_at FROM {T} WHERE created_at < TIMESTAMP '1998-01-01' "
+    f"OR (created_at = TIMESTAMP '1998-01-01' AND order_id < 5000) ORDER BY {T[:0]}created_at DESC, order_id DESC LIMIT 30"
+)
 def orders_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.page_after(view(spark, sf_dir, TRADING_ORDERS), "created_at", "order_id", ("1998-01-01", 5000), 30).select("order_id", "user_id", text("created_at").alias("created_at"))
 
@@ -90,7 +112,11 @@ def pending_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["pending_orders_all"], ORACLES["pending_orders_all"] = pending_orders, ORACLES["pending_orders"]  # its name of old
 
 
-@query(f"SELECT order_id, symbol, CAST(created_at AS STRING) AS created_at, (SELECT count(*) FROM {T} WHERE symbol = 'ETHUSDT') AS total_count, (SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) FROM {T} WHERE symbol = 'ETHUSDT') AS total_pages FROM {T} WHERE symbol = 'ETHUSDT' ORDER BY created_at DESC, order_id DESC LIMIT 20 OFFSET 40")
+@query(
+    f"SELECT order_id, symbol, CAST(created_at AS STRING) AS created_at, (SELECT count(*) FROM {T} WHERE symbol = 'ETHUSDT') AS total_count, "
+    f"(SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) FROM {T} WHERE symbol = 'ETHUSDT') AS total_pages FROM {T} WHERE symbol = 'ETHUSDT' "
+    f"ORDER BY created_at DESC, order_id DESC LIMIT 20 OFFSET 40"
+)
 def orders_page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = orders.search_orders(view(spark, sf_dir, TRADING_ORDERS), symbol="ETHUSDT")
     return orders.page_with_total(found, [F.desc("created_at"), F.desc("order_id")], 20, 2).select("order_id", "symbol", text("created_at").alias("created_at"), "total_count", "total_pages")
@@ -107,7 +133,11 @@ def trades_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.trades_by(trades, order_id=trades.agg(F.max("order_id")).first()[0]).select("event_id", "trade_id", "order_id", "user_id")
 
 
-@query(f"WITH {TRADES} SELECT trade_id, user_id, symbol, liquidity AS liquidity_flag, CAST(exec_time AS STRING) AS exec_time FROM trades WHERE symbol = 'ETHUSDT' AND liquidity = 'MAKER' AND exec_time >= TIMESTAMP '1997-01-01' AND exec_time <= TIMESTAMP '1998-12-31' ORDER BY exec_time DESC, trade_id DESC LIMIT 20")
+@query(
+    f"WITH {TRADES} SELECT trade_id, user_id, symbol, liquidity AS liquidity_flag, CAST(exec_time AS STRING) AS exec_time FROM trades "
+    f"WHERE symbol = 'ETHUSDT' AND liquidity = 'MAKER' AND exec_time >= TIMESTAMP '1997-01-01' AND exec_time <= TIMESTAMP '1998-12-31' "
+    f"ORDER BY exec_time DESC, trade_id DESC LIMIT 20"
+)
 def trades_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = orders.trades_by(the_trades(spark, sf_dir), symbol="ETHUSDT", start="1997-01-01", end="1998-12-31", liquidity="MAKER")
     return orders.page(found, [F.desc("exec_time"), F.desc("trade_id")]).select("trade_id", "user_id", "symbol", "liquidity_flag", text("exec_time").alias("exec_time"))
@@ -123,7 +153,12 @@ def exec_qty_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.exec_qty_by_order(the_trades(spark, sf_dir)).withColumn("exec_quantity", money("exec_quantity"))
 
 
-@query(f"WITH {TRADES}, s AS (SELECT order_id, sum(quantity) AS filled, sum(quantity * price) AS val FROM trades GROUP BY 1) SELECT t.order_id, round(CAST(val AS DOUBLE) / CAST(filled AS DOUBLE), 6) AS avg_price, {out('coalesce(filled, 0)')} AS filled, {out('greatest(t.quantity - coalesce(filled, 0), 0)')} AS remaining, CASE WHEN coalesce(filled, 0) = 0 THEN 'NEW' WHEN filled < t.quantity THEN 'PARTIALLY_FILLED' ELSE 'FILLED' END AS status FROM {T} t LEFT JOIN s ON s.order_id = t.order_id")
+@query(
+    f"WITH {TRADES}, s AS (SELECT order_id, sum(quantity) AS filled, sum(quantity * price) AS val FROM trades GROUP BY 1) SELECT t.order_id, "
+    f"round(CAST(val AS DOUBLE) / CAST(filled AS DOUBLE), 6) AS avg_price, {out('coalesce(filled, 0)')} AS filled, {out('greatest(t.quantity - coalesce(filled, 0), 0)')} AS remaining, "
+    f"CASE WHEN coalesce(filled, 0) = 0 THEN 'NEW' WHEN filled < t.quantity THEN 'PARTIALLY_FILLED' ELSE 'FILLED' END AS status FROM {T} t LEFT "
+    f"JOIN s ON s.order_id = t.order_id"
+)
 def order_state_from_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     fills = the_trades(spark, sf_dir).select("order_id", F.col("exec_quantity").alias("quantity"), F.col("exec_price").alias("price"))
     found = orders.order_state_from_fills(fills, view(spark, sf_dir, TRADING_ORDERS))
@@ -151,26 +186,43 @@ def validate_client_order_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAY = "CAST(date_trunc('day', ts) AS TIMESTAMP)"
 
 
-@query(f"SELECT account_id, 'ORDER_FLOOD' AS pattern_type, count(*) AS n, CAST({DAY} + INTERVAL 1 DAY AS STRING) AS detected_at FROM {A} WHERE command_type = 'NEW' GROUP BY account_id, {DAY} HAVING count(*) > 1")
+@query(
+    f"SELECT account_id, 'ORDER_FLOOD' AS pattern_type, count(*) AS n, CAST({DAY} + INTERVAL 1 DAY AS STRING) AS detected_at FROM {A} "
+    f"WHERE command_type = 'NEW' GROUP BY account_id, {DAY} HAVING count(*) > 1"
+)
 def order_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test events are sparse: more than 1 in a day."""
     return risk.order_flood(view(spark, sf_dir, ACTIVITY), 1, length="1 day").select("account_id", "pattern_type", "n", text("detected_at").alias("detected_at"))
 
 
-@query(f"SELECT account_id, symbol, count(*) AS n, CAST({DAY} + INTERVAL 1 DAY AS STRING) AS detected_at FROM {A} WHERE command_type = 'NEW' GROUP BY account_id, symbol, {DAY} HAVING count(*) > 1")
+@query(
+    f"SELECT account_id, symbol, count(*) AS n, CAST({DAY} + INTERVAL 1 DAY AS STRING) AS detected_at FROM {A} WHERE command_type = 'NEW' "
+    f"GROUP BY account_id, symbol, {DAY} HAVING count(*) > 1"
+)
 def order_flood_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.order_flood(view(spark, sf_dir, ACTIVITY), 1, True, "1 day").select("account_id", "symbol", "n", text("detected_at").alias("detected_at"))
 
 
-@query(f"SELECT account_id, symbol, count(*) AS n, CAST({DAY} + INTERVAL 1 DAY AS STRING) AS detected_at FROM {A} WHERE command_type = 'CANCEL' GROUP BY account_id, symbol, {DAY} HAVING count(*) > 0")
+@query(
+    f"SELECT account_id, symbol, count(*) AS n, CAST({DAY} + INTERVAL 1 DAY AS STRING) AS detected_at FROM {A} WHERE command_type = 'CANCEL' "
+    f"GROUP BY account_id, symbol, {DAY} HAVING count(*) > 0"
+)
 def cancel_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.cancel_repeat(view(spark, sf_dir, ACTIVITY), 0, "1 day").select("account_id", "symbol", "n", text("detected_at").alias("detected_at"))
 
 
-FLOODS = f"log AS (SELECT account_id, NULL AS symbol, {DAY} + INTERVAL 1 DAY AS seen_at FROM {A} WHERE command_type = 'NEW' GROUP BY account_id, {DAY} HAVING count(*) > 1 UNION ALL SELECT account_id, symbol, {DAY} + INTERVAL 1 DAY FROM {A} WHERE command_type = 'NEW' GROUP BY account_id, symbol, {DAY} HAVING count(*) > 1)"
+FLOODS = (
+    f"log AS (SELECT account_id, NULL AS symbol, {DAY} + INTERVAL 1 DAY AS seen_at FROM {A} WHERE command_type = 'NEW' GROUP BY account_id, {DAY} "
+    f"HAVING count(*) > 1 UNION ALL SELECT account_id, symbol, {DAY} + INTERVAL 1 DAY FROM {A} WHERE command_type = 'NEW' GROUP BY account_id, "
+    f"symbol, {DAY} HAVING count(*) > 1)"
+)
 
 
-@query(f"WITH {FLOODS} SELECT account_id, symbol, CAST(seen_at AS STRING) AS detected_at, n_recent, CASE WHEN symbol IS NULL AND n_recent >= 3 THEN 'Account blocked' END AS action FROM (SELECT *, count(*) OVER (PARTITION BY account_id ORDER BY seen_at RANGE BETWEEN INTERVAL 5 DAY PRECEDING AND CURRENT ROW) AS n_recent FROM log)")
+@query(
+    f"WITH {FLOODS} SELECT account_id, symbol, CAST(seen_at AS STRING) AS detected_at, n_recent, CASE WHEN symbol IS NULL "
+    f"AND n_recent >= 3 THEN 'Account blocked' END AS action FROM (SELECT *, count(*) OVER (PARTITION BY account_id "
+    f"ORDER BY seen_at RANGE BETWEEN INTERVAL 5 DAY PRECEDING AND CURRENT ROW) AS n_recent FROM log)"
+)
 def flood_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = view(spark, sf_dir, ACTIVITY)
     log = risk.order_flood(a, 1, length="1 day").unionByName(risk.order_flood(a, 1, True, "1 day"))
@@ -183,7 +235,10 @@ def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.pattern_counts(risk.order_flood(a, 1, length="1 day").unionByName(risk.order_flood(a, 1, True, "1 day")))
 
 
-@query(f"WITH {FLOODS} SELECT account_id, symbol, 'ORDER_FLOOD' AS pattern_type, count(*) AS n FROM log WHERE seen_at >= (SELECT max(seen_at) FROM log) - INTERVAL 10 DAY GROUP BY 1, 2")
+@query(
+    f"WITH {FLOODS} SELECT account_id, symbol, 'ORDER_FLOOD' AS pattern_type, count(*) AS n FROM log WHERE seen_at >= (SELECT max(seen_at) "
+    f"FROM log) - INTERVAL 10 DAY GROUP BY 1, 2"
+)
 def pattern_counts_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the ten days before the last flood."""
     a = view(spark, sf_dir, ACTIVITY)
@@ -199,13 +254,21 @@ def anomaly_log_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.anomaly_log_by(log, pattern="ORDER_FLOOD", unactioned=True).select("account_id", "symbol", text("detected_at").alias("detected_at"))
 
 
-@query(f"SELECT event_id, symbol, {out('quantity')} AS quantity, n_before FROM (SELECT *, coalesce(sum(quantity) OVER w, 0) AS s, count(quantity) OVER w AS n_before FROM {A} WHERE command_type = 'NEW' WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n_before > 0 AND quantity * n_before > s * 3")
+@query(
+    f"SELECT event_id, symbol, {out('quantity')} AS quantity, n_before FROM (SELECT *, coalesce(sum(quantity) OVER w, 0) AS s, "
+    f"count(quantity) OVER w AS n_before FROM {A} WHERE command_type = 'NEW' WINDOW w AS (PARTITION BY symbol ORDER BY ts, "
+    f"event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n_before > 0 AND quantity * n_before > s * 3"
+)
 def large_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = view(spark, sf_dir, ACTIVITY).where(F.col("command_type") == "NEW")
     return risk.large_order(new, 3).select("event_id", "symbol", money("quantity").alias("quantity"), "n_before")
 
 
-@query(f"{WITH}{HELD}, blocked AS (SELECT account_id FROM held GROUP BY 1 HAVING min(amount) < 0) SELECT client_order_id, CASE WHEN b.account_id IS NOT NULL THEN 'ACCOUNT_BLOCKED' WHEN symbol = 'BTCKRW' THEN 'SYMBOL_HALTED' END AS reject FROM {C} c LEFT JOIN blocked b ON b.account_id = c.user_id WHERE command_type = 'NEW'")
+@query(
+    f"{WITH}{HELD}, blocked AS (SELECT account_id FROM held GROUP BY 1 HAVING min(amount) < 0) SELECT client_order_id, CASE "
+    f"WHEN b.account_id IS NOT NULL THEN 'ACCOUNT_BLOCKED' WHEN symbol = 'BTCKRW' THEN 'SYMBOL_HALTED' END AS reject FROM {C} c LEFT "
+    f"JOIN blocked b ON b.account_id = c.user_id WHERE command_type = 'NEW'"
+)
 def block_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir)))
     halted = spark.createDataFrame([("BTCKRW",)], "symbol string")
@@ -277,13 +340,17 @@ def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.order_state(the_replay(spark, sf_dir))
 
 
-@query(f"SELECT count(DISTINCT symbol || client_order_id) AS n_orders, count(DISTINCT symbol) AS n_symbols, CAST(0 AS BIGINT) AS crossed, CAST(0 AS BIGINT) AS unbalanced FROM {C} WHERE command_type = 'NEW'")
+@query(
+    f"SELECT count(DISTINCT symbol || client_order_id) AS n_orders, count(DISTINCT symbol) AS n_symbols, CAST(0 AS BIGINT) AS crossed, "
+    f"CAST(0 AS BIGINT) AS unbalanced FROM {C} WHERE command_type = 'NEW'"
+)
 def match_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is met once, no book is crossed after the replay, and orders' filled quantities are twice the fills' in each symbol."""
     events_ = matching.match_orders(view(spark, sf_dir, ORDER_COMMANDS))
     states = matching.order_state(events_)
     best = matching.best_prices(matching.book_depth(states)).agg(F.count_if(F.col("best_bid") >= F.col("best_ask")).alias("crossed"))
-    filled = states.groupBy("symbol").agg(F.sum("filled").alias("f"), F.count("*").alias("n")).join(events_.where(F.col("kind") == "FILL").groupBy("symbol").agg(F.sum("quantity").alias("q")), "symbol", "left")
+    filled = states.groupBy("symbol").agg(F.sum("filled").alias("f"),
+        F.count("*").alias("n")).join(events_.where(F.col("kind") == "FILL").groupBy("symbol").agg(F.sum("quantity").alias("q")), "symbol", "left")
     sums = filled.agg(F.sum("n").alias("n_orders"), F.count("*").alias("n_symbols"), F.count_if(F.col("f") != 2 * F.coalesce("q", F.lit(0))).alias("unbalanced"))
     return sums.withColumn("one", F.lit(1)).join(best.withColumn("one", F.lit(1)), "one").drop("one")
 
@@ -309,7 +376,11 @@ def emit_order_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.update_messages(the_replay(spark, sf_dir))
 
 
-@query(f"SELECT symbol, user_id AS account_id, client_order_id, 'REJECTED' AS status, 0 AS remaining, CASE WHEN user_id % 10 = 0 THEN 'ACCOUNT_BLOCKED' ELSE 'SYMBOL_HALTED' END AS reason FROM {C} WHERE command_type = 'NEW' AND (user_id % 10 = 0 OR symbol = 'BTCKRW')")
+@query(
+    f"SELECT symbol, user_id AS account_id, client_order_id, 'REJECTED' AS status, 0 AS remaining, CASE "
+    f"WHEN user_id % 10 = 0 THEN 'ACCOUNT_BLOCKED' ELSE 'SYMBOL_HALTED' END AS reason FROM {C} WHERE command_type = 'NEW' AND (user_id % 10 = 0 "
+    f"OR symbol = 'BTCKRW')"
+)
 def match_with_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The updates of refused orders: every tenth account is blocked and one symbol halted."""
     c = view(spark, sf_dir, ORDER_COMMANDS)
@@ -319,19 +390,32 @@ def match_with_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("event_type = 'REJECTED'").select("symbol", "account_id", "client_order_id", "status", "remaining", "reason")
 
 
-@query(f"SELECT user_id, client_order_id, symbol, side, time_in_force, {out('price')} AS price, {out('quantity')} AS quantity, 'TEST' AS source, CAST(received_at AS STRING) AS received_at, CASE WHEN seq % 10 = 0 THEN 'quantity' END AS reject FROM (SELECT * REPLACE (CASE WHEN seq % 10 = 0 THEN NULL ELSE quantity END AS quantity) FROM {C} WHERE command_type = 'NEW')")
+@query(
+    f"SELECT user_id, client_order_id, symbol, side, time_in_force, {out('price')} AS price, {out('quantity')} AS quantity, 'TEST' AS source, "
+    f"CAST(received_at AS STRING) AS received_at, CASE WHEN seq % 10 = 0 THEN 'quantity' END AS reject FROM (SELECT * REPLACE (CASE "
+    f"WHEN seq % 10 = 0 THEN NULL ELSE quantity END AS quantity) FROM {C} WHERE command_type = 'NEW')"
+)
 def read_order_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, ORDER_COMMANDS).where(F.col("command_type") == "NEW")
-    value = F.to_json(F.struct(F.col("command_type").alias("commandType"), F.col("user_id").alias("userId"), F.col("client_order_id").alias("clientOrderId"), "symbol", "side", F.col("order_type").alias("orderType"), F.col("time_in_force").alias("timeInForce"), "price", F.when(F.col("seq") % 10 != 0, F.col("quantity")).alias("quantity"), F.lit("TEST").alias("source"), F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("receivedAt")))
+    value = F.to_json(F.struct(F.col("command_type").alias("commandType"), F.col("user_id").alias("userId"),
+        F.col("client_order_id").alias("clientOrderId"), "symbol", "side", F.col("order_type").alias("orderType"),
+        F.col("time_in_force").alias("timeInForce"), "price", F.when(F.col("seq") % 10 != 0, F.col("quantity")).alias("quantity"),
+        F.lit("TEST").alias("source"), F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("receivedAt")))
     p = events.parse_order_commands(c.select(value.alias("value")))
-    return p.select("user_id", "client_order_id", "symbol", "side", "time_in_force", money("price").alias("price"), money("quantity").alias("quantity"), "source", text("received_at").alias("received_at"), "reject")
+    return p.select("user_id", "client_order_id", "symbol", "side", "time_in_force", money("price").alias("price"),
+        money("quantity").alias("quantity"), "source", text("received_at").alias("received_at"), "reject")
 
 
-@query(f"SELECT order_id, account_id, symbol, new_status, event_seq, {out('filled_quantity')} AS filled_quantity, CAST(event_time AS STRING) AS event_time, CAST(NULL AS STRING) AS reject FROM {U}")
+@query(
+    f"SELECT order_id, account_id, symbol, new_status, event_seq, {out('filled_quantity')} AS filled_quantity, CAST(event_time AS STRING) AS event_time, "
+    f"CAST(NULL AS STRING) AS reject FROM {U}"
+)
 def read_order_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other update in an envelope."""
     u = view(spark, sf_dir, ORDER_UPDATES)
-    body = F.struct(F.col("order_id").alias("orderId"), F.col("account_id").alias("accountId"), "symbol", "side", F.col("new_status").alias("newStatus"), F.col("event_seq").alias("eventSeq"), F.col("filled_quantity").alias("filledQuantity"), F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'+09:00'").alias("eventTime"))
+    body = F.struct(F.col("order_id").alias("orderId"), F.col("account_id").alias("accountId"), "symbol", "side",
+        F.col("new_status").alias("newStatus"), F.col("event_seq").alias("eventSeq"), F.col("filled_quantity").alias("filledQuantity"),
+        F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'+09:00'").alias("eventTime"))
     value = F.when(F.col("event_seq") % 2 == 0, F.to_json(F.struct(body.alias("body")))).otherwise(F.to_json(body))
     p = events.parse_order_updates(u.select(value.alias("value")))
     return p.select("order_id", "account_id", "symbol", "new_status", "event_seq", money("filled_quantity").alias("filled_quantity"), text("event_time").alias("event_time"), "reject")
@@ -340,19 +424,27 @@ def read_order_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 BAD = "CASE WHEN k1 % 50 = 0 THEN 0 ELSE quantity END"
 
 
-@query(f"SELECT trade_id, account_id, symbol, side, {out(BAD)} AS quantity, {out('price')} AS price, {out('CASE WHEN k1 % 2 = 0 THEN 0 ELSE fee END')} AS fee, CAST(executed_at AS STRING) AS executed_at, CASE WHEN k1 % 50 = 0 THEN 'quantity' END AS reject FROM {X}")
+@query(
+    f"SELECT trade_id, account_id, symbol, side, {out(BAD)} AS quantity, {out('price')} AS price, {out('CASE WHEN k1 % 2 = 0 THEN 0 ELSE fee END')} AS fee, "
+    f"CAST(executed_at AS STRING) AS executed_at, CASE WHEN k1 % 50 = 0 THEN 'quantity' END AS reject FROM {X}"
+)
 def read_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even parts in the worker's envelope, which has no fee, odd ones flat; every fiftieth with quantity 0."""
     x = view(spark, sf_dir, EXECUTIONS).withColumn("quantity", F.when(F.col("k1") % 50 == 0, 0).otherwise(F.col("quantity")).cast("decimal(20,8)"))
     at = F.date_format("executed_at", "yyyy-MM-dd'T'HH:mm:ss")
-    body = F.struct(F.col("trade_id").alias("tradeId"), F.col("account_id").alias("userId"), "symbol", "side", F.col("quantity").alias("execQuantity"), F.col("price").alias("execPrice"), F.col("liquidity").alias("liquidityFlag"), at.alias("execTime"))
+    body = F.struct(F.col("trade_id").alias("tradeId"), F.col("account_id").alias("userId"), "symbol", "side",
+        F.col("quantity").alias("execQuantity"), F.col("price").alias("execPrice"), F.col("liquidity").alias("liquidityFlag"), at.alias("execTime"))
     flat = F.struct("trade_id", "account_id", "symbol", F.lower("side").alias("side"), "quantity", "price", "fee", at.alias("executed_at"))
     value = F.when(F.col("k1") % 2 == 0, F.to_json(F.struct(F.lit("trades.executed").alias("sourceTopic"), body.alias("body")))).otherwise(F.to_json(flat))
     p = events.parse_executions(x.select(value.alias("value")))
-    return p.select("trade_id", "account_id", "symbol", "side", money("quantity").alias("quantity"), money("price").alias("price"), money("fee").alias("fee"), text("executed_at").alias("executed_at"), "reject")
+    return p.select("trade_id", "account_id", "symbol", "side", money("quantity").alias("quantity"), money("price").alias("price"),
+        money("fee").alias("fee"), text("executed_at").alias("executed_at"), "reject")
 
 
-@query("SELECT event_id, greatest(0, event_id % 7 - 2) AS queue_ms, event_id % 5 AS engine_ms, event_id % 3 AS publish_ms, event_id % 5 + event_id % 3 AS total_ms, greatest(0, event_id % 7 - 2) + event_id % 5 + event_id % 3 AS end_to_end_ms FROM events")
+@query(
+    "SELECT event_id, greatest(0, event_id % 7 - 2) AS queue_ms, event_id % 5 AS engine_ms, event_id % 3 AS publish_ms, "
+    "event_id % 5 + event_id % 3 AS total_ms, greatest(0, event_id % 7 - 2) + event_id % 5 + event_id % 3 AS end_to_end_ms FROM events"
+)
 def pipeline_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pipeline_latency(_times(spark, sf_dir)).select("event_id", "queue_ms", "engine_ms", "publish_ms", "total_ms", "end_to_end_ms")
 
@@ -360,7 +452,8 @@ def pipeline_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, received = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
     consumed = received + i % 7 - 2
-    return table(spark, sf_dir, "events").select("event_id", "event_type", received.alias("received"), consumed.alias("consumed"), (consumed + i % 5).alias("matched"), (consumed + i % 5 + i % 3).alias("published"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", received.alias("received"), consumed.alias("consumed"),
+        (consumed + i % 5).alias("matched"), (consumed + i % 5 + i % 3).alias("published"))
 
 
 @query("""WITH v AS (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS x, row_number() OVER (PARTITION BY event_type ORDER BY round(value * 100)) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events)

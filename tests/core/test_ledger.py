@@ -25,7 +25,8 @@ def posted(df):
 
 
 def test_buy_sell_and_fee_postings(spark):
-    rows = posted(ledger.post_ledger(execs(spark, [("TRD-001", 1, "BTCUSDT", "BUY", "0.1", "50000", "5", "USDT"), ("T2", 1, "ethusdc".upper(), "sell", "2", "3", None, None), ("T3", 2, "BTCKRW", "BUY", "1", "2", "1", None)]), ["executed_at", "n"]))
+    rows = posted(ledger.post_ledger(execs(spark, [("TRD-001", 1, "BTCUSDT", "BUY", "0.1", "50000", "5", "USDT"), ("T2", 1, "ethusdc".upper(), "sell",
+        "2", "3", None, None), ("T3", 2, "BTCKRW", "BUY", "1", "2", "1", None)]), ["executed_at", "n"]))
     assert rows == {
         "TRD-001:1:BTC:TRADE": D("0.1"), "TRD-001:1:USDT:TRADE": D(-5000), "TRD-001:1:USDT:FEE": D(-5), "T2:1:ETH:TRADE": D(-2), "T2:1:USDC:TRADE": D(6),
         "T3:2:BTC:TRADE": D(1), "T3:2:CKRW:TRADE": D(-2), "T3:2:CKRW:FEE": D(-1),
@@ -41,13 +42,16 @@ def test_duplicates_are_skipped_whole(spark):
 
 
 def test_symbol_rules(spark):
-    got = spark.createDataFrame([("BTCUSDT",), ("ABC",), ("USDUSD",), ("ETHBTC",), ("XKRW",)], "s string").select(assets.base_asset(F.col("s")), assets.quote_asset(F.col("s")), assets.fee_currency(F.col("s"))).collect()
+    got = spark.createDataFrame([("BTCUSDT",), ("ABC",), ("USDUSD",), ("ETHBTC",), ("XKRW",)], "s string").select(assets.base_asset(F.col("s")),
+        assets.quote_asset(F.col("s")), assets.fee_currency(F.col("s"))).collect()
     assert [tuple(r) for r in got] == [("BTC", "USDT", "USDT"), ("ABC", "ABC", "ABC"), ("", "USD", "USDUSD"), ("ETH", "HBTC", "BTC"), ("XKR", "XKRW", "KRW")]
 
 
 def golden(spark):
     t = lambda d, h, s=0: datetime(2026, 2, d, h, 0, s)
-    rows = [(1, 1001, "USDT", -100, "TRADE", "TR-1", t(23, 10)), (2, 1001, "USDT", -2, "FEE", "TR-1", t(23, 10, 1)), (3, 1001, "usdt", 40, "TRADE", "TR-2", t(23, 11)), (4, 2001, "USDT", 50, "DEPOSIT", None, t(22, 9)), (5, 1001, "USDT", 100, "DEPOSIT", None, t(22, 9)), (6, 1001, "USDT", 999, "TRADE", "TR-FUTURE", t(24, 0))]
+    rows = [(1, 1001, "USDT", -100, "TRADE", "TR-1", t(23, 10)), (2, 1001, "USDT", -2, "FEE", "TR-1", t(23, 10, 1)), (3, 1001, "usdt", 40, "TRADE",
+        "TR-2", t(23, 11)), (4, 2001, "USDT", 50, "DEPOSIT", None, t(22, 9)), (5, 1001, "USDT", 100, "DEPOSIT", None, t(22, 9)), (6, 1001, "USDT",
+        999, "TRADE", "TR-FUTURE", t(24, 0))]
     return spark.createDataFrame([(i, a, s, D(x), k, tr, f"k{i}", at) for i, a, s, x, k, tr, at in rows], schemas.LEDGER)
 
 
@@ -56,7 +60,8 @@ def test_golden_clearing(spark):
     mark = ledger.watermark(led, "2026-02-23").first()[0]
     assert mark == 5
     assert ledger.watermark(led, "2020-01-01").first()[0] == 0
-    got = {r.account_id: tuple(map(int, (r.opening_balance, r.net_change, r.closing_balance, r.fee_total, r.trade_count, r.trade_value))) for r in clearing.checked(clearing.clear(led, "2026-02-23", mark)).collect()}
+    got = {r.account_id: tuple(map(int, (r.opening_balance, r.net_change, r.closing_balance, r.fee_total, r.trade_count,
+        r.trade_value))) for r in clearing.checked(clearing.clear(led, "2026-02-23", mark)).collect()}
     assert got == {1001: (100, -62, 38, 2, 2, 140), 2001: (50, 0, 50, 0, 0, 0)}
     only = clearing.clear(led, "2026-02-23", mark, "account:2000-2500")
     assert [r.account_id for r in only.collect()] == [2001]
@@ -72,7 +77,10 @@ def test_given_openings_and_violations(spark):
 
 
 def test_previous_closings(spark):
-    results = spark.createDataFrame([(1, 1, "2026-02-21", 1, "USDT", 90, "FINAL"), (2, 2, "2026-02-22", 1, "USDT", 100, "FINAL"), (3, 3, "2026-02-22", 1, "usdt", 110, "FINAL"), (4, 4, "2026-02-22", 1, "USDT", 5, "FINAL"), (5, 2, "2026-02-22", 1, "USDT", 6, "PRELIMINARY"), (6, 2, "2026-02-23", 1, "USDT", 7, "FINAL")], "id long, batch_id long, d string, account_id long, asset string, c int, status string").selectExpr("id", "batch_id", "CAST(d AS DATE) AS business_date", "account_id", "asset", "CAST(c AS DECIMAL(36,18)) AS closing_balance", "status")
+    results = spark.createDataFrame([(1, 1, "2026-02-21", 1, "USDT", 90, "FINAL"), (2, 2, "2026-02-22", 1, "USDT", 100, "FINAL"), (3, 3, "2026-02-22",
+        1, "usdt", 110, "FINAL"), (4, 4, "2026-02-22", 1, "USDT", 5, "FINAL"), (5, 2, "2026-02-22", 1, "USDT", 6, "PRELIMINARY"), (6, 2,
+        "2026-02-23", 1, "USDT", 7, "FINAL")], "id long, batch_id long, d string, account_id long, asset string, c int, status string").selectExpr("id",
+        "batch_id", "CAST(d AS DATE) AS business_date", "account_id", "asset", "CAST(c AS DECIMAL(36,18)) AS closing_balance", "status")
     batches = spark.createDataFrame([(1, "EOD"), (2, "EOD"), (3, "EOD"), (4, "INTRADAY")], "id long, batch_type string")
     got = clearing.previous_closings(results, batches, "2026-02-23").orderBy("place").collect()
     assert [int(r.closing_balance) for r in got] == [110, 100, 90]
@@ -91,8 +99,10 @@ def test_bad_scopes(text):
 
 
 def test_recon_golden(spark):
-    led = spark.createDataFrame([(1, 1001, "USDT", D(100)), (2, 1, "KRW", D(100)), (3, 2, "USDT", D("1.12345678")), (4, 3, "USDT", D(100)), (5, 9, "ETH", D(1))], "id long, account_id long, asset string, amount decimal(20,8)")
-    held = spark.createDataFrame([(1001, "usdt", D(95), D(0)), (1, "KRW", D("100.4"), D(0)), (2, "USDT", D("1.12345678"), D(0)), (3, "usdt", D(50), D(0)), (3, "USDT", D(25), D(25)), (8, "USD", D(1), D(0))], "account_id long, asset string, available decimal(20,8), locked decimal(20,8)")
+    led = spark.createDataFrame([(1, 1001, "USDT", D(100)), (2, 1, "KRW", D(100)), (3, 2, "USDT", D("1.12345678")), (4, 3, "USDT", D(100)), (5, 9,
+        "ETH", D(1))], "id long, account_id long, asset string, amount decimal(20,8)")
+    held = spark.createDataFrame([(1001, "usdt", D(95), D(0)), (1, "KRW", D("100.4"), D(0)), (2, "USDT", D("1.12345678"), D(0)), (3, "usdt", D(50),
+        D(0)), (3, "USDT", D(25), D(25)), (8, "USD", D(1), D(0))], "account_id long, asset string, available decimal(20,8), locked decimal(20,8)")
     got = {(r.account_id, r.asset): r.diff_value for r in recon.compare(led, held).collect()}
     assert got == {(1001, "USDT"): D(-5), (9, "ETH"): None, (8, "USD"): None}
     s = recon.summary(recon.compare(led, held)).first()

@@ -42,7 +42,9 @@ def test_running_sums_equal_one_window(spark, monkeypatch):
     got = {(r.g, r.i): r.s for r in running(df, ["g"], "b", ["i"], F.col("v"), "s").collect()}
     assert got == {(g, i): sum((j * 37) % 11 for j in range(i)) for g, i, _ in rows}
     monkeypatch.setattr(balances, "RUN", 4)
-    led = spark.createDataFrame([(i + 1, i % 3, "usdt" if i % 2 else "USDT", i - 20) for i in range(50)], "id long, account_id long, asset string, amount decimal(20,8)".replace("decimal(20,8)", "int")).withColumn("amount", F.col("amount").cast("decimal(20,8)"))
+    led = spark.createDataFrame([(i + 1, i % 3, "usdt" if i % 2 else "USDT", i - 20) for i in range(50)],
+        "id long, account_id long, asset string, amount decimal(20,8)".replace("decimal(20,8)", "int")).withColumn("amount",
+        F.col("amount").cast("decimal(20,8)"))
     want, total = {}, {}
     for i in range(50):
         total[i % 3] = total.get(i % 3, 0) + i - 20
@@ -59,8 +61,11 @@ def test_a_database_table_is_read_in_parts(spark):
 
 def test_floods_block_an_account(spark):
     held = spark.createDataFrame([(1, "USDT", 5), (2, "USDT", -1), (3, "USDT", -2)], "account_id long, asset string, available int").withColumn("available", F.col("available").cast("decimal(20,8)"))
-    log = spark.createDataFrame([(1, 4, "2026-01-01 00:02:00", "Account blocked"), (1, 3, "2026-01-01 00:01:00", "Account blocked"), (2, 3, "2026-01-01 00:01:00", "Account blocked"), (4, 3, "2026-01-01 00:01:00", "Account blocked"), (5, 2, "2026-01-01 00:01:00", None)], "account_id long, n_recent long, detected_at string, action string")
+    log = spark.createDataFrame([(1, 4, "2026-01-01 00:02:00", "Account blocked"), (1, 3, "2026-01-01 00:01:00", "Account blocked"), (2, 3,
+        "2026-01-01 00:01:00", "Account blocked"), (4, 3, "2026-01-01 00:01:00", "Account blocked"), (5, 2, "2026-01-01 00:01:00", None)],
+        "account_id long, n_recent long, detected_at string, action string")
     old = spark.createDataFrame([(3, "BLOCKED", "by hand"), (6, "NORMAL", None)], "account_id long, status string, block_reason string")
     got = {r.account_id: (r.status, r.block_reason) for r in balances.risk_state(held, old, log).collect()}
-    assert got == {1: ("BLOCKED", "Order flood: 3 times"), 2: ("BLOCKED", "Negative balance: USDT = -1.00000000"), 3: ("BLOCKED", "by hand"), 4: ("BLOCKED", "Order flood: 3 times"), 6: ("NORMAL", None)}
+    assert got == {1: ("BLOCKED", "Order flood: 3 times"), 2: ("BLOCKED", "Negative balance: USDT = -1.00000000"), 3: ("BLOCKED", "by hand"),
+        4: ("BLOCKED", "Order flood: 3 times"), 6: ("NORMAL", None)}
     assert [r.account_id for r in balances.accounts_by_status(balances.risk_state(held, old, log), "NORMAL").collect()] == [6]

@@ -53,7 +53,8 @@ def test_duplicate_new_is_ignored():
 
 
 def test_cancels():
-    book, out = book_of(new(1, "a", "SELL", 10, 5), new(2, "b", "BUY", 10, 2), ("CANCEL", 2, "ORDER_ID", "1"), ("CANCEL", 1, "ORDER_ID", "x"), ("CANCEL", 1, "CLIENT_ORDER_ID", "a"), ("CANCEL", 1, "CLIENT_ORDER_ID", "a"), new(3, "c", "BUY", 99, 1, "IOC"))
+    book, out = book_of(new(1, "a", "SELL", 10, 5), new(2, "b", "BUY", 10, 2), ("CANCEL", 2, "ORDER_ID", "1"), ("CANCEL", 1, "ORDER_ID", "x"),
+        ("CANCEL", 1, "CLIENT_ORDER_ID", "a"), ("CANCEL", 1, "CLIENT_ORDER_ID", "a"), new(3, "c", "BUY", 99, 1, "IOC"))
     assert [(e["order_id"], e["reason"]) for e in out if e.get("event_type") == "CANCELED"] == [(1, "USER_CANCEL"), (3, "TIME_IN_FORCE_EXPIRED")]
     assert (book.orders[1]["filled"], book.orders[1]["remaining"]) == (2, 0)
 
@@ -101,7 +102,8 @@ def slow_fills(commands):
 
 def test_replay_equals_a_slow_book():
     rnd = random.Random(5)
-    flow = [(rnd.choice(["NEW"] * 5 + ["CANCEL"]), rnd.randrange(5), f"c{rnd.randrange(150)}", rnd.choice(["BUY", "SELL"]), rnd.randrange(95, 106), rnd.randrange(1, 9), rnd.choice(["GTC", "GTC", "IOC"])) for _ in range(600)]
+    flow = [(rnd.choice(["NEW"] * 5 + ["CANCEL"]), rnd.randrange(5), f"c{rnd.randrange(150)}", rnd.choice(["BUY", "SELL"]), rnd.randrange(95, 106),
+        rnd.randrange(1, 9), rnd.choice(["GTC", "GTC", "IOC"])) for _ in range(600)]
     book, out = matching.Book(), []
     for kind, user, client, *rest in flow:
         out += book.new(user, client, *rest) if kind == "NEW" else book.cancel(user, "CLIENT_ORDER_ID", client)
@@ -132,14 +134,20 @@ def test_executions_of_fills_post_in_balance(spark, sf):
 
 
 def test_parsing_rejects(spark):
-    good = {"commandType": "NEW", "userId": 1, "clientOrderId": "abcde", "symbol": "S", "side": "BUY", "orderType": "LIMIT", "timeInForce": "LOC", "price": 1, "quantity": 2, "receivedAt": "2026-01-01T00:00:00Z"}
-    cases = [(good, None), ({**good, "price": None}, "price"), ({**good, "orderType": "MARKET", "price": None}, None), ({**good, "clientOrderId": " "}, "clientOrderId"), ({**good, "commandType": "CANCEL"}, "cancelTarget.by"), ({**good, "commandType": "CANCEL", "cancelTarget": {"by": "ORDER_ID", "value": "7"}}, None), ({**good, "commandType": "CANCEL", "cancelTarget": {"by": "X", "value": "7"}}, "cancelTarget.by")]
+    good = {"commandType": "NEW", "userId": 1, "clientOrderId": "abcde", "symbol": "S", "side": "BUY", "orderType": "LIMIT", "timeInForce": "LOC",
+        "price": 1, "quantity": 2, "receivedAt": "2026-01-01T00:00:00Z"}
+    cases = [(good, None), ({**good, "price": None}, "price"), ({**good, "orderType": "MARKET", "price": None}, None), ({**good,
+        "clientOrderId": " "}, "clientOrderId"), ({**good, "commandType": "CANCEL"}, "cancelTarget.by"), ({**good, "commandType": "CANCEL",
+        "cancelTarget": {"by": "ORDER_ID", "value": "7"}}, None), ({**good, "commandType": "CANCEL", "cancelTarget": {"by": "X", "value": "7"}},
+        "cancelTarget.by")]
     texts = spark.createDataFrame([(json.dumps(c),) for c, _ in cases] + [("{nonsense",), (None,)], "value string")
     got = [r.reject for r in events.parse_order_commands(texts).collect()]
     assert got == [w for _, w in cases] + ["commandType", "commandType"]
     first = events.parse_order_commands(texts).first()
     assert (first.time_in_force, first.source) == ("IOC", "UNKNOWN")
-    x = spark.createDataFrame([(json.dumps({"trade_id": "t", "account_id": 1, "symbol": "S", "side": "hold", "quantity": 1, "price": 1}),), (json.dumps({"body": {"tradeId": "t", "userId": 505, "symbol": "005930", "side": "BUY", "execQuantity": 1, "execPrice": 70000, "execTime": "2026-03-11T12:00:01+09:00"}}),)], "value string")
+    x = spark.createDataFrame([(json.dumps({"trade_id": "t", "account_id": 1, "symbol": "S", "side": "hold", "quantity": 1, "price": 1}),),
+        (json.dumps({"body": {"tradeId": "t", "userId": 505, "symbol": "005930", "side": "BUY", "execQuantity": 1, "execPrice": 70000,
+        "execTime": "2026-03-11T12:00:01+09:00"}}),)], "value string")
     rows = events.parse_executions(x).collect()
     assert rows[0].reject == "side" and rows[1].reject is None
     assert (rows[1].account_id, rows[1].fee, rows[1].executed_at) == (505, 0, datetime(2026, 3, 11, 12, 0, 1))
@@ -153,7 +161,9 @@ def test_projection_of_orders_and_trades(spark):
     assert got == {1: "FILLED", 2: "CANCELED"}
     stored = spark.createDataFrame([(1, 2), (2, 9)], "order_id long, last_event_seq long")
     assert {r.order_id: r.new_status for r in orders.project_orders(u, ["new_status"], stored).collect()} == {2: "CANCELED"}
-    x = spark.createDataFrame([("e1", "t1", 505, 1), ("e1", "t1", 505, 2), ("e2", "t1", 505, 3), ("e3", "t1", 506, 4)], "event_id string, trade_id string, account_id long, n int").selectExpr("*", "1 AS order_id", "'BTCUSDT' AS symbol", "'BUY' AS side", "CAST(1 AS DECIMAL(20,8)) AS quantity", "CAST(2 AS DECIMAL(20,8)) AS price", "'TAKER' AS liquidity", "TIMESTAMP '2026-01-01' AS executed_at")
+    x = spark.createDataFrame([("e1", "t1", 505, 1), ("e1", "t1", 505, 2), ("e2", "t1", 505, 3), ("e3", "t1", 506, 4)],
+        "event_id string, trade_id string, account_id long, n int").selectExpr("*", "1 AS order_id", "'BTCUSDT' AS symbol", "'BUY' AS side",
+        "CAST(1 AS DECIMAL(20,8)) AS quantity", "CAST(2 AS DECIMAL(20,8)) AS price", "'TAKER' AS liquidity", "TIMESTAMP '2026-01-01' AS executed_at")
     assert {(r.event_id, r.user_id) for r in orders.project_trades(x, ["n"]).collect()} == {("e1", 505), ("e3", 506)}
     known = x.where("n = 1").select("event_id", "trade_id", "account_id")
     assert [r.event_id for r in orders.project_trades(x, ["n"], known).collect()] == ["e3"]
@@ -180,7 +190,8 @@ def test_floods_are_strictly_above(spark):
     c = spark.createDataFrame(rows, "account_id long, symbol string, command_type string, ts timestamp, event_id long")
     assert [(r.account_id, r.n) for r in risk.order_flood(c).collect()] == [(1, 101)]
     assert [(r.account_id, r.symbol) for r in risk.cancel_repeat(c).collect()] == [(3, "B")]
-    log = spark.createDataFrame([(1, s, "ORDER_FLOOD", 101, at(m * 60)) for m, s in ((0, None), (10, "A"), (20, None), (90, None))], "account_id long, symbol string, pattern_type string, n long, detected_at timestamp")
+    log = spark.createDataFrame([(1, s, "ORDER_FLOOD", 101, at(m * 60)) for m, s in ((0, None), (10, "A"), (20, None), (90, None))],
+        "account_id long, symbol string, pattern_type string, n long, detected_at timestamp")
     got = [(r.n_recent, r.action) for r in risk.flood_escalation(log).orderBy("detected_at").collect()]
     assert got == [(1, None), (2, None), (3, "Account blocked"), (1, None)]
 
