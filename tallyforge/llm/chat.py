@@ -45,7 +45,8 @@ def _starts(parts: DataFrame) -> DataFrame:
     seen = lengths.join(people, F.col("conv").eqNullSafe(F.col("_conv"))).select(*keys, "perspective", (F.col("n") + F.coalesce(F.col("own")[F.col("perspective")], F.lit(0))).alias("n"))
     inside = running(seen.withColumn("run", F.floor(F.col("of_split") / RUN)), ["conv", "perspective", "of_part"], "run", ["of_split"], F.col("n"), "inside").drop("run")
     whole = seen.groupBy("conv", "perspective", "of_part").agg(F.sum("n").alias("n")).withColumn("run", F.floor(F.col("of_part") / RUN))
-    before = running(whole, ["conv", "perspective"], "run", ["of_part"], F.col("n"), "before").select(F.col("conv").alias("_conv"), F.col("perspective").alias("_me"), F.col("of_part").alias("_part"), "before")
+    before = running(whole, ["conv", "perspective"], "run", ["of_part"], F.col("n"), "before").select(F.col("conv").alias("_conv"),
+        F.col("perspective").alias("_me"), F.col("of_part").alias("_part"), "before")
     both = inside.join(before, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("perspective") == F.col("_me")) & (F.col("of_part") == F.col("_part")))
     return both.select(*keys, "perspective", (F.col("before") + F.col("inside")).alias("start"))
 
@@ -60,7 +61,8 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     empty, null conv_ids are one conversation. Repeated rows are repeated turns. A very long text stays in one row. Marks in texts
     and roles are broken up by a space. Columns of turns other than these four are not used, whatever their names.
     """
-    said = picked(turns, conv_id=conv_id, turn=turn, role=role, text=text).select("conv_id", F.col("turn").cast("long"), _unmarked(F.coalesce("role", F.lit(NOBODY))).alias("role"), _unmarked(F.coalesce("text", F.lit(""))).alias("text"))
+    said = picked(turns, conv_id=conv_id, turn=turn, role=role, text=text).select("conv_id", F.col("turn").cast("long"), _unmarked(F.coalesce("role",
+        F.lit(NOBODY))).alias("role"), _unmarked(F.coalesce("text", F.lit(""))).alias("text"))
     said = said.withColumn("part", F.coalesce(F.floor(F.col("turn") / window), F.lit(-1)))
     place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text"))
     said = said.withColumn("split", F.floor((place - 1) / window))
@@ -81,7 +83,8 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     seen = seen.withColumn("made", F.aggregate(F.arrays_zip("pieces", "own", "first"), begin, step))
     numbers = {"part": "part", "split": "split", "start": "start", "n_turns": "n_turns", "n_own": F.size("made.spans"), "n_chars": F.col("made.at") - F.col("start")}
     made = {k: (F.col(v) if isinstance(v, str) else v).cast("long").alias(k) for k, v in numbers.items()}
-    return seen.select("conv_id", "perspective", *[made[k] for k in ("part", "split", "start", "n_turns", "n_own")], F.array_join("pieces", "").alias("rendered"), made["n_chars"], F.array_join("made.spans", ";").alias("mask"))
+    return seen.select("conv_id", "perspective", *[made[k] for k in ("part", "split", "start", "n_turns", "n_own")], F.array_join("pieces",
+        "").alias("rendered"), made["n_chars"], F.array_join("made.spans", ";").alias("mask"))
 
 
 def _sql_unmarked(x: str) -> str:

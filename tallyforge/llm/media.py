@@ -94,7 +94,8 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_python(docs, text, StructType().add("n_bytes", LongType()).add("media", BinaryType()), make)
 
 
-FEATURES = StructType().add("payload_bytes", LongType()).add("payload_sha256", StringType()).add("tail_crc32", LongType()).add("media_bytes", LongType()).add("media_sha256", StringType()).add("times", ArrayType(IntegerType())).add("codes", ArrayType(IntegerType()))
+FEATURES = StructType().add("payload_bytes", LongType()).add("payload_sha256", StringType()).add("tail_crc32", LongType()).add("media_bytes",
+    LongType()).add("media_sha256", StringType()).add("times", ArrayType(IntegerType())).add("codes", ArrayType(IntegerType()))
 
 
 def features(stored: DataFrame, media: str = "media") -> DataFrame:

@@ -85,7 +85,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = stored(running(rows, ["ix"], "bucket", ["key", "doc_id", "size", "row"], F.col("size"), "start").drop("bucket", "key"), "mix-rows")
     quota = F.round("target").cast("long")
     at = F.col("start") + F.col("epoch") * F.col("source_size")
-    pieces = rows.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select("ix", "doc_id", "row", at.alias("at"), F.least(at + F.col("size"), quota).alias("end")).where("at < end")
+    pieces = rows.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select("ix", "doc_id", "row",
+        at.alias("at"), F.least(at + F.col("size"), quota).alias("end")).where("at < end")
     pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))))
     low, high = F.greatest("at", F.col("rank") * block), F.least("end", (F.col("rank") + 1) * block)
     pieces = pieces.select("ix", "rank", "doc_id", "row", (low - F.col("at")).alias("first"), (high - low).alias("words"))

@@ -24,7 +24,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.features(media.store(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
-    coded = F.concat_ws(" ", F.size("times").cast("string"), F.sha2(F.concat_ws(";", F.concat_ws(",", F.col("times").cast("array<string>")), F.concat_ws(",", F.col("codes").cast("array<string>"))), 256))
+    coded = F.concat_ws(" ", F.size("times").cast("string"), F.sha2(F.concat_ws(";", F.concat_ws(",", F.col("times").cast("array<string>")),
+        F.concat_ws(",", F.col("codes").cast("array<string>"))), 256))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", coded.alias("feature"))
 
 
@@ -57,7 +59,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe, op4_warc, op5_licenses, op6_chat, op7_media, op8_spotsigs, op9_mixing, op10_langid)}

@@ -98,9 +98,12 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     run = F.lit(0)
     if cuts:  # binary search
-        run = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(depth))]), F.lit(0), lambda at, step: at + F.when(F.coalesce(F.element_at(bounds, at + step) <= F.col("doc_id"), F.lit(False)) & (at + step <= len(cuts)), step).otherwise(0))
+        run = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(depth))]), F.lit(0), lambda at,
+            step: at + F.when(F.coalesce(F.element_at(bounds, at + step) <= F.col("doc_id"), F.lit(False)) & (at + step <= len(cuts)),
+            step).otherwise(0))
     rows = rows.withColumn("run", run)
-    starts = F.when(F.col("run") > 0, F.element_at(bounds, F.greatest(F.col("run"), F.lit(1))) == F.col("doc_id")).otherwise(F.col("doc_id").eqNullSafe(F.lit(None if seen["nulls"] else seen["least"]).cast("long")))
+    starts = F.when(F.col("run") > 0, F.element_at(bounds, F.greatest(F.col("run"),
+        F.lit(1))) == F.col("doc_id")).otherwise(F.col("doc_id").eqNullSafe(F.lit(None if seen["nulls"] else seen["least"]).cast("long")))
     before = F.when(F.col("run") > 0, F.col("run") - 1).otherwise(len(cuts))
     copies = F.array_compact(F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead")), F.when(starts, F.struct(before.alias("run"), F.lit(True).alias("ahead")))))
     sent = with_signatures(rows, "text", "own").select("doc_id", "text", "own", F.explode(copies).alias("to")).select("doc_id", "text", "own", "to.run", "to.ahead")
@@ -124,7 +127,8 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = with_signatures(rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "of_next"), "edited", "of_edited")
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", F.array_join(F.col("own").cast("array<string>"), " ").alias("fingerprint"), F.array_join(F.col("of_edited").cast("array<string>"), " ").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.array_join(F.col("own").cast("array<string>"), " ").alias("fingerprint"),
+            F.array_join(F.col("of_edited").cast("array<string>"), " ").alias("edited_fingerprint"),
         jaccard(F.col("own"), F.col("of_edited")).alias("near_edited"), jaccard(F.col("own"), F.col("of_next")).alias("near_next"),
     )
 
@@ -147,8 +151,10 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", t
     rank = Window.partitionBy("set").orderBy("freq", "x")
     rare = spots.join(spots.groupBy("x").agg(F.count("*").alias("freq")), "x").withColumn("place", F.row_number().over(rank))
     rare = rare.where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("set", "n", "part", "x")
-    met = rare.select(F.col("set").alias("a"), F.col("n").alias("na"), "x", F.explode(F.array("part", F.col("part") + 1)).alias("part")).join(rare.select(F.col("set").alias("b"), F.col("n").alias("nb"), "x", "part"), ["x", "part"])
+    met = rare.select(F.col("set").alias("a"), F.col("n").alias("na"), "x", F.explode(F.array("part",
+        F.col("part") + 1)).alias("part")).join(rare.select(F.col("set").alias("b"), F.col("n").alias("nb"), "x", "part"), ["x", "part"])
     met = met.where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).where(F.col("na") >= F.col("nb") * least - 1e-9).select("a", "b").distinct()
-    both = met.join(sets.select(F.col("set").alias("a"), F.col("s").alias("sa"), F.col("id").alias("ida")), "a").join(sets.select(F.col("set").alias("b"), F.col("s").alias("sb"), F.col("id").alias("idb")), "b")
+    both = met.join(sets.select(F.col("set").alias("a"), F.col("s").alias("sa"), F.col("id").alias("ida")),
+        "a").join(sets.select(F.col("set").alias("b"), F.col("s").alias("sb"), F.col("id").alias("idb")), "b")
     found = both.select("ida", "idb", jaccard(F.col("sa"), F.col("sb"), least).alias("similarity")).where(F.col("similarity") >= least)
     return found.select(F.least("ida", "idb").alias("a"), F.when(F.col("ida").isNotNull() & F.col("idb").isNotNull(), F.greatest("ida", "idb")).alias("b"), "similarity")

@@ -70,7 +70,9 @@ def model(counts: DataFrame) -> DataFrame:
             now = now.withColumns({f"{c}_below": F.lit(1.0 / SYMBOLS) for c in ("accepted", "rejected")})
         else:
             now = now.withColumn("shorter", F.substring("gram", 2, k)).join(known, "shorter")
-        p = {c: F.when(F.col(f"{c}_all") == 0, F.col(f"{c}_below")).otherwise((F.col(c) + F.col(f"{c}_kinds") * F.col(f"{c}_below")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds"))) for c in ("accepted", "rejected")}
+        p = {c: F.when(F.col(f"{c}_all") == 0,
+            F.col(f"{c}_below")).otherwise((F.col(c) + F.col(f"{c}_kinds") * F.col(f"{c}_below")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds"))) for c in ("accepted",
+            "rejected")}
         now = now.select("gram", *[p[c].alias(f"{c}_p") for c in p])
         known = now.select(F.col("gram").alias("shorter"), *[F.col(f"{c}_p").alias(f"{c}_below") for c in p])
     return now.select("gram", (F.log("accepted_p") - F.log("rejected_p")).alias("gain"))
@@ -85,7 +87,8 @@ def best_threshold(scored: DataFrame) -> float:
     upto, all_ = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     tried = (  # at most 2 * REACH * STEPS + 1 rows
         every.join(bins, "step", "left").fillna(0, ["good", "bad"])
-        .select("step", F.sum("good").over(all_).alias("goods"), F.sum("bad").over(all_).alias("bads"), F.coalesce(F.sum("good").over(upto), F.lit(0)).alias("lost"), F.coalesce(F.sum("bad").over(upto), F.lit(0)).alias("caught"))
+        .select("step", F.sum("good").over(all_).alias("goods"), F.sum("bad").over(all_).alias("bads"), F.coalesce(F.sum("good").over(upto),
+            F.lit(0)).alias("lost"), F.coalesce(F.sum("bad").over(upto), F.lit(0)).alias("caught"))
         .where("goods > 0 and bads > 0")
     )
     best = tried.orderBy(((F.col("goods") - F.col("lost")) * F.col("bads") + F.col("caught") * F.col("goods")).desc(), F.abs("step"), "step").first()

@@ -75,7 +75,8 @@ def records(record_id: str, uri: str | None, payload: bytes, refers_to: str | No
         if n == 1:
             fields = [("WARC-Type", "response"), ("WARC-Record-ID", record_id), *common, *about, ("WARC-Segment-Number", 1 if len(parts) > 1 else None)]
         else:
-            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{record_id[:-1]}:part:{n}>"), *common, ("WARC-Segment-Origin-ID", record_id), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)]
+            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{record_id[:-1]}:part:{n}>"), *common, ("WARC-Segment-Origin-ID",
+                record_id), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)]
         yield n > 1, _head(b"WARC/1.1", [*fields, ("Content-Length", len(part))]) + part + b"\r\n\r\n"
 
 
@@ -87,7 +88,8 @@ def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     given = picked(pages, page_id=page_id, uri=url, html=html)
     rows = given.select(F.col("page_id").cast("long"), "uri", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("sha"))
-    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("last"),
+        F.count("*").alias("n")).where("n > 1").select("sha", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "sha"), F.lit(SALTS)).cast("int")).join(groups, ["sha", "salt"], "left")
     again = F.row_number().over(Window.partitionBy("sha", "salt", "page_id").orderBy("uri"))
     name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), "sha")
@@ -177,7 +179,9 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
     are missing, or whose length, framing or digest are wrong, say so in problem and have no payload.
     """
     extra = ", payload binary" if payload else ""
-    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("problem", pa.string()), *([("payload", pa.binary())] if payload else [])])
+    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri",
+        pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("problem", pa.string()), *([("payload",
+        pa.binary())] if payload else [])])
     parts = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
 
     def rows(fields: dict[str, str], block: bytes) -> tuple:

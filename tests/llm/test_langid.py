@@ -58,7 +58,8 @@ def test_predictions_depend_on_text_alone_and_labels_of_held_out_rows_teach_noth
 
 
 def test_odd_rows(spark):
-    rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "en"), (4, "", "fr"), (5, "123 !? ²", "en"), (None, "the dog", "fr"), (6, "the dog", None), (7, "la la la" * 30_000, "fr"), (1, "the cat and the dog", "en"), (8, "日本", "en"), (9, "Ⅷ ²", "en")]
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "en"), (4, "", "fr"), (5, "123 !? ²", "en"), (None,
+        "the dog", "fr"), (6, "the dog", None), (7, "la la la" * 30_000, "fr"), (1, "the cat and the dog", "en"), (8, "日本", "en"), (9, "Ⅷ ²", "en")]
     got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCAB).collect()
     assert len(got) == len(rows)
     by = {(r.doc_id, r.text): r for r in got}

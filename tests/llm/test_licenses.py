@@ -115,7 +115,8 @@ def test_templates_from_a_folder(spark, tmp_path):
 
 
 def test_scan(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").union(spark.createDataFrame([(-1, None, None, None, None), (None, "Released under the MIT License. " * 2, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").union(spark.createDataFrame([(-1, None, None, None, None), (None,
+        "Released under the MIT License. " * 2, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"))
     lines = [t for n, t in TEMPLATES.items() if n in ("MIT/line", "Apache-2.0/line", "GPL-3.0/line", "CC-BY-NC-4.0/line")]
     want = {r.doc_id: sum(r.text.count(t) for t in lines) for r in docs.collect() if r.text and any(t in r.text for t in lines)}
     got = {}

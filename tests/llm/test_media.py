@@ -68,7 +68,8 @@ def test_a_tone_has_its_frequency():
 def test_likeness_finds_shifted_sounds(spark):
     sound, other = bursts(20, 5), bursts(20, 6)
     shifted = bytes([128]) * (media.HOP * 7) + sound
-    rows = [(n, *[list(map(int, x)) for y in (media.peak_pairs(a), media.peak_pairs(b)) for x in y]) for n, a, b in (("same", sound, sound), ("shifted", sound, shifted), ("other", sound, other), ("none", bytes([128]) * 600, bytes([128]) * 600))]
+    rows = [(n, *[list(map(int, x)) for y in (media.peak_pairs(a), media.peak_pairs(b)) for x in y]) for n, a, b in (("same", sound, sound),
+        ("shifted", sound, shifted), ("other", sound, other), ("none", bytes([128]) * 600, bytes([128]) * 600))]
     df = spark.createDataFrame(rows, "n string, t array<int>, c array<int>, ot array<int>, oc array<int>")
     got = {r.n: r.x for r in df.select("n", media.likeness(*[df[c] for c in ("t", "c", "ot", "oc")]).alias("x")).collect()}
     assert got["same"] == 1 and got["shifted"] > 0.8 and got["other"] < 0.2 and got["none"] == 1

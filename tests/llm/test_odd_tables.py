@@ -9,26 +9,32 @@ from tallyforge.llm import bpe, chat, langid, licenses, media, mixing, simhash,
 VOCAB = P.path("byte_bpe_multi_50k.tiktoken")
 #: Names that operators use or return, in other cases, with dots, spaces and backticks.
 NAMES = [
-    "Host", "PATH", "_row", "_in", "given", "key", "held", "c0", "c1", "_size", "size", "Copy", "copies", "a.b", "a b", "tick`ed", "Score", "Lang_Pred", "HELD_OUT", "N_Tokens", "Ids", "decoded", "MEDIA", "Times", "node", "root", "fp", "h", "Component_Id", "_part",
+    "Host", "PATH", "_row", "_in", "given", "key", "held", "c0", "c1", "_size", "size", "Copy", "copies", "a.b", "a b", "tick`ed", "Score",
+        "Lang_Pred", "HELD_OUT", "N_Tokens", "Ids", "decoded", "MEDIA", "Times", "node", "root", "fp", "h", "Component_Id", "_part",
     "none", "empty", "row", "start", "End", "License", "run", "own", "part", "Perspective", "n_bytes", "salt", "record_id", "payload", "sound", "first", "words",
 ]
 
 
 def widened(df):
     """df among columns of all the names, with a map and a struct for two of them; rows repeat, and one has nulls alone."""
-    odd = df.selectExpr(*[f"`{c}`" for c in df.columns[:1]], *[("map('k', 1)" if n == "key" else "named_struct('x.y', 2)" if n == "root" else "'x'") + f" AS `{n.replace('`', '``')}`" for n in NAMES if n.lower() not in [c.lower() for c in df.columns]], *[f"`{c}`" for c in df.columns[1:]])
+    odd = df.selectExpr(*[f"`{c}`" for c in df.columns[:1]],
+        *[("map('k', 1)" if n == "key" else "named_struct('x.y', 2)" if n == "root" else "'x'") + f" AS `{n.replace('`', '``')}`" for n in NAMES if n.lower() not in [c.lower() for c in df.columns]],
+        *[f"`{c}`" for c in df.columns[1:]])
     return odd
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(1, "The cat sat on the mat with a dog and the bird", "en", "s"), (1, "The cat sat on the mat with a dog and the bird", "en", "s"), (None, None, None, None), (2, "", None, "t"), (3, "le chat est sur la table avec un chien et les oiseaux", "fr", None), (None, "word " * 30_000, "en", "s"), (4, "Released under the MIT License.", "en", "t"), (1, "one id and another text for it, you see", "en", "s")]
+    rows = [(1, "The cat sat on the mat with a dog and the bird", "en", "s"), (1, "The cat sat on the mat with a dog and the bird", "en", "s"), (None,
+        None, None, None), (2, "", None, "t"), (3, "le chat est sur la table avec un chien et les oiseaux", "fr", None), (None, "word " * 30_000,
+        "en", "s"), (4, "Released under the MIT License.", "en", "t"), (1, "one id and another text for it, you see", "en", "s")]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
 
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [(1, "http://a.org/fr/x", "<p>x</p>"), (1, "http://a.org/fr/x", "<p>x</p>"), (None, None, None), (2, "http://b.net/", ""), (3, "no url", "é" * 50_000), (None, "http://c.com/de/", "<p>x</p>")]
+    rows = [(1, "http://a.org/fr/x", "<p>x</p>"), (1, "http://a.org/fr/x", "<p>x</p>"), (None, None, None), (2, "http://b.net/", ""), (3, "no url",
+        "é" * 50_000), (None, "http://c.com/de/", "<p>x</p>")]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
@@ -39,9 +45,12 @@ def turns(spark):
 
 
 OPERATORS = {
-    "op1": ("pages", lambda t: url_filter.judge(t)), "op2": ("docs", lambda t: simhash.near_duplicates(t)), "op3": ("docs", lambda t: bpe.digests(t, VOCAB, P.PATTERN)), "op3 ids": ("docs", lambda t: bpe.decode(bpe.encode(t, VOCAB, P.PATTERN), VOCAB, P.PATTERN)),
-    "op4": ("pages", lambda t: warc.round_trip(t)), "op5": ("docs", lambda t: licenses.scan(t)), "op6": ("turns", lambda t: chat.rotate(t)), "op7": ("docs", lambda t: media.features(media.store(t))), "op8": ("docs", lambda t: spotsigs.edits(t)),
-    "op8 pairs": ("docs", lambda t: spotsigs.similar_pairs(t)), "op9": ("docs", lambda t: mixing.taken(t)), "op9 mixed": ("docs", lambda t: mixing.mixed(t)), "op10": ("docs", lambda t: langid.identify(t, VOCAB)),
+    "op1": ("pages", lambda t: url_filter.judge(t)), "op2": ("docs", lambda t: simhash.near_duplicates(t)), "op3": ("docs", lambda t: bpe.digests(t,
+        VOCAB, P.PATTERN)), "op3 ids": ("docs", lambda t: bpe.decode(bpe.encode(t, VOCAB, P.PATTERN), VOCAB, P.PATTERN)),
+    "op4": ("pages", lambda t: warc.round_trip(t)), "op5": ("docs", lambda t: licenses.scan(t)), "op6": ("turns", lambda t: chat.rotate(t)),
+        "op7": ("docs", lambda t: media.features(media.store(t))), "op8": ("docs", lambda t: spotsigs.edits(t)),
+    "op8 pairs": ("docs", lambda t: spotsigs.similar_pairs(t)), "op9": ("docs", lambda t: mixing.taken(t)), "op9 mixed": ("docs",
+        lambda t: mixing.mixed(t)), "op10": ("docs", lambda t: langid.identify(t, VOCAB)),
 }
 #: Operators that give their table back with new columns behind it, and those columns.
 KEEPS = {"op1": "host path rule verdict score", "op3": "n_tokens ids_sha256 decoded_sha256", "op10": "held_out lang_pred score", "op9 mixed": ""}

@@ -11,8 +11,11 @@ from tallyforge.llm.oracles import URLS
 @pytest.mark.parametrize(
     "url, host, path, rule",
     [
-        (None, "", "", None), ("", "", "", None), ("no scheme/net/", "", "", None), ("http://A.Example.NET/en/x?q=/fr/#t", "a.example.net", "/en/x", "example.net/en/"), ("http://notexample.net/en/", "notexample.net", "/en/", "net/"),
-        ("x://org/fr/://b.net/", "org", "/fr/://b.net/", "org/fr/"), ("http://é.ORG/fr/", "é.org", "/fr/", "org/fr/"), ("http://a.net?x", "a.net", "", None), ("http://example.com/de/1", "example.com", "/de/1", "example.com/de/"), ("http://net/", "net", "/", "net/"), ("a\nb://h\n.net/p\nq", "h\n.net", "/p\nq", "net/"),
+        (None, "", "", None), ("", "", "", None), ("no scheme/net/", "", "", None), ("http://A.Example.NET/en/x?q=/fr/#t", "a.example.net", "/en/x",
+            "example.net/en/"), ("http://notexample.net/en/", "notexample.net", "/en/", "net/"),
+        ("x://org/fr/://b.net/", "org", "/fr/://b.net/", "org/fr/"), ("http://é.ORG/fr/", "é.org", "/fr/", "org/fr/"), ("http://a.net?x", "a.net", "",
+            None), ("http://example.com/de/1", "example.com", "/de/1", "example.com/de/"), ("http://net/", "net", "/", "net/"),
+            ("a\nb://h\n.net/p\nq", "h\n.net", "/p\nq", "net/"),
     ],
 )
 def test_hosts_paths_and_rules(spark, url, host, path, rule):

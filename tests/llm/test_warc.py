@@ -39,7 +39,8 @@ def test_round_trip(spark, sf, monkeypatch):
         if r.record_type == "response":
             assert (r.page_id, hashlib.sha1(bytes(r.payload)).digest()) in texts
     real = spark.read.parquet(f"{sf}/pages.parquet")
-    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(real).collect()), key=str) == slow([(r.page_id, r.url, r.html) for r in real.collect()])
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(real).collect()),
+        key=str) == slow([(r.page_id, r.url, r.html) for r in real.collect()])
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
@@ -81,5 +82,7 @@ def test_segments_in_any_order_and_faults(spark, tmp_path):
 
 
 def test_revisits_are_checked_against_their_response(spark, tmp_path):
-    made = [next(warc.records("<urn:page:1:x>", "u", b"abc", None))[1], next(warc.records("<urn:page:2:x>", "u", b"abc", "<urn:page:1:x>"))[1], next(warc.records("<urn:page:3:x>", "u", b"abc", "<urn:page:9:x>"))[1], next(warc.records("<urn:page:4:x>", "u", b"abd", "<urn:page:1:x>"))[1]]
+    made = [next(warc.records("<urn:page:1:x>", "u", b"abc", None))[1], next(warc.records("<urn:page:2:x>", "u", b"abc", "<urn:page:1:x>"))[1],
+        next(warc.records("<urn:page:3:x>", "u", b"abc", "<urn:page:9:x>"))[1], next(warc.records("<urn:page:4:x>", "u", b"abd",
+        "<urn:page:1:x>"))[1]]
     assert sorted(r.page_id for r in warc.unresolved(warc.read(lay(spark, tmp_path, made))).collect()) == [3, 4]
