@@ -36,7 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = near_copies.near_copies(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("copy").isNull().alias("empty"), F.coalesce("copy", F.lit(0)).alias("copy")))
     kept = groups.groupBy("root").agg(first.alias("first")).select("root", "first.*")
-    keyed = flat.select("*", row_id.isNull().alias("none"), F.coalesce(row_id, F.lit(0)).alias("doc_id"), text.isNull().alias("empty"), F.when(text.isNull(), 0).otherwise(F.xxhash64(text)).alias("copy"))
+    keyed = flat.select("*", row_id.isNull().alias("none"), F.coalesce(row_id, F.lit(0)).alias("doc_id"), text.isNull().alias("empty"),
+        F.when(text.isNull(), 0).otherwise(F.xxhash64(text)).alias("copy"))
     rest = keyed.join(kept, ["none", "doc_id", "empty", "copy"])
     whole = F.struct(*flat.columns)
     one = rest.groupBy("root").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
