@@ -355,14 +355,23 @@ def risk_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bal.risk_commands(old, now)
 
 
-@query(f"{BLOCKS} SELECT account_id, status, block_reason FROM states WHERE status = 'BLOCKED'")
+BASES = "asset IN ('BTC', 'ETH', 'SOL', 'XRP')"
+BY_BASES = BLOCKS.replace("upper(asset) AS asset, sum(amount) AS amount FROM ledger GROUP BY", f"upper(asset) AS asset, sum(amount) AS amount FROM ledger WHERE {BASES} GROUP BY")
+
+
+def states_by_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the base assets alone, of which some accounts have sold more than they bought."""
+    return bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir).where(BASES)))
+
+
+@query(f"{BY_BASES} SELECT account_id, status, block_reason FROM states WHERE status = 'BLOCKED'")
 def blocked_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bal.accounts_by_status(bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir))))
+    return bal.accounts_by_status(states_by_bases(spark, sf_dir))
 
 
-@query(f"{BLOCKS} SELECT account_id, status, block_reason FROM states WHERE status = 'NORMAL'")
+@query(f"{BY_BASES} SELECT account_id, status, block_reason FROM states WHERE status = 'NORMAL'")
 def normal_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bal.accounts_by_status(bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir))), "NORMAL")
+    return bal.accounts_by_status(states_by_bases(spark, sf_dir), "NORMAL")
 
 
 A = f"({oracle(ACTIVITY)})"

@@ -155,14 +155,14 @@ def exec_qty_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {TRADES}, s AS (SELECT order_id, sum(quantity) AS filled, sum(quantity * price) AS val FROM trades GROUP BY 1) SELECT t.order_id, "
-    f"round(CAST(val AS DOUBLE) / CAST(filled AS DOUBLE), 6) AS avg_price, {out('coalesce(filled, 0)')} AS filled, {out('greatest(t.quantity - coalesce(filled, 0), 0)')} AS remaining, "
+    f"CAST(val AS DOUBLE) / CAST(filled AS DOUBLE) AS avg_price, {out('coalesce(filled, 0)')} AS filled, {out('greatest(t.quantity - coalesce(filled, 0), 0)')} AS remaining, "
     f"CASE WHEN coalesce(filled, 0) = 0 THEN 'NEW' WHEN filled < t.quantity THEN 'PARTIALLY_FILLED' ELSE 'FILLED' END AS status FROM {T} t LEFT "
     f"JOIN s ON s.order_id = t.order_id"
 )
 def order_state_from_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     fills = the_trades(spark, sf_dir).select("order_id", F.col("exec_quantity").alias("quantity"), F.col("exec_price").alias("price"))
     found = orders.order_state_from_fills(fills, view(spark, sf_dir, TRADING_ORDERS))
-    return found.select("order_id", money("filled").alias("filled"), money("remaining").alias("remaining"), "status", F.round("avg_price", 6).alias("avg_price"))
+    return found.select("order_id", money("filled").alias("filled"), money("remaining").alias("remaining"), "status", "avg_price")
 
 
 LIMITS = "(VALUES ('BTCUSDT', 0.01, 0.00001, 0.001, 1000, 10), ('ETHUSDT', 0.01, 0.0001, 0.01, 10000, 10)) AS l(symbol, tick, step, low, high, notional)"
