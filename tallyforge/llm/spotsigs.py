@@ -27,8 +27,9 @@ MARKS = r"!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf
 CHAIN, SPOT = 2, 8
 #: A text with fewer signatures than one for so many words takes every word as an anchor.
 RARE = 8
-#: Scripts written without spaces, of which each character is a word.
-SCRIPTS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}]"
+#: Blocks of scripts written without spaces (Thai and Lao, Khmer, kana, Han), of which each character is a word. As ranges: to look up the
+#: script of every character costs more than all other patterns together.
+SCRIPTS = r"[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{323af}]"
 #: Documents in a run of neighbours.
 RUN = 2000
 

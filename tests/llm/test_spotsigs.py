@@ -10,8 +10,7 @@ from tallyforge.llm.spotsigs import ANCHORS, CHAIN, MARKS, RARE, SPOT
 MARK = re.compile(f"^[{MARKS}]+|[{MARKS}]+$")
 
 
-#: Han, kana and Thai.
-APART = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\u3041-\u3096\u30a1-\u30fa\u0e01-\u0e3a]").match
+APART = re.compile("[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af]").match
 
 
 def signed(text):
@@ -67,7 +66,7 @@ def test_edits_equal_brute_force(spark, sf, monkeypatch, run):
 def test_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(spotsigs, "RUN", 2)
     texts = {None: "the first of all", -5: None, 0: "", 3: "the " * 40 + "cat sat", 4: "🙂é the \x01 dog's bone, (the) end!", 9: "no anchors here?",
-        10: "of the", 11: "the big dog " * 3000, 12: "кошка и собака спят на старом диване у окна весь день", 13: "我喜欢在图书馆读书。他不喜欢 ねこ แมว",
+        10: "of the", 11: "the big dog " * 3000, 12: "кошка и собака спят на старом диване у окна весь день", 13: "我喜欢在图书馆读书。他不喜欢 ねこ แมว 𠀀x",
         14: "a | b | c | d", 15: "x"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 AS own", "2 AS run")
     check({r.doc_id: r for r in spotsigs.edits(docs).collect()}, texts)
