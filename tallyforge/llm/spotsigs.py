@@ -25,8 +25,8 @@ ANCHORS = (
 MARKS = r"!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u205e"
 #: Content words in a chain, and common words that may stand before each of them.
 CHAIN, SPOT = 2, 8
-#: A text with fewer signatures than one for so many words takes every word as an anchor.
-RARE = 8
+#: A text with fewer signatures than one for so many bytes of its words (8 words or so) takes every word as an anchor.
+RARE = 48
 #: Blocks of scripts written without spaces (Thai and Lao, Khmer, kana, Han), of which each character is a word. As ranges: to look up the
 #: script of every character costs more than all other patterns together.
 SCRIPTS = r"[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{323af}]"
@@ -46,7 +46,8 @@ def _any_of(words: list[str]) -> str:
 def normal(text: Column) -> Column:
     """The text's words in lower case and without marks at their ends, one space after each and a space before all. Characters of SCRIPTS
     are words of their own."""
-    apart = F.when(text.rlike(SCRIPTS), F.regexp_replace(text, f"({SCRIPTS})", " $1 ")).otherwise(text)
+    some = (F.octet_length(text) > F.char_length(text) + 1) & text.rlike(SCRIPTS)  # plain ASCII is not searched
+    apart = F.when(some, F.regexp_replace(text, f"({SCRIPTS})", " $1 ")).otherwise(text)
     spaced = F.regexp_replace(F.lower(apart), r"[\x01\x09-\x0D ]{2,}+|[\x01\x09-\x0D]", " ")
     bare = F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), f"(?<= )[{MARKS}]++|[{MARKS}]++(?= )", "")
     return F.regexp_replace(bare, " {2,}+", " ")
@@ -56,7 +57,7 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with the text's signatures as a sorted set of 64-bit hashes.
 
     Each occurrence of an anchor that is followed by CHAIN content words, each with at most SPOT anchors before it, gives one. Where
-    that is less than one for RARE words, each word with the CHAIN words after it gives one instead; so an edit changes few of the signatures
+    that is less than one for RARE bytes, each word with the CHAIN words after it gives one instead; so an edit changes few of the signatures
     in any language. A text of CHAIN words or fewer has one signature, made of all of its words. Columns are added one by one, so that none is
     computed twice.
     """
@@ -64,9 +65,8 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn("_words", normal(F.coalesce(F.col(text), F.lit(""))))
     marked = F.regexp_replace("_words", f" ({_any_of(ANCHORS)})(?= )", " \x01$1")
     df = df.withColumn("_spots", F.regexp_extract_all(marked, F.lit(f"(?=(\\x01[^ ]++ {chain}))"), F.lit(1)))
-    n = F.char_length("_words") - F.char_length(F.replace(F.col("_words"), F.lit(" "))) - 1
     every = F.regexp_extract_all("_words", F.lit(f"(?=( [^ ]++ {'[^ ]++ ' * CHAIN}))"), F.lit(1))
-    df = df.withColumn("_spots", F.when(F.size("_spots") * RARE < n, every).otherwise(F.col("_spots")))
+    df = df.withColumn("_spots", F.when(F.size("_spots") * RARE < F.octet_length("_words"), every).otherwise(F.col("_spots")))
     # the anchors inside the chain are left out: they are not what tells texts apart
     found = F.transform("_spots", lambda x: F.xxhash64(F.when(F.locate("\x01", x, 2) > 0, F.regexp_replace(x, r"(?<= )\x01[^ ]++ ", "")).otherwise(x)))
     own = F.array(F.xxhash64(F.concat(F.lit("="), "_words")))

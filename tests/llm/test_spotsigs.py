@@ -36,7 +36,7 @@ def slow_signatures(text):
         if len(chain) == CHAIN:
             n += 1
             found.add(signed("\x01" + " ".join([w, *[c for c in chain if c not in common]]) + " "))
-    if n * RARE < len(words):
+    if n * RARE < len(" ".join(["", *words, ""]).encode()):
         found = {signed(" " + "".join(w + " " for w in words[i : i + CHAIN + 1])) for i in range(len(words) - CHAIN)}
     return found or {signed("= " + "".join(w + " " for w in words))}
 
