@@ -81,6 +81,18 @@ def stream_project_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         money("filled_quantity").alias("filled_quantity"), text("event_time").alias("event_time"))
 
 
+@query(tp.ORACLES["project_orders"])
+def stream_order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same projection with the last update of each order as state."""
+
+    def run(stream: DataFrame, folder: str) -> None:
+        jobs.start(jobs.order_versions(stream, tp.TIE), jobs.keep_versions(f"{folder}/out"), f"{folder}/checkpoint", "update").awaitTermination()
+
+    found = jobs.latest_orders(spark.read.parquet(f"{in_steps(view(spark, sf_dir, ORDER_UPDATES), 'event_time', CUTS, run)}/out"))
+    return found.select("order_id", "account_id", "client_order_id", "symbol", F.col("new_status").alias("status"), "event_seq",
+        money("filled_quantity").alias("filled_quantity"), text("event_time").alias("event_time"))
+
+
 @query(tp.ORACLES["project_trades"])
 def stream_project_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = view(spark, sf_dir, EXECUTIONS).withColumn("event_id", F.concat_ws(":", "trade_id", "symbol"))

@@ -27,9 +27,9 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
+def start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     """A query that takes all that is there and ends."""
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dedup_within(stream: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:
@@ -63,6 +63,24 @@ def project_orders(path: str, tie: list[str]) -> Callable[[DataFrame, int], None
     return write
 
 
+def order_versions(updates: DataFrame, tie: list[str]) -> DataFrame:
+    """The same by state: each order's last update so far, to be written in update mode with keep_versions(). A batch costs what its own
+    orders cost, however many were met before; the state has one row for each order."""
+    late = F.col("event_seq").isNull().cast("int")
+    order = F.struct((-late).alias("_rank"), (-F.coalesce("event_seq", F.lit(0))).alias("_seq"), *[F.col(c) for c in tie])
+    last = updates.groupBy(F.col("order_id").alias("_order")).agg(F.min_by(F.struct(*updates.columns), order).alias("v"))
+    return last.select("v.*")
+
+
+def keep_versions(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes the changed rows of a batch; run again, it replaces them."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return write
+
+
 def latest_orders(versions: DataFrame) -> DataFrame:
     kept = [c for c in versions.columns if c != "batch"]
     return versions.groupBy("order_id").agg(F.max_by(F.struct(*kept), "batch").alias("v")).select("v.*")
