@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import simhash
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import held, lookup, picked, stored
+from tallyforge.llm.shared import given_back, held, lookup, picked, stored
 
 #: Shingle words and least similarity, as (numerator, denominator).
 SHINGLE, LEAST = 5, (4, 5)
@@ -131,6 +131,8 @@ def compared(apart: DataFrame, sets: DataFrame) -> DataFrame:
             yield made(found)
             found = []
         yield made(ended())
+        sides.clear()
+        given_back()
 
     dealt = tasks.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "part", "root", "h")
     return stored(dealt.mapInArrow(run, "a long, b long"), "near-copy-links")
@@ -155,6 +157,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             found = [sketch(t.as_py()) for t in b.column(2)]
             made = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "copy", "node", "fp", "bands"])
+        given_back()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("near-copies")

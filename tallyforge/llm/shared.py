@@ -88,13 +88,25 @@ _held: dict[object, object] = {}
 
 def held(key: object, make: Callable[[], object] = lambda: None) -> object:
     """What make() gives, kept by this Python worker for its next tasks. A worker holds one thing at a time: asking for another
-    key drops it, so the stages of a job that share workers do not add up in memory."""
+    key drops it and gives its memory back, so the stages of a job that share workers do not add up in memory."""
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            given_back()
         _held[key] = make()
     return _held[key]
 
 
+def given_back() -> None:
+    """Returns freed memory to the system, where the C library can: of millions of small pieces it would keep the pages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 # --- joins on keys of which some are hot ---------------------------------------------------------------------------
 
 #: Rows of a key that one task takes in any case; keys above that and above a thousandth of all rows are hot, so there are never
