@@ -32,7 +32,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = rf" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?![^{SPACE}!-/:-@\[-`{{-~])|[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]"
 #: Bytes that the chunks and pieces which a worker keeps may take, about; bytes of pieces in one recursive query; characters cut
 #: into pieces at once; bytes between the starts of a long piece's windows, which are twice as long.
-KEPT, AT_ONCE, CHARS, STEP = 60_000_000, 80_000, 1_000_000, 128
+KEPT, AT_ONCE, CHARS, STEP = 40_000_000, 40_000, 500_000, 128
 
 CONTRACT = """
 WITH RECURSIVE s(moves, w, p, t, u) AS (
@@ -109,7 +109,7 @@ class Codec:
         found = re.compile(pattern)
         self.pieces = found.findall if not found.groups else lambda x: [m[0] for m in found.finditer(x)]
         self.chunks = re.compile(CHUNK).findall if own else self.pieces  # another pattern's pieces may cross the chunks
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "70MB", "preserve_insertion_order": False})
         merges = [((self.ranks[t[:i]] << 32) + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self._table("merges", pair=pa.array([x for x, _ in merges], pa.int64()), m=pa.array([x for _, x in merges], pa.int64()))
         self._table("vocab", id=pa.array(self.ranks.values(), pa.int32()), h=pa.array([t.hex() for t in self.ranks]), id_hex=pa.array([f"{i} {t.hex()}" for t, i in self.ranks.items()]))
