@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyforge.llm.chat import ORACLE as CHAT
+from tallyforge.llm.merkle import ORACLE as MERKLE
 from tallyforge.llm.shared import LOWER, UPPER
 from tallyforge.llm.url_filter import ORDER, REACH, STEPS, SYMBOLS
 
@@ -67,4 +68,4 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM d
 """
 
-ORACLES = {"op1_url_filter": URLS, "op4_warc": WARC, "op6_chat": CHAT, "op9_mixing": MIX}
+ORACLES = {"op1_url_filter": URLS, "op4_warc": WARC, "op6_chat": CHAT, "op9_mixing": MIX, "op11_merkle": MERKLE}

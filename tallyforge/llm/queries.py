@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, chat, langid, licenses, media, mixing, simhash, spotsigs, url_filter, warc
+from tallyforge.llm import bpe, chat, langid, licenses, media, merkle, mixing, simhash, spotsigs, url_filter, warc
 from tallyforge.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -63,4 +63,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe, op4_warc, op5_licenses, op6_chat, op7_media, op8_spotsigs, op9_mixing, op10_langid)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(*merkle.build(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe, op4_warc, op5_licenses, op6_chat, op7_media, op8_spotsigs, op9_mixing, op10_langid, op11_merkle)}

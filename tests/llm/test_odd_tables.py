@@ -1,10 +1,10 @@
-"""All ten operators and the four stages on tables whose other columns bear awkward names, with nulls everywhere, and on empty ones."""
+"""All operators and the four stages on tables whose other columns bear awkward names, with nulls everywhere, and on empty ones."""
 
 import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from tallyforge.llm import bpe, chat, langid, licenses, media, mixing, simhash, spotsigs, url_filter, warc
+from tallyforge.llm import bpe, chat, langid, licenses, media, merkle, mixing, simhash, spotsigs, url_filter, warc
 
 VOCAB = P.path("byte_bpe_multi_50k.tiktoken")
 #: Names that operators use or return, in other cases, with dots, spaces and backticks.
@@ -31,6 +31,11 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
 
 
+@pytest.fixture(scope="module")
+def counted(docs):
+    return docs.selectExpr("*", "length(text) AS n_chars")
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [(1, "http://a.org/fr/x", "<p>x</p>"), (1, "http://a.org/fr/x", "<p>x</p>"), (None, None, None), (2, "http://b.net/", ""), (3, "no url",
@@ -51,6 +56,7 @@ OPERATORS = {
         "op7": ("docs", lambda t: media.features(media.store(t))), "op8": ("docs", lambda t: spotsigs.edits(t)),
     "op8 pairs": ("docs", lambda t: spotsigs.similar_pairs(t)), "op9": ("docs", lambda t: mixing.taken(t)), "op9 mixed": ("docs",
         lambda t: mixing.mixed(t)), "op10": ("docs", lambda t: langid.identify(t, VOCAB)),
+        "op11": ("counted", lambda t: merkle.manifest(*merkle.build(t, 1), 1)),
 }
 #: Operators that give their table back with new columns behind it, and those columns.
 KEEPS = {"op1": "host path rule verdict score", "op3": "n_tokens ids_sha256 decoded_sha256", "op10": "held_out lang_pred score", "op9 mixed": ""}
