@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyforge.llm.centroids import ORACLE as CENTROIDS
 from tallyforge.llm.chat import ORACLE as CHAT
 from tallyforge.llm.merkle import ORACLE as MERKLE
 from tallyforge.llm.shared import LOWER, UPPER
@@ -68,4 +69,4 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM d
 """
 
-ORACLES = {"op1_url_filter": URLS, "op4_warc": WARC, "op6_chat": CHAT, "op9_mixing": MIX, "op11_merkle": MERKLE}
+ORACLES = {"op1_url_filter": URLS, "op4_warc": WARC, "op6_chat": CHAT, "op9_mixing": MIX, "op11_merkle": MERKLE, "op13_centroids": CENTROIDS}

@@ -4,7 +4,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from tallyforge.llm import bpe, chat, langid, licenses, media, merkle, mixing, simhash, spotsigs, url_filter, warc
+from tallyforge.llm import bpe, centroids, chat, langid, licenses, media, merkle, mixing, simhash, spotsigs, url_filter, warc
 
 VOCAB = P.path("byte_bpe_multi_50k.tiktoken")
 #: Names that operators use or return, in other cases, with dots, spaces and backticks.
@@ -36,6 +36,11 @@ def counted(docs):
     return docs.selectExpr("*", "length(text) AS n_chars")
 
 
+@pytest.fixture(scope="module")
+def vectors(spark):
+    return spark.createDataFrame([(1, [0.5] * 64), (1, [0.5] * 64), (None, None), (2, [1.0]), (None, [0.25] * 64), (3, [None] * 64)], "vec_id long, embedding array<double>")
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [(1, "http://a.org/fr/x", "<p>x</p>"), (1, "http://a.org/fr/x", "<p>x</p>"), (None, None, None), (2, "http://b.net/", ""), (3, "no url",
@@ -57,6 +62,7 @@ OPERATORS = {
     "op8 pairs": ("docs", lambda t: spotsigs.similar_pairs(t)), "op9": ("docs", lambda t: mixing.taken(t)), "op9 mixed": ("docs",
         lambda t: mixing.mixed(t)), "op10": ("docs", lambda t: langid.identify(t, VOCAB)),
         "op11": ("counted", lambda t: merkle.manifest(*merkle.build(t, 1), 1)),
+        "op13": ("vectors", lambda t: centroids.clustered(t)),
 }
 #: Operators that give their table back with new columns behind it, and those columns.
 KEEPS = {"op1": "host path rule verdict score", "op3": "n_tokens ids_sha256 decoded_sha256", "op10": "held_out lang_pred score", "op9 mixed": ""}
