@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, centroids, chat, langid, licenses, media, merkle, mixing, simhash, spotsigs, url_filter, warc
+from tallyforge.llm import bpe, centroids, chat, extraction, langid, licenses, media, merkle, mixing, simhash, spotsigs, url_filter, warc
 from tallyforge.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -67,8 +67,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(*merkle.build(_table(spark, sf_dir, "documents")))
 
 
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe, op4_warc, op5_licenses, op6_chat, op7_media, op8_spotsigs, op9_mixing, op10_langid, op11_merkle, op13_centroids)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe, op4_warc, op5_licenses, op6_chat, op7_media, op8_spotsigs, op9_mixing, op10_langid, op11_merkle, op12_extraction, op13_centroids)}

@@ -4,7 +4,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from tallyforge.llm import bpe, centroids, chat, langid, licenses, media, merkle, mixing, simhash, spotsigs, url_filter, warc
+from tallyforge.llm import bpe, centroids, chat, extraction, langid, licenses, media, merkle, mixing, simhash, spotsigs, url_filter, warc
 
 VOCAB = P.path("byte_bpe_multi_50k.tiktoken")
 #: Names that operators use or return, in other cases, with dots, spaces and backticks.
@@ -62,6 +62,7 @@ OPERATORS = {
     "op8 pairs": ("docs", lambda t: spotsigs.similar_pairs(t)), "op9": ("docs", lambda t: mixing.taken(t)), "op9 mixed": ("docs",
         lambda t: mixing.mixed(t)), "op10": ("docs", lambda t: langid.identify(t, VOCAB)),
         "op11": ("counted", lambda t: merkle.manifest(*merkle.build(t, 1), 1)),
+        "op12": ("pages", lambda t: extraction.extract(t)),
         "op13": ("vectors", lambda t: centroids.clustered(t)),
 }
 #: Operators that give their table back with new columns behind it, and those columns.
