@@ -39,9 +39,10 @@ def running_balance(ledger: DataFrame) -> DataFrame:
 def first_breach(ledger: DataFrame) -> DataFrame:
     """(account_id, asset, id, balance): the first posting after which the balance is negative. Only accounts and assets with
     some negative amount are sorted."""
-    spent = ledger.where(F.col("amount") < 0).select("account_id", "asset").distinct()
-    below = running_balance(ledger.join(spent, ["account_id", "asset"], "left_semi")).where(F.col("balance") < 0)
-    return below.groupBy("account_id", F.upper("asset").alias("asset")).agg(F.min("id").alias("id"), F.min_by("balance", "id").alias("balance"))
+    rows = ledger.withColumn("asset", F.upper("asset"))
+    spent = rows.where(F.col("amount") < 0).select("account_id", "asset").distinct()
+    below = running_balance(rows.join(spent, ["account_id", "asset"], "left_semi")).where(F.col("balance") < 0)
+    return below.groupBy("account_id", "asset").agg(F.min("id").alias("id"), F.min_by("balance", "id").alias("balance"))
 
 
 def accounts_by_status(states: DataFrame, status: str = "BLOCKED") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -162,23 +163,24 @@ def volume_sessions(orders: DataFrame, limit: int = VOLUME_LIMIT, gap: str = "24
     return found.select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "volume", (F.col("volume") > limit).alias("over"))
 
 
-def volume_limit(orders: DataFrame, limit: int = VOLUME_LIMIT, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """orders with accepted: the exact rule. Accepted notional adds up, and lasts for 24 hours from the last accepted order; an order
-    that would exceed the limit is refused, is not added, and blocks the user for 24 hours, in which all orders are refused."""
-    day = 86400 * 1_000_000
+def volume_step(state: tuple | None, at: int | None, x: Decimal | None, limit: int) -> tuple[tuple, tuple[bool]]:
+    """One order of volume_limit(): the state (accepted total, until when it counts, until when blocked) after it, and whether it is accepted."""
+    total, until, blocked = state or (0, None, None)
+    if blocked is not None and at is not None and at < blocked:
+        return (total, until, blocked), (False,)
+    if until is None or at is not None and at >= until:
+        total = 0
+    then = None if at is None else at + 86400 * 1_000_000
+    if total + (x or 0) > limit:
+        return (total, until, then), (False,)
+    return (total + (x or 0), then, blocked), (True,)
 
-    def decide(state, at, x):
-        total, until, blocked = state or (0, None, None)
-        if blocked is not None and at is not None and at < blocked:
-            return state, (False,)
-        if until is None or at is not None and at >= until:
-            total = 0
-        then = None if at is None else at + day
-        if total + x > limit:
-            return (total, until, then), (False,)
-        return (total + x, then, blocked), (True,)
 
-    return _in_turn(orders, user, order, "accepted boolean", decide, "notional")
+def volume_limit(orders: DataFrame, limit: int = VOLUME_LIMIT, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """orders with accepted: the exact rule. Accepted notional adds up, and lasts for 24 hours from the last accepted order; an order
+    that would exceed the limit is refused, is not added, and blocks the user for 24 hours, in which all orders are refused. A null
+    notional adds nothing."""
+    return _in_turn(orders, user, order, "accepted boolean", lambda state, at, x: volume_step(state, at, x, limit), "notional")
 
 
 def validate_risk(orders: DataFrame, volume: int = VOLUME_LIMIT, daily: int = DAILY_LIMIT, rate: int = RATE_LIMIT, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:

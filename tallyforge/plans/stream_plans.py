@@ -58,12 +58,12 @@ def by_batches(df: DataFrame, time: str, write: Callable[[str], Callable]) -> Da
     return df.sparkSession.read.parquet(f"{folder}/out")
 
 
-def appended(df: DataFrame, time: str, cuts: tuple[str, ...], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def appended(df: DataFrame, time: str, cuts: tuple[str, ...], job: Callable[[DataFrame], DataFrame], lists: bool = False) -> DataFrame:
     """The table that a stream in append mode writes."""
 
     def run(stream: DataFrame, folder: str) -> None:
-        job(stream).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation",
-            f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        to = job(stream).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        (jobs.keyed_state(df.sparkSession, to.trigger(availableNow=True).start) if lists else to.trigger(availableNow=True).start()).awaitTermination()
 
     return df.sparkSession.read.parquet(f"{in_steps(df, time, cuts, run)}/out")
 
@@ -139,6 +139,39 @@ def stream_floods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("account_id", text("detected_at").alias("detected_at"), "n")
 
 
+CLOSED = f"<= (SELECT max(ts) - INTERVAL 2 DAY FROM {A} WHERE command_type = '{{0}}')"
+
+
+@query(
+    f"SELECT account_id, symbol, CAST({tp.DAY} + INTERVAL 1 DAY AS STRING) AS detected_at, count(*) AS n FROM {A} WHERE command_type = 'CANCEL' "
+    f"GROUP BY account_id, symbol, {tp.DAY} HAVING {tp.DAY} + INTERVAL 1 DAY {CLOSED.format('CANCEL')}"
+)
+def stream_cancel_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed; the test events are sparse: more than 0 in a day."""
+    a, cuts = activity_of(spark, sf_dir)
+    found = appended(a, "ts", cuts, lambda s: jobs.cancel_repeats(jobs.anomaly_counts(s, "CANCEL", ["account_id", "symbol"], LATE, "1 day"), 0))
+    return found.select("account_id", "symbol", text("detected_at").alias("detected_at"), "n")
+
+
+@query(
+    f"WITH {tp.FLOODS} SELECT account_id, symbol, CAST(seen_at AS STRING) AS detected_at, n_recent, CASE WHEN symbol IS NULL AND n_recent >= 3 THEN 'Account blocked' END AS action FROM (SELECT *, count(*) OVER "
+    f"(PARTITION BY account_id ORDER BY seen_at RANGE BETWEEN INTERVAL 5 DAY PRECEDING AND CURRENT ROW) AS n_recent FROM log) WHERE seen_at {CLOSED.format('NEW')}"
+)
+def stream_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floods of days with those of the five days before them, of windows that the watermark has closed."""
+    a, cuts = activity_of(spark, sf_dir)
+    found = appended(a, "ts", cuts, lambda s: jobs.escalations(jobs.flood_log(s, 1, LATE, "1 day"), 3, 5 * 86400), True)
+    return found.select("account_id", "symbol", text("detected_at").alias("detected_at"), "n_recent", "action")
+
+
+@query(f"SELECT v.event_id, v.account_id, accepted FROM ({tp.VOLUME}) v JOIN {A} e ON e.event_id = v.event_id WHERE e.ts <= (SELECT max(ts) - INTERVAL 2 DAY FROM {A})")
+def stream_volume_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact daily volume of orders that the watermark has passed."""
+    a, cuts = activity_of(spark, sf_dir)
+    a = a.withColumn("notional", (F.col("quantity").cast("decimal(18,2)") * 7).cast("decimal(20,8)"))
+    return appended(a, "ts", cuts, lambda s: jobs.volume_limit(s, LATE, 500), True).select("event_id", "account_id", "accepted")
+
+
 @query(f"""WITH a AS (SELECT *, {tp.N} AS x, CASE WHEN ts >= lag(ts) OVER (PARTITION BY account_id ORDER BY ts, event_id) + INTERVAL 24 HOUR THEN 1 ELSE 0 END AS cut FROM {A}),
 s AS (SELECT *, sum(cut) OVER (PARTITION BY account_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM a)
 SELECT account_id, CAST(min(ts) AS STRING) AS start, {out("sum(x)")} AS volume FROM s GROUP BY account_id, session HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM a)""")

@@ -3,18 +3,22 @@ is run again changes nothing."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tallyforge.operators import balances as bal
 from tallyforge.operators import ledger as led
 from tallyforge.operators import orders as ords
 from tallyforge.operators import settlement
 from tallyforge.operators.matching import COLUMNS, EVENTS, Book, framed
+from tallyforge.operators.risk import volume_step
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -123,10 +127,84 @@ def floods(counts: DataFrame, threshold: int) -> DataFrame:
     return counts.where(F.col("n") > threshold).select("account_id", F.col("w.end").alias("detected_at"), "n")
 
 
-def escalations(counts: DataFrame, threshold: int, floods_to_block: int = 3, trailing: str = "1 hour", step: str = "1 minute") -> DataFrame:
-    """(account_id, w, n_floods): accounts with enough flood windows in a trailing hour, on a second windowed stage."""
-    flooded = counts.where(F.col("n") > threshold).select("account_id", F.window_time("w").alias("at"))
-    return flooded.groupBy("account_id", F.window("at", trailing, step).alias("w")).agg(F.count("*").alias("n_floods")).where(F.col("n_floods") >= floods_to_block)
+def cancel_repeats(counts: DataFrame, threshold: int) -> DataFrame:
+    return counts.where(F.col("n") > threshold).select("account_id", "symbol", F.col("w.end").alias("detected_at"), "n")
+
+
+def flood_log(commands: DataFrame, threshold: int, lateness: str = "10 minutes", length: str = "1 minute") -> DataFrame:
+    """Flood windows of accounts and of accounts in a symbol (null for the first), each out once the watermark has closed it."""
+    timed = commands.where(F.col("command_type") == "NEW").withWatermark("ts", lateness)
+
+    def level(keys: list[str], symbol: Column) -> DataFrame:
+        found = timed.groupBy(*keys, F.window("ts", length).alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > threshold)
+        return found.select("account_id", symbol.alias("symbol"), F.window_time("w").alias("at"), F.col("w.end").alias("detected_at"), "n")
+
+    return level(["account_id"], F.lit(None).cast("string")).unionByName(level(["account_id", "symbol"], F.col("symbol")))
+
+
+class Escalation(StatefulProcessor):
+    """Counts an account's floods in the trailing seconds at each flood. Its state is the times of floods, which a timer drops when
+    no later flood can count them.
+
+    Windows are closed in order of their ends, and those of one end in one batch, so all that a flood has to count is here when it comes.
+    """
+
+    def __init__(self, floods: int, seconds: int) -> None:
+        self.floods, self.micros = floods, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "at long")
+
+    def _kept(self, since: int) -> list[int]:
+        return sorted(t for (t,) in self.times.get() if t >= since)
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer((at + self.micros) // 1000 + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        ends = [int(t.value // 1000) for t in pd.to_datetime(new["detected_at"])]
+        before = self._kept(min(ends) - self.micros)
+        times = sorted(before + ends)
+        new["n_recent"] = [bisect_right(times, t) - bisect_left(times, t - self.micros) for t in ends]
+        blocks = new["symbol"].isna() & (new["n_recent"] >= self.floods)
+        new["action"] = ["Account blocked" if b else None for b in blocks]
+        kept = [t for t in times if t >= max(ends) - self.micros]
+        self.times.put([(t,) for t in kept])
+        if not before:
+            self._wake(kept[0])
+        yield new[["account_id", "symbol", "detected_at", "n", "n_recent", "action"]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        kept = self._kept(now - self.micros)
+        if kept:
+            self.times.put([(t,) for t in kept])
+            self._wake(kept[0])
+        else:
+            self.times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def escalations(log: DataFrame, floods: int = 3, seconds: int = 3600) -> DataFrame:
+    """flood_log() with n_recent and action, as risk.flood_escalation() gives them for a table. Start it with keyed_state()."""
+    schema = "account_id long, symbol string, detected_at timestamp, n long, n_recent long, action string"
+    return log.groupBy("account_id").transformWithStateInPandas(Escalation(floods, seconds), schema, "Append", "EventTime")
+
+
+def keyed_state(spark: SparkSession, begin: Callable[[], object]) -> object:
+    """begin(), which starts a stream with lists and timers as state: these need the store on disk."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return begin()
+    finally:
+        spark.conf.set(name, before)
 
 
 def match_orders(commands: DataFrame, keep_done: int = 10_000) -> DataFrame:
@@ -149,6 +227,67 @@ def match_orders(commands: DataFrame, keep_done: int = 10_000) -> DataFrame:
     return rows.groupBy("symbol").applyInPandasWithState(run, EVENTS, "book string, place long", "append", "NoTimeout")
 
 
+class VolumeLimit(StatefulProcessor):
+    """risk.volume_limit() for one account on a stream: orders wait until the watermark has passed them, and are then decided in order of
+    time and event id. A timer wakes the account for its first waiting order, and drops its state when it no longer counts."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, notional string")
+        self.sums = handle.getValueState("sums", "total string, until long, blocked long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        given = list(zip((int(a) for a in new["at"]), (int(e) for e in new["event_id"]), (None if pd.isna(x) else str(x) for x in new["notional"])))
+        before = min((r[0] for r in self.waiting.get()), default=None)
+        self.waiting.appendList(given)
+        first = min(r[0] for r in given)
+        if before is None or first < before:
+            self._wake(first)
+        return iter(())
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer((at + 999) // 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+        due, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        held = self.sums.get() if self.sums.exists() else None
+        state, made = held and (Decimal(held[0]), held[1], held[2]), []
+        for at, event_id, x in due:
+            state, (accepted,) = volume_step(state, at, None if x is None else Decimal(x), self.limit)
+            made.append((key[0], event_id, at, accepted))
+        until = max((t for t in (state or ())[1:] if t is not None), default=0)
+        if state and until > now:
+            self.sums.update((str(state[0]), state[1], state[2]))
+        else:
+            self.sums.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+            if state and until > now:
+                self._wake(until)
+        if made:
+            yield pd.DataFrame(made, columns=["account_id", "event_id", "at", "accepted"])
+
+    def close(self) -> None:
+        pass
+
+
+def volume_limit(orders: DataFrame, lateness: str, limit: int) -> DataFrame:
+    """(account_id, event_id, at, accepted): the exact daily volume on a stream; at is the time in microseconds. Orders later than the lateness
+    or without a time are not decided. Start it with keyed_state()."""
+    timed = orders.where(F.col("ts").isNotNull()).withWatermark("ts", lateness)
+    rows = timed.select("account_id", "event_id", "ts", F.unix_micros("ts").alias("at"), "notional")
+    return rows.groupBy("account_id").transformWithStateInPandas(VolumeLimit(limit), "account_id long, event_id long, at long, accepted boolean", "Append", "EventTime")
+
+
 def volume_sessions(orders: DataFrame, lateness: str = "1 hour", gap: str = "24 hours") -> DataFrame:
     return orders.withWatermark("ts", lateness).groupBy("account_id", F.session_window("ts", gap).alias("w")).agg(F.sum("notional").cast("decimal(38,8)").alias("volume"))
 
