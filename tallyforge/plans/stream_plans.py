@@ -19,7 +19,7 @@ from tallyforge.plans import matching_sql
 from tallyforge.plans import trading_plans as tp
 from tallyforge.plans.ledger_plans import money, text
 from tallyforge.plans.sql import LEDGER, RESULTS, out
-from tallyforge.sources import events, tables
+from tallyforge.sources import events, tables, versions
 from tallyforge.sources.views import ACTIVITY, EXECUTIONS, ORDER_COMMANDS, ORDER_UPDATES, oracle, view
 from tallyforge.streaming import jobs
 
@@ -231,7 +231,7 @@ def write_clearing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = r.where("batch_id % 2 = 0 AND account_id % 3 = 0").withColumns({"asset": F.lower("asset"),
         "closing_balance": (F.col("closing_balance") + 1).cast("decimal(20,8)"), "status": F.lit("CORRECTED")})
     tables.write_clearing_results(again, path)
-    return spark.read.parquet(path).select(F.col("batch_id").cast("long"), "account_id", F.upper("asset").alias("asset"), money("closing_balance").alias("closing_balance"), "status")
+    return versions.read(spark, path).select(F.col("batch_id").cast("long"), "account_id", F.upper("asset").alias("asset"), money("closing_balance").alias("closing_balance"), "status")
 
 
 @query(
@@ -244,4 +244,4 @@ def write_recon_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     diffs = recon.compare(lp.the_ledger(spark, sf_dir), lp.the_balances(lp.the_ledger(spark, sf_dir)))
     for batch, rows in ((1, diffs), (2, diffs), (2, diffs.where("account_id % 2 = 0"))):
         tables.write_recon_diffs(rows, path, batch)
-    return spark.read.parquet(path).select(F.col("recon_batch_id").cast("long"), "account_id", "asset", money("expected_value").alias("expected_value"), money("actual_value").alias("actual_value"))
+    return versions.read(spark, path).select(F.col("recon_batch_id").cast("long"), "account_id", "asset", money("expected_value").alias("expected_value"), money("actual_value").alias("actual_value"))

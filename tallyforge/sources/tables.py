@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.storage import stored
+from tallyforge.sources import versions
 
 
 def load_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -19,44 +19,27 @@ def load_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options).load()
 
 
-def overwrite_partitions(df: DataFrame, path: str, key: str) -> None:
-    """Replaces the partitions of key that df has, and no others; writing the same again changes nothing."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-
-
 def write_clearing_results(results: DataFrame, path: str) -> None:
     """Upserts results by (batch_id, account_id, asset in any case): a row with a stored row's key replaces it, all other rows of the batch
     stay. Of several new rows with one key the last by updated_at, or by all columns where there is none, stands.
 
-    Only the batches that results has are read and written; they are written beside the old rows first and then moved in, so a
-    run that fails leaves the table as it was.
+    Only the batches that results has are read and written, as new parts of a table of versions: a run that fails leaves the table as it
+    was. versions.read() reads it.
     """
     spark = results.sparkSession
     given = stored(results.withColumn("_new", F.lit(True)))
     ids = [r[0] for r in given.select("batch_id").distinct().collect()]  # few: a batch is a run of the clearing job
-    both = given
-    if ids and _there(spark, path):
-        both = given.unionByName(spark.read.parquet(path).where(F.col("batch_id").isin(ids)).withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    before = versions.manifest(spark, path)
+    stored_rows = versions.read(spark, path, ids)
+    both = given if stored_rows is None else given.unionByName(stored_rows.withColumn("_new", F.lit(False)), allowMissingColumns=True)
     order = F.xxhash64(F.to_json(F.struct(*results.columns)))
     newest = [F.col("_new").desc(), *([F.col("updated_at").desc_nulls_last()] if "updated_at" in results.columns else []), order.desc()]
     place = F.row_number().over(Window.partitionBy("batch_id", "account_id", F.upper("asset")).orderBy(*newest))
     kept = stored(both.withColumn("_place", place).where("_place = 1").drop("_place", "_new"))
-    overwrite_partitions(kept, path, "batch_id")
-
-
-def _there(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return False
-        raise
-    return True
+    versions.replace_parts(kept, path, "batch_id", before=before)
 
 
 def write_recon_diffs(diffs: DataFrame, path: str, batch_id: int) -> None:
-    """The differences of a batch instead of those that it had; none, too, replaces them."""
-    spark = diffs.sparkSession
-    target = f"{path}/recon_batch_id={batch_id}"
-    diffs.drop("recon_batch_id").write.mode("overwrite").parquet(target)
-    spark.catalog.refreshByPath(path)
+    """The differences of a batch instead of those that it had, at once; none, too, replaces them. versions.read() reads the table."""
+    rows = diffs.drop("recon_batch_id").withColumn("recon_batch_id", F.lit(batch_id).cast("long"))
+    versions.replace_parts(rows, path, "recon_batch_id", [batch_id])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import matching, metrics, orders, risk, settlement
 from tallyforge.plans.ledger_plans import ORDER
 from tallyforge.plans.trading_plans import TIE, TRADE_ORDER
-from tallyforge.sources import events, tables
+from tallyforge.sources import events, tables, versions
 from tallyforge.sources.views import ACTIVITY, EXECUTIONS, ORDER_COMMANDS, ORDER_UPDATES, view
 from tallyforge.streaming import jobs
 
@@ -329,11 +329,11 @@ def test_partition_sinks_are_idempotent(spark, tmp_path):
     for _ in range(2):
         tables.write_clearing_results(r, path)
     tables.write_clearing_results(r.where("batch_id = 2").withColumn("account_id", F.lit(6).cast("long")), path)
-    assert {(x.batch_id, x.account_id) for x in spark.read.parquet(path).collect()} == {(1, 5), (2, 5), (2, 6)}
+    assert {(x.batch_id, x.account_id) for x in versions.read(spark, path).collect()} == {(1, 5), (2, 5), (2, 6)}
     again = r.where("batch_id = 2").withColumns({"asset": F.lit("usdt"), "closing_balance": F.lit(9).cast("decimal(36,18)")})
     tables.write_clearing_results(again, path)
-    assert sorted((x.batch_id, x.account_id, x.asset, int(x.closing_balance)) for x in spark.read.parquet(path).collect()) == [(1, 5, "USDT", 1), (2, 5, "usdt", 9), (2, 6, "USDT", 2)]
+    assert sorted((x.batch_id, x.account_id, x.asset, int(x.closing_balance)) for x in versions.read(spark, path).collect()) == [(1, 5, "USDT", 1), (2, 5, "usdt", 9), (2, 6, "USDT", 2)]
     diffs = str(tmp_path / "diffs")
     tables.write_recon_diffs(r.select("account_id", "asset"), diffs, 7)
     tables.write_recon_diffs(r.select("account_id", "asset").limit(0), diffs, 7)
-    assert spark.read.schema("account_id long, asset string, recon_batch_id long").parquet(diffs).count() == 0
+    assert versions.read(spark, diffs).count() == 0
