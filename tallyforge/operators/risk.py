@@ -37,11 +37,17 @@ def _logged(found: DataFrame, pattern: str, by_symbol: bool) -> DataFrame:
 
 def flood_escalation(log: DataFrame, floods: int = FLOODS_TO_BLOCK, seconds: int = 3600) -> DataFrame:
     """log with n_recent and action: an account-level flood that is at least the floods-th flood row of the account within the trailing
-    seconds blocks the account. Symbol-level floods count but do not block."""
-    rows = log.where(F.col("pattern_type") == "ORDER_FLOOD").withColumn("_at", F.unix_timestamp(F.col("detected_at").cast("timestamp")))
-    recent = F.count("*").over(Window.partitionBy("account_id").orderBy("_at").rangeBetween(-seconds, 0))
+    seconds blocks the account. Symbol-level floods count but do not block.
+
+    Time is cut in parts as long as the frame, and each part has the rows of the one before as a halo: a hot account is many small windows."""
+    at = F.unix_timestamp(F.col("detected_at").cast("timestamp"))
+    rows = log.where(F.col("pattern_type") == "ORDER_FLOOD").withColumns({"_at": at, "_part": F.floor(at / seconds)})
+    own, halo = F.struct(F.col("_part").alias("part"), F.lit(True).alias("own")), F.struct((F.col("_part") + 1).alias("part"), F.lit(False).alias("own"))
+    dealt = rows.withColumn("_dealt", F.explode(F.when(F.col("_at").isNull(), F.array(own)).otherwise(F.array(own, halo))))
+    frame = Window.partitionBy("account_id", "_dealt.part").orderBy("_at").rangeBetween(-seconds, 0)
+    counted = dealt.withColumn("n_recent", F.count("*").over(frame)).where("_dealt.own")
     blocks = F.col("symbol").isNull() & (F.col("n_recent") >= floods)
-    return rows.withColumn("n_recent", recent).withColumn("action", F.when(blocks, "Account blocked")).drop("_at")
+    return counted.select(*log.columns, "n_recent", F.when(blocks, "Account blocked").alias("action"))
 
 
 def large_order(orders: DataFrame, factor: int = LARGE, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:

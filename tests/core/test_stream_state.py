@@ -56,3 +56,13 @@ def test_first_breach_sums_an_asset_in_any_case(spark):
     rows = [(1, 7, "BTC", Decimal(9)), (2, 7, "btc", Decimal(-5)), (3, 7, "BTC", Decimal(3)), (4, 8, "eth", Decimal(1)), (5, 8, "ETH", Decimal(-2))]
     ledger = spark.createDataFrame(rows, "id long, account_id long, asset string, amount decimal(20,8)")
     assert [(x.account_id, x.asset, x.id, int(x.balance)) for x in balances.first_breach(ledger).collect()] == [(8, "ETH", 5, -1)]
+
+
+def test_floods_of_a_hot_account_are_counted_in_parts(spark):
+    rows = [(1, None if i % 3 else "X", "ORDER_FLOOD", 5, T0 + timedelta(seconds=(i * i * 7) % 40_000)) for i in range(400)] + [(1, None, "ORDER_FLOOD", 5, None)] * 2
+    log = spark.createDataFrame(rows, "account_id long, symbol string, pattern_type string, n long, detected_at timestamp")
+    found = risk.flood_escalation(log, 3, 3600)
+    times = [r[4] for r in rows]
+    count = lambda t: sum(x is None for x in times) if t is None else sum(x is not None and timedelta(0) <= t - x <= timedelta(hours=1) for x in times)
+    want = sorted(str((r[1], r[4], count(r[4]), "Account blocked" if r[1] is None and count(r[4]) >= 3 else None)) for r in rows)
+    assert sorted(str((r.symbol, r.detected_at, r.n_recent, r.action)) for r in found.collect()) == want
