@@ -134,12 +134,10 @@ def cancel_repeats(counts: DataFrame, threshold: int) -> DataFrame:
 def flood_log(commands: DataFrame, threshold: int, lateness: str = "10 minutes", length: str = "1 minute") -> DataFrame:
     """Flood windows of accounts and of accounts in a symbol (null for the first), each out once the watermark has closed it."""
     timed = commands.where(F.col("command_type") == "NEW").withWatermark("ts", lateness)
-
-    def level(keys: list[str], symbol: Column) -> DataFrame:
-        found = timed.groupBy(*keys, F.window("ts", length).alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > threshold)
-        return found.select("account_id", symbol.alias("symbol"), F.window_time("w").alias("at"), F.col("w.end").alias("detected_at"), "n")
-
-    return level(["account_id"], F.lit(None).cast("string")).unionByName(level(["account_id", "symbol"], F.col("symbol")))
+    levels = F.array(F.struct(F.lit(False).alias("one"), F.lit(None).cast("string").alias("symbol")), F.struct(F.lit(True).alias("one"), F.col("symbol").alias("symbol")))
+    each = timed.select("account_id", "ts", F.explode(levels).alias("level"))  # one state for both levels
+    found = each.groupBy("account_id", "level", F.window("ts", length).alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > threshold)
+    return found.select("account_id", F.col("level.symbol").alias("symbol"), F.window_time("w").alias("at"), F.col("w.end").alias("detected_at"), "n")
 
 
 class Escalation(StatefulProcessor):
@@ -197,14 +195,17 @@ def escalations(log: DataFrame, floods: int = 3, seconds: int = 3600) -> DataFra
 
 
 def keyed_state(spark: SparkSession, begin: Callable[[], object]) -> object:
-    """begin(), which starts a stream with lists and timers as state: these need the store on disk."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """begin(), which starts a stream with lists and timers as state: these need the store on disk, of which a batch writes the changes."""
+    store = "spark.sql.streaming.stateStore"
+    wanted = {f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{store}.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         return begin()
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def match_orders(commands: DataFrame, keep_done: int = 10_000) -> DataFrame:
