@@ -1,8 +1,10 @@
 """SpotSigs document fingerprints.
 
 A signature is a common word (an anchor) with the content words that follow it; the signatures of a text are a set
-that survives edits elsewhere in the text. The anchors are those of four languages written in Latin letters; a text in which they
-are rare, being in another language or no prose, takes every word as an anchor. Two sets are compared by Jaccard similarity, which cannot exceed the ratio of
+that survives edits elsewhere in the text. The anchors are those of four languages written in Latin letters and, so that texts in other
+languages and lists have them too, winnowed words: of each WINDOW successive words that whose chain has the least hash. Both kinds are
+chosen by the words around them alone, so a changed word changes the signatures near it and no others, whatever the text as a
+whole is like. Two sets are compared by Jaccard similarity, which cannot exceed the ratio of
 their sizes: sets are partitioned by size so that only neighbouring partitions meet, and a pair whose sizes are too
 far apart is not intersected. All by built-in functions.
 """
@@ -25,8 +27,8 @@ ANCHORS = (
 MARKS = r"!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u205e"
 #: Content words in a chain, and common words that may stand before each of them.
 CHAIN, SPOT = 2, 8
-#: A text with fewer signatures than one for so many bytes of its words (8 words or so) takes every word as an anchor.
-RARE = 48
+#: Successive words of which one at least is an anchor; a power of two.
+WINDOW = 4
 #: Blocks of scripts written without spaces (Thai and Lao, Khmer, kana, Han), of which each character is a word. As ranges: to look up the
 #: script of every character costs more than all other patterns together.
 SCRIPTS = r"[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{323af}]"
@@ -56,21 +58,32 @@ def normal(text: Column) -> Column:
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with the text's signatures as a sorted set of 64-bit hashes.
 
-    Each occurrence of an anchor that is followed by CHAIN content words, each with at most SPOT anchors before it, gives one. Where
-    that is less than one for RARE bytes, each word with the CHAIN words after it gives one instead; so an edit changes few of the signatures
-    in any language. A text of CHAIN words or fewer has one signature, made of all of its words. Columns are added one by one, so that none is
-    computed twice.
+    Each occurrence of a common word that is followed by CHAIN content words, each with at most SPOT common words before it, gives one,
+    and each winnowed word with the CHAIN words after it gives one. A text of CHAIN words or fewer has one signature, made of all of
+    its words. Columns are added one by one, so that none is computed twice.
     """
-    chain = f"(?:\\x01[^ ]++ ){{0,{SPOT}}}+[^ ]++ " * CHAIN
+    chain = f"(?:\\x01[^ ]++ ){{0,{SPOT}}}+[^ \\x01][^ ]*+ " * CHAIN
     df = df.withColumn("_words", normal(F.coalesce(F.col(text), F.lit(""))))
     marked = F.regexp_replace("_words", f" ({_any_of(ANCHORS)})(?= )", " \x01$1")
     df = df.withColumn("_spots", F.regexp_extract_all(marked, F.lit(f"(?=(\\x01[^ ]++ {chain}))"), F.lit(1)))
-    every = F.regexp_extract_all("_words", F.lit(f"(?=( [^ ]++ {'[^ ]++ ' * CHAIN}))"), F.lit(1))
-    df = df.withColumn("_spots", F.when(F.size("_spots") * RARE < F.octet_length("_words"), every).otherwise(F.col("_spots")))
     # the anchors inside the chain are left out: they are not what tells texts apart
     found = F.transform("_spots", lambda x: F.xxhash64(F.when(F.locate("\x01", x, 2) > 0, F.regexp_replace(x, r"(?<= )\x01[^ ]++ ", "")).otherwise(x)))
     own = F.array(F.xxhash64(F.concat(F.lit("="), "_words")))
-    return df.withColumn(name, F.sort_array(F.array_distinct(F.when(F.size("_spots") > 0, found).otherwise(own)))).drop("_words", "_spots")
+    df = winnowed(df.withColumn("_each", F.split(F.trim("_words"), " ")), "_each", "_least")
+    both = F.array_distinct(F.concat(found, "_least"))
+    return df.withColumn(name, F.sort_array(F.when(F.size("_each") > CHAIN, both).otherwise(own))).drop("_words", "_spots", "_each", "_least")
+
+
+def winnowed(df: DataFrame, words: str, name: str) -> DataFrame:
+    """df with the hashes of those chains of CHAIN + 1 words that are the least of some WINDOW successive chains (of all, if fewer)."""
+    hashed = F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, CHAIN + 1)]))
+    df = df.withColumn(name, F.slice(hashed, 1, F.greatest(F.size(words) - CHAIN, F.lit(0))))
+    df = df.withColumn("_chains", F.size(name))
+    step = 1
+    while step < WINDOW:  # the least of 2, 4, ... successive chains from each on
+        df = df.withColumn(name, F.zip_with(name, F.slice(name, step + 1, F.col("_chains")), lambda x, y: F.least(x, y)))
+        step *= 2
+    return df.withColumn(name, F.array_distinct(F.slice(name, 1, F.greatest(F.col("_chains") - (WINDOW - 1), F.lit(1))))).drop("_chains")
 
 
 def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -107,7 +120,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         F.lit(1))) == F.col("doc_id")).otherwise(F.col("doc_id").eqNullSafe(F.lit(None if seen["nulls"] else seen["least"]).cast("long")))
     before = F.when(F.col("run") > 0, F.col("run") - 1).otherwise(len(cuts))
     copies = F.array_compact(F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead")), F.when(starts, F.struct(before.alias("run"), F.lit(True).alias("ahead")))))
-    sent = with_signatures(rows, "text", "own").select("doc_id", "text", "own", F.explode(copies).alias("to")).select("doc_id", "text", "own", "to.run", "to.ahead")
+    sent = rows.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.run", "to.ahead").repartition("run")
+    sent = with_signatures(sent, "text", "own")  # where the runs are: texts are moved, signatures are not
     order = Window.partitionBy("run").orderBy("ahead", F.col("doc_id").asc_nulls_first(), "text")
     ahead = sent.withColumns({"next_text": F.lead("text").over(order), "of_next": F.lead("own").over(order)})
     return ahead.where("not ahead").select("doc_id", "text", "own", "next_text", "of_next")

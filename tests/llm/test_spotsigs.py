@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from tallyforge.llm import spotsigs
-from tallyforge.llm.spotsigs import ANCHORS, CHAIN, MARKS, RARE, SPOT
+from tallyforge.llm.spotsigs import ANCHORS, CHAIN, MARKS, SPOT, WINDOW
 
 MARK = re.compile(f"^[{MARKS}]+|[{MARKS}]+$")
 
@@ -18,10 +18,17 @@ def signed(text):
     return h - (h >> 63 << 64)
 
 
+def chained(words):
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), h)
+    return h - (h >> 63 << 64)
+
+
 def slow_signatures(text):
     apart = "".join(f" {c} " if APART(c) else c for c in text or "")
     words = [w for w in (MARK.sub("", w) for w in re.split(r"[\x01\x09-\x0D ]+", apart.lower())) if w]
-    common, found, n = set(ANCHORS), set(), 0
+    common, found = set(ANCHORS), set()
     for i, w in enumerate(words):
         if w not in common:
             continue
@@ -30,14 +37,14 @@ def slow_signatures(text):
             skipped = 0
             while at < len(words) and words[at] in common and skipped < SPOT:
                 at, skipped = at + 1, skipped + 1
-            if at < len(words):
-                chain.append(words[at])
-                at += 1
+            if at == len(words) or words[at] in common:
+                break
+            chain.append(words[at])
+            at += 1
         if len(chain) == CHAIN:
-            n += 1
             found.add(signed("\x01" + " ".join([w, *[c for c in chain if c not in common]]) + " "))
-    if n * RARE < len(" ".join(["", *words, ""]).encode()):
-        found = {signed(" " + "".join(w + " " for w in words[i : i + CHAIN + 1])) for i in range(len(words) - CHAIN)}
+    chains = [chained(words[i : i + CHAIN + 1]) for i in range(len(words) - CHAIN)]
+    found |= {min(chains[i : i + WINDOW]) for i in range(max(1, len(chains) - WINDOW + 1)) if chains}
     return found or {signed("= " + "".join(w + " " for w in words))}
 
 
@@ -91,6 +98,31 @@ def test_texts_of_any_script_lose_little_by_an_edit(spark):
     assert all(0.4 < r.near_edited < 0.9 and r.near_next < 0.2 for r in rows if r.doc_id % 10 < 2)  # the next is of the same script
 
 
+def test_few_changes_of_words_change_little_at_any_density_of_anchors(spark):
+    """400 words, every k-th an anchor (none for 0), three words replaced: anchors in even rounds, any words in odd ones. Texts of 40
+    common words alone (k = 1) repeat their chains, so they have fewer signatures to share."""
+    import random
+
+    rnd, rows = random.Random(5), []
+    for k in range(0, 25):
+        for turn in range(4):
+            words = [rnd.choice(ANCHORS[:40]) if k and i % k == 0 else f"w{rnd.randrange(3000)}" for i in range(400)]
+            places = rnd.sample([i for i in range(400) if k and i % k == 0 and k < 100] if k and turn % 2 == 0 else range(400), 3)
+            rows += [(k * 10 + turn, 0, " ".join(words)), (k * 10 + turn, 1, " ".join("changed" if i in places else w for i, w in enumerate(words)))]
+    signed_rows = spotsigs.with_signatures(spark.createDataFrame(rows, "id long, edited int, text string"), "text", "s").collect()
+    sets = {(r.id, r.edited): set(r.s) for r in signed_rows}
+    likeness = {i: len(sets[i, 0] & sets[i, 1]) / len(sets[i, 0] | sets[i, 1]) for i, e in sets if e}
+    assert min(x for i, x in likeness.items() if i // 10 != 1) > 0.9 and min(likeness.values()) > 0.85 and sum(likeness.values()) / len(likeness) > 0.93, sorted(likeness.items(), key=lambda x: x[1])[:5]
+
+
+def test_long_texts_are_like_their_edited_text(spark):
+    """Under 0.3 are only texts that repeat themselves: most of their few signatures stay, and the next text brings more than there were."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in spotsigs.edits(docs).where("n_chars > 200 AND near_edited < 0.3").collect():
+        own, edited = set(r.fingerprint.split()), set(r.edited_fingerprint.split())
+        assert len(own & edited) >= 0.5 * len(own) and len(edited - own) > len(own), r.doc_id
+
+
 def test_similar_pairs_equal_brute_force(spark, sf):
     base = "the red fox saw the old dog and the young cat under a tall tree by the cold river "
     rows = [(i, base * 2 + " ".join(f"the w{i}{j} x{j}" for j in range(i % 4))) for i in range(12)] + [(100, None), (101, ""), (102, base), (None, base + "the end of it all")]
