@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.storage import stored
+
 #: Patterns are logged above, not at, these counts. Fixed values.
 FLOOD, CANCELS, FLOODS_TO_BLOCK, LARGE = 100, 50, 3, 100
 RATE_LIMIT, DAILY_LIMIT, VOLUME_LIMIT = 10, 1000, 100_000_000
@@ -120,19 +122,64 @@ def _started(df: DataFrame, kept: list[str], *added: str) -> DataFrame:
     return df.select(*kept, F.timestamp_micros("_start").alias("window_start"), *added)
 
 
-def anchored_limit(orders: DataFrame, limit: int = RATE_LIMIT, seconds: int = 60, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """orders with window_start, n_in_window and over: a counter opens at a user's first order after the last window's end.
+def window_starts(times: DataFrame, length: int) -> DataFrame:
+    """(who, at): the times at which windows open, of different times (who, at) in microseconds: the first of each who, and from each
+    start the first time that is at least length later.
 
-    A window's start depends on the one before, so each user's orders are read in sequence; users are independent.
+    A time after a gap of length is a start whatever came before it, so chains of starts are followed only from gap to gap, all of
+    them at once, by pointer doubling: each time points to the one at which the next window would open, and pointers are joined to
+    themselves, so 2^k starts of a chain are known after k rounds. All of a who's times lie in buckets of length, and rows are
+    dealt by (who, bucket) or (who, time); only the buckets themselves, of which a who has no more than its time span allows, are ordered
+    for each who.
     """
 
-    def decide(state, at):
-        start, n = state or (at, 0)
-        if at is not None and start is not None and at >= start + seconds * 1_000_000:
-            start, n = at, 0
-        return (start, n + 1), (start, n + 1, n + 1 > limit)
+    def bucket(at):
+        return at - F.pmod(at, F.lit(length))
+
+    times = stored(times.withColumn("bucket", bucket(F.col("at"))), "window-times")
+    by_who = Window.partitionBy("who").orderBy("bucket")
+    buckets = times.groupBy("who", "bucket").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    two = [F.lead(F.struct("bucket", "first"), k).over(by_who) for k in (1, 2)]
+    buckets = stored(buckets.select("who", "bucket", "first", (F.col("first") - F.lag("last").over(by_who) < length).alias("near"), two[0].alias("one"), two[1].alias("two")), "window-buckets")
+    reached = buckets.where("near IS NULL OR NOT near").select("who", F.col("first").alias("at"))
+
+    # a time's next start is in the bucket after its own, or is the first time of the bucket that follows that one
+    later = F.when(F.col("one.bucket") > F.col("bucket") + length, F.col("one.first")).otherwise(F.col("two.first"))
+    asks = times.join(buckets.select("who", "bucket", later.alias("later")), ["who", "bucket"])
+    asks = asks.select("who", (F.col("bucket") + length).alias("bucket"), (F.col("at") + length).alias("due"), "at", "later")
+    points = times.select("who", "bucket", F.col("at").alias("due"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("later"))
+    on = Window.partitionBy("who", "bucket").orderBy(F.desc("due"), F.asc_nulls_first("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    soon = points.union(asks).withColumn("soon", F.min(F.when(F.col("at").isNull(), F.col("due"))).over(on)).where("at IS NOT NULL")
+    jumps = soon.select("who", "at", F.coalesce("soon", "later").alias("to")).where("to IS NOT NULL")
+    jumps = stored(jumps.join(reached.select("who", F.col("at").alias("to")), ["who", "to"], "left_anti").select("who", "at", "to"), "window-jumps")
+
+    while True:
+        new = stored(reached.join(jumps, ["who", "at"]).select("who", F.col("to").alias("at")), "window-starts")
+        if new.isEmpty():
+            return reached
+        reached = reached.union(new)
+        jumps = stored(jumps.join(jumps.select("who", F.col("at").alias("to"), F.col("to").alias("far")), ["who", "to"]).select("who", "at", F.col("far").alias("to")), "window-jumps")
 
-    return _started(_in_turn(orders, user, order, "_start long, n_in_window long, over boolean", decide), orders.columns, "n_in_window", "over")
+
+def anchored_limit(orders: DataFrame, limit: int = RATE_LIMIT, seconds: int = 60, user: str = "account_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """orders with window_start, n_in_window and over: a counter opens at a user's first order after the last window's end.
+
+    Starts come from window_starts(); an order is in the last window that started in its own bucket of time or the one before, and
+    is counted within its window. So a user's history is many tasks, and the largest is the orders of one window. Orders without a
+    time come last, in the last window; users without any time have a window without a start. The order begins with ts. A null user is a user.
+    """
+    length, names = seconds * 1_000_000, orders.columns
+    rows = orders.withColumns({"_who": F.struct(F.col(user).alias("user")), "_at": F.unix_micros(F.col("ts").cast("timestamp"))})
+    starts = stored(window_starts(rows.where("_at IS NOT NULL").select(F.col("_who").alias("who"), F.col("_at").alias("at")).distinct(), length), "window-starts")
+    own = F.col("at") - F.pmod("at", F.lit(length))
+    seen = starts.select("who", "at", F.explode(F.array(own, own + length)).alias("bucket")).groupBy("who", "bucket").agg(F.min("at").alias("early"), F.max("at").alias("late"))
+    last = starts.groupBy("who").agg(F.max("at").alias("early")).select("who", F.lit(None).cast("long").alias("bucket"), "early", F.lit(None).cast("long").alias("late"))
+    both = seen.union(last).select(F.col("who").alias("_who"), F.struct("bucket").alias("_bucket"), "early", "late").withColumnsRenamed({"early": "_early", "late": "_late"})
+    placed = rows.withColumn("_bucket", F.struct((F.col("_at") - F.pmod("_at", F.lit(length))).alias("bucket"))).join(both, ["_who", "_bucket"], "left")
+    placed = placed.withColumn("_start", F.when(F.col("_late") <= F.col("_at"), F.col("_late")).otherwise(F.col("_early")))
+    turn = Window.partitionBy("_who", "_start").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    counted = placed.withColumn("n_in_window", F.row_number().over(turn).cast("long")).withColumn("over", F.col("n_in_window") > limit)
+    return _started(counted, names, "n_in_window", "over")
 
 
 def daily_order_limit(orders: DataFrame, limit: int = DAILY_LIMIT, seconds: int = 86400, block_seconds: int = 86400, user: str = "account_id",
