@@ -10,7 +10,10 @@ A query takes as many rounds as its longest piece has merges, so a long piece is
 Two windows are joined at a token that both have at the same place. That is exact: a sequence of tokens is the encoding of its
 bytes if and only if each two neighbours are the encoding of theirs (until some merge first crosses a border, both sides
 evolve as if they were alone, so it would cross it in the two tokens' own encoding too), and neighbours in the joined sequence are
-neighbours in a window. Where two windows share no token, the piece is contracted in wider ones, in the end as a whole.
+neighbours in a window. Where two windows share no token, as in a repeated sign whose tokens fall out of phase, the piece is
+contracted in wider ones, in the end as a whole, and a round contracts every place of the least rank at once. That is the same
+as one after the other, from the left, unless the new token makes a pair of lesser rank; tokens that can are marked in the
+merge table, and of those a round contracts the leftmost alone.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ CHUNK = rf" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?![^{SPACE}!-/:-@
 #: Bytes that the chunks and pieces which a worker keeps may take, about; bytes of pieces in one recursive query; characters cut
 #: into pieces at once; bytes between the starts of a long piece's windows, which are twice as long.
 KEPT, AT_ONCE, CHARS, STEP = 40_000_000, 40_000, 500_000, 128
+#: Times that windows grow where two share no token.
+WIDER = 16
 
 CONTRACT = """
 WITH RECURSIVE s(moves, w, p, t, u) AS (
@@ -46,6 +51,24 @@ WITH RECURSIVE s(moves, w, p, t, u) AS (
 )
 SELECT string_agg(id_hex, ',' ORDER BY s.p) FROM s JOIN vocab ON id = s.t WHERE NOT moves GROUP BY s.w ORDER BY s.w
 """
+#: The same, all places of a word's least rank in one round: of places next to each other every second one, from the left.
+CONTRACT_ALL = """
+WITH RECURSIVE s(moves, w, p, t, u) AS (
+  SELECT true, w, p, t, u FROM given_pieces
+  UNION ALL
+  (WITH pairs AS (SELECT w, p, m, alone FROM s JOIN merges ON pair = t::BIGINT * 4294967296 + u WHERE u >= 0 AND moves),
+        least AS (SELECT w, min(m) AS m FROM pairs GROUP BY w),
+        met AS (SELECT w, p, m, alone, row_number() OVER (PARTITION BY w ORDER BY p) AS n FROM pairs JOIN least USING (w, m)),
+        runs AS (SELECT *, row_number() OVER (PARTITION BY w, p - n ORDER BY p) AS k FROM met),
+        hits AS (SELECT w, p, m FROM runs WHERE k % 2 = 1 AND (n = 1 OR NOT alone)),
+        placed AS (SELECT s.w, s.p, s.t, s.u, h.m, lag(h.m) OVER o AS inside, lead(h.m) OVER o AS next_m, lead(s.u) OVER o AS after, lead(h.m, 2) OVER o AS after_m,
+                     count(h.m) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone
+                   FROM s LEFT JOIN hits h ON s.w = h.w AND s.p = h.p WHERE moves WINDOW o AS (PARTITION BY s.w ORDER BY s.p))
+   SELECT least.w IS NOT NULL, placed.w, (p - gone)::INT, coalesce(placed.m, t)::INT, (CASE WHEN placed.m IS NULL THEN coalesce(next_m, u) ELSE coalesce(after_m, after) END)::INT
+   FROM placed LEFT JOIN least ON placed.w = least.w WHERE inside IS NULL)
+)
+SELECT string_agg(id_hex, ',' ORDER BY s.p) FROM s JOIN vocab ON id = s.t WHERE NOT moves GROUP BY s.w ORDER BY s.w
+"""
 #: Ids of many sequences (w, p, id) -> hexadecimal bytes of each.
 DECODE = "SELECT w, string_agg(h, '' ORDER BY p) FROM ids JOIN vocab USING (id) GROUP BY w"
 
@@ -111,7 +134,9 @@ class Codec:
         self.chunks = re.compile(CHUNK).findall if own else self.pieces  # another pattern's pieces may cross the chunks
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "70MB", "preserve_insertion_order": False})
         merges = [((self.ranks[t[:i]] << 32) + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self._table("merges", pair=pa.array([x for x, _ in merges], pa.int64()), m=pa.array([x for _, x in merges], pa.int64()))
+        lesser = {token for pair, r in merges for token in (pair >> 32, pair & 0xFFFFFFFF) if token > r}  # these may make a pair of lesser rank
+        alone = pa.array([r in lesser for _, r in merges])
+        self._table("merges", pair=pa.array([x for x, _ in merges], pa.int64()), m=pa.array([x for _, x in merges], pa.int64()), alone=alone)
         self._table("vocab", id=pa.array(self.ranks.values(), pa.int32()), h=pa.array([t.hex() for t in self.ranks]), id_hex=pa.array([f"{i} {t.hex()}" for t, i in self.ranks.items()]))
         self.one = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.known: dict[str, tuple[str, bytes]] = {}
@@ -123,7 +148,7 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contracted(self, words: list[bytes]) -> list[str]:
+    def _contracted(self, words: list[bytes], query: str = CONTRACT) -> list[str]:
         """Of each word its tokens in order: id, space and bytes in hexadecimal, comma after comma."""
         import numpy as np
 
@@ -134,9 +159,9 @@ class Codec:
         u[ends - 1] = -1
         w, p = np.repeat(np.arange(len(words), dtype=np.int32), lengths), np.arange(len(t)) - np.repeat(ends - lengths, lengths)
         self.db.register("given_pieces", pa.table({"w": w, "p": p.astype(np.int32), "t": t, "u": u}))
-        return self.db.sql(CONTRACT).to_arrow_table().column(0).to_pylist()
+        return self.db.sql(query).to_arrow_table().column(0).to_pylist()
 
-    def _in_turns(self, words: list[bytes]) -> list[str]:
+    def _in_turns(self, words: list[bytes], query: str = CONTRACT) -> list[str]:
         """_contracted() by queries of AT_ONCE bytes, words of like lengths together so that their rounds end together."""
         order = sorted(range(len(words)), key=list(map(len, words)).__getitem__)
         found: list = [None] * len(words)
@@ -146,7 +171,7 @@ class Codec:
             while at < len(order) and (size == 0 or size + len(words[order[at]]) <= AT_ONCE):
                 size += len(words[order[at]])
                 at += 1
-            for i, x in zip(order[first:at], self._contracted([words[i] for i in order[first:at]])):
+            for i, x in zip(order[first:at], self._contracted([words[i] for i in order[first:at]], query)):
                 found[i] = x
         return found
 
@@ -158,10 +183,10 @@ class Codec:
         while left:
             windows = [(i, words[i][a : a + 2 * step]) for i in left for a in range(0, max(1, len(words[i]) - step), step)]
             parts: dict[int, list] = {}
-            for (i, _), x in zip(windows, self._in_turns([b for _, b in windows])):
+            for (i, _), x in zip(windows, self._in_turns([b for _, b in windows], CONTRACT if step == STEP else CONTRACT_ALL)):
                 parts.setdefault(i, []).append(tuple(zip(*[y.split(" ") for y in x.split(",")])))
             found.update((i, both) for i in left if (both := joined(parts[i], step)))
-            step, left = 2 * step, [i for i in left if i not in found]
+            step, left = WIDER * step, [i for i in left if i not in found]
         short = iter(self._in_turns([b for i, b in enumerate(words) if i not in long and b not in self.ranks]))
         for i, b in enumerate(words):
             if b in self.ranks:

@@ -80,3 +80,17 @@ def test_a_million_letters_without_a_gap(library):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(docs, RANKS, P.PATTERN).count() == bpe.encode(docs, RANKS, P.PATTERN).count() == 0
+
+
+def test_contracting_all_places_at_once_equals_one_after_the_other(library):
+    c, r = bpe.codec(RANKS, P.PATTERN), random.Random(3)
+    for alphabet in ("ab", "=-", "哈", "哈哈a", "ーあ", "ㅋㅎ", "etaoin"):
+        words = ["".join(r.choice(alphabet) for _ in range(r.randint(1, 60))).encode() for _ in range(200)]
+        assert c._contracted(words, bpe.CONTRACT_ALL) == c._contracted(words)
+
+
+@pytest.mark.parametrize("sign, n", [("哈", 100_000), ("ー", 6000), ("。", 6000), ("ㅋ", 6000), ("哈ㅋ", 3000)])
+def test_a_repeated_sign_out_of_phase_takes_time_in_proportion(library, sign, n):
+    began = time.perf_counter()
+    assert ids_of(bpe.codec(RANKS, P.PATTERN), sign * n) == ",".join(map(str, library.encode_ordinary(sign * n)))
+    assert time.perf_counter() - began < 60
