@@ -166,7 +166,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     given = picked(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("copy"), "text")
     rows = stored(given.mapInArrow(sketches, "doc_id long, copy long, node long, fp long, bands array<long>"), "near-copy-sketches")
-    per_node = stored(rows.groupBy("node").agg(F.min("copy").alias("copy"), F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.count("*").alias("n")), "near-copy-nodes")
+    of_node = [F.min("copy").alias("copy"), F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.count("*").alias("n")]
+    per_node = stored(rows.groupBy("node").agg(*of_node), "near-copy-nodes")  # rows of a node have one set, so the same bands
 
     fps = stored(per_node.groupBy("fp").agg(F.min("node").alias("of")), "near-copy-fingerprints")
     ends = [fps.select(F.col("fp").alias(c), F.col("of").alias(f"of_{c}")) for c in "ab"]
@@ -174,13 +175,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     same = per_node.join(fps, "fp").where("node <> of").select(F.col("node").alias("a"), F.col("of").alias("b"))
     by_simhash = stored(close.union(same), "near-copy-simhash")
 
-    bands = rows.select("node", F.explode("bands").alias("key"))
+    bands = per_node.select("node", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
     members = stored(bands.join(shared, "key").distinct(), "near-copy-bands")
 
     wanted = members.select("node").union(by_simhash.select("a")).union(by_simhash.select("b")).distinct()
     wanted = per_node.select("node", "copy").where("copy IS NOT NULL").join(wanted, "node", "left_semi")
-    texts = given.select("copy", "text").join(wanted, "copy").groupBy("node").agg(F.first("text").alias("text"))
+    # the rows of a hot copy are dealt to several tasks, and each keeps one before the shuffle by node
+    copies = lookup(given.select("copy", "doc_id", "text").where("copy IS NOT NULL"), wanted, rows.where("copy IS NOT NULL").groupBy("copy").agg(F.count("*").alias("n")), "copy", F.col("doc_id"))
+    texts = copies.groupBy("node").agg(F.first("text").alias("text"))
     sets = stored(texts.mapInArrow(hashed, "node long, h array<long>"), "near-copy-sets")
 
     links = checked(by_simhash, sets)
