@@ -19,8 +19,17 @@ def compare(ledger: DataFrame, balances: DataFrame, max_id: int | None = None) -
     """(account_id, asset, item_type, expected_value, actual_value, diff_value, severity, status): keys whose normalised values differ
     or that only one side has. Expected is the ledger's sum, actual the balance's total; the difference is null with one side missing."""
     truth = ledger if max_id is None else ledger.where(F.col("id") <= max_id)
-    expected = merged(truth, "amount").select("account_id", "asset", F.col("value").alias("expected"), F.lit(True).alias("in_truth"))
-    actual = merged(balances.withColumn("_total", F.col("available") + F.col("locked")), "_total").select("account_id", "asset", F.col("value").alias("actual"), F.lit(True).alias("in_snapshot"))
+    return differing(merged(truth, "amount"), merged(totals(balances), "total"))
+
+
+def totals(balances: DataFrame) -> DataFrame:
+    return balances.select("account_id", "asset", (F.col("available") + F.col("locked")).alias("total"))
+
+
+def differing(truth: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """compare() of two sides that merged() has made."""
+    expected = truth.select("account_id", "asset", F.col("value").alias("expected"), F.lit(True).alias("in_truth"))
+    actual = snapshot.select("account_id", "asset", F.col("value").alias("actual"), F.lit(True).alias("in_snapshot"))
     both = expected.join(actual, ["account_id", "asset"], "full_outer")
     asset = F.col("asset")
     e, a = normalize_precision(F.col("expected"), asset), normalize_precision(F.col("actual"), asset)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import recon
+from tallyforge.operators import recon, recon_tree
 from tallyforge.operators import ledger as led
 from tallyforge.operators.storage import new_folder
 from tallyforge.plans import ledger_plans as lp
@@ -208,19 +208,39 @@ def load_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 X = f"({oracle(EXECUTIONS)})"
 
 
-@query(f"""SELECT k1, k2, account_id, CASE WHEN k1 % 7 = 0 THEN 'tradeId' WHEN k1 % 11 = 0 THEN 'symbol' WHEN k1 % 13 = 0 THEN 'side' WHEN k1 % 17 = 0 THEN 'quantity' WHEN k1 % 19 = 0 THEN 'price' END AS reject FROM (SELECT k1, k2, account_id FROM {X})""")
-def split_valid_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Executions with faults of each kind: the valid ones, without a reason, and the quarantined ones with it."""
+def executions_as_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value, executed_at): executions as JSON, with faults of each kind."""
     k = F.col("k1")
     x = view(spark, sf_dir, EXECUTIONS).withColumns({"trade_id": F.when(k % 7 == 0, " ").otherwise(F.col("trade_id")), "symbol": F.when(k % 11 == 0,
         "").otherwise(F.col("symbol")), "side": F.when(k % 13 == 0, "HOLD").otherwise(F.col("side")), "quantity": F.when(k % 17 == 0,
         0).otherwise(F.col("quantity")), "price": F.when(k % 19 == 0, -1).otherwise(F.col("price"))})
-    value = F.to_json(F.struct("trade_id", "account_id", "symbol", "side", "quantity", "price", F.date_format("executed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("executed_at"), "k1", "k2"))
-    valid, bad = events.split(events.parse_executions(x.select(value.alias("value"))).withColumn("kept", F.from_json("raw", "k1 long, k2 long")))
+    value = F.to_json(F.struct("trade_id", "account_id", "symbol", "side", "quantity", "price", F.date_format("executed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("executed_at"), "k1", "k2",
+        F.col("k1").alias("sourceOffset"), F.col("k2").cast("int").alias("sourcePartition")))
+    return x.select(value.alias("value"), "executed_at")
+
+
+SPLIT = f"""SELECT k1, k2, account_id, CASE WHEN k1 % 7 = 0 THEN 'tradeId' WHEN k1 % 11 = 0 THEN 'symbol' WHEN k1 % 13 = 0 THEN 'side' WHEN k1 % 17 = 0 THEN 'quantity' WHEN k1 % 19 = 0 THEN 'price' END AS reject FROM (SELECT k1, k2, account_id FROM {X})"""
+
+
+@query(SPLIT)
+def split_valid_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executions with faults of each kind: the valid ones, without a reason, and the quarantined ones with it."""
+    value = executions_as_texts(spark, sf_dir)
+    valid, bad = events.split(events.parse_executions(value.select("value")).withColumn("kept", F.from_json("raw", "k1 long, k2 long")))
     parts = [df.select("kept.k1", "kept.k2", "account_id", reason.alias("reject")) for df, reason in ((valid, F.lit(None).cast("string")), (bad, F.col("reject")))]
     return parts[0].unionByName(parts[1])
 
 
+@query(SPLIT)
+def stream_split_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same split on a stream, both sinks read back; each text's offset and partition tell which it was."""
+    folder = in_steps(executions_as_texts(spark, sf_dir), "executed_at", CUTS, lambda s, f: jobs.start(s, jobs.split_executions(f"{f}/out"), f"{f}/checkpoint").awaitTermination())
+    valid, bad = (jobs.executions_in(spark, f"{folder}/out", sink) for sink in ("valid", "quarantine"))
+    parts = [df.select(F.col("source_offset").alias("k1"), F.col("source_partition").cast("long").alias("k2"), "account_id",
+        reason.alias("reject")) for df, reason in ((valid, F.lit(None).cast("string")), (bad, F.col("reject")))]
+    return parts[0].unionByName(parts[1])
+
+
 @query(f"""WITH r AS (SELECT * FROM ({oracle(RESULTS)}) QUALIFY row_number() OVER (PARTITION BY batch_id, account_id, upper(asset) ORDER BY id) = 1)
 SELECT batch_id, account_id, upper(asset) AS asset, {out("CASE WHEN batch_id % 2 = 0 AND account_id % 3 = 0 THEN closing_balance + 1 ELSE closing_balance END")} AS closing_balance, CASE WHEN batch_id % 2 = 0 AND account_id % 3 = 0 THEN 'CORRECTED' ELSE status END AS status FROM r""")
 def write_clearing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,3 +265,15 @@ def write_recon_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch, rows in ((1, diffs), (2, diffs), (2, diffs.where("account_id % 2 = 0"))):
         tables.write_recon_diffs(rows, path, batch)
     return versions.read(spark, path).select(F.col("recon_batch_id").cast("long"), "account_id", "asset", money("expected_value").alias("expected_value"), money("actual_value").alias("actual_value"))
+
+
+@query(lp.ORACLES["recon_compare"])
+def recon_by_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's side is made of the postings before a date and then of the rest; only buckets that differ are joined."""
+    led_, folder = lp.the_ledger(spark, sf_dir), new_folder(spark, "recon")
+    early = F.col("created_at") < F.lit(CUTS[1]).cast("timestamp")
+    for piece in (led_.where(early), led_.where(~early | early.isNull())):
+        recon_tree.add(piece, "amount", f"{folder}/truth", "truth", 256)
+    recon_tree.add(recon.totals(lp.the_balances(led_)), "total", f"{folder}/snapshot", "snapshot", 256)
+    found = recon_tree.compare(spark, f"{folder}/truth", f"{folder}/snapshot")
+    return found.select("account_id", "asset", "item_type", *[money(c).alias(c) for c in ("expected_value", "actual_value", "diff_value")], "severity")

@@ -19,6 +19,7 @@ from tallyforge.operators import orders as ords
 from tallyforge.operators import settlement
 from tallyforge.operators.matching import COLUMNS, EVENTS, Book, framed
 from tallyforge.operators.risk import volume_step
+from tallyforge.sources import events, versions
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -56,6 +57,24 @@ def post_ledger(path: str, order: list[str]) -> Callable[[DataFrame, int], None]
     return write
 
 
+def split_executions(path: str) -> Callable[[DataFrame, int], None]:
+    """Parses a batch of execution texts (value) and writes the valid rows and the quarantined ones, with reason and text, as two parts of
+    one table under the batch's id: one commit makes both visible, and a batch that runs again replaces both."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        bad = F.col("reject").isNotNull()
+        parsed = events.parse_executions(batch).withColumn("raw", F.when(bad, F.col("raw"))).withColumn("sink", F.concat(F.when(bad, "quarantine-").otherwise("valid-"), F.lit(str(n))))
+        versions.replace_parts(parsed, path, "sink", [f"valid-{n}", f"quarantine-{n}"])
+
+    return write
+
+
+def executions_in(spark: SparkSession, path: str, sink: str) -> DataFrame:
+    """The rows of sink valid or quarantine that split_executions() has written."""
+    found = versions.read(spark, path, [p for p in versions.manifest(spark, path)["parts"] if p.startswith(f"{sink}-")])
+    return found.drop("sink", *(("reject", "raw") if sink == "valid" else ()))
+
+
 def project_orders(path: str, tie: list[str]) -> Callable[[DataFrame, int], None]:
     """Upserts by event_seq: versions of a batch's orders that are newer than the stored ones. latest_orders() reads the result."""
 
