@@ -2,10 +2,17 @@
 
 A text is cut by the pattern into pieces (for the public pattern by way of chunks, cut at white space, that a worker may have met).
 New pieces become token-position rows, each with its own and the next token; a recursive query joins them to the merge table
-and contracts each piece's leftmost pair of least rank until no piece has a pair left, and ordered aggregations give its ids
-and, from the vocabulary, its decoded bytes. A piece's ids do not depend on its neighbours, so a worker keeps those of the
+and contracts each piece's leftmost pair of least rank until no piece has a pair left, and gives the tokens in order; the
+vocabulary gives their decoded bytes. A piece's ids do not depend on its neighbours, so a worker keeps those of the
 chunks and pieces met last, up to a size that bounds its memory and changes no result.
 
+Before the query, pairs of bytes that nothing can part are contracted at once. Tokens only grow, so a pair is parted only by a
+merge of its first byte behind a token that ends with the byte before, of at most the pair's rank (of equals the left one comes
+first), or of its second byte in front of a token that begins with the byte after, of a lesser rank. The least ranks of such
+merges by two bytes are small tables. Where both are too high, the pair is contracted sooner or later, and doing it at once changes
+nothing unless the new token makes a pair of lesser rank; pairs with such a token are left to the query. Two such pairs never
+overlap, for the rank of the one would be less than the other's and not less.
+
 A query takes as many rounds as its longest piece has merges, so a long piece is contracted in windows that overlap by half.
 Two windows are joined at a token that both have at the same place. That is exact: a sequence of tokens is the encoding of its
 bytes if and only if each two neighbours are the encoding of theirs (until some merge first crosses a border, both sides
@@ -20,7 +27,8 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,9 +43,11 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = rf" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?![^{SPACE}!-/:-@\[-`{{-~])|[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]"
 #: Bytes that the chunks and pieces which a worker keeps may take, about; bytes of pieces in one recursive query; characters cut
 #: into pieces at once; bytes between the starts of a long piece's windows, which are twice as long.
-KEPT, AT_ONCE, CHARS, STEP = 40_000_000, 40_000, 500_000, 128
+KEPT, AT_ONCE, CHARS, STEP = 100_000_000, 80_000, 1_000_000, 128
 #: Times that windows grow where two share no token.
 WIDER = 16
+#: The rank of a merge that there is not, above all others.
+NEVER = 2**31 - 1
 
 CONTRACT = """
 WITH RECURSIVE s(moves, w, p, t, u) AS (
@@ -49,7 +59,7 @@ WITH RECURSIVE s(moves, w, p, t, u) AS (
           CASE WHEN s.p = hit + 1 THEN m ELSE t END, CASE WHEN s.p = hit - 1 THEN m ELSE u END
    FROM s LEFT JOIN least ON s.w = least.w WHERE moves AND s.p IS DISTINCT FROM hit)
 )
-SELECT string_agg(id_hex, ',' ORDER BY s.p) FROM s JOIN vocab ON id = s.t WHERE NOT moves GROUP BY s.w ORDER BY s.w
+SELECT w, t FROM s WHERE NOT moves ORDER BY w, p
 """
 #: The same, all places of a word's least rank in one round: of places next to each other every second one, from the left.
 CONTRACT_ALL = """
@@ -67,7 +77,7 @@ WITH RECURSIVE s(moves, w, p, t, u) AS (
    SELECT least.w IS NOT NULL, placed.w, (p - gone)::INT, coalesce(placed.m, t)::INT, (CASE WHEN placed.m IS NULL THEN coalesce(next_m, u) ELSE coalesce(after_m, after) END)::INT
    FROM placed LEFT JOIN least ON placed.w = least.w WHERE inside IS NULL)
 )
-SELECT string_agg(id_hex, ',' ORDER BY s.p) FROM s JOIN vocab ON id = s.t WHERE NOT moves GROUP BY s.w ORDER BY s.w
+SELECT w, t FROM s WHERE NOT moves ORDER BY w, p
 """
 #: Ids of many sequences (w, p, id) -> hexadecimal bytes of each.
 DECODE = "SELECT w, string_agg(h, '' ORDER BY p) FROM ids JOIN vocab USING (id) GROUP BY w"
@@ -89,28 +99,27 @@ def _class(kind: str) -> str:
     return "".join(found)
 
 
-def joined(parts: list[tuple[list[str], list[str]]], step: int) -> tuple[list[str], list[str]] | None:
-    """(ids, hexadecimal bytes) of windows that start step bytes apart as those of the whole; None if two share no token."""
-    ids, hexes, ends = [], [], []
-    for k, (new_ids, new_hexes) in enumerate(parts):
-        at, spans = k * step, []
-        for x in new_hexes:
-            at += len(x) // 2
-            spans.append(at)
+def joined(parts: list[tuple[list[int], list[int]]], step: int) -> list[int] | None:
+    """Ids of the whole from (ids, their bytes' numbers) of windows that start step bytes apart; None if two share no token."""
+    ids, begins, ends = [], [], []
+    for k, (new, sizes) in enumerate(parts):
+        new_ends = list(accumulate(sizes, initial=k * step))
+        new_begins = new_ends[:-1]
+        del new_ends[0]
         first = 0
         if k:
             low = bisect_right(ends, k * step)
-            had = {(end - len(h) // 2, end): low + i for i, (end, h) in enumerate(zip(ends[low:], hexes[low:]))}
-            both = next((i for i, (end, h) in enumerate(zip(spans, new_hexes)) if (end - len(h) // 2, end) in had), None)
+            had = {span: low + i for i, span in enumerate(zip(begins[low:], ends[low:]))}
+            both = next((i for i, span in enumerate(zip(new_begins, new_ends)) if span in had), None)
             if both is None:
                 return None
-            cut = had[spans[both] - len(new_hexes[both]) // 2, spans[both]] + 1
-            del ids[cut:], hexes[cut:], ends[cut:]
+            cut = had[new_begins[both], new_ends[both]] + 1
+            del ids[cut:], begins[cut:], ends[cut:]
             first = both + 1
-        ids += new_ids[first:]
-        hexes += new_hexes[first:]
-        ends += spans[first:]
-    return ids, hexes
+        ids += new[first:]
+        begins += new_begins[first:]
+        ends += new_ends[first:]
+    return ids
 
 
 class Codec:
@@ -125,20 +134,32 @@ class Codec:
 
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = pattern == public_tokenizers.PATTERN
+        self.own = pattern == public_tokenizers.PATTERN
         letters, numbers = _class("L"), _class("N")
         for mark, inside in ((r"[^\s\p{L}\p{N}]", f"[^{SPACE}{letters}{numbers}]"), (r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\S", f"[^{SPACE}]"), (r"\s", f"[{SPACE}]")):
             pattern = pattern.replace(mark, inside)
         found = re.compile(pattern)
         self.pieces = found.findall if not found.groups else lambda x: [m[0] for m in found.finditer(x)]
-        self.chunks = re.compile(CHUNK).findall if own else self.pieces  # another pattern's pieces may cross the chunks
+        self.chunks = re.compile(CHUNK).findall if self.own else self.pieces  # another pattern's pieces may cross the chunks
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "70MB", "preserve_insertion_order": False})
         merges = [((self.ranks[t[:i]] << 32) + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         lesser = {token for pair, r in merges for token in (pair >> 32, pair & 0xFFFFFFFF) if token > r}  # these may make a pair of lesser rank
         alone = pa.array([r in lesser for _, r in merges])
         self._table("merges", pair=pa.array([x for x, _ in merges], pa.int64()), m=pa.array([x for _, x in merges], pa.int64()), alone=alone)
-        self._table("vocab", id=pa.array(self.ranks.values(), pa.int32()), h=pa.array([t.hex() for t in self.ranks]), id_hex=pa.array([f"{i} {t.hex()}" for t, i in self.ranks.items()]))
+        self._table("vocab", id=pa.array(self.ranks.values(), pa.int32()), h=pa.array([t.hex() for t in self.ranks]))
+        self.names, self.tokens = pa.array([str(r) for r in self.ranks.values()]), pa.array(list(self.ranks), pa.binary())
+        self.sizes = np.array([len(t) for t in self.ranks])
+        self.row = np.zeros(max(self.ranks.values()) + 1, dtype=np.int32)  # of each id its place in names and tokens
+        self.row[list(self.ranks.values())] = np.arange(len(self.ranks))
         self.one = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.safe, self.behind, self.before = (np.full((257, 257), NEVER, dtype=np.int32) for _ in range(3))  # by two bytes; 256: none
+        for t, r in self.ranks.items():
+            if len(t) == 2 and r not in lesser:
+                self.safe[t[0], t[1]] = r
+            if len(t) > 1 and t[:-1] in self.ranks:
+                self.behind[t[-2], t[-1]] = min(self.behind[t[-2], t[-1]], r)
+            if len(t) > 1 and t[1:] in self.ranks:
+                self.before[t[0], t[1]] = min(self.before[t[0], t[1]], r)
         self.known: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
         self.size = 0
@@ -148,52 +169,70 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contracted(self, words: list[bytes], query: str = CONTRACT) -> list[str]:
-        """Of each word its tokens in order: id, space and bytes in hexadecimal, comma after comma."""
+    def _contracted(self, words: list[bytes], query: str = CONTRACT) -> list[tuple[str, bytes]]:
+        """Of each word its ids (decimal, comma after comma) and their decoded bytes."""
         import numpy as np
 
         lengths = np.array([len(x) for x in words])
         ends = np.cumsum(lengths)
-        t = self.one[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        u = np.append(t[1:], -1).astype(np.int32)
-        u[ends - 1] = -1
-        w, p = np.repeat(np.arange(len(words), dtype=np.int32), lengths), np.arange(len(t)) - np.repeat(ends - lengths, lengths)
-        self.db.register("given_pieces", pa.table({"w": w, "p": p.astype(np.int32), "t": t, "u": u}))
-        return self.db.sql(query).to_arrow_table().column(0).to_pylist()
-
-    def _in_turns(self, words: list[bytes], query: str = CONTRACT) -> list[str]:
+        b = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.intp)
+        last, after = np.insert(b[:-1], 0, 256), np.append(b[1:], 256)
+        last[ends[:-1]] = after[ends - 1] = 256
+        rank = self.safe[b, after]
+        sure = (rank < self.behind[last, b]) & (rank <= self.before[after, np.append(after[1:], 256)])
+        stay = np.insert(~sure[:-1], 0, True)
+        t, w = np.where(sure, rank, self.one[b])[stay], np.repeat(np.arange(len(words), dtype=np.int32), lengths)[stay]
+        u = np.where(np.append(w[1:], -1) == w, np.append(t[1:], -1), -1)
+        self.db.register("given_pieces", pa.table({"w": w, "p": np.arange(len(t), dtype=np.int32), "t": t, "u": u.astype(np.int32)}))
+        found = self.db.sql(query).to_arrow_table()
+        return self._written(found.column(1).to_numpy(), np.bincount(found.column(0).to_numpy(), minlength=len(words)))
+
+    def _written(self, ids, counts) -> list[tuple[str, bytes]]:
+        """Of sequences of so many ids, one behind the other, their ids in decimal, comma after comma, and their decoded bytes."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        rows, ends = pa.array(self.row[ids]), pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+        texts, decoded = (pc.binary_join(pa.ListArray.from_arrays(ends, x.take(rows)), gap) for x, gap in ((self.names, ","), (self.tokens, b"")))
+        return list(zip(texts.to_numpy(zero_copy_only=False).tolist(), decoded.to_numpy(zero_copy_only=False).tolist()))
+
+    def _in_turns(self, words: list[bytes], query: str = CONTRACT) -> list[tuple[str, bytes]]:
         """_contracted() by queries of AT_ONCE bytes, words of like lengths together so that their rounds end together."""
-        order = sorted(range(len(words)), key=list(map(len, words)).__getitem__)
+        import numpy as np
+
+        lengths = np.array([len(x) for x in words], dtype=np.int64)
+        order = np.argsort(lengths, kind="stable")
+        ends = np.cumsum(lengths[order])
+        order = order.tolist()
         found: list = [None] * len(words)
         at = 0
         while at < len(order):
-            first, size = at, 0
-            while at < len(order) and (size == 0 or size + len(words[order[at]]) <= AT_ONCE):
-                size += len(words[order[at]])
-                at += 1
+            first, at = at, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
             for i, x in zip(order[first:at], self._contracted([words[i] for i in order[first:at]], query)):
                 found[i] = x
         return found
 
-    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _encoded(self, pieces: list[str]) -> list[tuple[str, bytes]]:
         """Of each piece its ids (decimal, comma after comma) and their decoded bytes. A piece that is a token stays whole."""
+        import numpy as np
+
         words = [x.encode() for x in pieces]
-        long = {i for i, b in enumerate(words) if len(b) > 2 * STEP and b not in self.ranks}
-        found, step, left = {}, STEP, sorted(long)
+        found: list = [(str(self.ranks[b]), b) if b in self.ranks else None for b in words]
+        short = [i for i, b in enumerate(words) if found[i] is None and len(b) <= 2 * STEP]
+        step, left = STEP, [i for i, b in enumerate(words) if found[i] is None and len(b) > 2 * STEP]
+        for i, x in zip(short, self._in_turns([words[i] for i in short])):
+            found[i] = x
         while left:
             windows = [(i, words[i][a : a + 2 * step]) for i in left for a in range(0, max(1, len(words[i]) - step), step)]
             parts: dict[int, list] = {}
-            for (i, _), x in zip(windows, self._in_turns([b for _, b in windows], CONTRACT if step == STEP else CONTRACT_ALL)):
-                parts.setdefault(i, []).append(tuple(zip(*[y.split(" ") for y in x.split(",")])))
-            found.update((i, both) for i in left if (both := joined(parts[i], step)))
-            step, left = WIDER * step, [i for i in left if i not in found]
-        short = iter(self._in_turns([b for i, b in enumerate(words) if i not in long and b not in self.ranks]))
-        for i, b in enumerate(words):
-            if b in self.ranks:
-                yield str(self.ranks[b]), b
-                continue
-            ids, hexes = found.pop(i) if i in long else zip(*[x.split(" ") for x in next(short).split(",")])
-            yield ",".join(ids), bytes.fromhex("".join(hexes))
+            for (i, _), (x, _) in zip(windows, self._in_turns([b for _, b in windows], CONTRACT if step == STEP else CONTRACT_ALL)):
+                ids = list(map(int, x.split(",")))
+                parts.setdefault(i, []).append((ids, self.sizes[self.row[ids]].tolist()))
+            for i in left:
+                if ids := joined(parts[i], step):
+                    [found[i]] = self._written(np.array(ids), [len(ids)])
+            step, left = WIDER * step, [i for i in left if found[i] is None]
+        return found
 
     def decoded(self, sequences: list[list[int]]) -> list[bytes]:
         """The bytes of each sequence of ids."""
@@ -217,30 +256,31 @@ class Codec:
                 at += 1
             self.learn(set().union(*group))
             for chunks in group:
-                yield [self.known[x] for x in chunks]
+                yield list(map(self.known.__getitem__, chunks))
 
     def learn(self, chunks: set[str]) -> None:
         """Sees to it that all these chunks are known."""
         if self.size > KEPT // 2:
             self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
-        for x in [x for x in chunks if x not in known and x in older]:
-            self._keep(x, *older[x])
-        cut = [(x, self.pieces(x)) for x in chunks if x not in known]
-        pieces = {y for _, parts in cut for y in parts if y not in known}
-        for x in [x for x in pieces if x in older]:
-            self._keep(x, *older[x])
-        new = [x for x in pieces if x not in older]
-        for x, (ids, decoded) in zip(new, self._encoded(new)):
-            self._keep(x, ids, decoded)
-        for x, parts in cut:
-            if len(parts) > 1:
-                ids, decoded = zip(*[self.known[y] for y in parts])
-                self._keep(x, ",".join(ids), b"".join(decoded))
-
-    def _keep(self, x: str, ids: str, decoded: bytes) -> None:
-        self.known[x] = ids, decoded
-        self.size += 200 + len(x) + len(ids) + len(decoded)
+        cut, new, back = {}, [], []
+        for x in chunks.difference(known):
+            if x in older:
+                back.append(x)
+            elif not self.own or (x[1:] if x[0] == " " else x).isalpha() or len(parts := self.pieces(x)) == 1:
+                new.append(x)  # one piece
+            else:
+                cut[x] = parts
+        for x in set().union(*cut.values()).difference(known, new, back):
+            (back if x in older else new).append(x)
+        self._keep(back, [older[x] for x in back])
+        self._keep(new, self._encoded(new))
+        both = [zip(*[known[y] for y in parts]) for parts in cut.values()]
+        self._keep(cut, [(",".join(ids), b"".join(decoded)) for ids, decoded in both])
+
+    def _keep(self, parts: Iterable[str], entries: list[tuple[str, bytes]]) -> None:
+        self.known.update(zip(parts, entries))
+        self.size += sum([200 + len(ids) + 2 * len(decoded) for ids, decoded in entries])
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:

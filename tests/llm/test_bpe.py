@@ -94,3 +94,27 @@ def test_a_repeated_sign_out_of_phase_takes_time_in_proportion(library, sign, n)
     began = time.perf_counter()
     assert ids_of(bpe.codec(RANKS, P.PATTERN), sign * n) == ",".join(map(str, library.encode_ordinary(sign * n)))
     assert time.perf_counter() - began < 60
+
+
+def words_of_bytes(n):
+    """Words over few and many letters and bytes, and ends of tokens put together, none of them a token."""
+    r, tokens = random.Random(n), list(bpe.codec(RANKS, P.PATTERN).ranks)
+    alphabets = [x.encode() for x in ("a", "ab", "the ", "etaoin shr", "0123", "=-", "éèàü", "日本語", "哈ㅋ", "יהו", "нета")] + [bytes(range(256)), b"\xe3\x81\x82\x80"]
+    found = [bytes(r.choice(a) for _ in range(r.randint(1, 24))) for a in alphabets for _ in range(n)]
+    found += [b"".join(t[r.randrange(len(t)) :] if r.random() < 0.5 else t for t in r.sample(tokens, r.randint(1, 5))) for _ in range(9 * n)]
+    return [x for x in found if x not in bpe.codec(RANKS, P.PATTERN).ranks]
+
+
+@pytest.mark.parametrize("query", [bpe.CONTRACT, bpe.CONTRACT_ALL])
+def test_contracting_sure_pairs_first_equals_the_library(library, query):
+    words = words_of_bytes(150)
+    got = bpe.codec(RANKS, P.PATTERN)._contracted(words, query)
+    assert got == [(",".join(map(str, library._encode_single_piece(x))), x) for x in words]
+
+
+def test_the_query_gets_fewer_rows_than_bytes(spark, sf):
+    """Each round of the query reads every row of its words, so rows are what new words cost."""
+    c, words = bpe.Codec(RANKS, P.PATTERN), {x for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect() for x in (r.text or "").encode().split()}
+    words = [x for x in words if x not in c.ranks and len(x) <= 2 * bpe.STEP]
+    c._contracted(words)
+    assert c.db.sql("SELECT count(*) FROM given_pieces").fetchall()[0][0] < 0.8 * sum(map(len, words))
