@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.sums import running
 
 BALANCE = "decimal(20,8)"
-#: Ledger ids in a run, of which a task sees an account's rows at once.
+#: Ledger ids in a run, of which a task sees a hot account's rows at once; rows that make a key hot.
 RUN = 1 << 18
 
 
@@ -29,20 +29,33 @@ def balances_view(balances: DataFrame) -> DataFrame:
 
 
 def running_balance(ledger: DataFrame) -> DataFrame:
-    """Each ledger row with its account's balance in the asset after it. Sums have two levels, runs of ids and ids within a run, so that the
-    history of a hot account is not one task."""
-    rows = ledger.withColumns({"_asset": F.upper("asset"), "_run": F.floor(F.col("id") / RUN)})
-    placed = running(rows, ["account_id", "_asset"], "_run", ["id"], F.col("amount"), "_before")
-    return placed.select(*ledger.columns, (F.col("_before") + F.coalesce("amount", F.lit(0))).cast("decimal(38,8)").alias("balance"))
+    """Each ledger row with its account's balance in the asset after it."""
+    found = _balances(ledger.withColumn("_asset", F.upper("asset")), ["account_id", "_asset"])
+    return found.select(*ledger.columns, "balance")
+
+
+def _balances(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with balance: the sum of a key's amounts up to the row's id.
+
+    A key of more than RUN rows is summed in two levels, runs of ids and ids within a run, so that the history of a hot account is not one
+    task; there is at most one such key for RUN rows. The others move once.
+    """
+    hot = F.broadcast(rows.groupBy(*keys).count().where(F.col("count") > RUN).select(*[F.col(k).alias(f"_{k}_hot") for k in keys]))
+    same = F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}_hot"))
+    for k in keys[1:]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}_hot"))
+    amount = F.coalesce("amount", F.lit(0))
+    so_far = Window.partitionBy(*keys).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    few = rows.join(hot, same, "left_anti").withColumn("balance", F.sum(amount).over(so_far).cast("decimal(38,8)"))
+    many = running(rows.join(hot, same, "left_semi").withColumn("_run", F.floor(F.col("id") / RUN)), keys, "_run", ["id"], F.col("amount"), "_before")
+    return few.unionByName(many.select(*rows.columns, (F.col("_before") + amount).cast("decimal(38,8)").alias("balance")))
 
 
 def first_breach(ledger: DataFrame) -> DataFrame:
-    """(account_id, asset, id, balance): the first posting after which the balance is negative. Only accounts and assets with
-    some negative amount are sorted."""
-    rows = ledger.withColumn("asset", F.upper("asset"))
-    spent = rows.where(F.col("amount") < 0).select("account_id", "asset").distinct()
-    below = running_balance(rows.join(spent, ["account_id", "asset"], "left_semi")).where(F.col("balance") < 0)
-    return below.groupBy("account_id", "asset").agg(F.min("id").alias("id"), F.min_by("balance", "id").alias("balance"))
+    """(account_id, asset, id, balance): the first posting after which the balance is negative."""
+    keys = ["account_id", "asset"]
+    below = _balances(ledger.select("id", "account_id", F.upper("asset").alias("asset"), "amount"), keys).where(F.col("balance") < 0)
+    return below.groupBy(*keys).agg(F.min("id").alias("id"), F.min_by("balance", "id").alias("balance"))
 
 
 def accounts_by_status(states: DataFrame, status: str = "BLOCKED") -> DataFrame:

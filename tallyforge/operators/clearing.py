@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import assets
 from tallyforge.functions.rules import scope_filter
-from tallyforge.operators.ledger import _daily_sums, _day_measures
+from tallyforge.operators.ledger import _daily_sums, _day_measures, daily_sums, up_to
 
 WIDE = "decimal(38,8)"
+MOVED = ("net_change", "fee_total", "trade_value", "trade_count")
 RESULT = ("opening_balance", "closing_balance", "net_change", "fee_total", "trade_count", "trade_value")
 
 
@@ -31,42 +32,42 @@ def previous_closings(results: DataFrame, batches: DataFrame, before: str) -> Da
     return eod_results(results, batches, before).withColumn("place", F.row_number().over(order))
 
 
-def clear_from(ledger: DataFrame, results: DataFrame, batches: DataFrame, date: str, max_id: int, scope: str = "") -> DataFrame:
+def clear_from(ledger: DataFrame, results: DataFrame, batches: DataFrame, date: str, max_id: int | Column, scope: str = "") -> DataFrame:
     """clear() with the openings as of the date from stored results: the closing of the latest earlier end-of-day batch, where there is one."""
     return clear(ledger, date, max_id, scope, opening_asof(results, batches, date))
 
 
-def clear(ledger: DataFrame, date: str, max_id: int, scope: str = "", openings: DataFrame | None = None) -> DataFrame:
+def clear(ledger: DataFrame, date: str, max_id: int | Column, scope: str = "", openings: DataFrame | None = None) -> DataFrame:
     """(account_id, asset, opening_balance, closing_balance, net_change, fee_total, trade_count, trade_value) of a business date.
 
-    One pass over the ledger up to the watermark: closing sums all rows, the rest those of the day. A given opening stands,
-    else it is closing - net. Rows in which all six are 0 are left out. The first aggregate is by trade, so that distinct
-    trades of a hot account are counted in many tasks.
+    closing sums the ledger up to the watermark, an id or the condition of the rows up to it; the rest sums those of the day, apart, so that the
+    history moves no more than an amount a row. A given opening stands, else it is closing - net. Rows in which all six are 0 are left out. The day
+    is summed by trade first, so that distinct trades of a hot account are counted in many tasks.
     """
+    rows = ledger.where(up_to(max_id) & scope_filter(scope))
+    closing = rows.groupBy("account_id", F.upper("asset").alias("asset")).agg(F.coalesce(F.sum("amount"), F.lit(0)).cast(WIDE).alias("closing_balance"))
+    day = daily_sums(rows.where(_today(date))).withColumnsRenamed({"account_id": "_account", "asset": "_asset"})
+    both = closing.join(day, F.col("account_id").eqNullSafe(F.col("_account")) & F.col("asset").eqNullSafe(F.col("_asset")), "left")
+    return _derived(both.select("account_id", "asset", "closing_balance", *[F.coalesce(c, F.lit(0)).alias(c) for c in MOVED]), openings)
+
+
+def _today(date: str) -> Column:
     day = F.lit(date).cast("date")
-    today = (F.col("created_at") >= day.cast("timestamp")) & (F.col("created_at") < F.date_add(day, 1).cast("timestamp"))
-    rows = ledger.where((F.col("id") <= max_id) & scope_filter(scope))
-    # only the day's rows are kept apart by trade; the rest of the history is one row
-    trade = F.when(today, F.col("trade_id"))
-    by_trade = rows.groupBy("account_id", F.upper("asset").alias("asset"), trade.alias("trade")).agg(F.sum("amount").alias("all"), *_day_measures(today))
-    return _derived(_daily_sums(by_trade, F.coalesce(F.sum("all"), F.lit(0)).cast(WIDE).alias("closing_balance")), openings)
+    return (F.col("created_at") >= day.cast("timestamp")) & (F.col("created_at") < F.date_add(day, 1).cast("timestamp"))
 
 
-def clear_incremental(ledger: DataFrame, date: str, max_id: int, previous_max_id: int, previous: DataFrame, scope: str = "", openings: DataFrame | None = None) -> DataFrame:
+def clear_incremental(ledger: DataFrame, date: str, max_id: int | Column, previous_max_id: int | Column, previous: DataFrame, scope: str = "", openings: DataFrame | None = None) -> DataFrame:
     """clear() from the closings (account_id, asset, closing_balance) of an earlier watermark and the rows since; rows of the day
     itself are read whatever their id, so that the day's figures are whole."""
-    day = F.lit(date).cast("date")
-    today = (F.col("created_at") >= day.cast("timestamp")) & (F.col("created_at") < F.date_add(day, 1).cast("timestamp"))
-    new = F.col("id") > previous_max_id
-    rows = ledger.where((F.col("id") <= max_id) & (new | today) & scope_filter(scope))
+    today, new = _today(date), ~up_to(previous_max_id)
+    rows = ledger.where(up_to(max_id) & (new | today) & scope_filter(scope))
     by_trade = rows.groupBy("account_id", F.upper("asset").alias("asset"), F.when(today, F.col("trade_id")).alias("trade")).agg(F.sum(F.when(new, F.col("amount"))).alias("all"), *_day_measures(today))
     moved = _daily_sums(by_trade, F.sum("all").alias("moved"))
     before = previous.where(scope_filter(scope)).select(F.col("account_id").alias("_account"), F.upper("asset").alias("_asset"), F.col("closing_balance").alias("before"))
     both = moved.join(before, F.col("account_id").eqNullSafe(F.col("_account")) & F.col("asset").eqNullSafe(F.col("_asset")), "full_outer")
     zero = F.lit(0)
     filled = both.select(F.coalesce("account_id", "_account").alias("account_id"), F.coalesce("asset", "_asset").alias("asset"), (F.coalesce("before",
-        zero) + F.coalesce("moved", zero)).cast(WIDE).alias("closing_balance"), *[F.coalesce(c, zero).alias(c) for c in ("net_change", "fee_total",
-        "trade_value", "trade_count")])
+        zero) + F.coalesce("moved", zero)).cast(WIDE).alias("closing_balance"), *[F.coalesce(c, zero).alias(c) for c in MOVED])
     return _derived(filled, openings)
 
 
@@ -98,9 +99,9 @@ def checked(results: DataFrame) -> DataFrame:
     return results
 
 
-def universe(ledger: DataFrame, max_id: int, scope: str = "") -> DataFrame:
+def universe(ledger: DataFrame, max_id: int | Column, scope: str = "") -> DataFrame:
     """(account_id, asset) of all holders up to the watermark; today's active keys are among them."""
-    return ledger.where((F.col("id") <= max_id) & scope_filter(scope)).select("account_id", F.upper("asset").alias("asset")).distinct()
+    return ledger.where(up_to(max_id) & scope_filter(scope)).select("account_id", F.upper("asset").alias("asset")).distinct()
 
 
 def stamped(results: DataFrame, batch_id: int, date: str, batch_type: str) -> DataFrame:

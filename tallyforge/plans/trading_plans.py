@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import rules
 from tallyforge.operators import balances as bal
 from tallyforge.operators import matching, metrics, orders, risk
-from tallyforge.plans.ledger_plans import HELD, WITH, money, text, the_ledger
+from tallyforge.plans.ledger_plans import HELD, WITH, money, text, the_sums
 from tallyforge.plans import matching_sql
 from tallyforge.plans.sql import VALUE, out
 from tallyforge.sources import events
@@ -270,7 +270,7 @@ def large_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"JOIN blocked b ON b.account_id = c.user_id WHERE command_type = 'NEW'"
 )
 def block_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = bal.risk_state(bal.project_balances(the_ledger(spark, sf_dir)))
+    state = bal.risk_state(bal.project_balances(the_sums(spark, sf_dir)))
     halted = spark.createDataFrame([("BTCKRW",)], "symbol string")
     return risk.block_precheck(view(spark, sf_dir, ORDER_COMMANDS), state, halted).select("client_order_id", "reject")
 
