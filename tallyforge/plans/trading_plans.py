@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import rules
 from tallyforge.operators import balances as bal
 from tallyforge.operators import matching, metrics, orders, risk
+from tallyforge.operators.storage import stored
 from tallyforge.plans.ledger_plans import HELD, WITH, money, text, the_sums
 from tallyforge.plans import matching_sql
 from tallyforge.plans.sql import VALUE, out
@@ -346,7 +347,7 @@ def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def match_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is met once, no book is crossed after the replay, and orders' filled quantities are twice the fills' in each symbol."""
-    events_ = matching.match_orders(view(spark, sf_dir, ORDER_COMMANDS))
+    events_ = stored(the_replay(spark, sf_dir), "events")
     states = matching.order_state(events_)
     best = matching.best_prices(matching.book_depth(states)).agg(F.count_if(F.col("best_bid") >= F.col("best_ask")).alias("crossed"))
     filled = states.groupBy("symbol").agg(F.sum("filled").alias("f"),
